@@ -29,6 +29,12 @@ def shared_dir(spark: SparkSession) -> str:
     return got
 
 
+def tune(spark: SparkSession) -> None:
+    """Small Arrow batches: a batch of texts or sets stays at a few MB in every worker."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+
+
 def free(spark: SparkSession) -> None:
     """Lets Spark delete the shuffle files of frames that nobody holds any more."""
     gc.collect()
@@ -40,6 +46,7 @@ class Stash:
     re-read and not a recomputation, and they let earlier shuffle files go."""
 
     def __init__(self, spark: SparkSession):
+        tune(spark)
         self.spark, self.root = spark, f"{shared_dir(spark).rstrip('/')}/stash-{uuid.uuid4().hex}"
 
     def put(self, df: DataFrame, name: str) -> DataFrame:

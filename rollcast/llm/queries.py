@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import jaccard_join
+from . import jaccard_join, lang_id
 
 
 def queries() -> dict:
     return {
+        "op1_lang_id": lang_id.query,
         "op4_jaccard_join": jaccard_join.query,
     }
 
