@@ -37,7 +37,7 @@ def powers(n: int, base: int = _BASE) -> np.ndarray:
     return have[:n]
 
 
-def batches(texts, most: int = 4 << 20):
+def batches(texts, most: int = 2 << 20):
     """Slices (start, stop) of a sequence of byte strings, of about `most` bytes each;
     a longer text is a slice of its own."""
     start = size = 0
