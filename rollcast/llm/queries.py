@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from . import jaccard_join, lang_id
+from . import jaccard_join, lang_id, mixing, sharding, toxicity
 
 
 def queries() -> dict:
     return {
         "op1_lang_id": lang_id.query,
         "op4_jaccard_join": jaccard_join.query,
+        "op8_mixing": mixing.query,
+        "op9_toxicity": toxicity.query,
+        "op10_sharding": sharding.query,
     }
 
 
