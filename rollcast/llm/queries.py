@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import jaccard_join, lang_id, mixing, sharding, toxicity
+from . import decontaminate, jaccard_join, lang_id, mixing, sharding, token_count, toxicity
 
 
 def queries() -> dict:
     return {
         "op1_lang_id": lang_id.query,
+        "op3_token_count": token_count.query,
         "op4_jaccard_join": jaccard_join.query,
+        "op7_decontaminate": decontaminate.query,
         "op8_mixing": mixing.query,
         "op9_toxicity": toxicity.query,
         "op10_sharding": sharding.query,
