@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontaminate, jaccard_join, lang_id, mixing, sharding, token_count, toxicity
+from . import decontaminate, jaccard_join, lang_id, mixing, sharding, substring_dedup, token_count, toxicity
 
 
 def queries() -> dict:
     return {
         "op1_lang_id": lang_id.query,
+        "op2_substring_dedup": substring_dedup.query,
         "op3_token_count": token_count.query,
         "op4_jaccard_join": jaccard_join.query,
         "op7_decontaminate": decontaminate.query,
