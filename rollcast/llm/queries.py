@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, jaccard_join, lang_id, mixing, sharding, substring_dedup, token_count, toxicity
+from . import decontaminate, embedding_dedup, jaccard_join, lang_id, mixing, sharding, substring_dedup, token_count, toxicity
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op2_substring_dedup": substring_dedup.query,
         "op3_token_count": token_count.query,
         "op4_jaccard_join": jaccard_join.query,
+        "op6_embedding_dedup": embedding_dedup.query,
         "op7_decontaminate": decontaminate.query,
         "op8_mixing": mixing.query,
         "op9_toxicity": toxicity.query,
