@@ -1,30 +1,24 @@
 """Exact n-gram Jaccard self-join by T-occurrence search (DivideSkip), with components.
 
 Two documents link when |A and B| >= t |A or B| for their sets of word shingles.
-The search is DivideSkip spread over a cluster:
-
-1. Documents of equal sets are one class, so copies are never compared.
-2. A document's tokens are ordered by hash. If it looks at its first
-   n - ceil(t n) + 1 + L tokens, a partner shares at least L + 1 of the part that
-   both look at (n tokens in all, L = n // extra). Tokens seen once are dropped.
-3. Because L + 1 occurrences are required, each document may set its S <= t L most
-   frequent (longest) lists aside and still meet every partner in a short list: of the
-   shared tokens the rarest is set aside by neither. Passages and lines that many
-   documents share are the long lists, and so generate nothing.
-4. The short lists propose pairs. In a block of one query and its candidates the short
-   lists are heap-merged and the long ones binary-probed for the documents that can
-   still reach the required overlap (`divide_skip`).
-
-Only links between components matter, so a list first proposes its members to three
-leaders; then, after those links are joined to components, members that are not in the
-leader's component are proposed to all members of other components. So a list of near
-copies costs a multiple of its length, and every pair that can link is either
-verified or already connected."""
+The search has two levels:
+
+1. Over the cluster. Documents of equal sets are one class, so copies are never compared.
+   A document looks at its first n - ceil(t n) + 1 + L tokens in hash order (n tokens in
+   all, L = n // extra), so it shares at least L + 1 of the tokens that both look at with
+   every partner. Because L + 1 occurrences are required, each document may set its
+   S <= t L most frequent tokens (longest lists) aside and still meet each partner in a
+   short list: of the shared tokens the rarest is set aside by neither. Lines and
+   passages that many documents share are the long lists. What short lists still
+   connect are candidate groups; a link never leaves one.
+2. In a group (`links_within`), by the documents' whole sets: inverted lists of the group,
+   the short lists merged, the long ones probed by binary search for the documents that
+   can still reach the overlap. A large group is cut into shards and searched cell by
+   cell, each shard against each. A task returns a spanning forest of its links and
+   each document's number of links, so no output has a row a pair."""
 
 from __future__ import annotations
 
-import heapq
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -34,46 +28,81 @@ from pyspark.sql.window import Window
 from . import textnp as X
 from .common import Stash, components
 
-EXTRA = 20  # L = n // EXTRA
-BLOCK, BLOCK_BYTES = 256, 32 << 20
-
-
-def required(a: int, b: int, num: int, den: int) -> int:
-    """Least overlap of sets of a and b elements with den * both >= num * either."""
-    return -(-num * (a + b) // (num + den))
-
-
-def divide_skip(query: np.ndarray, sets: list[np.ndarray], need: list[int]) -> list[int]:
-    """Indices i of `sets` that share at least need[i] tokens with `query` (all sorted).
-
-    The inverted lists of the query's tokens are split: the T - 1 longest at most are
-    set aside, where T is the smallest need; the others are merged by a heap, and only
-    documents that reach need[i] less the number of lists set aside are looked up in
-    those, by binary search. A need of 0 or less is always met."""
-    if not sets:
-        return []
-    lists: dict[int, list[int]] = {}
-    for i, s in enumerate(sets):
-        at = np.searchsorted(query, s)
-        at[at == len(query)] = 0
-        for j in (at[query[at] == s] if len(query) else ()):
-            lists.setdefault(int(j), []).append(i)
-    order = sorted(lists, key=lambda j: len(lists[j]))
-    aside = max(0, min(min(need) - 1, len(order)))
-    short, long = order[: len(order) - aside], np.sort(np.array(order[len(order) - aside :], np.int64))
-    count = [0] * len(sets)
-    for i in heapq.merge(*(lists[j] for j in short)):
-        count[i] += 1
-    found = []
-    probes = query[long]
-    for i, c in enumerate(count):
-        if c + aside >= need[i]:
-            if c < need[i] and aside:
-                at = np.minimum(np.searchsorted(sets[i], probes), len(sets[i]) - 1)
-                c += int((sets[i][at] == probes).sum()) if len(sets[i]) else 0
-            if c >= need[i]:
-                found.append(i)
-    return found
+EXTRA = 10  # L = n // EXTRA
+#: A shard of a candidate group, and what one search takes together.
+SHARD_DOCS, SHARD_BYTES = 4096, 8 << 20
+#: A probe of a list by binary search costs as much as merging so many of its entries.
+PROBE = 40
+
+
+def links_within(sets: list[np.ndarray], weight: np.ndarray, side: np.ndarray, num: int, den: int) -> tuple[list[tuple[int, int]], np.ndarray]:
+    """All links among `sets` (distinct sorted hashes) by DivideSkip: a spanning forest as
+    pairs of indices, and for each set the total weight of the sets it links with. With
+    two sides only pairs across them are compared.
+
+    Sets are numbered by size; a set is a query against those after it, so the required
+    overlap T is at least that of two sets of its size, and a list is the tail behind
+    the query. The longest lists, T - 1 at most, are set aside; the others are merged;
+    sets that miss more than the lists set aside are dropped; the rest are probed in the
+    long lists, or these are merged as well where that is cheaper."""
+    m = len(sets)
+    size = np.array([len(x) for x in sets], np.int64)
+    order = np.argsort(size, kind="stable")
+    size, side, weight = size[order], side[order], weight[order]
+    flat = np.concatenate([sets[i] for i in order]) if m else np.zeros(0, np.uint64)
+    doc = np.repeat(np.arange(m), size)
+    by = np.argsort(flat, kind="stable")  # stable: documents ascend in each list
+    tok, lists = flat[by], doc[by]
+    new = np.concatenate([[True], tok[1:] != tok[:-1]]) if len(tok) else np.zeros(0, bool)
+    first = np.flatnonzero(new)
+    end = np.repeat(np.append(first[1:], len(tok)), np.diff(np.append(first, len(tok))))  # of the list, at each entry
+    where = np.empty(len(by), np.int64)
+    where[by] = np.arange(len(by))
+    keys = (np.cumsum(new) - 1) * m + lists if len(tok) else np.zeros(0, np.int64)
+    starts = np.concatenate([[0], np.cumsum(size)])
+    label, links, forest = np.arange(m), np.zeros(m, np.int64), []
+    for x in range(m):
+        p = where[starts[x] : starts[x + 1]]
+        tail = end[p] - p - 1
+        p, tail = p[tail > 0], tail[tail > 0]
+        n = int(size[x])
+        least = -(-2 * num * n // (num + den))
+        if len(p) < least or not n:
+            continue
+        by_length = np.argsort(tail, kind="stable")
+        p, tail = p[by_length], tail[by_length]
+        cut = len(p) - (least - 1)
+        short = tail[:cut]
+        at = np.repeat(p[:cut] + 1 - np.concatenate([[0], np.cumsum(short)[:-1]]), short) + np.arange(short.sum())
+        count = np.bincount(lists[at] - x, minlength=m - x)
+        y = np.flatnonzero(count)
+        need = -(-num * (n + size[x + y]) // (num + den))
+        y = y[(count[y] + least - 1 >= need) & (side[x + y] != side[x] if side.any() else True)]
+        if not len(y):
+            continue
+        long = tail[cut:]
+        if len(y) * len(long) * PROBE < long.sum():
+            ask = (keys[p[cut:]] // m * m)[:, None] + (x + y)[None]
+            got = np.minimum(np.searchsorted(keys, ask), len(keys) - 1)
+            total = count[y] + (keys[got] == ask).sum(0)
+        elif len(long):
+            at = np.repeat(p[cut:] + 1 - np.concatenate([[0], np.cumsum(long)[:-1]]), long) + np.arange(long.sum())
+            total = count[y] + np.bincount(lists[at] - x, minlength=m - x)[y]
+        else:
+            total = count[y]
+        y = x + y[total >= -(-num * (n + size[x + y]) // (num + den))]
+        if not len(y):
+            continue
+        links[x] += weight[y].sum()
+        links[y] += weight[x]
+        for a in np.unique(label[y]):
+            if label[x] != a:
+                forest.append((int(order[x]), int(order[y[label[y] == a][0]])))
+                old, to = max(a, label[x]), min(a, label[x])
+                label[label == old] = to
+    back = np.empty(m, np.int64)
+    back[order] = links
+    return forest, back
 
 
 def _fingerprint(s: np.ndarray, offs: np.ndarray) -> np.ndarray:
@@ -98,8 +127,8 @@ def digests(docs: DataFrame, id_col: str, text_col: str, k: int, num: int, den:
     return src.mapInPandas(run, "id long, n long, class long, tokens array<long>")
 
 
-def shingle_table(docs: DataFrame, k: int) -> DataFrame:
-    """(class, n, s) of documents (class, text): the whole set."""
+def shingle_sets(rows: DataFrame, k: int) -> DataFrame:
+    """Rows (g, k, c, weight, text) with the text replaced by its whole set s."""
 
     def run(frames):
         for pdf in frames:
@@ -107,47 +136,46 @@ def shingle_table(docs: DataFrame, k: int) -> DataFrame:
             for a, b in X.batches(texts):
                 s, offs = X.shingle_sets(texts[a:b], k)
                 s = s.view(np.int64)
-                yield pd.DataFrame({"class": pdf["class"].values[a:b], "n": np.diff(offs), "s": [s[i:j] for i, j in zip(offs[:-1], offs[1:])]})
+                yield pdf[["g", "k", "c", "weight"]].iloc[a:b].assign(s=[s[i:j] for i, j in zip(offs[:-1], offs[1:])])
 
-    return docs.select("class", "text").mapInPandas(run, "class long, n long, s array<long>")
+    return rows.select("g", "k", "c", "weight", "text").mapInPandas(run, "g long, k long, c long, weight long, s array<long>")
 
 
-def verify(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (u, v) whose whole sets reach the overlap. A query with many candidates
-    is dealt to blocks of about BLOCK of them."""
-    per = pairs.groupBy("u").agg(F.count(F.lit(1)).alias("c"))
-    block = F.pmod(F.xxhash64("v"), F.greatest(F.lit(1), (F.col("c") / BLOCK).cast("long")))
-    dealt = pairs.join(per, "u").select("u", "v", block.alias("b"))
-    side = sets.select(F.col("class").alias("v"), "n", "s")
-    cand = dealt.join(side, "v").select("u", "b", "v", "n", "s", F.lit(0).alias("is_query"))
-    query = dealt.select("u", "b").distinct().join(sets.select(F.col("class").alias("u"), "n", "s"), "u").select("u", "b", F.col("u").alias("v"), "n", "s", F.lit(1).alias("is_query"))
+def search(members: DataFrame, num: int, den: int) -> DataFrame:
+    """(u, v, links) from members (g, k, c, n, weight, s): forest links (u, v, null) and
+    numbers of links (u, null, links). k: the number of shards of group g."""
+    own = F.pmod(F.xxhash64("c"), F.col("k")).cast("int")
+    rows = members.withColumn("o", own).withColumn("j", F.explode(F.sequence(F.lit(0), (F.col("k") - 1).cast("int"))))
+    rows = rows.select("g", "k", F.least("o", "j").alias("a"), F.greatest("o", "j").alias("b"), "o", "c", "weight", "s")
 
     def run(frames):
-        key, q, vs, sets, size = None, None, [], [], 0
+        key, held, size = None, [], 0
 
         def flush():
-            # a query's row is the first of its block
-            need = [required(len(q), len(s), num, den) for s in sets]
-            hits = divide_skip(q, sets, need)
-            return pd.DataFrame({"u": [key[0]] * len(hits), "v": [vs[i] for i in hits]}, dtype="int64")
+            if len(held) < 2:
+                return
+            apart = held[0][0] > 1 and held[0][1] != held[0][2]
+            side = np.array([apart and r[3] == r[2] for r in held])
+            if apart and side.all() == side.any():
+                return  # one of the shards is empty
+            forest, links = links_within([r[6] for r in held], np.array([r[5] for r in held], np.int64), side, num, den)
+            c = [r[4] for r in held]
+            some = np.flatnonzero(links)
+            yield pd.DataFrame({"u": [c[i] for i, _ in forest] + [c[i] for i in some], "v": pd.array([c[j] for _, j in forest] + [None] * len(some), "Int64"), "links": pd.array([None] * len(forest) + links[some].tolist(), "Int64")})
 
         for pdf in frames:
-            for u, b, v, s, is_query in zip(pdf["u"], pdf["b"], pdf["v"], pdf["s"], pdf["is_query"]):
-                if (u, b) != key or size > BLOCK_BYTES:
-                    if vs:
-                        yield flush()
-                    vs, sets, size = [], [], 0
-                if is_query:
-                    key, q = (u, b), np.sort(np.asarray(s).view(np.uint64))
-                else:
-                    vs.append(v)
-                    sets.append(np.sort(np.asarray(s).view(np.uint64)))
-                    size += 8 * len(s)
-        if vs:
-            yield flush()
-
-    rows = cand.unionByName(query).repartition("u", "b").sortWithinPartitions("u", "b", F.desc("is_query"))
-    return rows.mapInPandas(run, "u long, v long")
+            for g, k, a, b, o, c, w, s in zip(pdf["g"], pdf["k"], pdf["a"], pdf["b"], pdf["o"], pdf["c"], pdf["weight"], pdf["s"]):
+                # whole small groups are searched together; a cell of a large one by itself
+                if (g, a, b) != key:
+                    if held and (k > 1 or held[0][0] > 1 or len(held) >= SHARD_DOCS // 4 or size >= SHARD_BYTES // 4):
+                        yield from flush()
+                        held, size = [], 0
+                    key = (g, a, b)
+                held.append((k, a, b, o, c, w, np.asarray(s, np.int64).view(np.uint64)))
+                size += 8 * len(s)
+        yield from flush()
+
+    return rows.repartition("g", "a", "b").sortWithinPartitions("g", "a", "b").mapInPandas(run, "u long, v long, links long")
 
 
 def jaccard_components(spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 75, den: int = 100, extra: int = EXTRA) -> DataFrame:
@@ -156,10 +184,10 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, *, id_col: str = "d
     Words are maximal runs without ASCII white space, A-Z lower-cased; the set holds
     k-word shingles, or the whole sequence if there are fewer words. A null, empty or
     blank text has an empty set, links with nothing and is its own component. class_id
-    is the smallest id of an equal set. n_links counts verified links between
-    classes, which suffice for the components but need not be all there are. Ids are
-    unique integers; texts of any length are taken whole; other columns of `docs` are
-    not read. An empty table gives no rows."""
+    is the smallest id of an equal set. n_links is the number of other documents linked
+    directly, copies included. Ids are unique integers; texts of any length are taken
+    whole; other columns of `docs` are not read. An empty table gives no rows. Sets of
+    equal 64-bit fingerprint and size count as equal."""
     stash = Stash(spark)
     dig = stash.put(digests(docs, id_col, text_col, k, num, den, extra), "digests")
     posts = dig.where("n > 0").select(F.explode("tokens").alias("t"), F.col("class").alias("c"), "n")
@@ -173,43 +201,27 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, *, id_col: str = "d
     lists = posts.join(df, "t").withColumn("r", F.row_number().over(by_doc)).where(F.col("r") > F.floor(F.col("n") * num / (den * extra)))
     lists = stash.put(lists.select("t", "c", "n"), "lists")
     stash.drop(posts)
-    close = (F.col("n1") * den >= F.col("n2") * num) & (F.col("n2") * den >= F.col("n1") * num)
-
-    # candidates' whole sets
-    live = lists.select("c").distinct()
-    reps = ids.where("n > 0").groupBy("class").agg(F.min("id").alias("id")).join(live, F.col("class") == F.col("c"), "left_semi")
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    sets = stash.put(shingle_table(texts.join(reps, "id"), k), "sets")
-
-    # first round: members against leaders
-    one = F.struct("n", "c")
-    lead = lists.groupBy("t").agg(F.count(F.lit(1)).alias("m"), F.array_distinct(F.array(F.min(one), F.max(one), F.min_by(one, F.xxhash64("c")))).alias("l")).where("m > 1")
-    cand = lists.select("t", F.col("c").alias("v"), F.col("n").alias("n2")).join(lead.select("t", F.explode("l").alias("l")), "t").select(F.col("l.c").alias("u"), "v", F.col("l.n").alias("n1"), "n2")
-    pairs = stash.put(cand.where(close & (F.col("u") != F.col("v"))).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "pairs")
-    links = stash.put(verify(pairs, sets, num, den), "links")
-    comp = stash.put(components(spark, links, stash), "components")
-
-    # second round: members that are not yet in the leader's component
-    of = lists.join(comp, F.col("c") == F.col("id"), "left").select("t", "c", "n", F.coalesce("component", "c").alias("k"))
-    main = of.groupBy("t").agg(F.min(F.struct("n", "c", "k")).alias("l"), F.min("k").alias("lo"), F.max("k").alias("hi")).where("lo <> hi").select("t", F.col("l.k").alias("main"))
-    of = of.join(main, "t")
-    left = of.where("k <> main").select("t", F.col("c").alias("u"), F.col("n").alias("n1"), F.col("k").alias("k1"))
-    right = of.select("t", F.col("c").alias("v"), F.col("n").alias("n2"), F.col("k").alias("k2"))
-    more = left.join(right, "t").where((F.col("k1") != F.col("k2")) & close).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-    more = stash.put(more.join(pairs, ["u", "v"], "left_anti"), "pairs")
-    links = stash.put(links.unionByName(verify(more, sets, num, den)), "links")
-    stash.drop(sets)
-    comp = components(spark, links, stash)
+    # what the short lists connect, and how many shards that takes
+    lead = lists.groupBy("t").agg(F.min("c").alias("l"), F.max("c").alias("h")).where("l < h").select("t", "l")
+    near = lists.join(lead, "t").where(F.col("c") != F.col("l")).select(F.col("l").alias("u"), F.col("c").alias("v"))
+    groups = stash.put(components(spark, near, stash), "groups")
+    stash.drop(lists)
+    classes = ids.where("n > 0").groupBy("class", "n").agg(F.min("id").alias("class_id"), F.count(F.lit(1)).alias("weight"))
+    classes = stash.put(classes, "classes")
+    live = classes.join(groups, F.col("class") == F.col("id")).select(F.col("component").alias("g"), F.col("class").alias("c"), "n", "class_id", "weight")
+    shards = live.groupBy("g").agg(F.greatest(F.ceil(F.count(F.lit(1)) / SHARD_DOCS), F.ceil(F.sum("n") * 8 / SHARD_BYTES)).alias("k"))
+    live = stash.put(live.join(shards, "g"), "live")
+    texts = docs.select(F.col(id_col).cast("long").alias("class_id"), F.col(text_col).cast("string").alias("text"))
+    found = stash.put(search(shingle_sets(texts.join(live.hint("merge"), "class_id"), k), num, den), "links")
+    comp = components(spark, found.where("v is not null").select("u", "v"), stash)
 
     # back to documents: the smallest id of a class, then of a component
-    degree = links.select(F.col("u").alias("class")).unionByName(links.select(F.col("v").alias("class"))).groupBy("class").agg(F.count(F.lit(1)).alias("n_links"))
-    classes = ids.where("n > 0").groupBy("class", "n").agg(F.min("id").alias("class_id"))
+    degree = found.where("links is not null").groupBy(F.col("u").alias("class")).agg(F.sum("links").alias("links"))
     classes = classes.join(comp.withColumnRenamed("id", "class"), "class", "left").join(degree, "class", "left").withColumn("component", F.coalesce("component", "class"))
     least = classes.groupBy("component").agg(F.min("class_id").alias("component_id"))
-    classes = classes.join(least, "component").select("class", "n", "class_id", "component_id", "n_links")
-    return ids.join(classes, ["class", "n"], "left").select(
-        "id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"), F.coalesce("class_id", "id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")
-    )
+    n_links = (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links")
+    classes = classes.join(least, "component").select("class", "n", "class_id", "component_id", n_links)
+    return ids.join(classes, ["class", "n"], "left").select("id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"), F.coalesce("class_id", "id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
