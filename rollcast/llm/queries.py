@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from . import decontaminate, embedding_dedup, jaccard_join, lang_id, mixing, sharding, substring_dedup, token_count, toxicity
+import corpus_pipeline
+
+from . import decontaminate, embedding_dedup, jaccard_join, lang_id, mixing, paragraph_dedup, sharding, substring_dedup, token_count, toxicity
 
 
 def queries() -> dict:
@@ -11,11 +13,13 @@ def queries() -> dict:
         "op2_substring_dedup": substring_dedup.query,
         "op3_token_count": token_count.query,
         "op4_jaccard_join": jaccard_join.query,
+        "op5_paragraph_dedup": paragraph_dedup.query,
         "op6_embedding_dedup": embedding_dedup.query,
         "op7_decontaminate": decontaminate.query,
         "op8_mixing": mixing.query,
         "op9_toxicity": toxicity.query,
         "op10_sharding": sharding.query,
+        "pipeline": corpus_pipeline.run,
     }
 
 

@@ -162,6 +162,24 @@ def by_hash(rows: DataFrame, length: int) -> DataFrame:
     return later.select("id", "from", (F.col("from") + length).alias("to"))
 
 
+def without_spans(src: DataFrame, spans: DataFrame) -> DataFrame:
+    """From texts (id, text) and spans (id, from, to; arrays of byte positions): a row (id,
+    n_bytes, n_removed, n_spans, kept, spans) for each text."""
+
+    def keep(frames):
+        for pdf in frames:
+            out = []
+            for i, text, lo, hi in zip(pdf["id"], X.encode(pdf["text"]), pdf["from"], pdf["to"]):
+                lo, hi = ([], []) if lo is None else merge(np.asarray(lo, np.int64), np.minimum(np.asarray(hi, np.int64), len(text)))
+                edges = [0, *(int(x) for pair in zip(lo, hi) for x in pair), len(text)]
+                kept = b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2]))
+                out.append((i, len(text), len(text) - len(kept), len(lo), kept, [{"from": int(a), "to": int(b)} for a, b in zip(lo, hi)]))
+            yield pd.DataFrame(out, columns=["id", "n_bytes", "n_removed", "n_spans", "kept", "spans"])
+
+    # neither side has a bound: both are dealt by id at every size
+    return src.join(spans.hint("merge"), "id", "left").mapInPandas(keep, "id long, n_bytes long, n_removed long, n_spans long, kept binary, spans array<struct<from: int, to: int>>")
+
+
 def remove_repeats(spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """(id, n_bytes, n_removed, n_spans, kept, spans) for every row of `docs`: the bytes that
     stay (binary) and the removed half-open byte spans, maximal and in order.
@@ -197,7 +215,7 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_i
                 out += [(r["key"], r["hot"], i, r["start"], r["n"], text[r["start"] : r["start"] + r["n"] + length]) for r in s]
             yield pd.DataFrame(out, columns=["key", "hot", "id", "start", "n", "bytes"])
 
-    pieces = src.join(todo, "id").mapInPandas(cut, "key long, hot boolean, id long, start int, n int, bytes binary")
+    pieces = src.join(todo.hint("merge"), "id").mapInPandas(cut, "key long, hot boolean, id long, start int, n int, bytes binary")
     pieces = stash.put(pieces, "pieces")
     found = stash.put(by_suffix_order(pieces.where("not hot").drop("hot"), length).unionByName(by_hash(pieces.where("hot").drop("hot"), length)), "found")
     stash.drop(pieces)
@@ -206,17 +224,7 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_i
     spans = spans.unionByName(local)
     spans = stash.put(spans.groupBy("id").agg(F.flatten(F.collect_list("from")).alias("from"), F.flatten(F.collect_list("to")).alias("to")), "spans")
 
-    def keep(frames):
-        for pdf in frames:
-            out = []
-            for i, text, lo, hi in zip(pdf["id"], X.encode(pdf["text"]), pdf["from"], pdf["to"]):
-                lo, hi = ([], []) if lo is None else merge(np.asarray(lo, np.int64), np.minimum(np.asarray(hi, np.int64), len(text)))
-                edges = [0, *(int(x) for pair in zip(lo, hi) for x in pair), len(text)]
-                kept = b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2]))
-                out.append((i, len(text), len(text) - len(kept), len(lo), kept, [{"from": int(a), "to": int(b)} for a, b in zip(lo, hi)]))
-            yield pd.DataFrame(out, columns=["id", "n_bytes", "n_removed", "n_spans", "kept", "spans"])
-
-    return src.join(spans, "id", "left").mapInPandas(keep, "id long, n_bytes long, n_removed long, n_spans long, kept binary, spans array<struct<from: int, to: int>>")
+    return without_spans(src, spans)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
