@@ -79,11 +79,10 @@ def cell_links(x: np.ndarray, keys: np.ndarray, table: int, weight: np.ndarray,
     forest, label = [], np.arange(len(x))
     for i in np.flatnonzero(link.any(1)):
         y = np.flatnonzero(link[i])
-        for a in np.unique(label[y]):
-            if a != label[i]:
-                forest.append((i, y[label[y] == a][0]))
-                old, to = max(a, label[i]), min(a, label[i])
-                label[label == old] = to
+        near, own = label[y], label[i]
+        forest += [(i, y[near == a][0]) for a in np.unique(near) if a != own]
+        joined = np.append(near, own)
+        label[np.isin(label, joined)] = joined.min()
     if forest:
         for t in range(table):
             link &= keys[:, t][:, None] != keys[:, t][None]

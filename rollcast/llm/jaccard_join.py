@@ -95,11 +95,10 @@ def links_within(sets: list[np.ndarray], weight: np.ndarray, side: np.ndarray, n
             continue
         links[x] += weight[y].sum()
         links[y] += weight[x]
-        for a in np.unique(label[y]):
-            if label[x] != a:
-                forest.append((int(order[x]), int(order[y[label[y] == a][0]])))
-                old, to = max(a, label[x]), min(a, label[x])
-                label[label == old] = to
+        near, own = label[y], label[x]
+        forest += [(int(order[x]), int(order[y[near == a][0]])) for a in np.unique(near) if a != own]
+        joined = np.append(near, own)
+        label[np.isin(label, joined)] = joined.min()
     back = np.empty(m, np.int64)
     back[order] = links
     return forest, back
