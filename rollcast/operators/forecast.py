@@ -108,7 +108,7 @@ def run_models(series: DataFrame, specs: Sequence[Mapping], target: str, feature
     types = dict(series.dtypes)
     schema = ", ".join([*(f"{k} {types[k]}" for k in keys), "model string, tp int, e int, theta double, t_pred long, obs double, pred double, coefficients array<double>"])
 
-    def one(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         s, block = rows[key[-2]], key[-1]
         pdf = pdf.sort_values("t")
         t, tp = pdf["t"].to_numpy(), int(s["tp"])

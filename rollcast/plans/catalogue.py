@@ -77,12 +77,12 @@ def regular_calendar(spark, sf):
 
 def interpolate_limited(spark, sf):
     d = calendar.interpolate(calendar.complete(src.hourly_events(spark, sf, "event_type"), "h", 1), ["y"], 2, "h")
-    return rounded(d.select("series_id", "h", "y", F.col("n").isNull().alias("filled_or_missing")), "y", digits=4)
+    return rounded(d.select("series_id", "h", "y", F.col("n").isNull().alias("filled_or_missing")), "y", digits=7)
 
 
 def regularised_series(spark, sf):
     d = calendar.interpolate(calendar.complete(src.hourly_events(spark, sf, "event_type"), "h", 1), ["y"], 1, "h")
-    return rounded(calendar.drop_incomplete(d, ["y"], "h").select("series_id", "t", "h", "y"), "y", digits=4)
+    return rounded(calendar.drop_incomplete(d, ["y"], "h").select("series_id", "t", "h", "y"), "y", digits=7)
 
 
 def time_index_modes(spark, sf):
