@@ -7,10 +7,14 @@ import os
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+_ARROW = {"string": pa.string(), "double": pa.float64(), "long": pa.int64(), "integer": pa.int32(), "boolean": pa.bool_()}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -35,6 +39,28 @@ def tune(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
 
 
+def with_columns(df: DataFrame, inputs: list[str], new: dict[str, str], make) -> DataFrame:
+    """`df` with the columns `new` (name: type), which replace columns of those names. `make`
+    starts on each partition and gives a function from the batch's values of `inputs`
+    (lists) to those of the new columns. All other columns pass through as Arrow, so
+    values of any type, nulls and large integers stay as they are."""
+    kept = [c for c in df.columns if c not in new or c in inputs]
+    schema = df.select(*kept).schema
+    for name, kind in new.items():
+        if name not in inputs:
+            schema = schema.add(name, kind)
+
+    def run(batches):
+        start = make()
+        for batch in batches:
+            got = start(*[batch.column(batch.schema.get_field_index(c)).to_pylist() for c in inputs])
+            out = {c: batch.column(batch.schema.get_field_index(c)) for c in kept}
+            out |= {c: pa.array(list(v), _ARROW[new[c]], from_pandas=True) for c, v in zip(new, got)}
+            yield pa.RecordBatch.from_arrays(list(out.values()), list(out))
+
+    return df.mapInArrow(run, schema)
+
+
 def free(spark: SparkSession) -> None:
     """Lets Spark delete the shuffle files of frames that nobody holds any more."""
     gc.collect()

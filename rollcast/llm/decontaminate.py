@@ -16,12 +16,11 @@ from __future__ import annotations
 import heapq
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textnp as X
-from .common import tune
+from .common import tune, with_columns
 
 MIN_MATCH = 5
 COVERAGE = 0.5
@@ -135,31 +134,35 @@ def decontaminate(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, *,
 
     Words are maximal runs without ASCII white space, A-Z lower-cased. Items without words
     match nothing; null and empty documents match nothing. Whole texts are tiled."""
-    names = ["coverage", "item_id", "n_items", "contaminated"]
-    kept = [c for c in docs.columns if c not in names]
+    kept = [c for c in docs.columns if c not in ("coverage", "item_id", "n_items", "contaminated")]
     out = docs.select(*kept, F.lit(0.0).alias("coverage"), F.lit(None).cast("long").alias("item_id"), F.lit(0).cast("long").alias("n_items"))
-    schema = out.schema
     for ids, texts in blocks(benchmark, item_id, item_text, BLOCK_BYTES):
 
-        def run(frames, ids=ids, texts=texts):
+        def make(ids=ids, texts=texts):
             items = Items(ids, texts, k)
-            for pdf in frames:
-                pdf = pdf.reset_index(drop=True)
-                best, item = pdf["coverage"].to_numpy(float).copy(), pdf["item_id"].astype("Int64").copy()
-                n = pdf["n_items"].to_numpy(np.int64).copy()
-                raw = X.encode(pdf[text_col])
+
+            def run(docs, best, item, n):
+                raw = X.encode(docs)
                 for a, b in X.batches(raw):
                     for d, i, c in overlaps(raw[a:b], items):
                         d += a
                         n[d] += c >= coverage
-                        if c > best[d] or c == best[d] and (pd.isna(item[d]) or items.ids[i] < item[d]):
-                            best[d], item[d] = c, items.ids[i]
-                yield pdf[kept].assign(coverage=best, item_id=item, n_items=n)
+                        if c > best[d] or c == best[d] and (item[d] is None or ids[i] < item[d]):
+                            best[d], item[d] = c, ids[i]
+                return best, item, n
+
+            return run
 
-        out = out.mapInPandas(run, schema)
+        out = _update(out, text_col, make)
     return out.withColumn("contaminated", F.col("n_items") > 0)
 
 
+def _update(docs: DataFrame, text_col: str, make) -> DataFrame:
+    state = {"coverage": "double", "item_id": "long", "n_items": "long"}
+    renamed = docs.select(*[F.col(c).alias(f"__{c}") if c in state else F.col(c) for c in docs.columns])
+    return with_columns(renamed, [text_col, *(f"__{c}" for c in state)], state, make).drop(*[f"__{c}" for c in state])
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     tune(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")

@@ -99,7 +99,7 @@ def near_duplicates(spark: SparkSession, vectors: DataFrame, *, id_col: str = "v
     stash = Stash(spark)
     src = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v"), F.col(label_col).cast("string").alias("label"))
     ids = stash.put(src.withColumn("h", F.xxhash64("v")).withColumn("h2", F.hash("v")), "vectors")
-    live = ids.where("label is not null and v is not null and size(v) > 0 and not exists(v, x -> x is null or isnan(x) or abs(x) = double('inf')) and exists(v, x -> x <> 0)")
+    live = ids.where("id is not null and label is not null and v is not null and size(v) > 0 and not exists(v, x -> x is null or isnan(x) or abs(x) = double('inf')) and exists(v, x -> x <> 0)")
     one = ["label", "h", "h2"]
     classes = live.groupBy(*one).agg(F.min("id").alias("c"), F.count(F.lit(1)).alias("weight"), F.any_value("v").alias("v"))
     classes = stash.put(classes, "classes")

@@ -122,8 +122,9 @@ def digests(docs: DataFrame, id_col: str, text_col: str, k: int, num: int, den:
                 signed = s.view(np.int64)
                 yield pd.DataFrame({"id": pdf["id"].values[a:b], "n": n, "class": _fingerprint(s, offs).view(np.int64), "tokens": [signed[i : i + m] for i, m in zip(offs, look)]})
 
-    src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return src.mapInPandas(run, "id long, n long, class long, tokens array<long>")
+    # ids pass as text: beside a null, pandas would make them floats
+    src = docs.select(F.col(id_col).cast("long").cast("string").alias("id"), F.col(text_col).cast("string").alias("text"))
+    return src.mapInPandas(run, "id string, n long, class long, tokens array<long>").withColumn("id", F.col("id").cast("long"))
 
 
 def shingle_sets(rows: DataFrame, k: int) -> DataFrame:

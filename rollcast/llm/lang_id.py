@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textnp as X
-from .common import tune
+from .common import tune, with_columns
 
 WINDOW = 256  # bytes
 WIDTHS = (2, 4, 6)
@@ -163,19 +163,15 @@ def train(spark: SparkSession, docs: DataFrame, use, id_col: str = "doc_id", tex
 def identify(docs: DataFrame, model: ByteCNN | None, text_col: str = "text") -> DataFrame:
     """`docs` with lang_pred and score. A text that is null or has no letters is `und`
     with score 0, as is any text if there is no model. All of every text is read."""
-    names = ["lang_pred", "score"]
-    kept = [c for c in docs.columns if c not in names]
-    schema = docs.select(*kept).schema.add("lang_pred", "string").add("score", "double")
 
-    def run(frames):
+    def make():
         tables = model.fold() if model else None
-        for pdf in frames:
-            pdf = pdf.reset_index(drop=True)
-            texts = pdf[text_col]
+
+        def run(texts):
             live = np.array([isinstance(t, str) and any(map(str.isalpha, t)) for t in texts], bool) & (model is not None)
-            lang, score = np.full(len(pdf), "und", object), np.zeros(len(pdf))
+            lang, score = np.full(len(texts), "und", object), np.zeros(len(texts))
             at = np.flatnonzero(live)
-            raw = X.encode(texts.iloc[at])
+            raw = X.encode(texts[i] for i in at)
             for a, b in X.batches(raw):
                 w, doc, size = windows(raw[a:b])
                 p = model.probabilities(w, tables) * size[:, None]
@@ -184,9 +180,11 @@ def identify(docs: DataFrame, model: ByteCNN | None, text_col: str = "text") ->
                 best = total.argmax(1)
                 lang[at[a:b]] = np.array(model.classes, object)[best]
                 score[at[a:b]] = total[np.arange(b - a), best]
-            yield pdf[kept].assign(lang_pred=lang, score=score)
+            return lang, score
+
+        return run
 
-    return docs.mapInPandas(run, schema)
+    return with_columns(docs, [text_col], {"lang_pred": "string", "score": "double"}, make)
 
 
 def held_out(id_col: str, folds: int, fold: int):

@@ -25,7 +25,7 @@ from .ranks import hash63, ranked
 
 PERIOD = 1000
 BLOCK = 8
-TEMPER, STOP = 0.5, 0.5
+TEMPER, STOP = 0.7, 0.5
 MOST_SOURCES = 2000
 
 

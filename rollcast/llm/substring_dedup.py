@@ -177,7 +177,9 @@ def without_spans(src: DataFrame, spans: DataFrame) -> DataFrame:
             yield pd.DataFrame(out, columns=["id", "n_bytes", "n_removed", "n_spans", "kept", "spans"])
 
     # neither side has a bound: both are dealt by id at every size
-    return src.join(spans.hint("merge"), "id", "left").mapInPandas(keep, "id long, n_bytes long, n_removed long, n_spans long, kept binary, spans array<struct<from: int, to: int>>")
+    # ids pass as text: beside a null, pandas would make them floats
+    both = src.join(spans.hint("merge"), "id", "left").withColumn("id", F.col("id").cast("string"))
+    return both.mapInPandas(keep, "id string, n_bytes long, n_removed long, n_spans long, kept binary, spans array<struct<from: int, to: int>>").withColumn("id", F.col("id").cast("long"))
 
 
 def remove_repeats(spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:

@@ -17,11 +17,9 @@ from __future__ import annotations
 import re
 
 import ahocorasick
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import tune
+from .common import tune, with_columns
 
 MARK = "▁"
 UNKNOWN_COST = 10.0
@@ -119,17 +117,16 @@ def load(model: str) -> UnigramCounter:
 
 
 def token_counts(docs: DataFrame, counter: UnigramCounter, text_col: str = "text") -> DataFrame:
-    """`docs` with n_tokens and score of each whole text; null and empty texts have none."""
-    names = ["n_tokens", "token_score"]
-    kept = [c for c in docs.columns if c not in names]
-    schema = docs.select(*kept).schema.add("n_tokens", "long").add("token_score", "double")
+    """`docs` with n_tokens and token_score of each whole text; null and empty texts have none."""
 
-    def run(frames):
-        for pdf in frames:
-            got = [counter.count(t if isinstance(t, str) else None) for t in pdf[text_col]]
-            yield pdf[kept].assign(n_tokens=np.array([g[0] for g in got], np.int64), token_score=np.array([g[1] for g in got], float))
+    def make():
+        def run(texts):
+            got = [counter.count(t) for t in texts]
+            return [g[0] for g in got], [g[1] for g in got]
 
-    return docs.mapInPandas(run, schema)
+        return run
+
+    return with_columns(docs, [text_col], {"n_tokens": "long", "token_score": "double"}, make)
 
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"

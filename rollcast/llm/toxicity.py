@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textnp as X
-from .common import Stash, tune
+from .common import Stash, tune, with_columns
 from .lang_id import held_out
 
 BITS = 20
@@ -150,20 +150,19 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, use, id_col:
 def score(docs: DataFrame, fm: FactorizationMachine | None, text_col: str = "text") -> DataFrame:
     """`docs` with score (0 to 1) and predicted (score >= THRESHOLD). Null and empty texts
     have no terms and get the prior; without a machine every score is 0."""
-    names = ["score", "predicted"]
-    kept = [c for c in docs.columns if c not in names]
-    schema = docs.select(*kept).schema.add("score", "double").add("predicted", "integer")
 
-    def run(frames):
-        for pdf in frames:
-            texts = X.encode(pdf[text_col])
-            s = np.zeros(len(pdf))
+    def make():
+        def run(texts):
+            raw = X.encode(texts)
+            s = np.zeros(len(raw))
             if fm:
-                for a, b in X.batches(texts):
-                    s[a:b] = fm.scores(texts[a:b])
-            yield pdf[kept].assign(score=s, predicted=(s >= THRESHOLD).astype(np.int32))
+                for a, b in X.batches(raw):
+                    s[a:b] = fm.scores(raw[a:b])
+            return s, (s >= THRESHOLD).astype(np.int32)
+
+        return run
 
-    return docs.mapInPandas(run, schema)
+    return with_columns(docs, [text_col], {"score": "double", "predicted": "integer"}, make)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
