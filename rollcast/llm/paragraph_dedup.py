@@ -1,17 +1,16 @@
 """Near-duplicate passages by paragraph MinHash banding.
 
-Paragraphs are windows of WORDS words that start at content-defined anchors: words whose
-hash (of GRAM words) is the smallest within REACH words on both sides. A passage that is
-repeated inside other text has the same anchors wherever it stands, which line ends do
-not give, and paragraphs of one text start more than REACH words apart, so two of them are
-never near duplicates of each other by overlapping.
+Paragraphs run from one content-defined anchor to the next: anchors are words whose hash
+(of GRAM words) is the smallest within REACH words on both sides. A passage that is
+repeated inside other text is cut alike wherever it stands, which line ends do not give.
+Paragraphs do not overlap, so two of one text share shingles only if the text repeats.
 
 1. Paragraphs of equal words are one class.
 2. Each class has MinHashes of its word shingles in BANDS bands of ROWS; `tune` chooses
    the bands for the wanted recall at the threshold. Paragraphs without a common
-   shingle never collide, so one or two rows a band select enough.
-3. Classes that collide in a band are connected to candidate groups, in which exact
-   Jaccard similarities of whole sets are taken (`jaccard_join.search`).
+   shingle never collide, so one row a band selects enough.
+3. Classes that collide in a band are joined, and exact Jaccard similarities of whole
+   sets decide (`jaccard_join.search`, bucket by bucket; a large bucket in shards).
 4. Components of the verified links: the paragraph of smallest (id, position) stays,
    and the words of the others are removed."""
 
@@ -27,9 +26,9 @@ from .common import Stash, components
 from .jaccard_join import SHARD_BYTES, SHARD_DOCS, search
 from .substring_dedup import without_spans
 
-WORDS, GRAM, REACH = 32, 3, 8
-LEAST = 20  # words of a paragraph, but of a text that has no other
-ROWS = 2
+GRAM, REACH = 3, 6
+LEAST = 20  # words of the paragraph before the first anchor or after the last one
+ROWS = 1
 
 
 def tune(similarity: float, recall: float = 0.98, rows: int = ROWS) -> int:
@@ -39,10 +38,10 @@ def tune(similarity: float, recall: float = 0.98, rows: int = ROWS) -> int:
 
 def paragraphs(texts: list[bytes], k: int):
     """(document, class, first byte, end byte, shingles, offsets) of every paragraph: the
-    class is a hash of its words, shingles[offsets[i] : offsets[i + 1]] are its hashes. A
-    paragraph has WORDS words, or LEAST at least at the end of a text; the one of a shorter
-    text has all its words, and if these are fewer than k, one shingle. Text before the first anchor starts a paragraph if it is longer
-    than REACH words."""
+    class is a hash of its words and the k - 1 words behind it, and shingles[offsets[i] :
+    offsets[i + 1]] are the hashes of its runs of k words. What stands before the first
+    anchor or behind the last is a paragraph if it has LEAST words, or if the text has no
+    other; one of fewer than k words has one shingle."""
     h, doc, start, stop = X.word_hashes(texts)
     n = len(h)
     none = np.zeros(0, np.int64)
@@ -66,37 +65,42 @@ def paragraphs(texts: list[bytes], k: int):
         same = doc[j:] == doc[:-j]
         lead[j:] &= ~same | (gram[j:] < gram[:-j])
         lead[:-j] &= ~same | (gram[:-j] <= gram[j:])
-    begin = np.flatnonzero(lead)
-    head = np.full(len(texts), n)
-    np.minimum.at(head, doc[begin], begin)
-    alone = np.flatnonzero((count > 0) & ((head - first > REACH) | (head == n)))
-    begin = np.sort(np.concatenate([begin, first[alone]]))
-    # short ends of texts are no paragraphs, unless a text would have none
-    begin = begin[rest[begin] >= LEAST]
-    bare = np.flatnonzero((count > 0) & (np.bincount(doc[begin], minlength=len(texts)) == 0))
-    begin = np.sort(np.concatenate([begin, first[bare]]))
-    size = np.minimum(WORDS, rest[begin])
+    edge = lead.copy()
+    edge[first[count > 0]] = True
+    begin = np.flatnonzero(edge)
+    size = np.minimum(np.append(begin[1:], n) - begin, rest[begin])
+    # paragraphs at either end of a text have no anchor on that side
+    open_end = ~lead[begin] | (size == rest[begin])
+    keep = ~open_end | (size >= LEAST)
+    bare = (count > 0) & (np.bincount(doc[begin[keep]], minlength=len(texts)) == 0)
+    whole = first[np.flatnonzero(bare)]
+    size = np.concatenate([size[keep], rest[whole]])
+    begin = np.concatenate([begin[keep], whole])
+    by = np.argsort(begin, kind="stable")
+    begin, size = begin[by], size[by]
     # hashes of k words; the end of a text gives none
     full = n - k + 1
     sh = np.zeros(max(full, 0), np.uint64)
     for j in range(k):
         if full > 0:
             sh = X.mix(sh + h[j : full + j])
-    shingles = np.maximum(size - k + 1, 1)
+    shingles = np.clip(np.minimum(size, rest[begin] - k + 1), 1, None)
     offs = np.concatenate([[0], np.cumsum(shingles)])
     at = np.repeat(begin - offs[:-1], shingles) + np.arange(offs[-1])
     out = np.zeros(len(at), np.uint64)
-    long = np.repeat(size >= k, shingles)
+    long = np.repeat(rest[begin] >= k, shingles)
     out[long] = sh[at[long]]
-    for i in np.flatnonzero(size < k):
-        x = np.uint64(int(size[i]))
-        for w in h[begin[i] : begin[i] + size[i]]:
+    for i in np.flatnonzero(rest[begin] < k):
+        x = np.uint64(int(rest[begin[i]]))
+        for w in h[begin[i] : begin[i] + rest[begin[i]]]:
             x = X.mix(x + w)
         out[offs[i]] = x
     # order matters for the class: the same words in another order are another class
     total = np.concatenate([[np.uint64(0)], np.cumsum(X.mix(out + X.mix(np.arange(len(at)).astype(np.uint64) - np.repeat(offs[:-1], shingles).astype(np.uint64))), dtype=np.uint64)])
     cls = X.mix(total[offs[1:]] - total[offs[:-1]] + X.mix(size.astype(np.uint64)))
-    return doc[begin], cls, start[begin], stop[begin + size - 1], out, offs
+    end = begin + size
+    last = np.where(size == rest[begin], stop[end - 1], start[np.minimum(end, n - 1)])
+    return doc[begin], cls, start[begin], last, out, offs
 
 
 def bands(shingles: np.ndarray, offs: np.ndarray, n: int, rows: int = ROWS) -> np.ndarray:
@@ -129,26 +133,26 @@ def remove_near_passages(spark: SparkSession, docs: DataFrame, *, id_col: str =
                 doc, cls, lo, hi, sh, offs = paragraphs(texts[a:b], k)
                 keys = bands(sh, offs, n_bands).view(np.int64)
                 at = np.searchsorted(doc, np.arange(b - a + 1))
-                c, lo, hi = cls.view(np.int64), lo.astype(np.int32), hi.astype(np.int32)
-                yield pd.DataFrame({"id": ids[a:b], "c": [c[i:j] for i, j in zip(at[:-1], at[1:])], "from": [lo[i:j] for i, j in zip(at[:-1], at[1:])], "to": [hi[i:j] for i, j in zip(at[:-1], at[1:])], "keys": [keys[i:j].ravel() for i, j in zip(at[:-1], at[1:])]})
+                c, lo, hi, w = cls.view(np.int64), lo.astype(np.int32), hi.astype(np.int32), np.diff(offs).astype(np.int32)
+                yield pd.DataFrame({"id": ids[a:b], "c": [c[i:j] for i, j in zip(at[:-1], at[1:])], "from": [lo[i:j] for i, j in zip(at[:-1], at[1:])], "to": [hi[i:j] for i, j in zip(at[:-1], at[1:])], "w": [w[i:j] for i, j in zip(at[:-1], at[1:])], "keys": [keys[i:j].ravel() for i, j in zip(at[:-1], at[1:])]})
 
-    per_doc = src.where("id is not null").mapInPandas(cut, "id long, c array<long>, from array<int>, to array<int>, keys array<long>")
+    per_doc = src.where("id is not null").mapInPandas(cut, "id long, c array<long>, from array<int>, to array<int>, w array<int>, keys array<long>")
     per_doc = stash.put(per_doc, "paragraphs")
-    posts = per_doc.select("c", F.posexplode("keys").alias("i", "key")).select("key", F.get("c", F.floor(F.col("i") / n_bands).cast("int")).alias("c"))
+    of = F.floor(F.col("i") / n_bands).cast("int")
+    posts = per_doc.select("c", "w", F.posexplode("keys").alias("i", "key")).select("key", F.get("c", of).alias("c"), F.get("w", of).alias("w"))
     twice = posts.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("key")
     posts = stash.put(posts.join(twice, "key").distinct(), "collisions")
     units = stash.put(per_doc.select("id", F.explode(F.arrays_zip("c", "from", "to")).alias("p")).select("id", "p.*"), "units")
     stash.drop(per_doc)
 
-    # what collides in a band, and how many shards that takes
-    lead = posts.groupBy("key").agg(F.min("c").alias("l"), F.max("c").alias("h")).where("l < h").select("key", "l")
-    near = posts.join(lead, "key").where(F.col("c") != F.col("l")).select(F.col("l").alias("u"), F.col("c").alias("v"))
-    groups = stash.put(components(spark, near, stash), "groups")
+    # classes that collide, and how many shards a bucket takes
+    full = posts.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.greatest(F.ceil(F.count(F.lit(1)) / SHARD_DOCS), F.ceil(F.sum("w") * 8 / SHARD_BYTES)).alias("k")).where("m > 1")
+    buckets = stash.put(posts.join(full, "key").select(F.col("key").alias("g"), "k", "c"), "buckets")
     stash.drop(posts)
     first = units.groupBy("c").agg(F.min(F.struct("id", "from")).alias("p"), F.count(F.lit(1)).alias("m"))
-    first = stash.put(first.join(groups, F.col("c") == groups["id"], "left").drop("id").withColumnRenamed("component", "g").where("m > 1 or g is not null"), "firsts")
-    shards = first.where("g is not null").groupBy("g").agg(F.greatest(F.ceil(F.count(F.lit(1)) / SHARD_DOCS), F.ceil(F.count(F.lit(1)) * 8 * WORDS / SHARD_BYTES)).alias("k"))
-    live = first.join(shards, "g").groupBy(F.col("p.id").alias("id")).agg(F.collect_list(F.struct("g", "k", "c")).alias("want"))
+    hit = buckets.select("c").distinct().withColumn("hit", F.lit(True))
+    first = stash.put(first.join(hit, "c", "left").where("m > 1 or hit"), "firsts")
+    live = first.where("hit").groupBy(F.col("p.id").alias("id")).agg(F.collect_list("c").alias("want"))
 
     def sets(frames):
         for pdf in frames:
@@ -160,15 +164,17 @@ def remove_near_passages(spark: SparkSession, docs: DataFrame, *, id_col: str =
                 for d, want in enumerate(pdf["want"].iloc[a:b]):
                     lo, hi = np.searchsorted(doc, [d, d + 1])
                     where = {int(c): i for i, c in zip(range(lo, hi), cls[lo:hi])}
-                    for r in want:
-                        i = where[r["c"]]
-                        rows.append((r["g"], r["k"], r["c"], 1, np.unique(sh[offs[i] : offs[i + 1]]).view(np.int64)))
-                yield pd.DataFrame(rows, columns=["g", "k", "c", "weight", "s"])
+                    for c in want:
+                        i = where[c]
+                        rows.append((c, np.unique(sh[offs[i] : offs[i + 1]]).view(np.int64)))
+                yield pd.DataFrame(rows, columns=["c", "s"])
 
-    members = src.join(live.hint("merge"), "id").mapInPandas(sets, "g long, k long, c long, weight long, s array<long>")
+    whole = stash.put(src.join(live.hint("merge"), "id").mapInPandas(sets, "c long, s array<long>"), "sets")
+    members = buckets.join(whole, "c").select("g", "k", "c", F.lit(1).cast("long").alias("weight"), "s")
     found = stash.put(search(members, num, den), "links")
+    stash.drop(whole)
     comp = components(spark, found.where("v is not null").select("u", "v"), stash)
-    first = first.join(comp.withColumnRenamed("id", "c"), "c", "left").withColumn("component", F.coalesce("component", "c"))
+    first = first.join(comp.withColumnRenamed("id", "c"), "c", "left").where("m > 1 or component is not null").withColumn("component", F.coalesce("component", "c"))
     stays = first.groupBy("component").agg(F.min("p").alias("stay"))
     first = first.join(stays, "component").where((F.col("m") > 1) | (F.col("p") != F.col("stay"))).select("c", "stay")
     gone = units.join(first, "c").where((F.col("id") != F.col("stay.id")) | (F.col("from") != F.col("stay.from")))
