@@ -23,7 +23,7 @@ PREFIXES = (4, 5, 6)
 #: The bounds of the sample that the machine learns from and of its features.
 TRAIN_DOCS, FEATURES = 12000, 2048
 MIN_Z, MIN_DOCS = 3.5, 4
-FACTORS, EPOCHS, RATE, L2 = 8, 40, 0.1, 1e-4
+FACTORS, EPOCHS, RATE, L2 = 8, 80, 0.1, 1e-4
 THRESHOLD = 0.7
 
 _INNER = np.ones(256, bool)  # bytes between words
