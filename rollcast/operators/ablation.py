@@ -23,11 +23,11 @@ def groups(scores: DataFrame, feature: str, last_t: int, k: int, *, high_q: floa
     both, by a seeded order among those whose |score| is in the top or bottom quantile."""
     d = scores.where(F.col("feature") == feature).withColumn("abs_g", F.abs(finite(F.col("g")))).where((F.col("abs_g").isNotNull()) & (F.col("t_src") <= last_t))
     q = d.groupBy("series_id").agg(F.percentile("abs_g", F.array(F.lit(high_q), F.lit(low_q))).alias("q"))
-    d = d.join(F.broadcast(q), "series_id")
+    d = d.join(q, "series_id")
     d = d.where(F.col("abs_g") >= F.col("q")[0]).withColumn("grp", F.lit(HIGH)).unionByName(d.where(F.col("abs_g") <= F.col("q")[1]).withColumn("grp", F.lit(LOW)))
     d = d.withColumn("r", F.row_number().over(Window.partitionBy("series_id", "grp").orderBy(F.xxhash64("t_src", F.lit(seed)), "t_src")))
     n = d.groupBy("series_id").agg(F.count_if(F.col("grp") == HIGH).alias("h"), F.count_if(F.col("grp") == LOW).alias("w"))
-    return d.join(F.broadcast(n), "series_id").where(F.col("r") <= F.least(F.lit(k), "h", "w")).select("series_id", "grp", "t_src", "date_src", "abs_g")
+    return d.join(n, "series_id").where(F.col("r") <= F.least(F.lit(k), "h", "w")).select("series_id", "grp", "t_src", "date_src", "abs_g")
 
 
 def window_plus_next(series: DataFrame, ends: DataFrame, window: int) -> DataFrame:

@@ -109,7 +109,7 @@ def score_plot_data(scores: DataFrame) -> DataFrame:
 def boxplot_data(df: DataFrame, group: str, value: str) -> DataFrame:
     """Quartiles and the ends of the whiskers (1.5 interquartile ranges) by group."""
     q = df.groupBy(group).agg(F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
-    d = df.join(F.broadcast(q), group)
+    d = df.join(q, group)
     reach = 1.5 * (F.col("q")[2] - F.col("q")[0])
     inside = F.when(F.col(value).between(F.col("q")[0] - reach, F.col("q")[2] + reach), F.col(value))
     return d.groupBy(group).agg(F.first(F.col("q")[0]).alias("q1"), F.first(F.col("q")[1]).alias("median"), F.first(F.col("q")[2]).alias("q3"), F.min(inside).alias("low"), F.max(inside).alias("high"))
