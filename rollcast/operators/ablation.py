@@ -80,7 +80,7 @@ def summary(errors: DataFrame) -> DataFrame:
 def effect(errors: DataFrame, b: int = 3000, seed: int = 1) -> DataFrame:
     """Difference of mean increases, high less low, its bootstrap interval, and Cliff's delta."""
     v = errors.select(F.when(F.col("grp") == HIGH, 1).otherwise(0).alias("grp"), "t_src", F.col("delta_ae").alias("v"))
-    v = v.withColumn("idx", (F.row_number().over(Window.partitionBy("grp").orderBy("t_src")) - 1).cast("long"))
+    v = v.withColumn("idx", (F.row_number().over(Window.partitionBy("grp").orderBy("t_src")) - 1).cast("long")).cache()  # a row a picked time
     sizes = v.groupBy("grp").agg(F.count(F.lit(1)).alias("n"))
     ci = effects.bootstrap_difference(v.select("grp", "idx", "v"), effects.counter_indices(errors.sparkSession, sizes, b, seed))
     return ci.join(effects.cliffs_delta(v, "v", F.col("grp") == 1, F.col("grp") == 0))

@@ -27,26 +27,30 @@ def rolling_corr(df: DataFrame, x: str, y: str, window: int, order: str, keys: S
     up = whole.orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     at = whole.orderBy(order)
     ok = F.col(x).isNotNull() & F.col(y).isNotNull()
-    d = df.withColumn("__x", F.when(ok, F.col(x) - F.avg(F.when(ok, F.col(x))).over(whole))).withColumn("__y", F.when(ok, F.col(y) - F.avg(F.when(ok, F.col(y))).over(whole)))
-    parts = {"n": F.when(ok, 1.0), "x": F.col("__x"), "y": F.col("__y"), "xx": F.col("__x") * F.col("__x"), "yy": F.col("__y") * F.col("__y"), "xy": F.col("__x") * F.col("__y")}
-    for k, v in parts.items():
-        d = d.withColumn(f"__s{k}", F.sum(F.coalesce(v, F.lit(0.0))).over(up))
-    for k in parts:
-        d = d.withColumn(f"__w{k}", F.col(f"__s{k}") - F.coalesce(F.lag(f"__s{k}", window).over(at), F.lit(0.0)))
+    # columns of one step go together, so each step is one window operator over one sort
+    d = df.withColumns({"__x": F.when(ok, F.col(x)), "__y": F.when(ok, F.col(y))})
+    d = d.withColumns({c: F.col(c) - F.avg(c).over(whole) for c in ("__x", "__y")})
+    parts = {"n": F.col("__x").isNotNull().cast("double"), "x": F.col("__x"), "y": F.col("__y"), "xx": F.col("__x") * F.col("__x"), "yy": F.col("__y") * F.col("__y"), "xy": F.col("__x") * F.col("__y")}
+    d = d.withColumns({f"__p{k}": F.coalesce(v, F.lit(0.0)) for k, v in parts.items()})
+    d = d.withColumns({f"__s{k}": F.sum(f"__p{k}").over(up) for k in parts})
+    d = d.withColumns({f"__l{k}": F.lag(f"__s{k}", window, 0.0).over(at) for k in parts})
+    d = d.withColumns({f"__w{k}": F.col(f"__s{k}") - F.col(f"__l{k}") for k in parts})
     n = F.lit(float(window))
     vx, vy = (F.col(f"__w{a}{a}") - F.col(f"__w{a}") * F.col(f"__w{a}") / n for a in "xy")
     cov = F.col("__wxy") - F.col("__wx") * F.col("__wy") / n
     varies = (vx > TINY * F.col("__sxx")) & (vy > TINY * F.col("__syy"))
     r = F.when((F.col("__wn") > window - 0.5) & varies, F.try_divide(cov, F.sqrt(vx * vy)))
-    return d.withColumn(name, r).drop("__x", "__y", *[f"__{a}{k}" for a in "sw" for k in parts])
+    return d.withColumn(name, r).drop("__x", "__y", *[f"__{a}{k}" for a in "pslw" for k in parts])
 
 
-def rolling_moments(df: DataFrame, column: str, window: int, order: str, keys: Sequence[str] = KEYS) -> DataFrame:
+def rolling_moments(df: DataFrame, columns: Sequence[str], window: int, order: str, keys: Sequence[str] = KEYS) -> DataFrame:
     """`df` with <column>_mean and <column>_sd (population) of the last `window` rows; null
     before that many complete rows, and the deviation null where it is 0."""
     w = Window.partitionBy(*keys).orderBy(order).rowsBetween(-(window - 1), 0)
-    full = F.count(column).over(w) == window
-    return df.withColumn(f"{column}_mean", F.when(full, F.avg(column).over(w))).withColumn(f"{column}_sd", F.when(full, F.nullif(F.stddev_pop(column).over(w), F.lit(0.0))))
+    d = df.withColumns({f"__{k}{c}": f(c).over(w) for c in columns for k, f in (("n", F.count), ("m", F.avg), ("s", F.stddev_pop))})
+    full = {c: F.col(f"__n{c}") == window for c in columns}
+    d = d.withColumns({f"{c}_mean": F.when(full[c], F.col(f"__m{c}")) for c in columns} | {f"{c}_sd": F.when(full[c], F.nullif(F.col(f"__s{c}"), F.lit(0.0))) for c in columns})
+    return d.drop(*[f"__{k}{c}" for c in columns for k in "nms"])
 
 
 def scores(aligned: DataFrame, features: Sequence[str], window: int, step: int = 1, keys: Sequence[str] = ("series_id",)) -> DataFrame:
@@ -55,7 +59,7 @@ def scores(aligned: DataFrame, features: Sequence[str], window: int, step: int =
     by = [*keys, "feature"]
     d = long(aligned.withColumn("pred", finite(F.col("pred"))), features, [*keys, "t_src", "date_src", "pred"]).withColumn("x", finite(F.col("x")))
     d = rolling_corr(d, "x", "pred", window, "t_src", by)
-    d = rolling_moments(rolling_moments(d, "x", window, "t_src", by), "pred", window, "t_src", by)
+    d = rolling_moments(d, ["x", "pred"], window, "t_src", by)
     zy = F.try_divide(F.col("pred") - F.col("pred_mean"), F.col("pred_sd"))
     zx = F.try_divide(F.col("x") - F.col("x_mean"), F.col("x_sd"))
     d = d.withColumn("l", zy * F.col("g") * zx).withColumn("i", F.row_number().over(Window.partitionBy(*by).orderBy("t_src")))

@@ -19,7 +19,7 @@ def islands(scores: DataFrame, by: Sequence[str] = BY, flag: str = "sig", date:
     w = Window.partitionBy(*by).orderBy(date)
     d = scores.dropna(subset=[date]).withColumn("__f", F.coalesce(flag, F.lit(False)))
     d = d.withColumn("__rn", F.row_number().over(w)).withColumn("__in", F.row_number().over(Window.partitionBy(*by, "__f").orderBy(date)))
-    return d.where("__f").withColumn("island", F.col("__rn") - F.col("__in")).drop("__f", "__rn", "__in")
+    return d.where("__f").withColumn("island", (F.col("__rn") - F.col("__in")).cast("long")).drop("__f", "__rn", "__in")
 
 
 def intervals(scores: DataFrame, by: Sequence[str] = BY, flag: str = "sig", date: str = "date_src", value: str = "g") -> DataFrame:

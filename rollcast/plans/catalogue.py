@@ -38,7 +38,9 @@ def text(c: str) -> Column:
 
 
 def _daily(spark, sf) -> DataFrame:
-    return src.daily_sales(spark, sf)
+    """One row a day whatever the table's size. Both sides of an alignment read it, with other
+    columns, so it is kept: else the lines would be scanned and summed for each."""
+    return src.daily_sales(spark, sf).cache()
 
 
 def _aligned(spark, sf) -> DataFrame:
@@ -126,7 +128,7 @@ def zscore(spark, sf):
 
 
 def rolling_mean_std(spark, sf):
-    d = rolling.rolling_moments(_daily(spark, sf), "x1", 30, "t", ["series_id"])
+    d = rolling.rolling_moments(_daily(spark, sf), ["x1"], 30, "t", ["series_id"])
     return rounded(d.select("t", "x1_mean", "x1_sd"), "x1_mean", "x1_sd")
 
 
@@ -372,14 +374,15 @@ def ccm(spark, sf):
 
 
 def synthetic_series(spark, sf):
-    return synthetic(spark)
+    d = synthetic(spark).withColumn("date", text("date"))
+    return rounded(d, "y", "x1", "x2", "true_alpha", "true_beta", "deterministic_signal", "noise")
 
 
 def synthetic_recovery(spark, sf):
     s = synthetic(spark)
     preds = s.select("series_id", F.col("t").alias("t_pred"), F.col("y").alias("obs"), F.col("deterministic_signal").alias("pred"))
     scores = rolling.scores(align.by_source_time(s, preds, ["x1", "x2"], 1), ["x1", "x2"], W)
-    return describe.recovery(scores, s, {"x1": "true_alpha", "x2": "true_beta"})
+    return rounded(describe.recovery(scores, s, {"x1": "true_alpha", "x2": "true_beta"}), "corr_with_truth")
 
 
 def manifest_guard(spark, sf):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from ..operators import nulls
+from ..sources.synthetic import COLUMNS, system
 from .catalogue import ALPHA, BLOCKS, LAGS, LIB, PRED, R, SHIFTS, UNIFORM, W, WEEKLY, X
 
 DAILY = """daily AS (SELECT row_number() OVER (ORDER BY d) AS t, d, y, x1, x2, x3 FROM (
@@ -47,6 +48,17 @@ BASE = f"""tps(tp) AS (VALUES (1), (3), (7), (14)), fc AS (
 met AS (SELECT model, tp, count(*) AS n, CASE WHEN model = 'B1_mean' THEN NULL ELSE corr(obs, pred) END AS rho, avg(abs(pred - obs)) AS mae, sqrt(avg((pred - obs) ^ 2)) AS rmse, avg(pred - obs) AS bias FROM fc GROUP BY 1, 2)"""
 
 
+def known() -> str:
+    """The synthetic system's rows as a table."""
+    rows = ", ".join(f"({i + 1}, " + ", ".join(f"{float(x)!r}::DOUBLE" for x in row) + ")" for i, row in enumerate(zip(*system().values())))
+    return f"syn(t, {', '.join(COLUMNS)}) AS (VALUES {rows})"
+
+
+def recovered(x: str, truth: str) -> str:
+    w = f"(ORDER BY t ROWS BETWEEN {W - 1} PRECEDING AND CURRENT ROW)"
+    return f"SELECT 'all' AS series_id, '{x}' AS feature, {r(f'corr(g, {truth})', 'corr_with_truth')} FROM (SELECT t, {truth}, corr({x}, yh) OVER {w} AS g FROM (SELECT *, lead(deterministic_signal) OVER (ORDER BY t) AS yh FROM syn) WHERE yh IS NOT NULL) WHERE t >= {W}"
+
+
 def r(expr: str, name: str, digits: int = 6) -> str:
     return f"round({expr}, {digits}) + 0.0 AS {name}"
 
@@ -173,6 +185,8 @@ ORACLES: dict[str, str] = {
     "q_theta_sweep": line_sweep(),
     "q_interpolate_limited": f"WITH {TYPES}, k AS (SELECT series_id, unnest(generate_series(min(h), max(h))) AS h FROM hourly GROUP BY 1), g AS (SELECT k.series_id, k.h, y, n FROM k LEFT JOIN hourly USING (series_id, h)), f AS (SELECT *, last_value(CASE WHEN y IS NOT NULL THEN h END IGNORE NULLS) OVER b AS pt, last_value(y IGNORE NULLS) OVER b AS pv, first_value(CASE WHEN y IS NOT NULL THEN h END IGNORE NULLS) OVER a AS qt, first_value(y IGNORE NULLS) OVER a AS qv FROM g WINDOW b AS (PARTITION BY series_id ORDER BY h ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), a AS (PARTITION BY series_id ORDER BY h ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) SELECT series_id, h, {r('CASE WHEN y IS NOT NULL THEN y WHEN coalesce(h - pt <= 2, false) OR coalesce(qt - h <= 2, false) THEN coalesce(pv + (qv - pv) * (h - pt) / (qt - pt), pv, qv) END', 'y', 7)}, n IS NULL AS filled_or_missing FROM f",
     "q_regularised_series": f"WITH {TYPES}, k AS (SELECT series_id, unnest(generate_series(min(h), max(h))) AS h FROM hourly GROUP BY 1), g AS (SELECT k.series_id, k.h, y FROM k LEFT JOIN hourly USING (series_id, h)), f AS (SELECT *, last_value(CASE WHEN y IS NOT NULL THEN h END IGNORE NULLS) OVER b AS pt, last_value(y IGNORE NULLS) OVER b AS pv, first_value(CASE WHEN y IS NOT NULL THEN h END IGNORE NULLS) OVER a AS qt, first_value(y IGNORE NULLS) OVER a AS qv FROM g WINDOW b AS (PARTITION BY series_id ORDER BY h ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), a AS (PARTITION BY series_id ORDER BY h ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)), i AS (SELECT series_id, h, CASE WHEN y IS NOT NULL THEN y WHEN coalesce(h - pt <= 1, false) OR coalesce(qt - h <= 1, false) THEN coalesce(pv + (qv - pv) * (h - pt) / (qt - pt), pv, qv) END AS y FROM f) SELECT series_id, row_number() OVER (PARTITION BY series_id ORDER BY h) AS t, h, {r('y', 'y', 7)} FROM i WHERE y IS NOT NULL",
+    "q_synthetic_series": f"WITH {known()} SELECT 'all' AS series_id, t::BIGINT AS t, CAST(DATE '2000-01-01' + (t - 1) AS VARCHAR) AS date, " + ", ".join(r(c, c) for c in COLUMNS) + " FROM syn",
+    "q_synthetic_recovery": f"WITH {known()} {recovered('x1', 'true_alpha')} UNION ALL {recovered('x2', 'true_beta')}",
     "q_cliffs_delta": "WITH v AS (SELECT n_chars::DOUBLE AS v, toxic FROM labels JOIN documents USING (doc_id)), a AS (SELECT v FROM v WHERE toxic = 1), b AS (SELECT v FROM v WHERE toxic = 0) SELECT (SELECT count(*) FROM a) AS n_high, (SELECT count(*) FROM b) AS n_low, round(avg(sign(a.v - b.v)::DOUBLE), 6) + 0.0 AS delta FROM a, b",
     "q_bootstrap_ci": f"WITH v AS (SELECT toxic AS grp, n_chars::DOUBLE AS v, row_number() OVER (PARTITION BY toxic ORDER BY doc_id) - 1 AS idx FROM labels JOIN documents USING (doc_id) WHERE toxic IN (0, 1)), s AS (SELECT grp, count(*) AS n FROM v GROUP BY 1), sl AS (SELECT grp, n, unnest(generate_series(0, n - 1)) AS slot FROM s), i AS (SELECT b, grp, {RANKS} % n AS idx FROM sl, range(200) AS q(b)), m AS (SELECT b, grp, avg(v) AS m FROM i JOIN v USING (grp, idx) GROUP BY 1, 2), dd AS (SELECT b, max(m) FILTER (grp = 1) - max(m) FILTER (grp = 0) AS d FROM m GROUP BY 1) SELECT (SELECT round(avg(v) FILTER (grp = 1) - avg(v) FILTER (grp = 0), 4) + 0.0 FROM v) AS mean_difference, {r('quantile_cont(d, 0.025)', 'ci_low', 4)}, {r('quantile_cont(d, 0.975)', 'ci_high', 4)} FROM dd",
 }
