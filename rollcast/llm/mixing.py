@@ -101,7 +101,8 @@ def mix(spark: SparkSession, docs: DataFrame, weights: dict | None = None, *, so
     ends when sources of more than `stop` of the weight have left. The rows beyond that
     end are what the targets leave over: in_mix is false, slot and position are null,
     and they are returned too. A source's last block may be short. A null source counts as
-    the empty name. Rows of a source are served in order of the hash of their id."""
+    the empty name. Rows of a source are served in order of the hash of their id. More than MOST_SOURCES sources raise a
+    ValueError, so the schedule that is broadcast has a bound."""
     d = docs.withColumn("__s", F.coalesce(F.col(source_col).cast("string"), F.lit("")))
     counts = d.groupBy("__s").agg(F.count(F.lit(1)).alias("n")).limit(MOST_SOURCES + 1).collect()
     if len(counts) > MOST_SOURCES:
