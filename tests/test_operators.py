@@ -296,3 +296,32 @@ def test_empty_series(spark):
 
 def test_synthetic_frame(spark):
     assert synthetic(spark, 50).count() == 50
+
+
+def test_bundles_and_plot_data(spark, tmp_path):
+    d = series(spark, 60)
+    sc = pipelines.attribution(spark, aligned(spark, d), ["x1", "x2"], window=20, replicates=5, period=7, n=60)
+    paths = report.save_bundle(sc, ["x1", "x2"], str(tmp_path), "e")
+    assert len(paths) == 4 and src.results_csv(spark, paths[0]).columns == ["series_id", "t_src", "date_src", "x1", "x2"]
+    iv = segments.intervals(sc.withColumn("sig", F.col("feature") == "x1"))
+    made = report.save_intervals(iv, str(tmp_path), "e", ["x1", "x2"])
+    assert len(made) == 3 and all("x1" in m for m in made)
+    preds = forecast.persistence(d, "y", 1)
+    assert report.forecast_plot_data(preds, 1, ["B2_persistence"], last=10).count() == 10
+    assert report.metric_plot_data(forecast.evaluate(preds)).columns == ["series_id", "model", "tp", "value"]
+    assert report.score_plot_data(sc).count() == sc.count()
+    none = pipelines.attribution(spark, aligned(spark, d), ["x1"], window=20, replicates=0, period=7, n=60)
+    assert none.where("p is not null or sig").count() == 0
+    assert report.save_latex(iv, str(tmp_path / "t/x.tex"), "c", "l").endswith("x.tex")
+    assert src.unzip(report.bundle(str(tmp_path / "t"), str(tmp_path / "z.zip")), "x.tex", str(tmp_path / "u")).endswith("x.tex")
+
+
+def test_endpoint_stride_and_periodic_scores(spark):
+    d = series(spark, 60)
+    a = aligned(spark, d)
+    every = {r["t_src"]: r["g"] for r in rolling.scores(a, ["x1"], 20).collect()}
+    some = {r["t_src"]: r["g"] for r in rolling.scores(a, ["x1"], 20, 7).collect()}
+    assert sorted(some) == list(range(20, 61, 7)) and all(every[t] == g for t, g in some.items())
+    assert all(abs(g) <= 1 + 1e-9 for g in every.values())
+    eq = rolling.equivalence(a, ["x1", "x2"], 20, 5).collect()
+    assert len(eq) == 2 and all(r["max_difference"] < 1e-9 and r["n_windows"] == 9 for r in eq)
