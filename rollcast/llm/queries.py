@@ -38,7 +38,20 @@ SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, m.comp AS component_id, coalesc
 FROM w LEFT JOIN n USING (doc_id) LEFT JOIN m ON m.id = w.doc_id LEFT JOIN k USING (doc_id) LEFT JOIN d ON d.u = w.doc_id"""
 
 
+#: Windows of 100 bytes as hex, all but the first of each; their runs; what lies between.
+SUBSTRINGS = """WITH d AS (SELECT doc_id, lower(hex(encode(coalesce(text, '')))) AS x, CAST(strlen(coalesce(text, '')) AS BIGINT) AS n FROM documents),
+w AS (SELECT doc_id, s, hash(substr(x, 2 * s + 1, 200)) AS h FROM (SELECT doc_id, x, unnest(range(n - 99)) AS s FROM d WHERE n >= 100)),
+r AS (SELECT doc_id, s FROM (SELECT doc_id, s, row_number() OVER (PARTITION BY h ORDER BY doc_id, s) AS k FROM w) WHERE k > 1),
+i AS (SELECT doc_id, s, sum(c) OVER (PARTITION BY doc_id ORDER BY s) AS island FROM (SELECT doc_id, s, CASE WHEN s <= lag(s) OVER (PARTITION BY doc_id ORDER BY s) + 100 THEN 0 ELSE 1 END AS c FROM r)),
+g AS (SELECT doc_id, island, min(s) AS a, max(s) + 100 AS b FROM i GROUP BY 1, 2),
+c AS (SELECT doc_id, sum(b - a) AS n_removed, count(*) AS n_spans FROM g GROUP BY 1),
+p AS (SELECT doc_id, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS f, a AS t FROM g UNION ALL SELECT doc_id, max(b), NULL FROM g GROUP BY 1),
+k AS (SELECT p.doc_id, string_agg(substr(x, 2 * f + 1, 2 * (coalesce(t, n) - f)), '' ORDER BY f) AS x FROM p JOIN d USING (doc_id) GROUP BY 1)
+SELECT d.doc_id, d.n AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(k.x, d.x))) AS kept_sha256
+FROM d LEFT JOIN c USING (doc_id) LEFT JOIN k USING (doc_id)"""
+
+
 def oracle_sql() -> dict[str, str]:
     """The index of embeddings may miss links, and the other operators have no SQL form; tests
     hold those against brute force, a public library or held-out accuracy."""
-    return {"op4_jaccard_join": JACCARD}
+    return {"op2_substring_dedup": SUBSTRINGS, "op4_jaccard_join": JACCARD}
