@@ -364,5 +364,7 @@ def test_pipeline(spark, sf, tmp_path):
         before, frame = {r["doc_id"] for r in frame.collect()}, spark.read.parquet(path)
         seen.append(before - {r["doc_id"] for r in frame.collect()})
     assert {90001, 90002} <= seen[0] and 90003 in seen[1] and 90004 in seen[2]
+    bare = spark.read.parquet(str(tmp_path / "documents.parquet")).withColumn("lang", F.lit(None).cast("string"))
+    assert {r["doc_id"] for r in bare.collect()} - {r["doc_id"] for r in C.language_id(spark, bare, str(tmp_path)).collect()} == {90001, 90002}
     out = C.run(spark, str(tmp_path)).collect()
     assert {r["doc_id"] for r in out} == {r["doc_id"] for r in frame.collect()} and len(out) == frame.count()
