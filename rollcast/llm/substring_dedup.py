@@ -10,10 +10,10 @@ window is routed once. The windows that one minimizer owns are a segment of text
 2. Of equal segments the first stays and the others are repeated throughout; hashes
    tell that, first in each batch of documents and then by an aggregation.
 3. Of minimizers with several different segments the texts meet in tasks. There the
-   owned suffixes are sorted by prefix doubling to depth `length`, ties by position. A
-   window is repeated if its longest previous factor reaches `length`: the previous or
-   next smaller position in suffix order with a common prefix of that length. As equal
-   windows stand in position order, all but the first of them have one.
+   owned suffixes are sorted by prefix doubling to depth `length`. A window is repeated if
+   its longest previous factor reaches `length`, that is, if the previous or next smaller
+   position in suffix order stands in the same interval of a common prefix of that
+   length; in each interval all positions but the smallest have such a neighbour.
 4. A minimizer with more than HOT different segments would be too much for a task: its
    windows are hashed one by one and aggregated instead."""
 
@@ -30,7 +30,7 @@ from .common import Stash
 
 LENGTH, GRAM = 100, 20
 HOT = 50_000
-KERNEL_BYTES = 4 << 20
+KERNEL_BYTES = 1 << 20
 
 
 def merge(start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -90,9 +90,10 @@ def repeated(texts: list[bytes], first: np.ndarray, n: np.ndarray, length: int)
         rank = rank << np.uint64(8) | buf[j : j + size].astype(np.uint64)
 
     def dense(keys):
-        order = np.argsort(keys, kind="stable")
+        order = np.argsort(keys)
+        ordered = keys[order]
         out = np.empty(len(keys), np.int64)
-        out[order] = np.cumsum(np.concatenate([[0], keys[order][1:] != keys[order][:-1]]))
+        out[order] = np.concatenate([[0], np.cumsum(ordered[1:] != ordered[:-1])])
         return out
 
     rank, depth = dense(rank), 8
@@ -102,12 +103,12 @@ def repeated(texts: list[bytes], first: np.ndarray, n: np.ndarray, length: int)
         pair = rank[:-step] * np.int64(size + 1) + rank[step:]
         depth += step
         rank = dense(pair) if depth < length else pair[windows]
-    # suffix order of the windows, equal ones by position: the previous smaller position of a
-    # window with a common prefix of `length` bytes is its neighbour
-    order = np.argsort(rank, kind="stable")
-    previous = np.concatenate([[False], rank[order][1:] == rank[order][:-1]])
-    out = np.empty(len(windows), bool)
-    out[order] = previous
+    # suffix order of the windows: in each interval of a common prefix of `length` bytes, all
+    # but the smallest position have a smaller one before or after them
+    order = np.argsort(rank)
+    start = np.flatnonzero(np.concatenate([[True], rank[order][1:] != rank[order][:-1]]))
+    out = np.ones(len(windows), bool)
+    out[np.minimum.reduceat(order, start)] = False
     return out
 
 
