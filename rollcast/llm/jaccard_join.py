@@ -42,7 +42,8 @@ def links_within(sets: list[np.ndarray], weight: np.ndarray, side: np.ndarray, n
 
     Sets are numbered by size; a set is a query against those after it, so the required
     overlap T is at least that of two sets of its size, and a list is the tail behind
-    the query. The longest lists, T - 1 at most, are set aside; the others are merged;
+    the query. The longest lists, T - 1 at most, are set aside; the others are merged (a
+    count over their concatenation gives what a heap's merge does, at array speed);
     sets that miss more than the lists set aside are dropped; the rest are probed in the
     long lists, or these are merged as well where that is cheaper."""
     m = len(sets)
