@@ -21,6 +21,52 @@ def simplex(states: np.ndarray, targets: np.ndarray, point: np.ndarray, k: int)
     return float(w @ targets[near] / w.sum())
 
 
+class Neighbours:
+    """The rows of `states` by distance to each of the rows `at`, sorted once, so that the
+    simplex of many libraries needs no further distances. A row is not its own neighbour."""
+
+    def __init__(self, states: np.ndarray, at: np.ndarray):
+        n = len(states)
+        self.order = np.zeros((len(at), max(n - 1, 0)), np.int32)
+        self.d = np.zeros(self.order.shape)
+        for r, i in enumerate(at):
+            d = distances(states, states[i])
+            o = np.argsort(d, kind="stable")
+            o = o[o != i]
+            self.order[r], self.d[r] = o, d[o]
+
+    def first(self, member: np.ndarray, k: int) -> np.ndarray:
+        """(points, k): places in the order of the k nearest members; -1 where there are fewer."""
+        points, n = self.order.shape
+        out = np.full((points, k), -1)
+        rows, size = np.arange(points), int(member.sum())
+        c = min(n, 4 * k * (n + 1) // max(size, 1) + 1)
+        while len(rows) and n:
+            hit = member[self.order[rows, :c] if len(rows) < points else self.order[:, :c]]
+            each = np.arange(len(rows))
+            for j in range(k):
+                place = hit.argmax(1)
+                found = hit[each, place]
+                out[rows, j] = np.where(found, place, -1)
+                hit[each, place] = False
+            if c == n:
+                break
+            rows, c = rows[out[rows, k - 1] < 0], min(n, 4 * c)
+        return out
+
+    def simplex(self, member: np.ndarray, targets: np.ndarray, k: int) -> np.ndarray:
+        """`simplex` of each point with the members as its library."""
+        place = self.first(member, k)
+        if not self.order.shape[1]:
+            return np.full(len(place), np.nan)
+        there, each = place >= 0, np.arange(len(place))[:, None]
+        d = self.d[each, place]
+        d0 = d[:, :1]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            w = np.where(d0 > 0, np.maximum(np.exp(-d / d0), 1e-6), np.where(d == 0, 1.0, 1e-6)) * there
+            return (w * targets[self.order[each, place]]).sum(1) / w.sum(1)
+
+
 def smap(states: np.ndarray, targets: np.ndarray, point: np.ndarray, theta: float, weighting: str = "w", ridge: float = 0.0) -> tuple[float, np.ndarray]:
     """(forecast, coefficients with the intercept first) of the linear map that is fitted with
     weights exp(-theta * d / mean d). weighting `w` multiplies the rows by the weight, `sqrt`

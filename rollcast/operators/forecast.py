@@ -20,6 +20,7 @@ from ..functions.stats import metrics, safe_corr
 
 KEYS = ("series_id",)
 POINTS = 400  # prediction points of one task
+LIBRARIES = 1000  # random libraries of one task
 
 
 def lag_embed(series: DataFrame, column: str, e: int, keys: Sequence[str] = KEYS) -> DataFrame:
@@ -225,29 +226,47 @@ def coefficient_agreement(scores: DataFrame, coefs: DataFrame, keys: Sequence[st
 
 def cross_map(series: DataFrame, a: str, b: str, e: int, sizes: Sequence[int], samples: int = 100, seed: int = 42, tp: int = 0, keys: Sequence[str] = KEYS) -> DataFrame:
     """(keys, lib_size, rho_ab, rho_ba): mean skill of b forecast from the lags of a and the other
-    way round, over random libraries of each size. A sample is an independent task with a
-    generator of its own, so results do not depend on partitioning."""
-    table = series.sparkSession.createDataFrame([(int(n), r) for n in sizes for r in range(samples)], "lib_size int, sample int")
-    d = series.select(*keys, "t", F.col(a).cast("double").alias("a"), F.col(b).cast("double").alias("b")).join(F.broadcast(table))
+    way round, over random libraries of each size. A sample has a generator of its own, so
+    results do not depend on partitioning. A task has POINTS prediction points, whose
+    neighbours are sorted once, and the LIBRARIES of a few sizes; it gives sums, of which
+    each sample's correlation over all points is made."""
+    spark = series.sparkSession
+    libraries = [(int(n), r) for n in sizes for r in range(samples)]
+    groups = spark.createDataFrame([(g,) for g in range(-(-len(libraries) // LIBRARIES))], "part int")
+    d = series.select(*keys, "t", F.col(a).cast("double").alias("a"), F.col(b).cast("double").alias("b"))
+    rows = d.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
+    blocks = rows.select(*keys, F.explode(F.sequence(F.lit(0), F.floor((F.col("__n") - 1) / POINTS).cast("int"))).alias("block"))
+    d = d.join(blocks, list(keys)).join(F.broadcast(groups))
     types = dict(series.dtypes)
 
     def one(key, pdf):
         pdf = pdf.sort_values("t")
         out = []
-        for x, y in (("a", "b"), ("b", "a")):
+        mine = libraries[key[-1] * LIBRARIES : (key[-1] + 1) * LIBRARIES]
+        for way, (x, y) in enumerate((("a", "b"), ("b", "a"))):
             s, target = kernels.embed(pdf[x].to_numpy(float), e), pdf[y].to_numpy(float)
             ahead = np.roll(target, -tp)
             if tp:
                 ahead[len(ahead) - tp :] = np.nan
             ok = np.flatnonzero(np.isfinite(s).all(1) & np.isfinite(ahead))
-            rng = np.random.default_rng([seed, int(key[-2]), int(key[-1])])
-            lib = np.sort(rng.choice(ok, min(int(key[-2]), len(ok)), replace=False))
-            p = np.array([kernels.simplex(s[lib[lib != i]], ahead[lib[lib != i]], s[i], e + 1) for i in ok])
-            fine = np.isfinite(p)
-            r = np.corrcoef(p[fine], ahead[ok][fine])[0, 1] if fine.sum() > 2 and p[fine].std() > 0 and ahead[ok][fine].std() > 0 else np.nan
-            out.append(None if np.isnan(r) else float(r))
-        return pd.DataFrame([(*key, *out)], columns=[*keys, "lib_size", "sample", "ab", "ba"])
-
-    schema = ", ".join([*(f"{k} {types[k]}" for k in keys), "lib_size int, sample int, ab double, ba double"])
-    r = d.groupBy(*keys, "lib_size", "sample").applyInPandas(one, schema)
-    return r.groupBy(*keys, "lib_size").agg(F.avg("ab").alias("rho_ab"), F.avg("ba").alias("rho_ba"))
+            s, ahead = s[ok], ahead[ok]
+            ahead = ahead - ahead.mean() if len(ok) else ahead  # sums keep their digits
+            at = np.arange(len(ok))[(ok >= key[-2] * POINTS) & (ok < (key[-2] + 1) * POINTS)]
+            near = kernels.Neighbours(s, at)
+            for size, r in mine:
+                rng = np.random.default_rng([seed, size, r])
+                member = np.zeros(len(ok), bool)
+                member[rng.choice(len(ok), min(size, len(ok)), replace=False)] = True
+                p = near.simplex(member, ahead, e + 1)
+                fine = np.isfinite(p)
+                p, q = p[fine], ahead[at][fine]
+                out.append((*key[:-2], size, r, way, len(p), p.sum(), q.sum(), p @ p, q @ q, p @ q))
+        return pd.DataFrame(out, columns=[*keys, "lib_size", "sample", "way", "n", "p", "q", "pp", "qq", "pq"])
+
+    schema = ", ".join([*(f"{k} {types[k]}" for k in keys), "lib_size int, sample int, way int, n long, p double, q double, pp double, qq double, pq double"])
+    m = d.groupBy(*keys, "block", "part").applyInPandas(one, schema)
+    m = m.groupBy(*keys, "lib_size", "sample", "way").agg(*[F.sum(c).alias(c) for c in ("n", "p", "q", "pp", "qq", "pq")])
+    vp, vq = (F.col(c + c) - F.col(c) * F.col(c) / F.col("n") for c in "pq")
+    varies = (F.col("n") > 2) & (vp > 1e-12 * F.col("pp")) & (vq > 1e-12 * F.col("qq"))
+    m = m.withColumn("rho", F.when(varies, (F.col("pq") - F.col("p") * F.col("q") / F.col("n")) / F.sqrt(vp * vq)))
+    return m.groupBy(*keys, "lib_size").agg(*[F.avg(F.when(F.col("way") == w, F.col("rho"))).alias(c) for w, c in enumerate(("rho_ab", "rho_ba"))])

@@ -369,8 +369,8 @@ def ablation_effect(spark, sf):
 
 
 def ccm(spark, sf):
-    d = _daily(spark, sf).where("t <= 300")
-    return forecast.cross_map(d, "x1", "x2", 2, (20, 100), samples=5)
+    d = _daily(spark, sf)
+    return forecast.cross_map(d, "x1", "x2", 2, range(10, d.count() - 4, 10))
 
 
 def synthetic_series(spark, sf):
