@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..config import AttributionConfig
+from ..config import THETA_GRID, AttributionConfig
 from ..functions import scalar
 from ..operators import ablation, align, calendar, describe, effects, fdr, forecast, nulls, report, rolling, segments, windowed
 from ..sources import series as src
@@ -289,48 +289,58 @@ def lag_embed(spark, sf):
     return rounded(d.select("t", "s0", "s1", "s2"), "s0", "s1", "s2")
 
 
-def simplex(spark, sf):
+def simplex(spark, sf, lib=LIB, pred=PRED):
     d = forecast.lag_embed(_daily(spark, sf), "x2", 2).select("series_id", "t", "x2", "s0", "s1")
-    out = forecast.simplex_pairs(d, ["s0", "s1"], "x2", LIB, PRED, 1, 3)
+    out = forecast.simplex_pairs(d, ["s0", "s1"], "x2", lib, pred, 1, 3)
     return rounded(out.select("t_pred", "obs", "pred"), "obs", "pred", digits=5)
 
 
-def embed_dimension(spark, sf):
-    return rounded(forecast.embed_dimension(_daily(spark, sf), "x2", LIB, PRED, 3).drop("series_id"), "rho", digits=5)
+def embed_dimension(spark, sf, lib=LIB, pred=PRED, most=3):
+    return rounded(forecast.embed_dimension(_daily(spark, sf), "x2", lib, pred, most).drop("series_id"), "rho", digits=5)
 
 
-def smap_theta0(spark, sf):
-    d = forecast.smap_line(_daily(spark, sf), "x2", "x2", LIB, PRED, 1, 0.0)
+def smap_theta0(spark, sf, lib=LIB, pred=PRED):
+    d = forecast.smap_line(_daily(spark, sf), "x2", "x2", lib, pred, 1, 0.0)
     return rounded(d.select("t_pred", "obs", "pred", "slope"), "obs", "pred", "slope")
 
 
-def smap_1d(spark, sf):
-    d = forecast.smap_line(_daily(spark, sf), "x2", "x2", LIB, PRED, 1, 2.0)
+def smap_1d(spark, sf, lib=LIB, pred=PRED):
+    d = forecast.smap_line(_daily(spark, sf), "x2", "x2", lib, pred, 1, 2.0)
     return rounded(d.select("t_pred", "obs", "pred", "slope"), "obs", "pred", "slope", digits=5)
 
 
-def smap(spark, sf):
-    d = forecast.run_models(_daily(spark, sf), [{"model": "smap", "kind": "univariate", "e": 1, "theta": 2.0, "tp": 1}], "x2", [], LIB, PRED)
+def smap(spark, sf, lib=LIB, pred=PRED):
+    d = forecast.run_models(_daily(spark, sf), [{"model": "smap", "kind": "univariate", "e": 1, "theta": 2.0, "tp": 1}], "x2", [], lib, pred)
     return rounded(d.select("t_pred", "obs", "pred", F.col("coefficients")[1].alias("slope")), "obs", "pred", "slope", digits=5)
 
 
-def smap_coefficients(spark, sf):
+def smap_coefficients(spark, sf, lib, pred):
     d = _daily(spark, sf)
-    full = forecast.run_models(d, [{"model": "smap", "theta": 1.0, "tp": 1}], "y", ["x1", "x2"], LIB, PRED)
+    full = forecast.run_models(d, [{"model": "smap", "theta": 1.0, "tp": 1}], "y", ["x1", "x2"], lib, pred)
     out = forecast.coefficient_agreement(_observed(spark, sf), forecast.coefficients(full, ["y", "x1", "x2"]))
     return rounded(out, "corr")
 
 
-def theta_sweep(spark, sf):
-    d = forecast.theta_sweep(_daily(spark, sf), "x2", [], LIB, PRED, kind="univariate", e=1, grid=(0.0, 2.0))
+def theta_sweep(spark, sf, lib=LIB, pred=PRED, grid=(0.0, 2.0)):
+    d = forecast.theta_sweep(_daily(spark, sf), "x2", [], lib, pred, kind="univariate", e=1, grid=grid)
     return rounded(d.drop("series_id"), "rho", "mae", "rmse", "bias", digits=5)
 
 
-def param_select(spark, sf):
-    d = forecast.embed_dimension(_daily(spark, sf), "x2", LIB, PRED, 3)
+def param_select(spark, sf, lib=LIB, pred=PRED, most=3):
+    d = forecast.embed_dimension(_daily(spark, sf), "x2", lib, pred, most)
     return rounded(forecast.best(d, "e").drop("series_id"), "rho", digits=5)
 
 
+def _held_out(query: Callable, **options) -> Callable:
+    """A forecast query on the library and all held-out rows of the series."""
+
+    def run(spark, sf):
+        lib, pred = forecast.split(_daily(spark, sf).count())
+        return query(spark, sf, lib=lib, pred=pred, **options)
+
+    return run
+
+
 def horizon_evaluation(spark, sf):
     d = _daily(spark, sf)
     return forecast.horizons(d, "y", ["x1", "x2"], (1, 7), d.count(), most=3, grid=(0.0, 0.5, 2.0))[0]
@@ -402,7 +412,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "q_fdr_pointwise": fdr_pointwise, "q_fdr_over_time": fdr_over_time, "q_segments": segment_rows, "q_interval_table": interval_table, "q_significance_by_season": significance_by_season,
     "q_primary_stats": primary_stats, "q_overview": overview, "q_seasonal_stats": seasonal_stats, "q_autocorr": autocorr, "q_crosscorr": crosscorr, "q_design_snr": design_snr,
     "q_lag_embed": lag_embed, "q_simplex": simplex, "q_embed_dimension": embed_dimension, "q_smap_theta0": smap_theta0, "q_smap_1d": smap_1d, "q_smap": smap,
-    "q_smap_coefficients": smap_coefficients, "q_theta_sweep": theta_sweep, "q_param_select": param_select, "q_horizon_evaluation": horizon_evaluation,
+    "q_smap_coefficients": _held_out(smap_coefficients), "q_theta_sweep": theta_sweep, "q_param_select": param_select, "q_horizon_evaluation": horizon_evaluation,
     "q_windowed_attribution": windowed_attribution, "q_cliffs_delta": cliffs_delta, "q_bootstrap_ci": bootstrap_ci, "q_ablation": ablation_errors, "q_ablation_effect": ablation_effect,
+    "q_simplex_whole": _held_out(simplex), "q_embed_dimension_whole": _held_out(embed_dimension, most=10), "q_smap_theta0_whole": _held_out(smap_theta0), "q_smap_1d_whole": _held_out(smap_1d),
+    "q_smap_whole": _held_out(smap), "q_theta_sweep_whole": _held_out(theta_sweep, grid=THETA_GRID), "q_param_select_whole": _held_out(param_select, most=10),
     "q_ccm": ccm, "q_synthetic_series": synthetic_series, "q_synthetic_recovery": synthetic_recovery, "q_manifest_guard": manifest_guard,
 }

@@ -55,3 +55,30 @@ def test_ccm_takes_the_whole_series(spark, small):
     assert sorted(got) == list(range(10, DAYS - 4, 10))
     c = small[1]
     assert got[400]["rho_ab"] == pytest.approx(brute_ccm(c["x1"], c["x2"], 2, 400, 100), abs=1e-9)
+
+
+def test_forecasts_of_all_held_out_rows(spark, small):
+    d, c = small
+    (_, end), (first, last) = forecast.split(DAYS)
+    assert last == DAYS
+    x = c["x2"]
+    for name in ("q_simplex_whole", "q_smap_theta0_whole", "q_smap_1d_whole", "q_smap_whole"):
+        assert sorted(r["t_pred"] for r in QUERIES[name](spark, d).collect()) == list(range(first + 1, last + 2))
+    s = kernels.embed(x, 2)
+    for r in QUERIES["q_simplex_whole"](spark, d).collect():
+        i = r["t_pred"] - 2
+        assert r["pred"] == pytest.approx(kernels.simplex(s[1:end], x[2 : end + 1], s[i], 3), abs=1e-5)
+    rho = {r["e"]: r["rho"] for r in QUERIES["q_embed_dimension_whole"](spark, d).collect()}
+    assert sorted(rho) == list(range(1, 11))
+    s = kernels.embed(x, 7)
+    p = [kernels.simplex(s[6:end], x[7 : end + 1], s[i], 8) for i in range(end, DAYS - 1)]
+    assert rho[7] == pytest.approx(np.corrcoef(p, x[end + 1 :])[0, 1], abs=1e-5)
+    best = QUERIES["q_param_select_whole"](spark, d).first()
+    assert best["rho"] == max(rho.values())
+    sweep = QUERIES["q_theta_sweep_whole"](spark, d).collect()
+    assert len(sweep) == 8 and {r["n"] for r in sweep} == {DAYS - 1 - end}
+
+
+def test_coefficients_of_all_held_out_rows(spark, small):
+    (_, end), _ = forecast.split(DAYS)
+    assert {r["n"] for r in QUERIES["q_smap_coefficients"](spark, small[0]).collect()} == {DAYS - end}
