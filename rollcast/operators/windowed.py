@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import asdict
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -19,16 +20,24 @@ from .nulls import DIGITS, run_orders, window_shifts
 BLOCK = 32  # window ends of one task
 
 
+@lru_cache(64)
+def _shifts(n: int, replicates: int, seed: int, weekly: bool) -> list[int]:
+    return window_shifts(n, replicates, seed, weekly)
+
+
+@lru_cache(64)
+def _orders(k: int, replicates: int, seed: int) -> np.ndarray:
+    return np.array([r[3] for r in run_orders(k, replicates, seed) if r[0] == k]).reshape(replicates, k)
+
+
 def null_indices(labels: np.ndarray | None, n: int, cfg: AttributionConfig) -> np.ndarray:
     """(replicates, n): where each row of a permuted window comes from."""
     if labels is None:
-        shifts = np.array(window_shifts(n, cfg.replicates, cfg.seed, cfg.preserve_weekly), np.int64).reshape(-1, 1)
+        shifts = np.array(_shifts(n, cfg.replicates, cfg.seed, cfg.preserve_weekly), np.int64).reshape(-1, 1)
         return (np.arange(n)[None] - shifts) % n
     cut = np.flatnonzero(np.concatenate([[True], labels[1:] != labels[:-1], [True]]))
     runs = [np.arange(a, b) for a, b in zip(cut[:-1], cut[1:])]
-    k = len(runs)
-    orders = np.array([r[3] for r in run_orders(k, cfg.replicates, cfg.seed) if r[0] == k]).reshape(cfg.replicates, k)
-    return np.array([np.concatenate([runs[i] for i in o]) for o in orders])
+    return np.array([np.concatenate([runs[i] for i in o]) for o in _orders(len(runs), cfg.replicates, cfg.seed)])
 
 
 def attribute(x: np.ndarray, y: np.ndarray, labels: np.ndarray | None, cfg: AttributionConfig):
@@ -107,3 +116,35 @@ def rolling_windows(series: DataFrame, features: Sequence[str], target: str, cfg
 
     schema = ", ".join([*(f"{k} {types[k]}" for k in keys), "t_pred long, feature string, g double, l double, lo double, hi double, p double"])
     return d.groupBy(*keys, "__b").applyInPandas(one, schema)
+
+
+def rolling_nulls(aligned: DataFrame, features: Sequence[str], cfg: AttributionConfig, keys: Sequence[str] = ("series_id",)) -> DataFrame:
+    """(keys, e, feature, g, lo, hi, p) at every window end of a forecast that is given: what
+    `rolling.inverse_operator` (z-scored) and `nulls.window_null` give, without a row for each
+    member and replicate. Windows are dealt to tasks in blocks of BLOCK ends. Incomplete rows
+    are left out of a window."""
+    mode = cfg.block_mode()
+    w = Window.partitionBy(*keys)
+    d = aligned.withColumn("__i", F.row_number().over(w.orderBy("t_src"))).withColumn("__n", F.count(F.lit(1)).over(w))
+    label = block_label(F.col(cfg.date_column), mode) if mode else F.lit(None).cast("string")
+    first = F.greatest(F.lit(0), F.ceil((F.col("__i") - cfg.window - BLOCK + 1) / BLOCK)).cast("long")
+    last = F.floor((F.col("__i") - 1) / BLOCK).cast("long")
+    d = d.select(*keys, "__i", "__n", label.alias("__label"), *[F.col(c).cast("double").alias(c) for c in ("pred", *features)], F.explode(F.sequence(first, last)).alias("__b"))
+    types, options = dict(aligned.dtypes), asdict(cfg)
+
+    def one(key, pdf):
+        c = AttributionConfig(**options)
+        pdf = pdf.sort_values("__i")
+        i, x, y = pdf["__i"].to_numpy(), pdf[list(features)].to_numpy(float), pdf["pred"].to_numpy(float)
+        whole, out = np.isfinite(x).all(1) & np.isfinite(y), []
+        labels = pdf["__label"].to_numpy() if mode else None
+        begin = c.window + key[-1] * BLOCK
+        for end in range(begin, min(begin + BLOCK - 1, int(pdf["__n"].iloc[0])) + 1):
+            at = np.flatnonzero((i > end - c.window) & (i <= end) & whole)
+            if len(at):
+                g, _, *res = attribute(x[at], y[at], labels[at] if mode else None, c)
+                out += [(*key[:-1], end, f, *(None if np.isnan(v[j]) else float(v[j]) for v in (g, *res))) for j, f in enumerate(features)]
+        return pd.DataFrame(out, columns=[*keys, "e", "feature", "g", "lo", "hi", "p"])
+
+    schema = ", ".join([*(f"{k} {types[k]}" for k in keys), "e long, feature string, g double, lo double, hi double, p double"])
+    return d.groupBy(*keys, "__b").applyInPandas(one, schema)

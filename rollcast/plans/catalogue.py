@@ -7,6 +7,8 @@ sides round to fixed digits and add 0.0, so no result is a negative zero."""
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
+from functools import partial
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,6 +22,7 @@ from ..sources.synthetic import synthetic
 
 X = ["x1", "x2", "x3"]
 W, R, PERIOD, ALPHA = 90, 20, 7, 0.2
+REPLICATES = 1000  # of the reference, for queries that are not held to SQL
 LIB, PRED = (1, 2000), (2001, 2300)
 SHIFTS = nulls.periodic_shifts(2000, R, PERIOD, 0)
 LAGS = {"day": 1, "week": 7, "month": 30, "decade": 3650}
@@ -188,14 +191,14 @@ def multi_series_score(spark, sf):
     return rounded(rolling.scores(a, ["n"], 48).select("series_id", "t_src", "g"), "g", digits=5)
 
 
-def inverse_operator_raw(spark, sf):
+def inverse_operator_raw(spark, sf, step=30):
     d = _aligned(spark, sf).withColumn("pred", F.col("pred") / 1e6)
-    out = rolling.inverse_operator(rolling.windows(d, W, 30), X, normalize_y=False)
+    out = rolling.inverse_operator(rolling.windows(d, W, step), X, normalize_y=False)
     return rounded(out.select("e", "feature", "g", "l"), "g", "l")
 
 
-def equivalence(spark, sf):
-    d = rolling.equivalence(_aligned(spark, sf), X, W, 30)
+def equivalence(spark, sf, step=30):
+    d = rolling.equivalence(_aligned(spark, sf), X, W, step)
     return rounded(d.select("feature", "n_windows", "mean", "sd", "max_difference"), "mean", "sd", "max_difference")
 
 
@@ -204,6 +207,12 @@ def circular_null(spark, sf):
     return rounded(d.select("feature", "perm", "t_src", "gr"), "gr")
 
 
+def circular_null_whole(spark, sf):
+    a = _aligned(spark, sf)
+    shifts = nulls.periodic_shifts(_daily(spark, sf).count(), REPLICATES, PERIOD, 0)
+    return rounded(nulls.series_null(spark, a, X, W, shifts).select("feature", "perm", "t_src", "gr"), "gr")
+
+
 def envelope(spark, sf):
     return rounded(_significant(spark, sf).select("feature", "t_src", "lo", "hi"), "lo", "hi")
 
@@ -222,6 +231,14 @@ def _window_null(cfg: AttributionConfig) -> Callable:
     return run
 
 
+def _window_null_whole(cfg: AttributionConfig) -> Callable:
+    def run(spark, sf):
+        d = windowed.rolling_nulls(_aligned(spark, sf), X, replace(cfg, replicates=REPLICATES))
+        return rounded(d.select("e", "feature", "g", "lo", "hi", "p"), "g", "lo", "hi", "p")
+
+    return run
+
+
 UNIFORM = AttributionConfig(window=W, replicates=R, seed=1)
 WEEKLY = AttributionConfig(window=W, replicates=R, seed=2, preserve_weekly=True)
 BLOCKS = AttributionConfig(window=W, replicates=R, seed=3, block_null="month", date_column="date_src")
@@ -347,8 +364,8 @@ def horizon_evaluation(spark, sf):
 
 
 def windowed_attribution(spark, sf):
-    cfg = AttributionConfig(window=60, replicates=R, seed=0)
-    return windowed.rolling_windows(_daily(spark, sf), ["x1", "x2"], "y", cfg, theta=1.0, step=20)
+    cfg = AttributionConfig(window=60, replicates=REPLICATES, seed=0)
+    return windowed.rolling_windows(_daily(spark, sf), ["x1", "x2"], "y", cfg, theta=1.0)
 
 
 def _labels(spark, sf) -> DataFrame:
@@ -416,5 +433,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "q_windowed_attribution": windowed_attribution, "q_cliffs_delta": cliffs_delta, "q_bootstrap_ci": bootstrap_ci, "q_ablation": ablation_errors, "q_ablation_effect": ablation_effect,
     "q_simplex_whole": _held_out(simplex), "q_embed_dimension_whole": _held_out(embed_dimension, most=10), "q_smap_theta0_whole": _held_out(smap_theta0), "q_smap_1d_whole": _held_out(smap_1d),
     "q_smap_whole": _held_out(smap), "q_theta_sweep_whole": _held_out(theta_sweep, grid=THETA_GRID), "q_param_select_whole": _held_out(param_select, most=10),
+    "q_inverse_operator_raw_whole": partial(inverse_operator_raw, step=1), "q_equivalence_whole": partial(equivalence, step=1), "q_circular_null_whole": circular_null_whole,
+    "q_window_null_uniform_whole": _window_null_whole(UNIFORM), "q_window_null_weekly_whole": _window_null_whole(WEEKLY), "q_window_null_block_whole": _window_null_whole(BLOCKS),
     "q_ccm": ccm, "q_synthetic_series": synthetic_series, "q_synthetic_recovery": synthetic_recovery, "q_manifest_guard": manifest_guard,
 }

@@ -5,9 +5,10 @@ import datetime
 import numpy as np
 import pytest
 
+from rollcast.config import AttributionConfig
 from rollcast.functions import kernels
-from rollcast.operators import forecast
-from rollcast.plans.catalogue import QUERIES
+from rollcast.operators import forecast, nulls, rolling, windowed
+from rollcast.plans.catalogue import QUERIES, X, _aligned
 
 DAYS = 410  # more than one block of prediction points
 
@@ -82,3 +83,26 @@ def test_forecasts_of_all_held_out_rows(spark, small):
 def test_coefficients_of_all_held_out_rows(spark, small):
     (_, end), _ = forecast.split(DAYS)
     assert {r["n"] for r in QUERIES["q_smap_coefficients"](spark, small[0]).collect()} == {DAYS - end}
+
+
+@pytest.mark.parametrize("options", [{}, {"preserve_weekly": True}, {"block_null": "month", "date_column": "date_src"}])
+def test_rolling_nulls_equal_the_relational_form(spark, small, options):
+    cfg = AttributionConfig(window=40, replicates=9, seed=4, **options)
+    a = _aligned(spark, small[0]).where("t_src <= 120")
+    m = rolling.windows(a, 40)
+    want = nulls.compare(rolling.inverse_operator(m, X, normalize_y=True), nulls.window_null(spark, m, X, cfg), ["series_id", "e", "feature"], 9)
+    want = {(r["e"], r["feature"]): [r[c] for c in ("g", "lo", "hi", "p")] for r in want.collect()}
+    got = {(r["e"], r["feature"]): [r[c] for c in ("g", "lo", "hi", "p")] for r in windowed.rolling_nulls(a, X, cfg).collect()}
+    assert set(got) == set(want) and len(got) == 81 * 3
+    assert all(got[k] == pytest.approx(want[k], abs=1e-9) for k in got)
+
+
+def test_every_window_end(spark, small):
+    ends = list(range(90, DAYS + 1))
+    for name in ("q_window_null_uniform_whole", "q_inverse_operator_raw_whole"):
+        assert sorted(r["e"] for r in QUERIES[name](spark, small[0]).where("feature = 'x1'").collect()) == ends
+    null = QUERIES["q_circular_null_whole"](spark, small[0]).where("feature = 'x2'").groupBy("t_src").count().collect()
+    assert sorted(r["t_src"] for r in null) == ends and {r["count"] for r in null} == {1000}
+    assert {r["n_windows"] for r in QUERIES["q_equivalence_whole"](spark, small[0]).collect()} == {len(ends)}
+    t = [r["t_pred"] for r in QUERIES["q_windowed_attribution"](spark, small[0]).where("feature = 'x1'").collect()]
+    assert len(t) == len(set(t)) == DAYS - 59
