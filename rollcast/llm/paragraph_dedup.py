@@ -27,7 +27,7 @@ from .jaccard_join import SHARD_BYTES, SHARD_DOCS, search
 from .substring_dedup import without_spans
 
 GRAM, REACH = 3, 6
-LEAST = 20  # words of the paragraph before the first anchor or after the last one
+LEAST = 20  # words that a paragraph before the first anchor or after the last one has to be compared alone
 ROWS = 1
 
 
@@ -40,8 +40,10 @@ def paragraphs(texts: list[bytes], k: int):
     """(document, class, first byte, end byte, shingles, offsets) of every paragraph: the
     class is a hash of its words and the k - 1 words behind it, and shingles[offsets[i] :
     offsets[i + 1]] are the hashes of its runs of k words. What stands before the first
-    anchor or behind the last is a paragraph if it has LEAST words, or if the text has no
-    other; one of fewer than k words has one shingle."""
+    anchor or behind the last is a paragraph too. With fewer than LEAST words it has the
+    class and shingles of itself and its neighbour, of a kind of their own, so that it goes
+    only where a text starts or ends like another; if all of a text is so short, the text is
+    one paragraph. One of fewer than k words has one shingle."""
     h, doc, start, stop = X.word_hashes(texts)
     n = len(h)
     none = np.zeros(0, np.int64)
@@ -73,31 +75,40 @@ def paragraphs(texts: list[bytes], k: int):
     open_end = ~lead[begin] | (size == rest[begin])
     keep = ~open_end | (size >= LEAST)
     bare = (count > 0) & (np.bincount(doc[begin[keep]], minlength=len(texts)) == 0)
-    whole = first[np.flatnonzero(bare)]
-    size = np.concatenate([size[keep], rest[whole]])
-    begin = np.concatenate([begin[keep], whole])
+    # a short end is compared with its neighbour before or behind it, salted: ends with ends
+    origin, span, salt = begin.copy(), size.copy(), np.zeros(len(begin), np.uint64)
+    short = ~keep & ~bare[doc[begin]]
+    i = np.flatnonzero(short & ~lead[begin])
+    span[i], salt[i] = size[i] + size[i + 1], 1
+    i = np.flatnonzero(short & lead[begin])
+    origin[i], span[i], salt[i] = begin[i - 1], size[i - 1] + size[i], 2
+    whole, some = first[np.flatnonzero(bare)], ~bare[doc[begin]]
+    begin, size, origin, span = (np.concatenate([x[some], w]) for x, w in ((begin, whole), (size, rest[whole]), (origin, whole), (span, rest[whole])))
+    salt = np.concatenate([salt[some], np.zeros(len(whole), np.uint64)])
     by = np.argsort(begin, kind="stable")
-    begin, size = begin[by], size[by]
+    begin, size, origin, span, salt = begin[by], size[by], origin[by], span[by], salt[by]
     # hashes of k words; the end of a text gives none
     full = n - k + 1
     sh = np.zeros(max(full, 0), np.uint64)
     for j in range(k):
         if full > 0:
             sh = X.mix(sh + h[j : full + j])
-    shingles = np.clip(np.minimum(size, rest[begin] - k + 1), 1, None)
+    shingles = np.clip(np.minimum(span, rest[origin] - k + 1), 1, None)
     offs = np.concatenate([[0], np.cumsum(shingles)])
-    at = np.repeat(begin - offs[:-1], shingles) + np.arange(offs[-1])
+    at = np.repeat(origin - offs[:-1], shingles) + np.arange(offs[-1])
     out = np.zeros(len(at), np.uint64)
-    long = np.repeat(rest[begin] >= k, shingles)
+    long = np.repeat(rest[origin] >= k, shingles)
     out[long] = sh[at[long]]
-    for i in np.flatnonzero(rest[begin] < k):
-        x = np.uint64(int(rest[begin[i]]))
-        for w in h[begin[i] : begin[i] + rest[begin[i]]]:
+    for i in np.flatnonzero(rest[origin] < k):
+        x = np.uint64(int(rest[origin[i]]))
+        for w in h[origin[i] : origin[i] + rest[origin[i]]]:
             x = X.mix(x + w)
         out[offs[i]] = x
+    each = np.repeat(salt, shingles)
+    out = np.where(each > 0, X.mix(out + X.mix(each)), out)
     # order matters for the class: the same words in another order are another class
     total = np.concatenate([[np.uint64(0)], np.cumsum(X.mix(out + X.mix(np.arange(len(at)).astype(np.uint64) - np.repeat(offs[:-1], shingles).astype(np.uint64))), dtype=np.uint64)])
-    cls = X.mix(total[offs[1:]] - total[offs[:-1]] + X.mix(size.astype(np.uint64)))
+    cls = X.mix(total[offs[1:]] - total[offs[:-1]] + X.mix(span.astype(np.uint64)))
     end = begin + size
     last = np.where(size == rest[begin], stop[end - 1], start[np.minimum(end, n - 1)])
     return doc[begin], cls, start[begin], last, out, offs
