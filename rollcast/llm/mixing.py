@@ -6,15 +6,16 @@ the sources whose next block is released, the one with the earliest deadline. On
 server this earliest-deadline-first order is optimal, so at every slot each source is
 within one block of its share w * t.
 
-Weights are rounded to a_i / PERIOD. The order then repeats every PERIOD slots, so one
-period is scheduled on the driver whatever the input, and block k of a source stands at
-slot (k div a_i) * PERIOD + the slot of block k mod a_i: rows are placed by arithmetic
-on their rank in the source."""
+Weights are exact: whole numbers a_i that add up to P. The order repeats every P slots, so
+if P is small one period is scheduled on the driver, and block k of a source stands at
+slot (k div a_i) * P + the slot of block k mod a_i. Else all slots of a phase are
+scheduled, a number for each block. Rows are placed by their rank in the source."""
 
 from __future__ import annotations
 
 import bisect
 import heapq
+import math
 from fractions import Fraction
 
 from pyspark.sql import DataFrame, SparkSession
@@ -63,27 +64,60 @@ def schedule(parts: dict, period: int) -> list:
     return out
 
 
+def exact_weights(weights: dict) -> tuple[dict, int]:
+    """The smallest whole numbers in the weights' proportions, and their sum."""
+    exact = {s: Fraction(w) for s, w in weights.items()}
+    base = math.lcm(*(x.denominator for x in exact.values()))
+    parts = {s: int(x * base) for s, x in exact.items()}
+    common = math.gcd(*parts.values())
+    parts = {s: a // common for s, a in parts.items()}
+    return parts, sum(parts.values())
+
+
+def served(parts: dict, period: int, left: dict) -> tuple[dict, int]:
+    """The slots of each source, by the rule of `schedule`, up to the first slot whose source
+    has no block left; and that slot."""
+    release = [(0, s, 0) for s in parts]
+    heapq.heapify(release)
+    ready, slots, t = [], {s: [] for s in parts}, 0
+    while True:
+        while release and release[0][0] <= t:
+            _, s, k = heapq.heappop(release)
+            heapq.heappush(ready, (-(-(k + 1) * period // parts[s]), s, k))
+        _, s, k = heapq.heappop(ready)
+        if k == left[s]:
+            return slots, t
+        slots[s].append(t)
+        heapq.heappush(release, ((k + 1) * period // parts[s], s, k + 1))
+        t += 1
+
+
 def phases(have: dict, target: dict, period: int, stop: float) -> list[dict]:
     """Blocks of each source (have) laid out in phases of constant weights. A phase ends at
     the first slot whose source has no block left; that source leaves, and the others go
     on with their weights scaled up. The mix ends when sources of more than `stop` of
-    the target weight have left. A phase: slot (its first), length, period, parts, slots
-    (of each source in a period), first (each source's first block)."""
+    the target weight have left. An order of up to `period` slots is repeated; a longer
+    one stands for its whole phase, which is then the period. A phase: slot (its first),
+    length, period, parts, slots (of each source in a period), first (each source's first
+    block)."""
     left = {s: n for s, n in have.items() if n and s in target}
     total, gone = sum(target.values()), sum(w for s, w in target.items() if not have.get(s))
     first, slot, out = dict.fromkeys(left, 0), 0, []
     while left and gone <= stop * total:
-        parts, per = integer_weights({s: target[s] for s in left}, period)
-        slots = {}
-        for t, s in enumerate(schedule(parts, per)):
-            slots.setdefault(s, []).append(t)
-        ends = {s: n // parts[s] * per + slots[s][n % parts[s]] for s, n in left.items()}
-        length = min(ends.values())
+        parts, per = exact_weights({s: target[s] for s in left})
+        if per <= period:
+            slots = {}
+            for t, s in enumerate(schedule(parts, per)):
+                slots.setdefault(s, []).append(t)
+            length = min(n // parts[s] * per + slots[s][n % parts[s]] for s, n in left.items())
+        else:
+            slots, length = served(parts, per, left)
+            parts, per = {s: len(x) for s, x in slots.items()}, length
         out.append({"slot": slot, "length": length, "period": per, "parts": parts, "slots": slots, "first": dict(first)})
         for s in list(left):
-            served = length // per * parts[s] + bisect.bisect_left(slots[s], length % per)
-            left[s] -= served
-            first[s] += served
+            n = length // per * parts[s] + bisect.bisect_left(slots[s], length % per)
+            left[s] -= n
+            first[s] += n
             if not left[s]:
                 del left[s]
                 gone += target[s]
@@ -102,7 +136,7 @@ def mix(spark: SparkSession, docs: DataFrame, weights: dict | None = None, *, so
     end are what the targets leave over: in_mix is false, slot and position are null,
     and they are returned too. A source's last block may be short. A null source counts as
     the empty name. Rows of a source are served in order of the hash of their id. More than MOST_SOURCES sources raise a
-    ValueError, so the schedule that is broadcast has a bound."""
+    ValueError."""
     d = docs.withColumn("__s", F.coalesce(F.col(source_col).cast("string"), F.lit("")))
     counts = d.groupBy("__s").agg(F.count(F.lit(1)).alias("n")).limit(MOST_SOURCES + 1).collect()
     if len(counts) > MOST_SOURCES:
@@ -115,7 +149,7 @@ def mix(spark: SparkSession, docs: DataFrame, weights: dict | None = None, *, so
     ]
     plan = spark.createDataFrame(rows, "__s string, b long, e long, slot long, period long, a long, slots array<long>")
     plan = plan.where("b < e").groupBy("__s").agg(F.collect_list(F.struct("b", "e", "slot", "period", "a", "slots")).alias("__plan"))
-    out = ranked(d, ["__s"], hash63(id_col), [id_col], "mix_rank").join(F.broadcast(plan), "__s", "left")  # MOST_SOURCES * period slots at most
+    out = ranked(d, ["__s"], hash63(id_col), [id_col], "mix_rank").join(F.broadcast(plan), "__s", "left")  # a number a block at most
     k = F.floor(F.col("mix_rank") / block)
     out = out.withColumn("__k", k).withColumn("__p", F.get(F.filter("__plan", lambda p: (p.b <= F.col("__k")) & (F.col("__k") < p.e)), 0))
     n = F.col("__k") - F.col("__p.b")

@@ -1,8 +1,12 @@
 """Operators on whole texts and long mixes."""
 
 import random
+from fractions import Fraction
 
-from rollcast.llm import paragraph_dedup
+import numpy as np
+import pytest
+
+from rollcast.llm import mixing, paragraph_dedup
 
 
 def test_copies_lose_all_their_words(spark):
@@ -23,3 +27,15 @@ def test_copies_lose_all_their_words(spark):
     assert end[-1] != line.split()[-1].encode() and start[0] != line.split()[0].encode()
     kept = bytes(got[300]["kept"]).decode().split()
     assert near[0] not in kept and near[-1] not in kept
+
+
+@pytest.mark.parametrize("target", [{"a": 1, "b": 1, "c": 1}, {"a": 1e-5, "b": 0.3, "c": 0.69999}, {s: n**0.7 for s, n in (("a", 37), ("b", 50021), ("c", 91193), ("d", 7))}])
+def test_mix_keeps_to_exact_targets(target):
+    p = mixing.phases(dict.fromkeys(target, 60000), target, 1000, 0.0)[0]
+    n, total = p["length"], sum(map(Fraction, target.values()))
+    assert n >= 60000
+    for s, w in target.items():
+        x = np.array(p["slots"][s], np.int64)
+        x = (x[None] + p["period"] * np.arange(n // p["period"] + 1)[:, None]).ravel()
+        got = np.cumsum(np.bincount(x[x < n], minlength=n))
+        assert np.abs(got - np.arange(1, n + 1) * float(Fraction(w) / total)).max() < 1 + 1e-6
