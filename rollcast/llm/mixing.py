@@ -26,7 +26,7 @@ from .ranks import hash63, ranked
 
 PERIOD = 1000
 BLOCK = 8
-TEMPER, STOP = 0.7, 0.5
+TEMPER, STOP = 0.7, 1.0
 MOST_SOURCES = 2000
 
 
@@ -103,7 +103,7 @@ def phases(have: dict, target: dict, period: int, stop: float) -> list[dict]:
     left = {s: n for s, n in have.items() if n and s in target}
     total, gone = sum(target.values()), sum(w for s, w in target.items() if not have.get(s))
     first, slot, out = dict.fromkeys(left, 0), 0, []
-    while left and gone <= stop * total:
+    while left and (stop >= 1 or gone <= stop * total):
         parts, per = exact_weights({s: target[s] for s in left})
         if per <= period:
             slots = {}
@@ -132,8 +132,8 @@ def mix(spark: SparkSession, docs: DataFrame, weights: dict | None = None, *, so
     weights: target of each source; sources without one have none and are not in the mix.
     By default a source's weight is its row count to the power `temper`. A source that
     runs out leaves the mix, and the others keep their proportions (`phases`); the mix
-    ends when sources of more than `stop` of the weight have left. The rows beyond that
-    end are what the targets leave over: in_mix is false, slot and position are null,
+    ends when sources of more than `stop` of the weight have left, with 1 when all rows of
+    weighted sources are served. The rows beyond that end are what the targets leave over: in_mix is false, slot and position are null,
     and they are returned too. A source's last block may be short. A null source counts as
     the empty name. Rows of a source are served in order of the hash of their id. More than MOST_SOURCES sources raise a
     ValueError."""

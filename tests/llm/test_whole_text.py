@@ -29,6 +29,12 @@ def test_copies_lose_all_their_words(spark):
     assert near[0] not in kept and near[-1] not in kept
 
 
+def test_default_mix_serves_every_row(spark):
+    rows = [(i, "hot" if i % 3 == 0 else f"s{i % 19}") for i in range(3000)] + [(None, None)]
+    got = mixing.mix(spark, spark.createDataFrame(rows, "doc_id long, source string")).toPandas()
+    assert got["in_mix"].all() and got["mix_position"].is_unique and len(got) == len(rows)
+
+
 @pytest.mark.parametrize("target", [{"a": 1, "b": 1, "c": 1}, {"a": 1e-5, "b": 0.3, "c": 0.69999}, {s: n**0.7 for s, n in (("a", 37), ("b", 50021), ("c", 91193), ("d", 7))}])
 def test_mix_keeps_to_exact_targets(target):
     p = mixing.phases(dict.fromkeys(target, 60000), target, 1000, 0.0)[0]
