@@ -1,4 +1,4 @@
-"""Exact substring dedup by suffix order and longest previous factors.
+"""Exact substring dedup by suffix order: longest previous factors of a least length.
 
 Every byte is removed that lies in a string of `length` bytes which also starts earlier
 (in a document of smaller id, or earlier in the same one); the first copy stays.
