@@ -5,10 +5,11 @@ from __future__ import annotations
 import gc
 import os
 import tempfile
+import time
 import uuid
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -20,13 +21,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (spark.checkpoint.dir). Where it is unset, as in
-    local tests, a temporary one is set."""
+    """The folder all executors share (spark.checkpoint.dir). Where it is unset, local
+    sessions, as in tests, get a temporary one, and a cluster raises a RuntimeError."""
     got = spark.conf.get("spark.checkpoint.dir", None)
     if not got:
         have = spark.sparkContext._jsc.sc().getCheckpointDir()
         if have.isDefined():
             return have.get()
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         got = os.path.join(tempfile.gettempdir(), f"rollcast-{os.getpid()}")
         spark.sparkContext.setCheckpointDir(got)
         return spark.sparkContext._jsc.sc().getCheckpointDir().get()
@@ -61,19 +64,30 @@ def with_columns(df: DataFrame, inputs: list[str], new: dict[str, str], make) ->
     return df.mapInArrow(run, schema)
 
 
-def free(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of frames that nobody holds any more."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+_freed = 0.0
+
+
+def free(spark: SparkSession, every: float = 10.0) -> None:
+    """Lets Spark delete the shuffle files of frames that nobody holds any more, at most once
+    in `every` seconds."""
+    global _freed
+    if time.monotonic() - _freed > every:
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        _freed = time.monotonic()
 
 
 class Stash:
     """Tables written to the shared folder: they cut lineage, so a lost executor costs a
-    re-read and not a recomputation, and they let earlier shuffle files go."""
+    re-read and not a recomputation, and they let earlier shuffle files go. An operator's
+    result reads its last tables, so they stay until `release`."""
+
+    held: list["Stash"] = []
 
     def __init__(self, spark: SparkSession):
         tune(spark)
         self.spark, self.root = spark, f"{shared_dir(spark).rstrip('/')}/stash-{uuid.uuid4().hex}"
+        Stash.held.append(self)
 
     def put(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}-{uuid.uuid4().hex[:8]}"
@@ -85,28 +99,31 @@ class Stash:
         out._stash_path = path
         return out
 
-    def drop(self, df: DataFrame) -> None:
-        self._delete(df._stash_path)
+    def drop(self, *frames: DataFrame) -> None:
+        for df in frames:
+            self._delete(df._stash_path)
 
     def _delete(self, name: str) -> None:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
-def _state(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+def release(but: Stash | None = None) -> None:
+    """Deletes the tables of all stashes, or of all but one: for when the operators' results
+    have been written or read."""
+    for stash in [x for x in Stash.held if x is not but]:
+        if stash.spark.sparkContext._jsc is not None:  # else the session has ended
+            stash._delete(stash.root)
+        Stash.held.remove(stash)
 
 
 def components(spark: SparkSession, edges: DataFrame, stash: Stash | None = None) -> DataFrame:
     """(id, component) for every end of `edges` (u, v): component is the smallest id that
-    links reach. Alternating large-star and small-star rounds, each two aggregations
-    with map-side combining and a join that adaptive execution splits where a key is
-    hot; no component or neighbour list is ever gathered in one task or on the driver.
-    Self-links and repeated links are fine; no links give no rows."""
+    links reach. Alternating large-star and small-star rounds, each two aggregations with
+    map-side combining and two joins. Both sides of a join are tables, so adaptive
+    execution sees a hub's rows in the exchange and splits them; no component or
+    neighbour list is ever gathered in one task or on the driver. Self-links and repeated
+    links are fine; no links give no rows."""
     stash = stash or Stash(spark)
     e = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct()
     e = stash.put(e, "edges")
@@ -114,16 +131,24 @@ def components(spark: SparkSession, edges: DataFrame, stash: Stash | None = None
     while True:
         # large star: every larger neighbour goes to the smallest of the neighbourhood
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+        least = stash.put(both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m")), "least")
+        large = toward(both.where("v > u"), least).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+        large = stash.put(large, "large")
         # small star: the smaller neighbours and the node itself go to the smallest
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        after = stash.put(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "edges")
-        stash.drop(e)
-        e, now = after, _state(after)
+        low = stash.put(large.groupBy("u").agg(F.min("v").alias("m")), "low")
+        small = toward(large, low).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+        after = small.unionByName(low.select("u", F.col("m").alias("v"))).distinct()
+        seen = Observation()
+        after = stash.put(after.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")), "edges")
+        stash.drop(e, least, large, low)
+        e, now = after, seen.get
         if now == before:
             break
         before = now
     ids = e.select(F.col("u").alias("id"), F.col("v").alias("component"))
     return ids.unionByName(e.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
+
+
+def toward(edges: DataFrame, least: DataFrame) -> DataFrame:
+    """Edges (u, v) with the label m of u. A merge join: a hash join would have to hold a side."""
+    return edges.join(least.hint("merge"), "u")

@@ -12,13 +12,18 @@ The search has two levels:
    passages that many documents share are the long lists. What short lists still
    connect are candidate groups; a link never leaves one.
 2. In a group (`links_within`), by the documents' whole sets: inverted lists of the group,
-   the short lists merged, the long ones probed by binary search for the documents that
-   can still reach the overlap. A large group is cut into shards and searched cell by
-   cell, each shard against each. A task returns a spanning forest of its links and
-   each document's number of links, so no output has a row a pair."""
+   the short lists merged on a heap that skips (`merge_skip`), the long ones probed by
+   binary search for the documents that can still reach the overlap. A large group is cut
+   into shards and searched cell by cell, each shard against each. A task returns a
+   spanning forest of its links and each document's number of links, so no output has a
+   row a pair."""
 
 from __future__ import annotations
 
+import heapq
+import math
+from bisect import bisect_left
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -33,6 +38,48 @@ EXTRA = 10  # L = n // EXTRA
 SHARD_DOCS, SHARD_BYTES = 4096, 8 << 20
 #: A probe of a list by binary search costs as much as merging so many of its entries.
 PROBE = 40
+#: The weight of a long list's length in the number of lists set aside (DivideSkip's mu).
+MU = 0.0085
+#: Short lists of more entries in all are merged by one array count: there, near copies are
+#: in most of the lists, a heap could skip nothing, and the count gives the same numbers.
+HEAP = 600
+
+
+def set_aside(t: int, longest: int) -> int:
+    """How many of the longest lists DivideSkip probes instead of merging, for t occurrences."""
+    return max(0, min(t - 1, int(t / (MU * math.log2(max(longest, 2)) + 1))))
+
+
+def merge_skip(post: list[int], at: list[int], end: list[int], t: int) -> tuple[list[int], list[int]]:
+    """The entries that stand in t of the ascending lists post[at[i]:end[i]] at least, and in
+    how many. The heap holds each list's next entry. If fewer than t lists have the
+    smallest one, t - 1 lists are popped in all, and each jumps by binary search to the
+    entry that is then on top: nothing before it can be in t lists."""
+    k, at = len(at), list(at)
+    heap = [post[a] * k + i for i, a in enumerate(at) if a < end[i]]
+    heapq.heapify(heap)
+    found, counts = [], []
+    while len(heap) >= t and heap:
+        top, out = heap[0] // k, []
+        while heap and heap[0] // k == top:
+            out.append(heapq.heappop(heap) % k)
+        if len(out) >= t:
+            found.append(top)
+            counts.append(len(out))
+            for i in out:
+                at[i] += 1
+        else:
+            while heap and len(out) < t - 1:
+                out.append(heapq.heappop(heap) % k)
+            if not heap:
+                break  # fewer than t lists are left
+            top = heap[0] // k
+            for i in out:
+                at[i] = bisect_left(post, top, at[i], end[i])
+        for i in out:
+            if at[i] < end[i]:
+                heapq.heappush(heap, post[at[i]] * k + i)
+    return found, counts
 
 
 def links_within(sets: list[np.ndarray], weight: np.ndarray, side: np.ndarray, num: int, den: int) -> tuple[list[tuple[int, int]], np.ndarray]:
@@ -42,10 +89,9 @@ def links_within(sets: list[np.ndarray], weight: np.ndarray, side: np.ndarray, n
 
     Sets are numbered by size; a set is a query against those after it, so the required
     overlap T is at least that of two sets of its size, and a list is the tail behind
-    the query. The longest lists, T - 1 at most, are set aside; the others are merged (a
-    count over their concatenation gives what a heap's merge does, at array speed);
-    sets that miss more than the lists set aside are dropped; the rest are probed in the
-    long lists, or these are merged as well where that is cheaper."""
+    the query. The L longest lists are set aside, and the others merged for the sets in
+    T - L of them. Sets that miss more than the lists set aside are dropped; the rest are
+    probed in the long lists, or these are counted as well where that is cheaper."""
     m = len(sets)
     size = np.array([len(x) for x in sets], np.int64)
     order = np.argsort(size, kind="stable")
@@ -61,6 +107,7 @@ def links_within(sets: list[np.ndarray], weight: np.ndarray, side: np.ndarray, n
     where[by] = np.arange(len(by))
     keys = (np.cumsum(new) - 1) * m + lists if len(tok) else np.zeros(0, np.int64)
     starts = np.concatenate([[0], np.cumsum(size)])
+    post = None
     label, links, forest = np.arange(m), np.zeros(m, np.int64), []
     for x in range(m):
         p = where[starts[x] : starts[x + 1]]
@@ -72,26 +119,32 @@ def links_within(sets: list[np.ndarray], weight: np.ndarray, side: np.ndarray, n
             continue
         by_length = np.argsort(tail, kind="stable")
         p, tail = p[by_length], tail[by_length]
-        cut = len(p) - (least - 1)
-        short = tail[:cut]
-        at = np.repeat(p[:cut] + 1 - np.concatenate([[0], np.cumsum(short)[:-1]]), short) + np.arange(short.sum())
-        count = np.bincount(lists[at] - x, minlength=m - x)
-        y = np.flatnonzero(count)
-        need = -(-num * (n + size[x + y]) // (num + den))
-        y = y[(count[y] + least - 1 >= need) & (side[x + y] != side[x] if side.any() else True)]
+        aside = set_aside(least, int(tail[-1]))
+        cut = len(p) - aside
+        short, total = tail[:cut], int(tail[:cut].sum())
+        if total <= HEAP:
+            post = lists.tolist() if post is None else post
+            y, count = merge_skip(post, (p[:cut] + 1).tolist(), end[p[:cut]].tolist(), least - aside)
+            y, count = np.array(y, np.int64), np.array(count, np.int64)
+        else:
+            at = np.repeat(p[:cut] + 1 - np.concatenate([[0], np.cumsum(short)[:-1]]), short) + np.arange(total)
+            count = np.bincount(lists[at] - x, minlength=m - x)
+            y = np.flatnonzero(count >= least - aside)
+            y, count = y + x, count[y]
+        need = -(-num * (n + size[y]) // (num + den))
+        fine = (count + aside >= need) & (side[y] != side[x] if side.any() else True)
+        y, count, need = y[fine], count[fine], need[fine]
         if not len(y):
             continue
         long = tail[cut:]
         if len(y) * len(long) * PROBE < long.sum():
-            ask = (keys[p[cut:]] // m * m)[:, None] + (x + y)[None]
+            ask = (keys[p[cut:]] // m * m)[:, None] + y[None]
             got = np.minimum(np.searchsorted(keys, ask), len(keys) - 1)
-            total = count[y] + (keys[got] == ask).sum(0)
+            count = count + (keys[got] == ask).sum(0)
         elif len(long):
             at = np.repeat(p[cut:] + 1 - np.concatenate([[0], np.cumsum(long)[:-1]]), long) + np.arange(long.sum())
-            total = count[y] + np.bincount(lists[at] - x, minlength=m - x)[y]
-        else:
-            total = count[y]
-        y = x + y[total >= -(-num * (n + size[x + y]) // (num + den))]
+            count = count + np.bincount(lists[at] - x, minlength=m - x)[y - x]
+        y = y[count >= need]
         if not len(y):
             continue
         links[x] += weight[y].sum()
@@ -129,15 +182,18 @@ def digests(docs: DataFrame, id_col: str, text_col: str, k: int, num: int, den:
 
 
 def shingle_sets(rows: DataFrame, k: int) -> DataFrame:
-    """Rows (g, k, c, weight, text) with the text replaced by its whole set s."""
+    """Rows (g, k, c, weight, text) with the text replaced by its whole set s. Texts that are
+    not of the class c, such as another row's of the same id, go."""
 
     def run(frames):
         for pdf in frames:
             texts = X.encode(pdf["text"])
             for a, b in X.batches(texts):
                 s, offs = X.shingle_sets(texts[a:b], k)
+                own = _fingerprint(s, offs).view(np.int64) == pdf["c"].to_numpy()[a:b]
                 s = s.view(np.int64)
-                yield pdf[["g", "k", "c", "weight"]].iloc[a:b].assign(s=[s[i:j] for i, j in zip(offs[:-1], offs[1:])])
+                out = pdf[["g", "k", "c", "weight"]].iloc[a:b].assign(s=[s[i:j] for i, j in zip(offs[:-1], offs[1:])])
+                yield out[own]
 
     return rows.select("g", "k", "c", "weight", "text").mapInPandas(run, "g long, k long, c long, weight long, s array<long>")
 
@@ -166,6 +222,8 @@ def search(members: DataFrame, num: int, den: int) -> DataFrame:
 
         for pdf in frames:
             for g, k, a, b, o, c, w, s in zip(pdf["g"], pdf["k"], pdf["a"], pdf["b"], pdf["o"], pdf["c"], pdf["weight"], pdf["s"]):
+                if held and (g, a, b) == key and held[-1][4] == c:
+                    continue  # a repeated row
                 # whole small groups are searched together; a cell of a large one by itself
                 if (g, a, b) != key:
                     if held and (k > 1 or held[0][0] > 1 or len(held) >= SHARD_DOCS // 4 or size >= SHARD_BYTES // 4):
@@ -176,7 +234,7 @@ def search(members: DataFrame, num: int, den: int) -> DataFrame:
                 size += 8 * len(s)
         yield from flush()
 
-    return rows.repartition("g", "a", "b").sortWithinPartitions("g", "a", "b").mapInPandas(run, "u long, v long, links long")
+    return rows.repartition("g", "a", "b").sortWithinPartitions("g", "a", "b", "c").mapInPandas(run, "u long, v long, links long")
 
 
 def jaccard_components(spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 75, den: int = 100, extra: int = EXTRA) -> DataFrame:
@@ -186,12 +244,16 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, *, id_col: str = "d
     k-word shingles, or the whole sequence if there are fewer words. A null, empty or
     blank text has an empty set, links with nothing and is its own component. class_id
     is the smallest id of an equal set. n_links is the number of other documents linked
-    directly, copies included. Ids are unique integers; texts of any length are taken
-    whole; other columns of `docs` are not read. An empty table gives no rows. Sets of
-    equal 64-bit fingerprint and size count as equal."""
+    directly, copies included. A document is an id and its set: rows that repeat both are
+    one document and get equal rows; rows of one id with different texts are documents of
+    their own. Rows without an id are not compared: they have no component and no class,
+    and no links. Texts of any length are taken whole (a task holds some 100 bytes for
+    each of the longest text's words); other columns of `docs`, whatever their names, are
+    not read. An empty table gives no rows. Sets of equal 64-bit fingerprint and size count
+    as equal."""
     stash = Stash(spark)
     dig = stash.put(digests(docs, id_col, text_col, k, num, den, extra), "digests")
-    posts = dig.where("n > 0").select(F.explode("tokens").alias("t"), F.col("class").alias("c"), "n")
+    posts = dig.where("n > 0 and id is not null").select(F.explode("tokens").alias("t"), F.col("class").alias("c"), "n")
     twice = posts.groupBy("t").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("t")
     posts = stash.put(posts.join(twice, "t").groupBy("t", "c").agg(F.first("n").alias("n")), "postings")
     ids = stash.put(dig.select("id", "n", "class"), "ids")
@@ -207,7 +269,7 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, *, id_col: str = "d
     near = lists.join(lead, "t").where(F.col("c") != F.col("l")).select(F.col("l").alias("u"), F.col("c").alias("v"))
     groups = stash.put(components(spark, near, stash), "groups")
     stash.drop(lists)
-    classes = ids.where("n > 0").groupBy("class", "n").agg(F.min("id").alias("class_id"), F.count(F.lit(1)).alias("weight"))
+    classes = ids.where("n > 0 and id is not null").groupBy("class", "n").agg(F.min("id").alias("class_id"), F.count_distinct("id").alias("weight"))
     classes = stash.put(classes, "classes")
     live = classes.join(groups, F.col("class") == F.col("id")).select(F.col("component").alias("g"), F.col("class").alias("c"), "n", "class_id", "weight")
     shards = live.groupBy("g").agg(F.greatest(F.ceil(F.count(F.lit(1)) / SHARD_DOCS), F.ceil(F.sum("n") * 8 / SHARD_BYTES)).alias("k"))
@@ -222,7 +284,10 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, *, id_col: str = "d
     least = classes.groupBy("component").agg(F.min("class_id").alias("component_id"))
     n_links = (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links")
     classes = classes.join(least, "component").select("class", "n", "class_id", "component_id", n_links)
-    return ids.join(classes, ["class", "n"], "left").select("id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"), F.coalesce("class_id", "id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    # a class may hold a third of all rows: both sides are tables, so that the join can split it
+    classes = stash.put(classes.select(F.col("class").alias("cls"), F.col("n").alias("m"), "class_id", "component_id", "n_links"), "result")
+    out = ids.join(classes.hint("merge"), (F.col("class") == F.col("cls")) & (F.col("n") == F.col("m")) & F.col("id").isNotNull(), "left")
+    return out.select("id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"), F.coalesce("class_id", "id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

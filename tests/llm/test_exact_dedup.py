@@ -90,14 +90,52 @@ def test_jaccard_join(spark, docs, monkeypatch, shard):
     assert got == brute_jaccard(rows)
 
 
-def test_jaccard_join_keeps_rows_without_an_id(spark, docs):
-    got = jaccard_join.jaccard_components(spark, docs)
-    assert got.count() == docs.count() and got.where("id is null").count() == 1
+def test_jaccard_join_of_repeated_rows_and_rows_without_an_id(spark):
+    six, near = "a b c d e f g h i j k l m n o p q r s t u v w", "a b c d e f g h i j k l m n o p q r s t u v x"
+    rows = [(1, six), (1, six), (2, near), (3, "z y"), (3, "z y"), (4, "z y"), (5, six), (5, "v w x y z"), (6, "v w x y z"), (None, six), (None, six), (7, None), (7, None)]
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted((tuple(r)[:1] + tuple(r)[2:] for r in jaccard_join.jaccard_components(spark, d).collect()), key=str)
+    want = [(1, 1, 1, 2)] * 2 + [(2, 1, 2, 2)] + [(3, 3, 3, 1)] * 2 + [(4, 3, 3, 1), (5, 1, 1, 2), (5, 5, 5, 1), (6, 5, 5, 1)] + [(7, 7, 7, 0)] * 2 + [(None, None, None, 0)] * 2
+    assert got == sorted(want, key=str)
+
+
+def test_components_split_a_hub(spark):
+    """The rows of a node with most of the links are dealt to several tasks."""
+    forced = {"spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1k", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "1k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k, None) for k in forced}
+    for k, v in forced.items():
+        spark.conf.set(k, v)
+    try:
+        stash = common.Stash(spark)
+        star = stash.put(spark.range(1, 60000).select(F.lit(0).cast("long").alias("u"), F.col("id").alias("v")).repartition(8), "star")
+        star = star.unionByName(stash.put(spark.range(70000, 71000).select(F.col("id").alias("u"), (F.col("id") + 5000).alias("v")), "pairs"))
+        least = stash.put(star.groupBy("u").agg(F.min("v").alias("m")), "least")
+        joined = common.toward(star, least)
+        joined.write.format("noop").mode("overwrite").save()
+        joined.collect()
+        assert "skew=true" in joined._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_merge_skip():
+    rng = random.Random(2)
+    for _ in range(300):
+        lists = [sorted(rng.sample(range(30), rng.randint(0, 20))) for _ in range(rng.randint(1, 12))]
+        post = [x for one in lists for x in one]
+        end = np.cumsum([len(x) for x in lists]).tolist()
+        t = rng.randint(1, len(lists))
+        want = {x: sum(x in one for one in lists) for x in range(30)}
+        assert jaccard_join.merge_skip(post, [0, *end[:-1]], end, t) == ([x for x in want if want[x] >= t], [n for n in want.values() if n >= t])
+    assert jaccard_join.set_aside(1, 50) == 0 and 0 < jaccard_join.set_aside(50, 8) <= 49 and jaccard_join.set_aside(100, 10**6) < jaccard_join.set_aside(100, 10)
 
 
 @pytest.mark.parametrize("probe", [0, 40, 10**9])
-def test_links_within(monkeypatch, probe):
+@pytest.mark.parametrize("heap", [0, 60, 10**9])
+def test_links_within(monkeypatch, probe, heap):
     monkeypatch.setattr(jaccard_join, "PROBE", probe)
+    monkeypatch.setattr(jaccard_join, "HEAP", heap)
     rng = random.Random(3)
     for trial in range(60):
         base = [rng.sample(range(200), rng.randint(1, 40)) for _ in range(4)]
@@ -136,11 +174,11 @@ def brute_repeats(rows, length):
     return out
 
 
-@pytest.mark.parametrize("hot", [10**6, 0])
-def test_substring_dedup(spark, docs, monkeypatch, hot):
+@pytest.mark.parametrize("hot, collapse", [(10**6, True), (0, True), (10**6, False)])
+def test_substring_dedup(spark, docs, monkeypatch, hot, collapse):
     monkeypatch.setattr(substring_dedup, "HOT", hot)
     rows = [(r["doc_id"], r["text"]) for r in docs.where("doc_id is not null").collect()]
-    found = substring_dedup.remove_repeats(spark, docs)
+    found = substring_dedup.remove_repeats(spark, docs, collapse=collapse)
     assert found.count() == docs.count()
     got = {r["id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], hashlib.sha256(r["kept"]).hexdigest()) for r in found.where("id is not null").collect()}
     assert got == brute_repeats(rows, 100)
@@ -148,18 +186,39 @@ def test_substring_dedup(spark, docs, monkeypatch, hot):
     assert (lone["n_removed"], bytes(lone["kept"])) == (0, b"one")
 
 
-def test_repeated_is_longest_previous_factor():
+@pytest.mark.parametrize("collapse", [True, False])
+def test_substring_dedup_of_repeated_rows(spark, collapse):
+    rng = random.Random(8)
+    a, b = ("".join(rng.choice("abcdefgh ") for _ in range(400)) for _ in range(2))
+    rows = [(1, a), (1, a), (2, b), (2, a[:150] + b[:50]), (3, a[100:300]), (3, a[100:300]), (None, a)]
+    got = [(r["id"], bytes(r["kept"]).decode()) for r in substring_dedup.remove_repeats(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(2), collapse=collapse).collect()]
+    assert sorted(got, key=str) == sorted([(1, a), (1, a), (2, b), (2, b[:50]), (3, ""), (3, ""), (None, a)], key=str)
+
+
+def brute_factors(texts, n, cap):
+    """Longest previous factors by definition, of the first n + 1 positions of each text."""
+    at = [(i, s) for i, (t, m) in enumerate(zip(texts, n)) for s in range(m + 1)]
+    out = []
+    for k, (i, s) in enumerate(at):
+        best = 0
+        for j, r in at[:k]:
+            m = 0
+            while m < cap and texts[i][s + m] == texts[j][r + m]:
+                m += 1
+            best = max(best, m)
+        out.append(best)
+    return out
+
+
+def test_longest_previous_factors():
     rng = random.Random(5)
-    for _ in range(40):
-        length = rng.choice([9, 16, 20])
-        texts = [bytes(rng.choice(b"ab") for _ in range(rng.randint(length, 60))) for _ in range(rng.randint(1, 8))]
-        n = np.array([len(t) - length for t in texts])
-        got, seen, want = substring_dedup.repeated(texts, np.zeros(len(texts), np.int64), n, length), set(), []
-        for t in texts:
-            for s in range(len(t) - length + 1):
-                want.append(t[s : s + length] in seen)
-                seen.add(t[s : s + length])
-        assert got.tolist() == want
+    for trial in range(60):
+        length = rng.choice([8, 9, 16, 20, 31, 40])
+        alphabet = b"ab" if trial % 2 else b"\0a\xff"
+        texts = [bytes(rng.choice(alphabet) for _ in range(rng.randint(length, 60))) for _ in range(rng.randint(1, 6))]
+        texts += [b"a" * (length + 20)] * (trial % 3)
+        n = np.array([rng.randint(0, len(t) - length) for t in texts])
+        assert substring_dedup.factors(texts, n, length).tolist() == brute_factors(texts, n, length)
 
 
 def test_paragraph_dedup(spark, docs):
