@@ -32,11 +32,18 @@ BUCKET = 16  # vectors of a bucket, about
 SHARD = 2048
 
 
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Rows times a power of two that brings their largest component near 1: exact, and norms
+    of very large or small rows neither overflow nor vanish."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(1, initial=0.0))[1][:, None])
+
+
 class Codes:
     """mean (d,), rotations [(d, d)], bits of a key, number of tables."""
 
     def __init__(self, sample: np.ndarray, bits: int, tables: int, seed: int = 11):
-        u = sample / np.linalg.norm(sample, axis=1, keepdims=True)
+        u = scaled(sample)
+        u = u / np.linalg.norm(u, axis=1, keepdims=True)
         self.mean = u.mean(0)
         c = u - self.mean
         # the principal axes, all of them: no dimension is dropped
@@ -56,7 +63,8 @@ class Codes:
 
     def keys(self, x: np.ndarray) -> np.ndarray:
         """(n, tables) substrings of the codes."""
-        u = x / np.linalg.norm(x, axis=1, keepdims=True)
+        u = scaled(x)
+        u = u / np.linalg.norm(u, axis=1, keepdims=True)
         sign = ((u - self.mean) @ self.planes[:, self.order] >= 0).reshape(len(x), self.tables, self.bits)
         return (sign * (1 << np.arange(self.bits, dtype=np.int64))).sum(2)
 
@@ -71,6 +79,7 @@ def key_plan(n: int, threshold: float, miss: float = MISS) -> tuple[int, int]:
 def cell_links(x: np.ndarray, keys: np.ndarray, table: int, weight: np.ndarray, side: np.ndarray | None, threshold: float):
     """A spanning forest of the links in one cell of a bucket, and the weight of what each
     vector links with, pairs that share an earlier table left out of the latter."""
+    x = scaled(x)
     norm = np.linalg.norm(x, axis=1)
     link = x @ x.T >= threshold * norm[:, None] * norm[None]
     np.fill_diagonal(link, False)
@@ -94,20 +103,26 @@ def near_duplicates(spark: SparkSession, vectors: DataFrame, *, id_col: str = "v
     equal length link when their cosine in double precision is `threshold` at least.
     n_links counts the other vectors linked directly, component_id is the smallest id that
     links reach, kept says that it is the row's own. Null and zero vectors, and vectors
-    with null or non-finite components, link with nothing. Equal vectors are one class.
-    Ids are unique integers. An empty table gives no rows."""
+    with null or non-finite components, link with nothing; neither do rows without an id,
+    whose component and kept are null. Equal vectors are one class. A vector is an id with
+    its label and components: rows that repeat these get equal rows and count once. Other
+    columns, whatever their names, are not read. An empty table gives no rows."""
     stash = Stash(spark)
     src = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v"), F.col(label_col).cast("string").alias("label"))
-    ids = stash.put(src.withColumn("h", F.xxhash64("v")).withColumn("h2", F.hash("v")), "vectors")
-    live = ids.where("id is not null and label is not null and v is not null and size(v) > 0 and not exists(v, x -> x is null or isnan(x) or abs(x) = double('inf')) and exists(v, x -> x <> 0)")
+    fine = "id is not null and label is not null and v is not null and size(v) > 0 and not exists(v, x -> x is null or isnan(x) or abs(x) = double('inf')) and exists(v, x -> x <> 0)"
+    # rows that link with nothing have no label here
+    ids = stash.put(src.withColumn("label", F.expr(f"CASE WHEN {fine} THEN label END")).withColumn("h", F.xxhash64("v")).withColumn("h2", F.hash("v")), "vectors")
+    live = ids.where("label is not null")
     one = ["label", "h", "h2"]
-    classes = live.groupBy(*one).agg(F.min("id").alias("c"), F.count(F.lit(1)).alias("weight"), F.any_value("v").alias("v"))
-    classes = stash.put(classes, "classes")
-    sizes = classes.groupBy(F.size("v").alias("d")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "d").limit(1000).collect()
-    if not sizes:
-        return ids.select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
-    d, total = sizes[0]["d"], sum(r["n"] for r in sizes)
-    bits, tables = key_plan(total, threshold)
+    classes = live.groupBy(*one).agg(F.min("id").alias("class_id"), F.count_distinct("id").alias("weight"), F.any_value("v").alias("v"))
+    classes = stash.put(classes.withColumn("c", F.xxhash64(*one)), "classes")
+    own = stash.put(classes.select(*one, "c", "class_id", "weight"), "own")
+    sizes = classes.groupBy(F.size("v").alias("d")).agg(F.count(F.lit(1)).alias("n"))
+    total, top = sizes.agg(F.coalesce(F.sum("n"), F.lit(0)), F.max(F.struct("n", "d"))).first()
+    if not total:
+        return ids.select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.when(F.col("id").isNotNull(), True).alias("kept"))
+    d = top["d"]
+    bits, tables = key_plan(int(total), threshold)
     sample = classes.where(F.size("v") == d).orderBy(F.xxhash64("c"), "c").limit(SAMPLE).select("v").toPandas()["v"]
     codes = Codes(np.stack(sample.to_numpy()).astype(float), bits, tables)
 
@@ -163,12 +178,13 @@ def near_duplicates(spark: SparkSession, vectors: DataFrame, *, id_col: str = "v
     found = stash.put(found, "links")
     comp = components(spark, found.where("v is not null").select("u", "v").distinct(), stash)
     links = found.where("links is not null").groupBy(F.col("u").alias("c")).agg(F.sum("links").alias("links"))
-    classes = coded.select("c", "weight").join(links, "c", "left").join(comp.withColumnRenamed("id", "c"), "c", "left")
-    classes = classes.select("c", F.coalesce("component", "c").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n"))
-    own = live.groupBy(*one).agg(F.min("id").alias("c")).join(classes, "c")
-    out = live.select("id", *one).join(own, one).select("id", "n", "component")
-    out = ids.select("id").join(out, "id", "left")
-    return out.select("id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "id").alias("component_id")).withColumn("kept", F.col("id") == F.col("component_id"))
+    own = own.join(links, "c", "left").join(comp.withColumnRenamed("id", "c"), "c", "left").withColumn("component", F.coalesce("component", "c"))
+    least = own.groupBy("component").agg(F.min("class_id").alias("component_id"))
+    own = own.join(least, "component").select(*one, "component_id", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n"))
+    # a class may hold a third of all rows: both sides are tables, so that the join can split it
+    own = stash.put(own, "result")
+    out = ids.select("id", *one).join(own.hint("merge"), one, "left")
+    return out.select("id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "id").alias("component_id")).withColumn("kept", F.col("id") == F.col("component_id"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
