@@ -14,6 +14,7 @@ its words, which are remembered; otherwise texts are taken in one go."""
 
 from __future__ import annotations
 
+import hashlib
 import re
 
 import ahocorasick
@@ -24,7 +25,7 @@ from .common import tune, with_columns
 MARK = "▁"
 UNKNOWN_COST = 10.0
 MEMO = 400_000
-_memos: dict = {}
+_memos: dict[str, dict] = {}  # words that this worker has counted, by the counter's digest
 
 
 class UnigramCounter:
@@ -38,6 +39,8 @@ class UnigramCounter:
         self.by_word = whole and any(p == MARK for p, _ in pieces) and not any(inside.search(p) for p, _ in pieces)
         self.unknown = min(s for _, s in pieces) - UNKNOWN_COST
         self._automaton = None
+        rules = hashlib.blake2b(repr((bytes_, self.unknown, [(p, float(s)) for p, s in pieces])).encode("utf-8", "surrogatepass"))
+        self.digest = rules.hexdigest()
 
     def __getstate__(self):
         return self.__dict__ | {"_automaton": None}
@@ -90,7 +93,10 @@ class UnigramCounter:
             text = MARK + text
         if not self.by_word:
             return self._best(text)
-        memo = _memos.setdefault((len(self.pieces), self.unknown, self.bytes_, hash(tuple(self.pieces[-50:]))), {})
+        memo = _memos.get(self.digest)
+        if memo is None:
+            _memos.clear()  # one vocabulary's words at a time
+            memo = _memos[self.digest] = {}
         tokens, score = 0, 0.0
         # a word: space marks, then all up to the next mark
         for word in re.findall(f"{MARK}+[^{MARK}]*", text):
@@ -117,7 +123,11 @@ def load(model: str) -> UnigramCounter:
 
 
 def token_counts(docs: DataFrame, counter: UnigramCounter, text_col: str = "text") -> DataFrame:
-    """`docs` with n_tokens and token_score of each whole text; null and empty texts have none."""
+    """`docs` with n_tokens and token_score of each whole text; null and empty texts have no
+    tokens and score 0. A row's result depends on its text alone, so repeated rows and rows
+    without an id are counted like any. Columns of `docs` named n_tokens or token_score are
+    replaced; all others pass through. A word of any length, and a text without word
+    marks, is taken in one go (some 100 bytes a character). An empty table gives no rows."""
 
     def make():
         def run(texts):
