@@ -1,81 +1,107 @@
 """Benchmark decontamination by greedy string tiling.
 
-A document and a benchmark item that share a seed (MIN_MATCH adjacent words, or the whole
-of a shorter item) are tiled: the longest common run of unmarked words is marked in both,
-again and again, until no run of MIN_MATCH words is left. The share of the item that the
-tiles cover does not depend on their order, so passages that were cut up and reordered
-are found. Common runs come from Karp-Rabin hashes of MIN_MATCH words: equal hashes on
-one diagonal join to maximal runs, and a run that meets marked words is cut back.
+1. Seeds: every MIN_MATCH adjacent words of a benchmark item, or the whole of a shorter one,
+   as a table. A bitmap of 2^BITS bits, whatever the benchmark's size, tells each task
+   which words of its documents can be seeds at all; only those are joined with the
+   table, so nothing that grows with the benchmark is broadcast or held by a task.
+2. A document and an item that share a seed are tiled (`tile`): the longest common run of
+   unmarked words is marked in both, again and again, until no run of MIN_MATCH words is
+   left. The share of the item that the tiles cover does not depend on their order, so
+   passages that were cut up and reordered are found.
 
-Items go to the documents in blocks of at most BLOCK_BYTES of text, one pass over the
-documents a block, so what is broadcast has a fixed bound. An item that is longer than
-that is a block of its own."""
+Equal texts are tiled once. Common runs come from running Karp-Rabin hashes."""
 
 from __future__ import annotations
 
-import heapq
-
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textnp as X
-from .common import tune, with_columns
+from .common import Stash, aside, back, tune
 
 MIN_MATCH = 5
 COVERAGE = 0.5
-BLOCK_BYTES = 16 << 20
-
-
-def tile(item: np.ndarray, doc: np.ndarray, at: np.ndarray, to: np.ndarray, k: int) -> int:
-    """Words of `item` that greedy tiling against `doc` covers. Both are word hashes; (at,
-    to) are the positions in item and doc of equal runs of k words."""
-    diagonal = to - at
-    order = np.lexsort((at, diagonal))
-    at, diagonal = at[order], diagonal[order]
-    new = np.ones(len(at), bool)
-    new[1:] = (diagonal[1:] != diagonal[:-1]) | (at[1:] != at[:-1] + 1)
-    first = np.flatnonzero(new)
-    length = np.diff(np.append(first, len(at))) + k - 1
-    runs = [(-int(n), int(at[i]), int(at[i] + diagonal[i])) for i, n in zip(first, length)]
-    heapq.heapify(runs)
-    in_item, in_doc = np.zeros(len(item), bool), {}
-    covered = 0
-    while runs:
-        n, a, b = heapq.heappop(runs)
-        n = -n
-        free = ~in_item[a : a + n] & np.fromiter((b + i not in in_doc for i in range(n)), bool, n)
-        if free.all():
-            in_item[a : a + n] = True
-            in_doc.update(dict.fromkeys(range(b, b + n)))
-            covered += n
-            continue
-        edge = np.flatnonzero(np.diff(np.concatenate([[False], free, [False]]).astype(np.int8)))
-        for i, j in zip(edge[::2], edge[1::2]):
-            if j - i >= k:
-                heapq.heappush(runs, (-int(j - i), a + int(i), b + int(i)))
-    return covered
-
-
-class Items:
-    """A block of benchmark items: seeds sorted by hash, and every item's words."""
-
-    def __init__(self, ids: list[int], texts: list[bytes], k: int):
-        h, doc, *_ = X.word_hashes(texts)
-        count = np.bincount(doc, minlength=len(texts))
-        cut = np.concatenate([[0], np.cumsum(count)])
-        self.ids, self.k = np.asarray(ids, np.int64), k
-        self.words = [h[i:j] for i, j in zip(cut[:-1], cut[1:])]
-        self.seeds = []  # by length of the seed: hashes, items, positions
-        for n in range(1, k + 1):
-            own = np.isin(doc, np.flatnonzero(count >= k if n == k else count == n))
-            w, d = h[own], doc[own]
-            if len(w):
-                s, at = runs(w, d, n)
-                item = d[at]
-                order = np.argsort(s, kind="stable")
-                pos = np.flatnonzero(own)[at] - cut[item]
-                self.seeds.append((n, s[order], item[order], pos[order]))
+BITS = 24
+
+
+def _spans(prefix: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+    """Karp-Rabin hashes of the n words behind each position."""
+    return X.span_hash(prefix, at, at + n)
+
+
+def _free(marked: np.ndarray, n: int) -> np.ndarray:
+    """Positions with n unmarked words from there on."""
+    marks = np.concatenate([[0], np.cumsum(marked)])
+    return np.flatnonzero(marks[n:] == marks[:-n]) if len(marked) >= n else np.zeros(0, np.int64)
+
+
+def _prefix(words: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(words) + 1, np.uint64)
+    np.cumsum(X.mix(words) * X.powers(len(words)), out=out[1:])
+    return out
+
+
+def tile(item: np.ndarray, doc: np.ndarray, k: int) -> int:
+    """Words of `item` that greedy tiling against `doc` covers, with runs of k words or more;
+    both are word hashes.
+
+    The longest length at which a run is common is found by bisection (a common run holds
+    shorter ones); at this length runs are marked from left to right, each with the first
+    place in the document that is still free. Lengths descend, each marks at least as
+    many words of the item, so there are few, and repeated words cost no more than others."""
+    pi, pd_ = _prefix(item), _prefix(doc)
+    # the document's words outside of common runs of k words match nothing
+    at = np.arange(max(0, len(doc) - k + 1))
+    hit = np.isin(_spans(pd_, at, k), _spans(pi, np.arange(max(0, len(item) - k + 1)), k))
+    if not hit.any():
+        return 0
+    near = np.zeros(len(doc) + 1, np.int64)
+    np.add.at(near, at[hit], 1)
+    np.add.at(near, at[hit] + k, -1)
+    near = np.cumsum(near[:-1]) > 0
+    gap = np.concatenate([[False], near[1:] & ~near[:-1]])  # runs that were apart stay apart
+    place = np.flatnonzero(near)
+    place = place + np.cumsum(gap)[place]
+    used = np.zeros(int(place[-1]) + 1, bool)
+    used[place] = True
+    small = np.zeros(len(used), np.uint64)
+    small[place] = doc[near]
+    used = used[place[0] :]
+    doc, pd_ = small[place[0] :], _prefix(small[place[0] :])
+    in_item, in_doc, covered = np.zeros(len(item), bool), ~used, 0
+    most = min(len(item), len(doc))
+    while True:
+        low, high = k - 1, most  # common runs of `low` words there are, of more than `high` none
+        while low < high:
+            n = (low + high + 1) // 2
+            a, b = _free(in_item, n), _free(in_doc, n)
+            if len(a) and len(b) and np.isin(_spans(pi, a, n), _spans(pd_, b, n)).any():
+                low = n
+            else:
+                high = n - 1
+        if low < k:
+            return covered
+        n = most = low
+        a, b = _free(in_item, n), _free(in_doc, n)
+        ha, hb = _spans(pi, a, n), _spans(pd_, b, n)
+        order = np.argsort(hb, kind="stable")
+        b, hb = b[order], hb[order]
+        lo, hi = np.searchsorted(hb, ha, "left"), np.searchsorted(hb, ha, "right")
+        some = hi > lo
+        end, next_ = 0, {}  # the first place of each run that may still be free
+        for x, i, j in zip(a[some].tolist(), lo[some].tolist(), hi[some].tolist()):
+            if x < end:
+                continue  # it meets the tile before it
+            y = next_.get(i, i)
+            while y < j and (in_doc[b[y]] or in_doc[b[y] + n - 1]):
+                y += 1  # a tile of this length that meets it holds its first or last word
+            next_[i] = y
+            if y < j:
+                in_item[x : x + n] = True
+                in_doc[b[y] : b[y] + n] = True
+                covered, end = covered + n, x + n
 
 
 def runs(h: np.ndarray, doc: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -83,84 +109,119 @@ def runs(h: np.ndarray, doc: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray
     n = len(h) - k + 1
     if n <= 0:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    out = np.zeros(n, np.uint64)
+    out = np.full(n, np.uint64(k))
     for j in range(k):
         out = X.mix(out + h[j : n + j])
     keep = np.flatnonzero(doc[:n] == doc[k - 1 :])
     return out[keep], keep
 
 
-def overlaps(texts: list[bytes], items: Items) -> list[tuple[int, int, float]]:
-    """(document, item, coverage) of every pair that shares a seed."""
-    h, doc, *_ = X.word_hashes(texts)
-    cut = np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=len(texts)))])
-    found = []
-    for k, seeds, item, pos in items.seeds:
-        s, at = runs(h, doc, k)
-        lo, hi = np.searchsorted(seeds, s, "left"), np.searchsorted(seeds, s, "right")
-        n = hi - lo
-        some = np.flatnonzero(n)
-        if not len(some):
-            continue
-        which = np.repeat(lo[some] - np.concatenate([[0], np.cumsum(n[some])[:-1]]), n[some]) + np.arange(n[some].sum())
-        to, d, i, a = np.repeat(at[some], n[some]), np.repeat(doc[at[some]], n[some]), item[which], pos[which]
-        order = np.lexsort((i, d))
-        to, d, i, a = to[order], d[order], i[order], a[order]
-        edge = np.flatnonzero(np.concatenate([[True], (d[1:] != d[:-1]) | (i[1:] != i[:-1]), [True]]))
-        for x, y in zip(edge[:-1], edge[1:]):
-            words = items.words[i[x]]
-            covered = tile(words, h[cut[d[x]] : cut[d[x] + 1]], a[x:y], to[x:y] - cut[d[x]], k)
-            found.append((int(d[x]), int(i[x]), covered / len(words)))
-    return found
-
-
-def blocks(benchmark: DataFrame, id_col: str, text_col: str, most: int):
-    """The benchmark's (ids, texts), a block at a time, each read by its own filter."""
-    b = benchmark.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    total = b.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    n = int(2 * total // most) + 1
-    for i in range(n):
-        # twice as many as needed, so that uneven hashing stays within the bound
-        part = b if n == 1 else b.where(F.pmod(F.xxhash64("id"), F.lit(n)) == i)
-        rows = sorted(set((r["id"], r["text"] or "") for r in part.toLocalIterator()))
-        if rows:
-            yield [r[0] for r in rows], X.encode([r[1] for r in rows])
+def _probes(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two places of a seed in the bitmap."""
+    mask = np.uint64((1 << BITS) - 1)
+    return (s & mask).astype(np.int64), ((s >> np.uint64(64 - BITS)) & mask).astype(np.int64)
 
 
-def decontaminate(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", k: int = MIN_MATCH, coverage: float = COVERAGE) -> DataFrame:
-    """`docs` with coverage (the largest share of an item's words that tiles in the document
-    cover), item_id (that item; ties: the smallest id; null if none shares a seed),
-    n_items (items covered to `coverage` at least) and contaminated (n_items > 0).
+def items_of(benchmark: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
+    """(item, ik, n, words, seeds) of every distinct id and text with words: n words make a
+    seed; ik stands for the item."""
+    b = benchmark.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("item"), F.col(text_col).cast("string").alias("text"))
+    b = b.where("text is not null").distinct().withColumn("ik", F.xxhash64("item", "text"))
+
+    def cut(frames):
+        for pdf in frames:
+            texts = X.encode(pdf["text"])
+            for a, b in X.batches(texts):
+                h, doc, *_ = X.word_hashes(texts[a:b])
+                edge = np.searchsorted(doc, np.arange(b - a + 1))
+                out = []
+                for i in range(b - a):
+                    w = h[edge[i] : edge[i + 1]]
+                    if len(w):
+                        n = min(k, len(w))
+                        s = np.unique(runs(w, np.zeros(len(w), np.int64), n)[0])
+                        out.append((pdf["item"].iloc[a + i], pdf["ik"].iloc[a + i], n, w.view(np.int64), s.view(np.int64)))
+                yield pd.DataFrame(out, columns=["item", "ik", "n", "words", "seeds"])
 
-    Words are maximal runs without ASCII white space, A-Z lower-cased. Items without words
-    match nothing; null and empty documents match nothing. Whole texts are tiled."""
-    kept = [c for c in docs.columns if c not in ("coverage", "item_id", "n_items", "contaminated")]
-    out = docs.select(*kept, F.lit(0.0).alias("coverage"), F.lit(None).cast("long").alias("item_id"), F.lit(0).cast("long").alias("n_items"))
-    for ids, texts in blocks(benchmark, item_id, item_text, BLOCK_BYTES):
+    return b.mapInPandas(cut, "item long, ik long, n int, words array<long>, seeds array<long>")
 
-        def make(ids=ids, texts=texts):
-            items = Items(ids, texts, k)
 
-            def run(docs, best, item, n):
-                raw = X.encode(docs)
-                for a, b in X.batches(raw):
-                    for d, i, c in overlaps(raw[a:b], items):
-                        d += a
-                        n[d] += c >= coverage
-                        if c > best[d] or c == best[d] and (item[d] is None or ids[i] < item[d]):
-                            best[d], item[d] = c, ids[i]
-                return best, item, n
+def bitmap(seeds: DataFrame) -> np.ndarray:
+    """A bit of 2^BITS for both probes of each seed. The driver gets 2^BITS / 32 numbers at
+    most, made by an aggregation."""
 
-            return run
+    def probe(frames):
+        for pdf in frames:
+            at = np.unique(np.concatenate(_probes(pdf["s"].to_numpy().view(np.uint64))))
+            yield pd.DataFrame({"word": (at >> 5).astype(np.int32), "bit": np.int64(1) << (at & 31)})
 
-        out = _update(out, text_col, make)
-    return out.withColumn("contaminated", F.col("n_items") > 0)
+    got = seeds.select("s").mapInPandas(probe, "word int, bit long").groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()
+    words = np.zeros(1 << (BITS - 5), np.uint32)
+    words[got["word"].to_numpy()] = got["bits"].to_numpy().astype(np.uint32)
+    return words
 
 
-def _update(docs: DataFrame, text_col: str, make) -> DataFrame:
-    state = {"coverage": "double", "item_id": "long", "n_items": "long"}
-    renamed = docs.select(*[F.col(c).alias(f"__{c}") if c in state else F.col(c) for c in docs.columns])
-    return with_columns(renamed, [text_col, *(f"__{c}" for c in state)], state, make).drop(*[f"__{c}" for c in state])
+def decontaminate(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", k: int = MIN_MATCH, coverage: float = COVERAGE) -> DataFrame:
+    """`docs` with coverage (the largest share of an item's words that tiles in the document
+    cover), item_id (that item; ties: the smallest id; null if none shares a seed),
+    n_items (items covered to `coverage` at least) and contaminated (n_items > 0).
+
+    Words are maximal runs without ASCII white space, A-Z lower-cased. Whole texts are tiled
+    (a task holds some 100 bytes for each of the longest text's words). Null, empty and
+    blank documents match nothing, and items without an id or without words are no items;
+    rows of the benchmark that repeat an id and a text are one item. A row's result
+    depends on its text alone, so repeated rows and rows without an id get theirs like any.
+    Columns of `docs` with the four names are replaced; all others are kept, whatever
+    their names. Empty tables are fine: no documents give no rows, no items match nothing."""
+    stash = Stash(spark)
+    items = stash.put(items_of(benchmark, item_id, item_text, k), "items")
+    seeds = stash.put(items.select(F.explode("seeds").alias("s"), "ik"), "seeds")
+    lengths = sorted(r["n"] for r in items.select("n").distinct().collect())  # k numbers at most
+    bits = bitmap(seeds)
+    d = aside(docs, text_col).withColumn("__h", F.xxhash64(F.col(text_col).cast("string")))
+    texts = d.where(F.col(text_col).isNotNull()).select(F.col("__h").alias("h"), F.col(text_col).cast("string").alias("text"))
+
+    def probe(frames):
+        for pdf in frames:
+            raw, own = X.encode(pdf["text"]), pdf["h"].to_numpy()
+            for a, b in X.batches(raw):
+                h, doc, *_ = X.word_hashes(raw[a:b])
+                for n in lengths:
+                    s, at = runs(h, doc, n)
+                    x, y = _probes(s)
+                    hit = np.flatnonzero((bits[x >> 5] >> (x & 31).astype(np.uint32)) & (bits[y >> 5] >> (y & 31).astype(np.uint32)) & np.uint32(1))
+                    yield pd.DataFrame({"h": own[a:b][doc[at[hit]]], "s": s[hit].view(np.int64)}).drop_duplicates()
+
+    hits = texts.mapInPandas(probe, "h long, s long").distinct()
+    pairs = stash.put(hits.join(seeds, "s").select("h", "ik").distinct(), "pairs")
+    some = stash.put(pairs.select("h").distinct(), "some")
+    # a text, then the items that share a seed with it, one by one
+    first = texts.join(some, "h").groupBy("h").agg(F.any_value("text").alias("text"))
+    first = first.select("h", F.lit(None).cast("long").alias("ik"), F.lit(None).cast("long").alias("item"), "text", F.lit(None).cast("array<long>").alias("words"))
+    then = pairs.join(items, "ik").select("h", "ik", "item", F.lit(None).cast("string").alias("text"), "words")
+    both = first.unionByName(then).repartition("h").sortWithinPartitions("h", F.col("text").isNull())
+
+    def run(frames):
+        words = None
+        for pdf in frames:
+            out = []
+            for h, item, text, w in zip(pdf["h"], pdf["item"], pdf["text"], pdf["words"]):
+                if w is None:
+                    words = X.word_hashes(X.encode([text]))[0]
+                else:
+                    w = np.asarray(w, np.int64).view(np.uint64)
+                    out.append((h, int(item), tile(w, words, min(k, len(w))) / len(w)))
+            yield pd.DataFrame(out, columns=["h", "item", "c"])
+
+    # ids pass as text: beside a null, pandas would make them floats
+    both = both.withColumn("item", F.col("item").cast("string")).drop("ik")
+    found = both.mapInPandas(run, "h long, item long, c double")
+    best = F.min(F.struct((-F.col("c")).alias("c"), F.col("item")))
+    found = found.groupBy("h").agg(best.alias("best"), F.count_if(F.col("c") >= coverage).alias("n"))
+    found = stash.put(found.select(F.col("h").alias("__h"), (-F.col("best.c")).alias("coverage"), F.col("best.item").alias("item_id"), F.col("n").alias("n_items")), "found")
+    out = d.join(found, "__h", "left")  # a table: copies of one text may be a third of all rows
+    out = out.withColumn("coverage", F.coalesce("coverage", F.lit(0.0))).withColumn("n_items", F.coalesce("n_items", F.lit(0).cast("long")))
+    return back(out.withColumn("contaminated", F.col("n_items") > 0), docs, (text_col,), ("coverage", "item_id", "n_items", "contaminated"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
