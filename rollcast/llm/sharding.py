@@ -8,7 +8,8 @@ counts are at most one apart, and a changed shard or key moves few rows.
 
 Keys are placed in ring order. Which keys of an arc overflow follows from the arcs'
 counts alone (n * VIRTUAL numbers on the driver, whatever the input), so placing is one
-walk over the ring and the rows need one shuffle, to be ranked in their arcs."""
+walk over the ring. Rows are ranked in their arcs cell by cell (`ranks.ranked`): a cell is a
+fixed piece of the ring, CELLS in all, so an arc is dealt to many tasks."""
 
 from __future__ import annotations
 
@@ -17,11 +18,12 @@ import hashlib
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from .common import tune
+from .common import aside, back, tune
+from .ranks import ranked
 
 SHARDS, VIRTUAL = 16, 64
+CELLS = 1 << 17
 
 
 def ring(shards: int, virtual: int = VIRTUAL) -> list[tuple[int, int]]:
@@ -71,12 +73,15 @@ def place(nodes: list[tuple[int, int]], counts: dict[int, int], bounds: list[int
 
 
 def shard(spark: SparkSession, rows: DataFrame, key: str = "doc_id", shards: int = SHARDS, virtual: int = VIRTUAL, order: tuple = ()) -> DataFrame:
-    """`rows` with shard (0 to shards - 1) and slot (gapless from 0 in each shard). Null
-    keys hash like any value; rows of one key keep the order of the columns `order`, and
-    rows that tie on those too are interchangeable. An empty table gives no rows."""
+    """`rows` with shard (0 to shards - 1) and slot (gapless from 0 in each shard). Rows of one
+    key are neighbours on the ring and keep the order of the columns `order`, by whose hash
+    rows without a key are placed; rows that tie on those too are interchangeable.
+    Columns of `rows` named shard or slot are replaced, all others are kept, whatever their
+    names. An empty table gives no rows."""
+    back_to, rows = rows, aside(rows, key, *order)
     nodes = ring(shards, virtual)
     points = [p for p, _ in nodes]
-    point = F.shiftrightunsigned(F.xxhash64(F.col(key)), 1)
+    point = F.shiftrightunsigned(F.when(F.col(key).isNull(), F.xxhash64(F.col(key), *order)).otherwise(F.xxhash64(F.col(key))), 1)
     # the arc of a point: how many nodes stand before it; the last wraps to the first
     edges = F.array(*[F.lit(p) for p in points])
     width = 12
@@ -93,16 +98,18 @@ def shard(spark: SparkSession, rows: DataFrame, key: str = "doc_id", shards: int
     table = place(nodes, counts, bounds) or [(0, 0, 0, 0, 0)]
     plan = spark.createDataFrame([(a, [(f, e, s, z)]) for a, f, e, s, z in table], "__arc int, __t array<struct<f: long, e: long, s: int, z: long>>")
     plan = plan.groupBy("__arc").agg(F.flatten(F.collect_list("__t")).alias("__t"))
-    rank = F.row_number().over(Window.partitionBy("__arc").orderBy("__p", key, *order)) - 1
-    placed = at.withColumn("__r", rank).join(F.broadcast(plan), "__arc")  # n * virtual rows and as many cuts at most
-    placed = placed.withColumn("__t", F.filter("__t", lambda t: (t.f <= F.col("__r")) & (F.col("__r") < t.e))[0])
-    out = placed.withColumn("shard", F.col("__t.s")).withColumn("slot", F.col("__t.z") + F.col("__r") - F.col("__t.f"))
-    return out.drop("__p", "__arc", "__r", "__t")
+    at = ranked(at.withColumnRenamed("__p", "__at"), ["__arc"], F.col("__at"), [key, *order], "__rank", CELLS)
+    placed = at.join(F.broadcast(plan), "__arc")  # n * virtual rows and as many cuts at most
+    placed = placed.withColumn("__t", F.filter("__t", lambda t: (t.f <= F.col("__rank")) & (F.col("__rank") < t.e))[0])
+    out = placed.withColumn("shard", F.col("__t.s")).withColumn("slot", F.col("__t.z") + F.col("__rank") - F.col("__t.f"))
+    return back(out, back_to, (key, *order), ("shard", "slot"))
 
 
 def shard_documents(spark: SparkSession, docs: DataFrame, shards: int = SHARDS) -> DataFrame:
-    """(doc_id, size, text_crc32, law, shard, slot, grown_shard) of every document. The law
-    is `rows`: counts at most one apart. A null text has size 1 and the CRC of no bytes."""
+    """(doc_id, size, text_crc32, law, shard, slot, grown_shard) of every row. The law is
+    `rows`: counts at most one apart. A null text has size 1 and the CRC of no bytes. Rows
+    that repeat an id are rows like any and get slots of their own. Whole texts are read,
+    by the JVM; other columns are not. An empty table gives no rows."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
     found = shard(spark, rows, "doc_id", shards, order=("size", "text_crc32"))
