@@ -3,12 +3,13 @@
 Paragraphs run from one content-defined anchor to the next: anchors are words whose hash
 (of GRAM words) is the smallest within REACH words on both sides. A passage that is
 repeated inside other text is cut alike wherever it stands, which line ends do not give.
+REACH is set by the shortest passage that has to be found: 50 words hold two anchors, and
+so a whole paragraph, in nearly all cases only if paragraphs are of about 13 words.
 Paragraphs do not overlap, so two of one text share shingles only if the text repeats.
 
 1. Paragraphs of equal words are one class.
-2. Each class has MinHashes of its word shingles in BANDS bands of ROWS; `tune` chooses
-   the bands for the wanted recall at the threshold. Paragraphs without a common
-   shingle never collide, so one row a band selects enough.
+2. Each class has MinHashes of its word shingles in bands of some rows; `tune` chooses
+   both for the wanted recall at the threshold and the fewest keys and false candidates.
 3. Classes that collide in a band are joined, and exact Jaccard similarities of whole
    sets decide (`jaccard_join.search`, bucket by bucket; a large bucket in shards).
 4. Components of the verified links: the paragraph of smallest (id, position) stays,
@@ -24,16 +25,25 @@ from pyspark.sql import functions as F
 from . import textnp as X
 from .common import Stash, components
 from .jaccard_join import SHARD_BYTES, SHARD_DOCS, search
-from .substring_dedup import without_spans
+from .substring_dedup import texts_of, without_spans
 
 GRAM, REACH = 3, 6
 LEAST = 20  # words that a paragraph before the first anchor or after the last one has to be compared alone
-ROWS = 1
+#: What unrelated paragraphs share of their shingles, and what comparing all of them, if they
+#: collided, would cost in keys a paragraph.
+NOISE, PAIRS = 0.01, 25
+MOST_ROWS = 8
 
 
-def tune(similarity: float, recall: float = 0.98, rows: int = ROWS) -> int:
-    """Bands of `rows` MinHashes that find a pair of that similarity with that recall."""
-    return int(np.ceil(np.log(1 - recall) / np.log(1 - similarity**rows)))
+def tune(similarity: float, recall: float = 0.98, noise: float = NOISE, pairs: float = PAIRS) -> tuple[int, int]:
+    """(rows, bands): bands of so many MinHashes that find a pair of that similarity with that
+    recall, the cheapest of one to MOST_ROWS rows. The cost is a key a band, and `pairs`
+    times the chance that paragraphs of similarity `noise` collide."""
+    plans = []
+    for rows in range(1, MOST_ROWS + 1):
+        bands = int(np.ceil(np.log(1 - recall) / np.log(1 - similarity**rows))) if similarity < 1 else 1
+        plans.append((bands + pairs * (1 - (1 - noise**rows) ** bands), rows, bands))
+    return min(plans)[1:]
 
 
 def paragraphs(texts: list[bytes], k: int):
@@ -114,7 +124,7 @@ def paragraphs(texts: list[bytes], k: int):
     return doc[begin], cls, start[begin], last, out, offs
 
 
-def bands(shingles: np.ndarray, offs: np.ndarray, n: int, rows: int = ROWS) -> np.ndarray:
+def bands(shingles: np.ndarray, offs: np.ndarray, n: int, rows: int = 1) -> np.ndarray:
     """(paragraphs, n) keys of the bands."""
     out = np.zeros((len(offs) - 1, n), np.uint64)
     if len(out):
@@ -132,38 +142,46 @@ def remove_near_passages(spark: SparkSession, docs: DataFrame, *, id_col: str =
     them repeat an earlier one.
 
     Words are maximal runs without ASCII white space, A-Z lower-cased; null, empty and blank
-    texts have no paragraphs and lose nothing. Whole texts are used. Ids are unique
-    integers; a row without one loses nothing. An empty table gives no rows."""
-    stash, n_bands = Stash(spark), tune(num / den, recall)
-    src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    texts have no paragraphs and lose nothing. Whole texts are used (a task holds some 100
+    bytes for each of the longest text's words). A document is an id and a text: rows that
+    repeat both are one document and get equal rows; texts that share an id come in order
+    of their hash. A row without an id is not compared, loses nothing and has no
+    paragraphs. Other columns of `docs`, whatever their names, are not read. An empty
+    table gives no rows."""
+    stash, (n_rows, n_bands) = Stash(spark), tune(num / den, recall)
+    src, doc_key = texts_of(docs, id_col, text_col), ["id", "h"]
 
     def cut(frames):
         for pdf in frames:
-            texts, ids = X.encode(pdf["text"]), pdf["id"].to_numpy()
+            texts, ids, hs = X.encode(pdf["text"]), pdf["id"].to_numpy(), pdf["h"].to_numpy()
             for a, b in X.batches(texts):
                 doc, cls, lo, hi, sh, offs = paragraphs(texts[a:b], k)
-                keys = bands(sh, offs, n_bands).view(np.int64)
+                keys = bands(sh, offs, n_bands, n_rows).view(np.int64)
                 at = np.searchsorted(doc, np.arange(b - a + 1))
                 c, lo, hi, w = cls.view(np.int64), lo.astype(np.int32), hi.astype(np.int32), np.diff(offs).astype(np.int32)
-                yield pd.DataFrame({"id": ids[a:b], "c": [c[i:j] for i, j in zip(at[:-1], at[1:])], "from": [lo[i:j] for i, j in zip(at[:-1], at[1:])], "to": [hi[i:j] for i, j in zip(at[:-1], at[1:])], "w": [w[i:j] for i, j in zip(at[:-1], at[1:])], "keys": [keys[i:j].ravel() for i, j in zip(at[:-1], at[1:])]})
+                yield pd.DataFrame({"id": ids[a:b], "h": hs[a:b], "c": [c[i:j] for i, j in zip(at[:-1], at[1:])], "from": [lo[i:j] for i, j in zip(at[:-1], at[1:])], "to": [hi[i:j] for i, j in zip(at[:-1], at[1:])], "w": [w[i:j] for i, j in zip(at[:-1], at[1:])], "keys": [keys[i:j].ravel() for i, j in zip(at[:-1], at[1:])]})
 
-    per_doc = src.where("id is not null").mapInPandas(cut, "id long, c array<long>, from array<int>, to array<int>, w array<int>, keys array<long>")
+    per_doc = src.where("id is not null").mapInPandas(cut, "id long, h long, c array<long>, from array<int>, to array<int>, w array<int>, keys array<long>")
     per_doc = stash.put(per_doc, "paragraphs")
     of = F.floor(F.col("i") / n_bands).cast("int")
     posts = per_doc.select("c", "w", F.posexplode("keys").alias("i", "key")).select("key", F.get("c", of).alias("c"), F.get("w", of).alias("w"))
-    twice = posts.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("key")
+    # a key or a class may stand in a third of all rows: what joins with rows is a table, so
+    # that the joins can split it
+    twice = stash.put(posts.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("key"), "twice")
     posts = stash.put(posts.join(twice, "key").distinct(), "collisions")
-    units = stash.put(per_doc.select("id", F.explode(F.arrays_zip("c", "from", "to")).alias("p")).select("id", "p.*"), "units")
-    stash.drop(per_doc)
+    units = stash.put(per_doc.select(*doc_key, F.explode(F.arrays_zip("c", "from", "to")).alias("p")).select(*doc_key, "p.*"), "units")
+    passages = stash.put(per_doc.select(*doc_key, F.size("c").cast("long").alias("n_passages")).distinct(), "passages")
+    stash.drop(per_doc, twice)
 
     # classes that collide, and how many shards a bucket takes
     full = posts.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.greatest(F.ceil(F.count(F.lit(1)) / SHARD_DOCS), F.ceil(F.sum("w") * 8 / SHARD_BYTES)).alias("k")).where("m > 1")
+    full = stash.put(full, "buckets")
     buckets = stash.put(posts.join(full, "key").select(F.col("key").alias("g"), "k", "c"), "buckets")
-    stash.drop(posts)
-    first = units.groupBy("c").agg(F.min(F.struct("id", "from")).alias("p"), F.count(F.lit(1)).alias("m"))
+    stash.drop(posts, full)
+    first = units.groupBy("c").agg(F.min(F.struct("id", "h", "from")).alias("p"), F.count(F.lit(1)).alias("m"))
     hit = buckets.select("c").distinct().withColumn("hit", F.lit(True))
     first = stash.put(first.join(hit, "c", "left").where("m > 1 or hit"), "firsts")
-    live = first.where("hit").groupBy(F.col("p.id").alias("id")).agg(F.collect_list("c").alias("want"))
+    live = first.where("hit").groupBy(F.col("p.id").alias("id"), F.col("p.h").alias("h")).agg(F.collect_list("c").alias("want"))
 
     def sets(frames):
         for pdf in frames:
@@ -180,7 +198,7 @@ def remove_near_passages(spark: SparkSession, docs: DataFrame, *, id_col: str =
                         rows.append((c, np.unique(sh[offs[i] : offs[i + 1]]).view(np.int64)))
                 yield pd.DataFrame(rows, columns=["c", "s"])
 
-    whole = stash.put(src.join(live.hint("merge"), "id").mapInPandas(sets, "c long, s array<long>"), "sets")
+    whole = stash.put(src.join(live.hint("merge"), doc_key).mapInPandas(sets, "c long, s array<long>"), "sets")
     members = buckets.join(whole, "c").select("g", "k", "c", F.lit(1).cast("long").alias("weight"), "s")
     found = stash.put(search(members, num, den), "links")
     stash.drop(whole)
@@ -188,11 +206,13 @@ def remove_near_passages(spark: SparkSession, docs: DataFrame, *, id_col: str =
     first = first.join(comp.withColumnRenamed("id", "c"), "c", "left").where("m > 1 or component is not null").withColumn("component", F.coalesce("component", "c"))
     stays = first.groupBy("component").agg(F.min("p").alias("stay"))
     first = first.join(stays, "component").where((F.col("m") > 1) | (F.col("p") != F.col("stay"))).select("c", "stay")
-    gone = units.join(first, "c").where((F.col("id") != F.col("stay.id")) | (F.col("from") != F.col("stay.from")))
-    spans = gone.groupBy("id").agg(F.collect_list("from").alias("from"), F.collect_list("to").alias("to"), F.count(F.lit(1)).alias("n_repeated"))
-    spans = stash.put(units.groupBy("id").agg(F.count(F.lit(1)).alias("n_passages")).join(spans, "id", "left"), "spans")
-    out = without_spans(src, spans.select("id", "from", "to"))
-    return out.join(spans.select("id", "n_passages", "n_repeated"), "id", "left").fillna(0, ["n_passages", "n_repeated"])
+    first = stash.put(first, "stay")
+    gone = units.join(first.hint("merge"), "c").where(F.struct("id", "h", "from") != F.col("stay"))
+    spans = gone.groupBy(*doc_key).agg(F.collect_list("from").alias("from"), F.collect_list("to").alias("to"), F.count_distinct("from").alias("n_repeated"))
+    spans = stash.put(passages.join(spans, doc_key, "left"), "spans")
+    stash.drop(units, found, passages)
+    out = without_spans(src, spans.select(*doc_key, "from", "to"))
+    return out.join(spans.select(*doc_key, "n_passages", "n_repeated"), doc_key, "left").fillna(0, ["n_passages", "n_repeated"]).drop("h")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
