@@ -37,7 +37,9 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def tune(spark: SparkSession) -> None:
-    """Small Arrow batches: a batch of texts or sets stays at a few MB in every worker."""
+    """Small Arrow batches: a batch of texts or sets stays at a few MB in every worker. Hot keys
+    of joins are split even where that costs another exchange behind the join."""
+    spark.conf.set("spark.sql.adaptive.forceOptimizeSkewedJoin", "true")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
 
@@ -64,10 +66,23 @@ def with_columns(df: DataFrame, inputs: list[str], new: dict[str, str], make) ->
     return df.mapInArrow(run, schema)
 
 
+def aside(docs: DataFrame, *keep: str) -> DataFrame:
+    """`docs` with its columns named by place, all but `keep`, so that new columns clash with
+    none."""
+    return docs.toDF(*[c if c in keep else f"__col{i}" for i, c in enumerate(docs.columns)])
+
+
+def back(df: DataFrame, docs: DataFrame, keep: tuple, new: tuple = ()) -> DataFrame:
+    """A frame made from `aside(docs, *keep)` with the names of `docs` again, and the columns
+    `new`, which replace those of their names."""
+    kept = [(c if c in keep else f"__col{i}", c) for i, c in enumerate(docs.columns) if c not in new]
+    return df.select(*[F.col(f"`{x}`") for x in [*[x for x, _ in kept], *new]]).toDF(*[c for _, c in kept], *new)
+
+
 _freed = 0.0
 
 
-def free(spark: SparkSession, every: float = 10.0) -> None:
+def free(spark: SparkSession, every: float = 2.0) -> None:
     """Lets Spark delete the shuffle files of frames that nobody holds any more, at most once
     in `every` seconds."""
     global _freed
@@ -108,10 +123,10 @@ class Stash:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def release(but: Stash | None = None) -> None:
-    """Deletes the tables of all stashes, or of all but one: for when the operators' results
+def release(but: list[Stash] | tuple = ()) -> None:
+    """Deletes the tables of all stashes, those in `but` apart: for when the operators' results
     have been written or read."""
-    for stash in [x for x in Stash.held if x is not but]:
+    for stash in [x for x in Stash.held if x not in but]:
         if stash.spark.sparkContext._jsc is not None:  # else the session has ended
             stash._delete(stash.root)
         Stash.held.remove(stash)

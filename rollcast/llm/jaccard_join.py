@@ -254,21 +254,22 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, *, id_col: str = "d
     stash = Stash(spark)
     dig = stash.put(digests(docs, id_col, text_col, k, num, den, extra), "digests")
     posts = dig.where("n > 0 and id is not null").select(F.explode("tokens").alias("t"), F.col("class").alias("c"), "n")
-    twice = posts.groupBy("t").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("t")
+    # a token may stand in a third of all rows: counts are tables, so that joins can split it
+    twice = stash.put(posts.groupBy("t").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("t"), "twice")
     posts = stash.put(posts.join(twice, "t").groupBy("t", "c").agg(F.first("n").alias("n")), "postings")
     ids = stash.put(dig.select("id", "n", "class"), "ids")
-    stash.drop(dig)
-    df = posts.groupBy("t").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    stash.drop(dig, twice)
+    df = stash.put(posts.groupBy("t").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "lengths")
     by_doc = Window.partitionBy("c").orderBy(F.desc("df"), "t")
     # the longest lists of each document are set aside
     lists = posts.join(df, "t").withColumn("r", F.row_number().over(by_doc)).where(F.col("r") > F.floor(F.col("n") * num / (den * extra)))
     lists = stash.put(lists.select("t", "c", "n"), "lists")
-    stash.drop(posts)
+    stash.drop(posts, df)
     # what the short lists connect, and how many shards that takes
-    lead = lists.groupBy("t").agg(F.min("c").alias("l"), F.max("c").alias("h")).where("l < h").select("t", "l")
+    lead = stash.put(lists.groupBy("t").agg(F.min("c").alias("l"), F.max("c").alias("h")).where("l < h").select("t", "l"), "lead")
     near = lists.join(lead, "t").where(F.col("c") != F.col("l")).select(F.col("l").alias("u"), F.col("c").alias("v"))
     groups = stash.put(components(spark, near, stash), "groups")
-    stash.drop(lists)
+    stash.drop(lists, lead)
     classes = ids.where("n > 0 and id is not null").groupBy("class", "n").agg(F.min("id").alias("class_id"), F.count_distinct("id").alias("weight"))
     classes = stash.put(classes, "classes")
     live = classes.join(groups, F.col("class") == F.col("id")).select(F.col("component").alias("g"), F.col("class").alias("c"), "n", "class_id", "weight")

@@ -137,7 +137,8 @@ def windows(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def train(spark: SparkSession, docs: DataFrame, use, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> ByteCNN | None:
     """The network, fitted on TRAIN_WINDOWS windows of each of TRAIN_DOCS documents at most:
     those with a language for which the condition `use` holds, of the smallest id
-    hashes. None if there are none."""
+    hashes. Rows without an id or a text are not learned from; rows that repeat an id are.
+    None if there is nothing to learn from."""
     known = docs.where(use & F.col(lang_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"))
     ids = known.orderBy(F.xxhash64("id"), "id").limit(TRAIN_DOCS).select("id").toPandas()["id"].tolist()
     if not ids:
@@ -161,8 +162,12 @@ def train(spark: SparkSession, docs: DataFrame, use, id_col: str = "doc_id", tex
 
 
 def identify(docs: DataFrame, model: ByteCNN | None, text_col: str = "text") -> DataFrame:
-    """`docs` with lang_pred and score. A text that is null or has no letters is `und`
-    with score 0, as is any text if there is no model. All of every text is read."""
+    """`docs` with lang_pred and score. A text that is null, empty or has no letters is `und`
+    with score 0, as is any text if there is no model. All of every text is read, a batch of
+    2 MB of texts, or one longer text, at a time (some 20 bytes a byte of text). A row's
+    result depends on its text alone, so repeated rows and rows without an id get theirs
+    like any; of languages that tie the first by name wins. Columns of `docs` named
+    lang_pred or score are replaced; all others pass through. An empty table gives no rows."""
 
     def make():
         tables = model.fold() if model else None

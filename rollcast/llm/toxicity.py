@@ -149,7 +149,11 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, use, id_col:
 
 def score(docs: DataFrame, fm: FactorizationMachine | None, text_col: str = "text") -> DataFrame:
     """`docs` with score (0 to 1) and predicted (score >= THRESHOLD). Null and empty texts
-    have no terms and get the prior; without a machine every score is 0."""
+    have no terms and get the prior; without a machine every score is 0. All of every text
+    is read, a batch of 2 MB of texts, or one longer text, at a time (some 100 bytes for
+    each of its words). A row's result depends on its text alone, so repeated rows and rows
+    without an id get theirs like any. Columns of `docs` named score or predicted are
+    replaced; all others pass through. An empty table gives no rows."""
 
     def make():
         def run(texts):

@@ -238,7 +238,75 @@ def test_paragraph_dedup(spark, docs):
         assert len(gone) == r["n_removed"] and len(b) - len(gone) == len(r["kept"]) and r["n_bytes"] == len(b)
         if i == 3:
             assert set(gone.decode().split()) <= set(passage.split()) and len(gone.split()) >= 25
-    assert paragraph_dedup.tune(0.75) == 3
+
+
+def test_bands_are_tuned():
+    assert paragraph_dedup.tune(0.75) == (1, 3)
+    rows, n = paragraph_dedup.tune(0.75, noise=0.3)  # more rows where unrelated paragraphs collide
+    assert rows > 1 and 1 - (1 - 0.75**rows) ** n >= 0.98
+    assert paragraph_dedup.tune(1.0)[1] == 1
+
+
+def near_texts(n, seed=3):
+    """Texts of which many share passages, some of their words changed."""
+    rng = random.Random(seed)
+    word = lambda: f"w{rng.randrange(4000)}"
+    bases = [[word() for _ in range(rng.randint(40, 120))] for _ in range(12)]
+    out = []
+    for i in range(n):
+        w = [x if rng.random() > 0.03 else word() for x in rng.choice(bases)]
+        out.append((i, " ".join([word() for _ in range(rng.randint(0, 60))] + w + [word() for _ in range(rng.randint(0, 60))])))
+    return out
+
+
+def similar_paragraphs(rows, k=5):
+    """(paragraphs (id, from, to, class, set), pairs of them at 0.75 or more): all compared."""
+    doc, cls, lo, hi, sh, offs = paragraph_dedup.paragraphs([(t or "").encode() for _, t in rows], k)
+    units = [(rows[d][0], int(a), int(b), int(c), frozenset(sh[x:y].tolist())) for d, a, b, c, x, y in zip(doc, lo, hi, cls, offs[:-1], offs[1:])]
+    pairs = [(i, j) for j in range(len(units)) for i in range(j) if units[i][3] == units[j][3] or 100 * len(units[i][4] & units[j][4]) >= 75 * len(units[i][4] | units[j][4])]
+    return units, pairs
+
+
+def test_bands_find_similar_paragraphs():
+    rows = near_texts(150)
+    doc, cls, lo, hi, sh, offs = paragraph_dedup.paragraphs([t.encode() for _, t in rows], 5)
+    r, n = paragraph_dedup.tune(0.75)
+    keys = paragraph_dedup.bands(sh, offs, n, r)
+    units, pairs = similar_paragraphs(rows)
+    pairs = [(i, j) for i, j in pairs if units[i][3] != units[j][3]]
+    assert len(pairs) > 300 and np.mean([(keys[i] == keys[j]).any() for i, j in pairs]) >= 0.95
+
+
+def test_paragraph_dedup_is_brute_force(spark):
+    """With bands that miss no pair the result is that of comparing all paragraphs."""
+    rows = near_texts(60) + [(70, None), (71, "few words"), (72, "Few words"), (73, "")]
+    units, pairs = similar_paragraphs(rows)
+    p, find = union_find(len(units))
+    for i, j in pairs:
+        p[find(j)] = find(i)
+    first = {}
+    for i in sorted(range(len(units)), key=lambda i: units[i][:2]):
+        first.setdefault(find(i), i)
+    want = {i: [0, []] for i, _ in rows}
+    for i, u in enumerate(units):
+        want[u[0]][0] += 1
+        if first[find(i)] != i:
+            want[u[0]][1].append(u[1:3])
+    twice = rows + rows[:5]  # repeated rows change nothing
+    got = paragraph_dedup.remove_near_passages(spark, spark.createDataFrame(twice, "doc_id long, text string").repartition(3), recall=1 - 1e-9).collect()
+    assert len(got) == len(twice)
+    for r in got:
+        n, gone = want[r["id"]]
+        covered = {x for a, b in gone for x in range(a, b)}
+        assert (r["n_passages"], r["n_repeated"], r["n_removed"]) == (n, len(gone), len(covered))
+        assert {x for s in r["spans"] for x in range(s["from"], s["to"])} == covered
+
+
+def test_paragraph_dedup_of_texts_that_share_an_id(spark):
+    a, b = " ".join(f"a{i}" for i in range(80)), " ".join(f"b{i}" for i in range(90))
+    rows = [(1, a), (1, b), (1, a), (2, b), (None, a)]
+    got = sorted((r["id"] or 0, r["n_bytes"], r["n_removed"], r["n_repeated"] == r["n_passages"]) for r in paragraph_dedup.remove_near_passages(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == sorted([(1, len(a), 0, False), (1, len(a), 0, False), (1, len(b), 0, False), (2, len(b), len(b), True), (0, len(a), 0, True)])
 
 
 @pytest.mark.parametrize("run", [jaccard_join.jaccard_components, substring_dedup.remove_repeats, paragraph_dedup.remove_near_passages])

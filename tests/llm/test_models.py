@@ -123,6 +123,14 @@ def library(pieces, unknown, bytes_):
     return t
 
 
+def test_token_counts_of_two_vocabularies():
+    """Words that were counted with one vocabulary are not taken for another."""
+    rest = [("▁", -1.0), *((f"q{i}z", -3.0) for i in range(62))]
+    one, two = token_count.UnigramCounter([("▁ab", -2.0), *rest], False), token_count.UnigramCounter([("▁zz", -2.0), *rest], False)
+    assert one.by_word and two.by_word
+    assert [c.count("ab ab")[0] for c in (one, two, one)] == [2, 4, 2]
+
+
 @pytest.mark.parametrize("bytes_", [False, True])
 @pytest.mark.parametrize("scores", [(-1.0, -2.0, -3.0), (-1.0, -2.5, -3.25, -0.1)])
 def test_token_counts_are_the_library_s(bytes_, scores):
@@ -172,74 +180,145 @@ def brute_tile(item, doc, k):
         covered += n
 
 
+def hashes(words):
+    return decontaminate.X.word_hashes([" ".join(words).encode()])[0]
+
+
 def test_greedy_string_tiling():
     rng = random.Random(4)
-    for _ in range(60):
-        item, doc = [f"v{rng.randrange(6)}" for _ in range(rng.randint(3, 20))], [f"v{rng.randrange(6)}" for _ in range(rng.randint(0, 40))]
-        items = decontaminate.Items([9], [" ".join(item).encode()], 3)
-        got = decontaminate.overlaps([" ".join(doc).encode()], items)
-        want = brute_tile(item, doc, 3)
-        assert round((got[0][2] if got else 0) * len(item)) == want
+    for trial in range(150):
+        n = 2 if trial % 3 == 0 else 6
+        item, doc = [f"v{rng.randrange(n)}" for _ in range(rng.randint(3, 20))], [f"v{rng.randrange(n)}" for _ in range(rng.randint(0, 40))]
+        assert decontaminate.tile(hashes(item), hashes(doc), 3) == brute_tile(item, doc, 3)
+    for a, b in ((5, 17), (17, 5), (12, 12)):
+        assert decontaminate.tile(hashes(["w"] * a), hashes(["w"] * b), 3) == brute_tile(["w"] * a, ["w"] * b, 3)
+
+
+def test_tiling_of_repeated_words_is_quick():
+    import time
+
+    took = []
+    for n in (2000, 16000):
+        start = time.monotonic()
+        assert decontaminate.tile(hashes(["w"] * n), hashes(["w"] * (10 * n) + ["x"]), 5) == n
+        took.append(time.monotonic() - start)
+    assert took[1] < 8 * 8 * max(took[0], 0.02)  # far from the square
 
 
-def test_decontamination(spark, monkeypatch):
+def test_decontamination(spark):
     rng = random.Random(6)
     fresh = lambda n: [f"u{rng.randrange(10**6)}" for _ in range(n)]
     items = [fresh(40), fresh(30), fresh(3), []]
     parts = [items[0][20:30], fresh(5), items[0][:20], fresh(9), items[0][30:]]
     rows = [(1, " ".join(fresh(50) + items[1] + fresh(9)), 1.5, 3), (2, " ".join(sum(parts, [])).upper().replace("U", "u"), 1.5, 3), (3, " ".join(fresh(40) + items[0][:8]), 1.5, 3), (4, None, 1.5, 3), (5, "", 1.5, 3), (BIG, " ".join(fresh(4) + items[2]), 1.5, 3), (None, " ".join(items[1]), 1.5, 3)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, coverage double, item_id int")
-    bench = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(items)] + [(8, None), (None, "x")], "item_id long, text string")
-    for block in (decontaminate.BLOCK_BYTES, 200):
-        monkeypatch.setattr(decontaminate, "BLOCK_BYTES", block)
-        got = {r["doc_id"]: (r["item_id"], r["contaminated"], round(r["coverage"], 2)) for r in decontaminate.decontaminate(spark, docs, bench).collect()}
-        assert got == {1: (1, True, 1.0), 2: (0, True, 1.0), 3: (0, False, 0.2), 4: (None, False, 0), 5: (None, False, 0), BIG: (2, True, 1.0), None: (1, True, 1.0)}
+    rows += rows[:1]
+    docs = spark.createDataFrame([(*r, "mine") for r in rows], "doc_id long, text string, coverage double, item_id int, __h string")
+    bench = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(items)] * 2 + [(8, None), (None, "x")], "item_id long, text string")
+    out = decontaminate.decontaminate(spark, docs, bench)
+    assert out.columns == ["doc_id", "text", "__h", "coverage", "item_id", "n_items", "contaminated"]
+    got = out.collect()
+    assert len(got) == len(rows) and {r["__h"] for r in got} == {"mine"} and {r["n_items"] for r in got} == {0, 1}
+    got = {r["doc_id"]: (r["item_id"], r["contaminated"], round(r["coverage"], 2)) for r in got}
+    assert got == {1: (1, True, 1.0), 2: (0, True, 1.0), 3: (0, False, 0.2), 4: (None, False, 0), 5: (None, False, 0), BIG: (2, True, 1.0), None: (1, True, 1.0)}
     assert decontaminate.decontaminate(spark, docs, bench.where("item_id > 99")).where("contaminated").count() == 0
     assert decontaminate.decontaminate(spark, docs.where("doc_id < 0"), bench).count() == 0
 
 
-@pytest.mark.parametrize("weights", [{"a": 5, "b": 3, "c": 2}, {"a": 0.9, "b": 0.05, "c": 0.05}, {str(i): i + 1 for i in range(30)}])
+def test_decontamination_is_tiling_of_all_pairs(spark, sf):
+    """Against all pairs of documents and items, without seeds and bitmap."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    bench = spark.read.parquet(f"{sf}/benchmark.parquet")
+    texts = {r["doc_id"]: hashes((r["text"] or "").split(" ")) for r in docs.collect()}
+    items = [(r["item_id"], hashes(r["text"].split(" "))) for r in bench.collect() if r["text"]]
+    got = {r["doc_id"]: (r["coverage"], r["item_id"], r["n_items"]) for r in decontaminate.decontaminate(spark, docs, bench).collect()}
+    for i, w in texts.items():
+        all_ = [(decontaminate.tile(x, w, min(5, len(x))) / len(x), -k) for k, x in items if len(x)]
+        best = max(all_, default=(0, 0))
+        assert got[i] == (best[0], -best[1] if best[0] else None, sum(c >= 0.5 for c, _ in all_))
+
+
+def deviation(order, weights):
+    """The largest distance of any source from its share, in blocks, over all slots."""
+    from fractions import Fraction
+
+    total = sum(map(mixing.as_written, weights.values()))
+    t, out = np.arange(1, len(order) + 1), 0.0
+    for s, w in weights.items():
+        share = Fraction(mixing.as_written(w), 1) / total
+        exact = t * share.numerator  # in parts of the denominator, whole numbers
+        out = max(out, np.abs(np.cumsum(np.array(order) == s) * share.denominator - exact).max() / share.denominator)
+    return out
+
+
+@pytest.mark.parametrize("weights", [{"a": 5, "b": 3, "c": 2}, {"a": 0.9, "b": 0.05, "c": 0.05}, {"a": 1, "b": 1, "c": 1}, {"a": 0.0004, "b": 0.3333, "c": 0.6663}, {str(i): i + 1 for i in range(30)}])
 def test_pfair_deviation_is_below_one_block(weights):
-    parts, period = mixing.integer_weights(weights, 200)
-    assert sum(parts.values()) == period and min(parts.values()) >= 1
-    order = mixing.schedule(parts, period)
-    for s, a in parts.items():
-        got = np.cumsum([x == s for x in order])
-        assert np.abs(got - np.arange(1, period + 1) * a / period).max() < 1 and got[-1] == a
-
-
-def test_phases_serve_each_block_once():
-    have, target = {"a": 500, "b": 37, "c": 1, "d": 0}, {"a": 5.0, "b": 3.0, "c": 1.0, "d": 1.0}
-    out = mixing.phases(have, target, 100, 1.0)
-    taken = {}
+    import itertools
+
+    n = 300_000
+    have = dict.fromkeys(weights, n)
+    order = [s for s, _, _ in itertools.islice(mixing.serve(have, {s: mixing.as_written(w) for s, w in weights.items()}, 1.0), n)]
+    assert deviation(order, weights) < 1
+
+
+def laid_out(have, out):
+    """(source, block, slot) of the phases' plan."""
+    rows = []
     for p in out:
         for s, a in p["parts"].items():
             n = p["length"] // p["period"] * a + sum(x < p["length"] % p["period"] for x in p["slots"][s])
-            taken[s] = taken.get(s, 0) + n
-    assert taken == {"a": 500, "b": 37, "c": 1}
-    assert sum(p["length"] for p in out) == 538
+            rows += [(s, p["first"][s] + k, p["slot"] + k // a * p["period"] + p["slots"][s][k % a]) for k in range(n)]
+    return sorted(rows, key=lambda r: r[2])
+
+
+def test_phases_and_server_are_the_same_order():
+    rng = random.Random(3)
+    for trial in range(40):
+        have = {f"s{i}": rng.choice([0, 1, 5, 40, 300]) for i in range(rng.randint(1, 8))}
+        target = mixing.targets(have, {s: rng.choice([1, 3, 0.25, 0.1]) for s in list(have)[: rng.randint(1, 8)]}, 0.7, 100)
+        stop = rng.choice([1.0, 0.5, 0.0])
+        served = list(mixing.serve(have, target, stop))
+        assert served == laid_out(have, mixing.phases(have, target, stop)) and [t for *_, t in served] == list(range(len(served)))
+        if stop == 1:
+            assert len(served) == sum(n for s, n in have.items() if s in target)
+        # each phase, in which weights are constant, keeps within one block of its targets
+        start, left = 0, {s: n for s, n in have.items() if n and s in target}
+        for p in mixing.phases(have, target, stop):
+            order = [s for s, _, t in served if p["slot"] <= t < p["slot"] + p["length"]]
+            assert not order or deviation(order, {s: target[s] for s in p["parts"]}) < 1
+    assert mixing.phases({"a": 10**9, "b": 10**9}, {"a": 10**9 + 7, "b": 10**9 + 9}, 1.0) is None
 
 
 def test_mixing(spark):
     rng = random.Random(2)
-    rows = [(i, rng.choice(["a"] * 6 + ["b", "b", "c", None])) for i in range(3000)] + [(7000, "tiny"), (None, "a"), (5, "b")]
-    d = spark.createDataFrame(rows, "doc_id long, source string").repartition(3)
+    rows = [(i, rng.choice(["a"] * 6 + ["b", "b", "c", None]), 7) for i in range(3000)] + [(7000, "tiny", 7), (None, "a", 7), (5, "b", 7), (5, "b", 7)]
+    d = spark.createDataFrame(rows, "doc_id long, source string, __k long").repartition(3)
     got = mixing.mix(spark, d, {"a": 1, "b": 1, "c": 1}, block=4)
-    assert got.count() == len(rows)
+    assert got.count() == len(rows) and got.where("__k = 7").count() == len(rows)
     mixed = got.where("in_mix").toPandas()
     assert set(mixed["source"].dropna()) == {"a", "b", "c"} and mixed["source"].notna().all()
     assert mixed["mix_position"].is_unique
     slots = mixed.groupby("mix_slot")["source"].agg(["first", "nunique"]).sort_index()
     assert (slots["nunique"] == 1).all() and (slots.index == range(len(slots))).all()
-    head = slots["first"].to_numpy()[: 3 * (slots["first"] == "c").sum() - 3]
-    for s in "abc":
-        assert np.abs(np.cumsum(head == s) - np.arange(1, len(head) + 1) / 3).max() < 1.02  # weights are rounded to thousandths
-    same = mixing.mix(spark, d.repartition(5), {"a": 1, "b": 1, "c": 1}, block=4).where("in_mix").toPandas()
-    assert dict(zip(same["mix_position"], same["source"])) == dict(zip(mixed["mix_position"], mixed["source"]))
-    assert mixing.mix(spark, d).where("mix_rank is null").count() == 0
+    head = slots["first"].tolist()[: 3 * (slots["first"] == "c").sum() - 3]
+    assert deviation(head, {"a": 1, "b": 1, "c": 1}) < 1
+    for plan in (mixing.PLAN, 0):  # by the plan of phases and by the server
+        same = mixing.mix(spark, d.repartition(5), {"a": 1, "b": 1, "c": 1}, block=4, plan=plan).where("in_mix").toPandas()
+        assert dict(zip(same["mix_position"], same["source"])) == dict(zip(mixed["mix_position"], mixed["source"]))
+    clash = mixing.mix(spark, d.withColumnRenamed("__k", "mix_rank"))
+    assert clash.columns == ["doc_id", "source", "mix_rank", "mix_slot", "mix_position", "in_mix"] and clash.where("mix_rank is null or not in_mix").count() == 0
     assert mixing.mix(spark, d.where("doc_id < 0")).count() == 0
 
 
+def test_mixing_of_many_sources(spark):
+    """More sources than the driver schedules: every row is served, in the order of one heap."""
+    rows = [(i, f"s{i % 2500}") for i in range(6000)]
+    got = mixing.mix(spark, spark.createDataFrame(rows, "doc_id long, source string"), block=1).toPandas()
+    assert sorted(got["mix_slot"]) == list(range(6000)) and got["in_mix"].all()
+    have = got.groupby("source").size().to_dict()
+    want = {(s, k): t for s, k, t in mixing.serve(have, mixing.targets(have, None, mixing.TEMPER, mixing.PERIOD), 1.0)}
+    assert {(s, k): t for s, k, t in zip(got["source"], got["mix_rank"], got["mix_slot"])} == want
+
+
 def test_ranks(spark):
     d = spark.createDataFrame([(i % 3 if i % 7 else None, i) for i in range(500)], "g long, i long")
     got = ranks.ranked(d, ["g"], ranks.hash63("i"), ["i"], cells=16).toPandas()
@@ -289,6 +368,15 @@ def test_sharding(spark):
     assert (both["shard_x"] != both["shard_y"]).mean() < 0.05
 
 
+def test_sharding_keeps_columns_and_deals_rows_without_a_key(spark):
+    d = spark.createDataFrame([(None, i, "x") for i in range(400)] + [(7, 7, "x")] * 3, "k long, shard long, __arc string")
+    got = sharding.shard(spark, d, "k", 8, order=("shard",)).toPandas()
+    assert list(got.columns) == ["k", "__arc", "shard", "slot"] and set(got["__arc"]) == {"x"}
+    assert sorted(got.groupby("shard").size()) == [50] * 5 + [51] * 3 and not got.duplicated(["shard", "slot"]).any()
+    arcs = {tuple(r) for r in d.where("k is null").select(F.shiftrightunsigned(F.xxhash64("k", "shard"), 54)).collect()}
+    assert len(arcs) > 200  # not one place of the ring
+
+
 def test_sharding_odd_rows(spark):
     r = sharding.shard_documents(spark, odd(spark)).collect()
     assert len(r) == 6 and {x["shard"] for x in r} == set(range(6)) and {x["size"] for x in r if x["doc_id"] == BIG} == {1}
@@ -336,6 +424,32 @@ def test_embeddings(spark, monkeypatch, shard):
     assert embedding_dedup.near_duplicates(spark, d.where("vec_id < 0")).count() == 0
 
 
+def test_embeddings_of_repeated_rows_and_extreme_numbers(spark):
+    a, b, c = [1.0, 2.0, 3.0], [1.0, 2.0, 3.01], [3.0, -1.0, 0.5]
+    big, tiny = [x * 1e200 for x in a], [x * 1e-200 for x in b]
+    rows = [(1, a, 0, "u"), (1, a, 0, "v"), (2, a, 0, "u"), (3, b, 0, "u"), (3, b, 0, "u"), (4, c, 0, "u"), (4, c, 0, "u"), (5, big, 0, "u"), (6, tiny, 0, "u"), (7, a, 1, "u"), (None, a, 0, "u"), (8, a, 0, "u"), (8, c, 0, "u"), (9, None, 0, "u"), (9, None, 0, "u")]
+    d = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int, h string").repartition(3)
+    got = sorted((tuple(r) for r in embedding_dedup.near_duplicates(spark, d).collect()), key=str)
+    near = lambda i: (i, 5, 1, i == 1)
+    want = [near(i) for i in (1, 1, 2, 3, 3, 5, 6, 8)] + [(4, 1, 4, True)] * 2 + [(7, 0, 7, True), (8, 1, 4, False), (9, 0, 9, True), (9, 0, 9, True), (None, 0, None, None)]
+    assert got == sorted(want, key=str)
+
+
+def test_embeddings_equal_sql(spark, tmp_path):
+    """The SQL of the query, on a table with links."""
+    import duckdb
+
+    from rollcast.llm import queries
+
+    _, d = vectors(spark, 4)
+    d.write.parquet(str(tmp_path / "embeddings.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    want = sorted(con.execute(queries.oracle_sql()["op6_embedding_dedup"]).fetchall())
+    got = sorted(tuple(r) for r in queries.queries()["op6_embedding_dedup"](spark, str(tmp_path)).collect())
+    assert sum(r[1] for r in want) > 100 and np.mean([x == y for x, y in zip(got, want)]) >= 0.98
+
+
 def test_key_plan():
     assert embedding_dedup.key_plan(1, 0.98)[0] == 6
     small, large = embedding_dedup.key_plan(10**5, 0.98), embedding_dedup.key_plan(10**10, 0.98)
@@ -346,12 +460,14 @@ def test_pipeline(spark, sf, tmp_path):
     import corpus_pipeline as C
 
     rng = random.Random(8)
-    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    mine = {"score": F.col("doc_id") * 0.5, "coverage": F.lit(2.5), "item_id": F.lit("mine"), "mix_rank": F.col("doc_id"), "__col0": F.lit("x"), "in_mix": F.lit(False), "id": F.lit(1)}
+    plain = spark.read.parquet(f"{sf}/documents.parquet")
+    docs = plain.withColumns(mine)
     bench = spark.read.parquet(f"{sf}/benchmark.parquet")
     item = bench.orderBy(F.length("text").desc()).first()["text"]
     long = docs.where("n_chars > 2000").orderBy("doc_id").first()
     extra = [(90001, None, None, None, 0), (90002, "123 456", "en", "src1", 7), (90003, long["text"], long["lang"], "src2", 1), (90004, "Fresh words " + " ".join(f"zz{rng.randrange(10**6)}" for _ in range(50)) + " " + item, "en", "src3", 1), (None, "a text without an id but with words", "en", "src1", 3)]
-    docs.unionByName(spark.createDataFrame(extra, docs.schema)).write.parquet(str(tmp_path / "documents.parquet"))
+    plain.unionByName(spark.createDataFrame(extra, plain.schema)).withColumns(mine).write.parquet(str(tmp_path / "documents.parquet"))
     bench.write.parquet(str(tmp_path / "benchmark.parquet"))
     assert 4 <= len(C.STAGES) <= 5
     frame = spark.read.parquet(str(tmp_path / "documents.parquet"))
@@ -361,6 +477,7 @@ def test_pipeline(spark, sf, tmp_path):
         assert after.columns == docs.columns
         path = str(tmp_path / name)
         after.write.parquet(path)
+        assert spark.read.parquet(path).exceptAll(frame).count() == 0  # rows go, values stay
         before, frame = {r["doc_id"] for r in frame.collect()}, spark.read.parquet(path)
         seen.append(before - {r["doc_id"] for r in frame.collect()})
     assert {90001, 90002} <= seen[0] and 90003 in seen[1] and 90004 in seen[2]
