@@ -86,34 +86,88 @@ def smap(states: np.ndarray, targets: np.ndarray, point: np.ndarray, theta: floa
     return float(beta[0] + point @ beta[1:]), beta
 
 
-def endpoint(states: np.ndarray, nexts: np.ndarray, theta: float, ridge: float = 1e-6) -> tuple[float, float]:
-    """(observed, forecast) of the last row's next value, from the rows before it: z-scored by
-    their mean and sample deviation, weights exp(-theta * d / mean of positive d) under a root,
-    and a ridge on the slopes relative to the mean squared row. NaN with fewer than
-    max(8, columns + 3) complete rows."""
-    x, y, last, obs = states[:-1], nexts[:-1], states[-1], nexts[-1]
-    ok = np.isfinite(y) & np.isfinite(x).all(1)
-    x, y = x[ok], y[ok]
+def weights(d: np.ndarray, theta: float, weighting: str = "w") -> np.ndarray:
+    """(points, states) from distances; infinite ones weigh nothing and are not in the mean."""
+    there = np.isfinite(d)
+    n = there.sum(1, keepdims=True)
+    mean = np.where(there, d, 0).sum(1, keepdims=True) / np.maximum(n, 1)
+    w = np.where(there, np.exp(-theta * np.where(there, d, 0) / np.where(mean > 0, mean, 1)), 0)
+    w = np.where(mean > 0, w, there)
+    return w if weighting == "w" else np.sqrt(w)
+
+
+def apart(states: np.ndarray, points: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """(points, states): distances; infinite from a point to the state `own` that is itself (-1:
+    none)."""
+    d = np.sqrt(((points[:, None] - states[None]) ** 2).sum(2))
+    mine = own >= 0
+    d[np.flatnonzero(mine), own[mine]] = np.inf
+    return d
+
+
+def simplex_block(states: np.ndarray, targets: np.ndarray, points: np.ndarray, own: np.ndarray, k: int) -> np.ndarray:
+    """`simplex` of each point, without its own state."""
+    d = apart(states, points, own)
+    near = np.argsort(d, axis=1, kind="stable")[:, :k]
+    d = np.take_along_axis(d, near, 1)
+    if not d.shape[1]:
+        return np.full(len(points), np.nan)
+    there, d0 = np.isfinite(d), d[:, :1]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        w = np.where(d0 > 0, np.maximum(np.exp(-d / d0), 1e-6), np.where(d == 0, 1.0, 1e-6)) * there
+        return np.where(there, w * targets[near], 0).sum(1) / w.sum(1)
+
+
+def smap_block(states: np.ndarray, targets: np.ndarray, points: np.ndarray, own: np.ndarray, theta: float, weighting: str = "w") -> tuple[np.ndarray, np.ndarray]:
+    """`smap` of each point, without its own state: one stacked least-squares solution."""
     p = states.shape[1] + 1
-    if len(y) < max(8, p + 2) or not np.isfinite(obs) or not np.isfinite(last).all():
-        return np.nan, np.nan
-    sd = x.std(0, ddof=1)
-    sd[~(sd > 1e-12)] = 1.0
-    x, last = (x - x.mean(0)) / sd, (last - x.mean(0)) / sd
-    d = distances(x, last)
-    mean = d[d > 0].mean() if (d > 0).any() else 1.0
-    w = np.sqrt(np.exp(-theta * d / mean))
-    if not w.sum() > 0:
-        w = np.ones(len(d))
-    a = np.column_stack([np.ones(len(x)), x]) * w[:, None]
-    gram = a.T @ a
-    gram += ridge * max(1.0, np.trace(gram) / p) * np.diag([0.0] + [1.0] * (p - 1))
-    right = a.T @ (y * w)
-    try:
-        beta = np.linalg.solve(gram, right)
-    except np.linalg.LinAlgError:
-        beta = np.linalg.pinv(gram) @ right
-    return float(obs), float(beta[0] + last @ beta[1:])
+    d = apart(states, points, own)
+    w = weights(d, theta, weighting)
+    rows = np.column_stack([np.ones(len(states)), states])[None] * w[:, :, None]
+    if not len(points) or len(states) < p:
+        return np.full(len(points), np.nan), np.full((len(points), p), np.nan)
+    beta = (np.linalg.pinv(rows, rcond=np.finfo(float).eps * max(rows.shape[1:])) @ (w * targets)[:, :, None])[:, :, 0]
+    beta[np.isfinite(d).sum(1) < p] = np.nan
+    return beta[:, 0] + (points * beta[:, 1:]).sum(1), beta
+
+
+# The fewest complete rows, and rows beyond the columns, of an endpoint forecast,
+# and the deviation below which a column is constant.
+ENDPOINT_ROWS, ENDPOINT_SPARE, CONSTANT = 8, 3, 1e-12
+
+
+def endpoint(windows: np.ndarray, nexts: np.ndarray, theta: float, ridge: float = 1e-6) -> tuple[float, np.ndarray]:
+    """(observed, forecasts) of the last row's next value, a forecast for each variant of a window
+    in `windows` (variants, rows, columns), from the rows before the last.
+
+    Each minimises sum k_i (y_i - b_0 - b z_i)^2 + c |b|^2 over the complete rows, where z are
+    their z-scores (sample deviation), k = exp(-theta d / mean positive d) with d the
+    distance to the last row, and c is `ridge` times the mean square of the weighted
+    columns (1 at least). The penalty is written as more rows of a least-squares system,
+    and the systems of all variants are solved at once. NaN with too few complete rows."""
+    past, now, obs = windows[:, :-1], windows[:, -1], float(nexts[-1])
+    variants, _, columns = past.shape
+    fine = np.isfinite(past).all(2) & np.isfinite(nexts[:-1])
+    enough = (fine.sum(1) >= max(ENDPOINT_ROWS, columns + ENDPOINT_SPARE)) & np.isfinite(now).all(1) & np.isfinite(obs)
+    if not enough.any():
+        return np.nan, np.full(variants, np.nan)
+    n = np.maximum(fine.sum(1), 2)[:, None]
+    centre = np.where(fine[:, :, None], past, 0).sum(1) / n
+    z = np.where(fine[:, :, None], past - centre[:, None], 0)
+    spread = np.sqrt((z**2).sum(1) / (n - 1))
+    spread = np.where(spread > CONSTANT, spread, 1.0)
+    z, here = z / spread[:, None], np.where(enough[:, None], (now - centre) / spread, 0)
+    d = np.sqrt(((z - here[:, None]) ** 2).sum(2))
+    far = fine & (d > 0)
+    scale = np.where(far.any(1), np.where(far, d, 0).sum(1) / np.maximum(far.sum(1), 1), 1.0)
+    k = np.exp(-theta * d / scale[:, None]) * fine
+    root = np.sqrt(np.where(k.sum(1, keepdims=True) > 0, k, fine))
+    data = np.concatenate([root[:, :, None], z * root[:, :, None]], 2)
+    c = ridge * np.maximum(1.0, (data**2).sum((1, 2)) / (columns + 1))
+    penalty = np.sqrt(c)[:, None, None] * np.eye(columns, columns + 1, 1)[None]
+    right = np.concatenate([root * np.where(fine, nexts[:-1], 0), np.zeros((variants, columns))], 1)
+    beta = (np.linalg.pinv(np.concatenate([data, penalty], 1)) @ right[:, :, None])[:, :, 0]
+    return obs, np.where(enough, beta[:, 0] + (here * beta[:, 1:]).sum(1), np.nan)
 
 
 def embed(x: np.ndarray, e: int) -> np.ndarray:

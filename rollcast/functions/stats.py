@@ -7,6 +7,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+TINY = 1e-12
+
 
 def skewness(x: Column) -> Column:
     """Bias-adjusted skewness; null below three values or without variance."""
@@ -29,9 +31,11 @@ def both(x: Column, y: Column) -> tuple[Column, Column]:
 
 
 def safe_corr(x: Column, y: Column) -> Column:
-    """Pairwise Pearson correlation; null below three pairs or without variance."""
+    """Pairwise Pearson correlation; null below three pairs or without variance. A deviation below
+    TINY of the largest value is rounding, not variance."""
     x, y = both(x, y)
-    return F.when(F.count(x) >= 3, F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y)))
+    varies = (F.stddev_pop(x) > TINY * F.max(F.abs(x))) & (F.stddev_pop(y) > TINY * F.max(F.abs(y)))
+    return F.when((F.count(x) >= 3) & varies, F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y)))
 
 
 def metrics(obs: Column, pred: Column) -> list[Column]:

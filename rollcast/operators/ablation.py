@@ -51,13 +51,12 @@ def permuted_errors(series: DataFrame, picked: DataFrame, target: str, features:
     def one(key, pdf):
         pdf = pdf.sort_values("i")
         states, nexts = pdf[cols].to_numpy(float)[:window], pdf[target].to_numpy(float)[1:]
-        obs, p = kernels.endpoint(states, nexts, theta)
-        errors = []
+        variants = np.repeat(states[None], repeats + 1, 0)  # as it is, then permuted
         for r in range(repeats):
-            other = states.copy()
-            other[:, at] = np.random.default_rng([seed, int(key[2]), r]).permutation(other[:, at])
-            errors.append(kernels.endpoint(other, nexts, theta)[1] - obs)
-        errors = np.array([x for x in errors if np.isfinite(x)])
+            variants[r + 1, :, at] = np.random.default_rng([seed, int(key[2]), r]).permutation(states[:, at])
+        obs, forecasts = kernels.endpoint(variants, nexts, theta)
+        p, errors = forecasts[0], forecasts[1:] - obs
+        errors = errors[np.isfinite(errors)]
         if not np.isfinite(p - obs) or not len(errors):
             return pd.DataFrame(columns=out)
         ae, se, pae, pse = abs(p - obs), (p - obs) ** 2, np.abs(errors).mean(), (errors**2).mean()

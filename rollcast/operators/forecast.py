@@ -17,9 +17,13 @@ from pyspark.sql.window import Window
 from ..config import THETA_GRID, holdout
 from ..functions import kernels
 from ..functions.stats import metrics, safe_corr
+from ..functions.tables import settle
 
 KEYS = ("series_id",)
-POINTS = 400  # prediction points of one task
+POINTS = 100  # prediction points of one task
+CELLS = 2_000_000  # numbers of one stacked solution
+NEAR = 400  # prediction points of one task of cross mapping
+SALT = 32  # parts of a series' prediction points in a join of all pairs
 LIBRARIES = 1000  # random libraries of one task
 
 
@@ -60,13 +64,21 @@ def skill(table: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     return table
 
 
+def paired(points: DataFrame, library: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Every point with every library row of its series. Points are dealt to SALT parts, each of
+    which gets the library, so a long series is no single task."""
+    a = library.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    b = points.withColumn("__salt", F.pmod(F.xxhash64("t"), F.lit(SALT)).cast("int"))
+    return b.join(a, [*keys, "__salt"]).drop("__salt")
+
+
 def simplex_pairs(states: DataFrame, columns: Sequence[str], target: str, lib: tuple[int, int], pred: tuple[int, int], tp: int, k: int, keys: Sequence[str] = KEYS) -> DataFrame:
     """Simplex in relational form, for short series: pairs of a prediction point with all library
     rows of its series, of which the k nearest are kept (ties: the earlier row)."""
     d = states.withColumn("__y", F.lead(target, tp).over(Window.partitionBy(*keys).orderBy("t")))
     a = d.where(F.col("t").between(*lib) & F.col("__y").isNotNull()).select(*keys, F.col("t").alias("t_lib"), F.col("__y").alias("y_lib"), *[F.col(c).alias(f"l_{c}") for c in columns])
     b = d.where(F.col("t").between(*pred)).select(*keys, "t", F.col("__y").alias("obs"), *columns)
-    p = b.join(a, list(keys)).where("t <> t_lib")
+    p = paired(b, a, keys).where("t <> t_lib")
     p = p.withColumn("d", F.sqrt(sum(((F.col(c) - F.col(f"l_{c}")) * (F.col(c) - F.col(f"l_{c}")) for c in columns), F.lit(0.0))))
     w = Window.partitionBy(*keys, "t")
     p = p.withColumn("r", F.row_number().over(w.orderBy("d", "t_lib"))).where(F.col("r") <= k).withColumn("d0", F.min("d").over(w))
@@ -81,7 +93,7 @@ def smap_line(series: DataFrame, column: str, target: str, lib: tuple[int, int],
     d = series.withColumn("__y", F.lead(target, tp).over(Window.partitionBy(*keys).orderBy("t")))
     a = d.where(F.col("t").between(*lib) & F.col("__y").isNotNull()).select(*keys, F.col("t").alias("t_lib"), F.col("__y").alias("y"), F.col(column).alias("x"))
     b = d.where(F.col("t").between(*pred)).select(*keys, "t", F.col("__y").alias("obs"), F.col(column).alias("x0"))
-    p = b.join(a, list(keys)).where("t <> t_lib").withColumn("d", F.abs(F.col("x") - F.col("x0")))
+    p = paired(b, a, keys).where("t <> t_lib").withColumn("d", F.abs(F.col("x") - F.col("x0")))
     mean = F.avg("d").over(Window.partitionBy(*keys, "t"))
     p = p.withColumn("w", F.exp(-2 * theta * F.coalesce(F.try_divide(F.col("d"), mean), F.lit(0.0)))).withColumn("u", F.col("x") - F.col("x0"))
     m = p.groupBy(*keys, "t").agg(F.first("obs").alias("obs"), *[F.sum(F.col("w") * e).alias(n) for n, e in (("s", F.lit(1.0)), ("su", F.col("u")), ("sy", F.col("y")), ("suu", F.col("u") * F.col("u")), ("suy", F.col("u") * F.col("y")))])
@@ -89,56 +101,70 @@ def smap_line(series: DataFrame, column: str, target: str, lib: tuple[int, int],
     return m.withColumn("slope", slope).select(*keys, (F.col("t") + tp).alias("t_pred"), "obs", ((F.col("sy") - F.col("slope") * F.col("su")) / F.col("s")).alias("pred"), "slope")
 
 
-def run_models(series: DataFrame, specs: Sequence[Mapping], target: str, features: Sequence[str], lib: tuple[int, int], pred: tuple[int, int], keys: Sequence[str] = KEYS) -> DataFrame:
+RANGES = ("lib_first", "lib_last", "pred_first", "pred_last")
+
+
+def run_models(series: DataFrame, specs: Sequence[Mapping], target: str, features: Sequence[str], lib: tuple[int, int] | None = None, pred: tuple[int, int] | None = None, keys: Sequence[str] = KEYS, params: DataFrame | None = None) -> DataFrame:
     """(keys, model, tp, e, theta, t_pred, obs, pred, coefficients) of all specs at once.
 
     A spec: model `simplex` or `smap`; kind `univariate` (e lags of the target) or `multivariate`
     (columns, by default target and features, as they are); e, theta, tp; optional weighting
-    (`w` or `sqrt`), columns and name. Specs and blocks of POINTS prediction points are
-    independent tasks, each with the series of its key. Each runs small dense solves, which SQL cannot
-    express. A spec that cannot be fitted gives forecasts that are null."""
+    (`w` or `sqrt`), columns and name. e and theta may name columns of `params` (a row a
+    series, as from `select_parameters`), so that each series has its own; without lib and
+    pred the ranges are its RANGES columns. A task has POINTS prediction points of a series
+    and the series, for all specs: the library is shipped once, and the specs' dense solves,
+    which SQL cannot express, are stacked. A spec that cannot be fitted gives forecasts that
+    are null."""
     rows = []
     for s in specs:
         if s["model"] not in ("simplex", "smap") or s.get("kind", "multivariate") not in ("univariate", "multivariate"):
             raise ValueError(f"no such model: {s['model']} {s.get('kind')}")
         rows.append(dict(s, kind=s.get("kind", "multivariate"), name=s.get("name") or f"{s['model']}_{s.get('kind', 'multivariate')}"))
-    blocks = -(-(pred[1] - pred[0] + 1) // POINTS)
-    table = series.sparkSession.createDataFrame([(i, b) for i in range(len(rows)) for b in range(blocks)], "spec int, block int")
     need = list(dict.fromkeys([target, *features, *(c for s in rows for c in s.get("columns", ()))]))
-    d = series.select(*keys, "t", *[F.col(c).cast("double").alias(c) for c in need]).join(F.broadcast(table))
+    d = series.select(*keys, "t", *[F.col(c).cast("double").alias(f"v_{c}") for c in need])
+    if params is not None:
+        d = d.join(params.select(*keys, *[F.col(c).alias(f"p_{c}") for c in params.columns if c not in keys]), list(keys))
+    if lib is not None:
+        d = d.withColumns({f"p_{c}": F.lit(int(x)).cast("long") for c, x in zip(RANGES, (*lib, *pred))})
+    d = d.withColumn("block", F.explode(F.sequence(F.lit(0), F.floor((F.col("p_pred_last") - F.col("p_pred_first")) / POINTS).cast("int"))))
     types = dict(series.dtypes)
+    names = [*keys, "model", "tp", "e", "theta", "t_pred", "obs", "pred", "coefficients"]
     schema = ", ".join([*(f"{k} {types[k]}" for k in keys), "model string, tp int, e int, theta double, t_pred long, obs double, pred double, coefficients array<double>"])
 
     def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        s, block = rows[key[-2]], key[-1]
         pdf = pdf.sort_values("t")
-        t, tp = pdf["t"].to_numpy(), int(s["tp"])
-        y = pdf[target].to_numpy(float)
-        if s["kind"] == "univariate":
-            e = int(s["e"])
-            x = kernels.embed(y, e)
-        else:
-            cols = list(s.get("columns") or [target, *features])
-            e, x = len(cols), pdf[cols].to_numpy(float)
-        ahead = np.full(len(y), np.nan)
-        if tp >= 0:
-            ahead[: len(y) - tp] = y[tp:]
-        whole = np.isfinite(x).all(1)
-        in_lib = whole & np.isfinite(ahead) & (t >= lib[0]) & (t <= lib[1])
-        first = pred[0] + block * POINTS
-        out = []
-        for i in np.flatnonzero((t >= first) & (t < first + POINTS) & (t <= pred[1]) & whole):
-            use = in_lib.copy()
-            use[i] = False
-            if s["model"] == "simplex":
-                p, c = kernels.simplex(x[use], ahead[use], x[i], e + 1), None
+        t, own = pdf["t"].to_numpy(), pdf.iloc[0]
+        y = pdf[f"v_{target}"].to_numpy(float)
+        lib_first, lib_last, pred_first, pred_last = (int(own[f"p_{c}"]) for c in RANGES)
+        first, out = pred_first + key[-1] * POINTS, []
+        for s in rows:
+            given = {c: own[f"p_{v}"] if isinstance(v, str) else v for c, v in s.items() if c in ("e", "theta")}
+            tp, theta = int(s["tp"]), float(given.get("theta", 0.0))
+            if s["kind"] == "univariate":
+                e = int(given["e"])
+                x = kernels.embed(y, e)
             else:
-                p, c = kernels.smap(x[use], ahead[use], x[i], float(s.get("theta", 0.0)), s.get("weighting", "w"))
-            out.append((*key[:-2], s["name"], tp, e, float(s.get("theta", 0.0)), int(t[i]) + tp, ahead[i] if np.isfinite(ahead[i]) else None, p if np.isfinite(p) else None, None if c is None else c.tolist()))
-        names = [*keys, "model", "tp", "e", "theta", "t_pred", "obs", "pred", "coefficients"]
+                cols = list(s.get("columns") or [target, *features])
+                e, x = len(cols), pdf[[f"v_{c}" for c in cols]].to_numpy(float)
+            ahead = np.full(len(y), np.nan)
+            if tp >= 0:
+                ahead[: len(y) - tp] = y[tp:]
+            whole = np.isfinite(x).all(1)
+            use = whole & np.isfinite(ahead) & (t >= lib_first) & (t <= lib_last)
+            place = np.where(use, np.cumsum(use) - 1, -1)
+            states, nexts = x[use], ahead[use]
+            points = np.flatnonzero((t >= first) & (t < first + POINTS) & (t <= pred_last) & whole)
+            step = max(1, CELLS // max(1, states.size))
+            for at in (points[i : i + step] for i in range(0, len(points), step)):
+                if s["model"] == "simplex":
+                    p, c = kernels.simplex_block(states, nexts, x[at], place[at], e + 1), None
+                else:
+                    p, c = kernels.smap_block(states, nexts, x[at], place[at], theta, s.get("weighting", "w"))
+                for j, i in enumerate(at):
+                    out.append((*key[:-1], s["name"], tp, e, theta, int(t[i]) + tp, ahead[i] if np.isfinite(ahead[i]) else None, p[j] if np.isfinite(p[j]) else None, None if c is None else c[j].tolist()))
         return pd.DataFrame(out, columns=names)
 
-    return d.groupBy(*keys, "spec", "block").applyInPandas(one, schema)
+    return d.groupBy(*keys, "block").applyInPandas(one, schema)
 
 
 def split(n: int, fraction: float = 0.2) -> tuple[tuple[int, int], tuple[int, int]]:
@@ -147,16 +173,24 @@ def split(n: int, fraction: float = 0.2) -> tuple[tuple[int, int], tuple[int, in
     return (1, end), (end + 1, n)
 
 
-def embed_dimension(series: DataFrame, target: str, lib, pred, most: int = 10, tp: int = 1, keys: Sequence[str] = KEYS) -> DataFrame:
+def splits(series: DataFrame, fraction: float = 0.2, keys: Sequence[str] = KEYS) -> DataFrame:
+    """(keys, RANGES) of every series, each by its own number of rows."""
+    n = F.col("n")
+    held = F.least(F.greatest(F.lit(20), F.floor(n * fraction)), F.greatest(F.lit(10), F.floor(n / 3)))
+    d = series.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).withColumn("end", (n - held).cast("long"))
+    return d.select(*keys, F.lit(1).cast("long").alias("lib_first"), F.col("end").alias("lib_last"), (F.col("end") + 1).alias("pred_first"), n.alias("pred_last"))
+
+
+def embed_dimension(series: DataFrame, target: str, lib=None, pred=None, most: int = 10, tp: int = 1, keys: Sequence[str] = KEYS, params: DataFrame | None = None) -> DataFrame:
     """(keys, e, rho): skill of univariate simplex forecasts for e = 1..most."""
     specs = [{"model": "simplex", "kind": "univariate", "e": e, "tp": tp} for e in range(1, most + 1)]
-    return run_models(series, specs, target, [], lib, pred, keys).groupBy(*keys, "e").agg(safe_corr(F.col("obs"), F.col("pred")).alias("rho"))
+    return run_models(series, specs, target, [], lib, pred, keys, params).groupBy(*keys, "e").agg(safe_corr(F.col("obs"), F.col("pred")).alias("rho"))
 
 
-def theta_sweep(series: DataFrame, target: str, features: Sequence[str], lib, pred, *, kind: str = "multivariate", e: int = 1, grid: Sequence[float] = THETA_GRID, tp: int = 1, keys: Sequence[str] = KEYS) -> DataFrame:
+def theta_sweep(series: DataFrame, target: str, features: Sequence[str], lib=None, pred=None, *, kind: str = "multivariate", e: int | str = 1, grid: Sequence[float] = THETA_GRID, tp: int = 1, keys: Sequence[str] = KEYS, params: DataFrame | None = None) -> DataFrame:
     """(keys, theta, n, rho, mae, rmse, bias) of local linear maps over the grid."""
     specs = [{"model": "smap", "kind": kind, "e": e, "theta": float(th), "tp": tp} for th in grid]
-    return evaluate(run_models(series, specs, target, features, lib, pred, keys), [*keys, "theta"])
+    return evaluate(run_models(series, specs, target, features, lib, pred, keys, params), [*keys, "theta"])
 
 
 def best(table: DataFrame, parameter: str, keys: Sequence[str] = KEYS) -> DataFrame:
@@ -166,50 +200,64 @@ def best(table: DataFrame, parameter: str, keys: Sequence[str] = KEYS) -> DataFr
     return table.withColumn("__r", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("__r = 1").select(*keys, parameter, "rho")
 
 
-def select_parameters(series: DataFrame, target: str, features: Sequence[str], n: int, *, most: int = 10, fraction: float = 0.2, tp: int = 1, grid: Sequence[float] = THETA_GRID) -> dict:
-    """{e_uv, theta_uv, e_mv, theta_mv, lib, pred} of one series of n rows; only the best row of
-    each search reaches the driver. No valid search: e of min(3, most), theta 0."""
-    lib, pred = split(n, fraction)
-    top = best(embed_dimension(series, target, lib, pred, most, tp), "e").where("rho is not null").head(1)
-    e = top[0]["e"] if top else min(3, most)
-    uv = best(theta_sweep(series, target, [], lib, pred, kind="univariate", e=e, grid=grid, tp=tp), "theta").where("rho is not null").head(1)
-    mv = best(theta_sweep(series, target, features, lib, pred, grid=grid, tp=tp), "theta").where("rho is not null").head(1)
-    return {"e_uv": e, "theta_uv": uv[0]["theta"] if uv else 0.0, "e_mv": 1 + len(features), "theta_mv": mv[0]["theta"] if mv else 0.0, "lib": lib, "pred": pred}
+def select_parameters(series: DataFrame, target: str, features: Sequence[str], *, most: int = 10, fraction: float = 0.2, tp: int = 1, grid: Sequence[float] = THETA_GRID, keys: Sequence[str] = KEYS) -> DataFrame:
+    """(keys, RANGES, e_uv, theta_uv, e_mv, theta_mv): the best parameters of every series. No
+    valid search: e of min(3, most), theta 0. The searches run when this is called, as the
+    next ones need their results; a table of a row a series is kept of them."""
+    params = splits(series, fraction, keys)
+
+    def chosen(table: DataFrame, parameter: str, name: str, otherwise) -> DataFrame:
+        top = best(table, parameter, keys).where("rho is not null").select(*keys, F.col(parameter).alias(name))
+        return settle(params.join(top, list(keys), "left").withColumn(name, F.coalesce(name, F.lit(otherwise))))
 
+    params = chosen(embed_dimension(series, target, most=most, tp=tp, keys=keys, params=params), "e", "e_uv", min(3, most))
+    params = chosen(theta_sweep(series, target, [], kind="univariate", e="e_uv", grid=grid, tp=tp, keys=keys, params=params), "theta", "theta_uv", 0.0)
+    params = params.withColumn("e_mv", F.lit(1 + len(features)))
+    return chosen(theta_sweep(series, target, features, grid=grid, tp=tp, keys=keys, params=params), "theta", "theta_mv", 0.0)
 
-def horizons(series: DataFrame, target: str, features: Sequence[str], tps: Sequence[int], n: int, *, fraction: float = 0.2, most: int = 10, per_horizon: bool = False, grid: Sequence[float] = THETA_GRID) -> tuple[DataFrame, DataFrame, list[dict]]:
-    """(metrics with skills, predictions, parameters by horizon) of four models and two baselines.
-    Parameters are those of the first horizon unless per_horizon. Baselines forecast the
-    times that the models forecast and that are in the series."""
-    found, frames = None, []
-    params = []
+
+def horizons(series: DataFrame, target: str, features: Sequence[str], tps: Sequence[int], *, fraction: float = 0.2, most: int = 10, per_horizon: bool = False, grid: Sequence[float] = THETA_GRID, keys: Sequence[str] = KEYS) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(metrics with skills, predictions, parameters by series and horizon) of four models and two
+    baselines, for every series with parameters of its own. Parameters are those of the first
+    horizon unless per_horizon. Baselines forecast the times that the models forecast and
+    that are in the series. A model that fails on a series has metrics with n = 0."""
+    found, frames, all_params, expected = None, [], None, []
+    cols = [*keys, "model", "tp", "t_pred", "obs", "pred"]
     for tp in tps:
         if found is None or per_horizon:
-            found = select_parameters(series, target, features, n, most=most, fraction=fraction, tp=tp, grid=grid)
-        params.append(dict(found, tp=tp))
-    lib, pred = params[0]["lib"], params[0]["pred"]
-    specs = []
-    for p in params:
+            found = select_parameters(series, target, features, most=most, fraction=fraction, tp=tp, grid=grid, keys=keys)
+        mine = found.withColumn("tp", F.lit(tp))
+        all_params = mine if all_params is None else all_params.unionByName(mine)
+        specs = []
         for model in ("simplex", "smap"):
-            specs.append({"model": model, "kind": "univariate", "e": p["e_uv"], "theta": p["theta_uv"], "tp": p["tp"]})
-            specs.append({"model": model, "kind": "multivariate", "theta": p["theta_mv"], "tp": p["tp"]})
-    cols = ["series_id", "model", "tp", "t_pred", "obs", "pred"]
-    models = run_models(series, specs, target, features, lib, pred).select(*cols)
-    frames = [models.dropna(subset=["obs", "pred"])]
-    for tp in tps:
-        inside = F.col("t_pred").between(pred[0] + tp, pred[1] + tp)
-        frames += [mean_state(series, target, tp, lib[1]).where(inside).select(*cols), persistence(series, target, tp).where(inside).select(*cols)]
+            specs.append({"model": model, "kind": "univariate", "e": "e_uv", "theta": "theta_uv", "tp": tp})
+            specs.append({"model": model, "kind": "multivariate", "theta": "theta_mv", "tp": tp})
+        expected += [(f"{s['model']}_{s['kind']}", tp) for s in specs] + [("B1_mean", tp), ("B2_persistence", tp)]
+        frames.append(run_models(series, specs, target, features, keys=keys, params=found).select(*cols))
+        ranged = series.join(found.select(*keys, *RANGES), list(keys))
+        mean = F.avg(F.when(F.col("t") <= F.col("lib_last"), F.col(target))).over(Window.partitionBy(*keys))
+        inside = F.col("t").between(F.col("pred_first") + tp, F.col("pred_last") + tp)
+        b1 = ranged.withColumn("__m", mean).where(inside).select(*keys, F.lit("B1_mean").alias("model"), F.lit(tp).alias("tp"), F.col("t").alias("t_pred"), F.col(target).alias("obs"), F.col("__m").alias("pred"))
+        b2 = persistence(series, target, tp, keys).join(found.select(*keys, *RANGES), list(keys))
+        b2 = b2.where(F.col("t_pred").between(F.col("pred_first") + tp, F.col("pred_last") + tp)).select(*cols)
+        frames += [b1.select(*cols), b2]
     preds = frames[0]
     for f in frames[1:]:
         preds = preds.unionByName(f)
-    return skill(evaluate(preds)), preds, params
+    wanted = F.array(*[F.struct(F.lit(m).alias("model"), F.lit(tp).alias("tp")) for m, tp in expected])
+    table = series.select(*keys).distinct().withColumn("__w", F.explode(wanted)).select(*keys, "__w.*")
+    table = table.join(evaluate(preds, [*keys, "model", "tp"]), [*keys, "model", "tp"], "left").withColumn("n", F.coalesce("n", F.lit(0).cast("long")))
+    return skill(table, keys), preds.dropna(subset=["obs", "pred"]), all_params
 
 
-def full_series(series: DataFrame, target: str, features: Sequence[str], n: int, theta: float, tp: int, include_target: bool = True) -> DataFrame:
-    """In-sample forecasts of every row by a local linear map whose library is the whole series."""
+def full_series(series: DataFrame, target: str, features: Sequence[str], theta: float | str, tp: int, include_target: bool = True, keys: Sequence[str] = KEYS, params: DataFrame | None = None) -> DataFrame:
+    """In-sample forecasts of every row by a local linear map whose library is the whole series.
+    theta may name a column of `params`, as in run_models."""
+    n = series.groupBy(*keys).agg(F.count(F.lit(1)).alias("pred_last")).withColumns({c: F.lit(1).cast("long") for c in ("lib_first", "pred_first")}).withColumn("lib_last", F.col("pred_last"))
+    params = n if params is None else n.join(params.drop(*RANGES), list(keys))
     cols = ([target] if include_target else []) + list(features)
     name = "smap_full_series_" + ("target_plus_covariates" if include_target else "covariates_only")
-    return run_models(series, [{"model": "smap", "columns": cols, "theta": theta, "tp": tp, "name": name}], target, features, (1, n), (1, n))
+    return run_models(series, [{"model": "smap", "columns": cols, "theta": theta, "tp": tp, "name": name}], target, features, keys=keys, params=params)
 
 
 def coefficients(preds: DataFrame, columns: Sequence[str], keys: Sequence[str] = KEYS) -> DataFrame:
@@ -227,7 +275,7 @@ def coefficient_agreement(scores: DataFrame, coefs: DataFrame, keys: Sequence[st
 def cross_map(series: DataFrame, a: str, b: str, e: int, sizes: Sequence[int], samples: int = 100, seed: int = 42, tp: int = 0, keys: Sequence[str] = KEYS) -> DataFrame:
     """(keys, lib_size, rho_ab, rho_ba): mean skill of b forecast from the lags of a and the other
     way round, over random libraries of each size. A sample has a generator of its own, so
-    results do not depend on partitioning. A task has POINTS prediction points, whose
+    results do not depend on partitioning. A task has NEAR prediction points, whose
     neighbours are sorted once, and the LIBRARIES of a few sizes; it gives sums, of which
     each sample's correlation over all points is made."""
     spark = series.sparkSession
@@ -235,7 +283,7 @@ def cross_map(series: DataFrame, a: str, b: str, e: int, sizes: Sequence[int], s
     groups = spark.createDataFrame([(g,) for g in range(-(-len(libraries) // LIBRARIES))], "part int")
     d = series.select(*keys, "t", F.col(a).cast("double").alias("a"), F.col(b).cast("double").alias("b"))
     rows = d.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
-    blocks = rows.select(*keys, F.explode(F.sequence(F.lit(0), F.floor((F.col("__n") - 1) / POINTS).cast("int"))).alias("block"))
+    blocks = rows.select(*keys, F.explode(F.sequence(F.lit(0), F.floor((F.col("__n") - 1) / NEAR).cast("int"))).alias("block"))
     d = d.join(blocks, list(keys)).join(F.broadcast(groups))
     types = dict(series.dtypes)
 
@@ -251,7 +299,7 @@ def cross_map(series: DataFrame, a: str, b: str, e: int, sizes: Sequence[int], s
             ok = np.flatnonzero(np.isfinite(s).all(1) & np.isfinite(ahead))
             s, ahead = s[ok], ahead[ok]
             ahead = ahead - ahead.mean() if len(ok) else ahead  # sums keep their digits
-            at = np.arange(len(ok))[(ok >= key[-2] * POINTS) & (ok < (key[-2] + 1) * POINTS)]
+            at = np.arange(len(ok))[(ok >= key[-2] * NEAR) & (ok < (key[-2] + 1) * NEAR)]
             near = kernels.Neighbours(s, at)
             for size, r in mine:
                 rng = np.random.default_rng([seed, size, r])

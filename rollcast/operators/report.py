@@ -21,9 +21,6 @@ from pyspark.sql.window import Window
 from ..functions.scalar import table_round
 from .align import wide
 
-TABLE_ROWS = 10_000  # a LaTeX table's bound
-
-
 def clear(folder: str) -> None:
     """Stale outputs of an earlier run go."""
     shutil.rmtree(folder, ignore_errors=True)
@@ -54,12 +51,12 @@ def _cell(x, digits: int) -> str:
 
 
 def latex_table(df: DataFrame, caption: str, label: str, *, digits: int = 4, longtable: bool = False, max_rows: int | None = None) -> str:
-    """A table of the first max_rows rows (TABLE_ROWS at most): floats are rounded half to even,
-    missing and non-finite values are `--`, special characters are escaped."""
+    """A table of all rows, or of the first max_rows: floats are rounded half to even, missing and
+    non-finite values are `--`, special characters are escaped."""
     floats = {c for c, t in df.dtypes if t in ("double", "float")}
     shown = df.select(*[table_round(F.col(c), digits).alias(c) if c in floats else F.col(c) for c in df.columns])
-    rows = shown.limit(min(max_rows or TABLE_ROWS, TABLE_ROWS)).collect()
-    body = [" & ".join(_cell(x, digits) for x in r) + r" \\" for r in rows]
+    rows = shown if max_rows is None else shown.limit(max_rows)
+    body = [" & ".join(_cell(x, digits) for x in r) + r" \\" for r in rows.toLocalIterator()]
     head = " & ".join(_cell(c, digits) for c in df.columns) + r" \\"
     form = "l" * len(df.columns)
     if longtable:
@@ -141,10 +138,17 @@ def bundle(folder: str, path: str) -> str:
     return path
 
 
-def guard(spark: SparkSession, recovery: DataFrame | None, attribution: DataFrame | None = None, *, excluded: Sequence[str] = (), tables: Mapping[str, str] | None = None, effect: DataFrame | None = None, least: float = 0.60) -> DataFrame:
+class NotReady(RuntimeError):
+    """Outputs that the guard rejects."""
+
+
+def guard(spark: SparkSession, recovery: DataFrame | None, attribution: DataFrame | None = None, *, excluded: Sequence[str] = (), tables: Mapping[str, str] | None = None, effect: DataFrame | None = None, files: DataFrame | None = None, attributed: bool | None = None, least: float = 0.60, strict: bool = False) -> DataFrame:
     """One row (status PASS or FAIL, problems, notes): the synthetic recovery reaches `least`,
-    excluded features are not attributed, tables hold no literal NaN or inf; the effect's
-    interval is reported and does not decide."""
+    excluded features are not attributed, no file of `files` (a manifest) is an interval
+    table of an excluded feature, which an earlier run left, and tables hold no literal NaN
+    or inf. An attribution must be there if `attributed`, by default if features are
+    excluded. The effect's interval is reported and does not decide. `strict` raises
+    NotReady with the problems of a FAIL."""
     problems, notes = [], []
     if recovery is None:
         problems.append("no synthetic recovery")
@@ -152,14 +156,28 @@ def guard(spark: SparkSession, recovery: DataFrame | None, attribution: DataFram
         weak = sorted(f"{r['feature']}: {r['corr_with_truth']}" for r in recovery.collect() if not (r["corr_with_truth"] or 0) >= least)
         problems += [f"synthetic recovery below {least}: {', '.join(weak)}"] if weak else []
     if attribution is None:
-        problems += ["no attribution"] if excluded else []
+        problems += ["no attribution"] if (bool(excluded) if attributed is None else attributed) else []
     else:
-        seen = sorted(r["feature"] for r in attribution.select("feature").distinct().collect() if r["feature"] in excluded)
+        seen = sorted(r["feature"] for r in attribution.where(F.col("feature").isin(list(excluded))).select("feature").distinct().collect())
         problems += [f"excluded features are attributed: {', '.join(seen)}"] if seen else []
+    if files is not None and excluded:
+        names = F.regexp_replace("file", r"(\.csv|_full\.tex|_excerpt\.tex)$", "")
+        stale = [names.endswith(f"significant_intervals_{f}") for f in excluded]
+        # a CSV may be a folder of part files
+        stale += [F.element_at(F.split("path", "/"), -2).endswith(f"significant_intervals_{f}") for f in excluded]
+        rule = stale[0]
+        for one in stale[1:]:
+            rule = rule | one
+        old = sorted(r["path"].rsplit("/", 1)[-1] for r in files.where(rule).select("path").limit(10).collect())
+        problems += [f"stale files of excluded features: {', '.join(old)}"] if old else []
     bad = [n for n, text in (tables or {}).items() if any(f" {w}" in text.lower() or f"{w} " in text.lower() for w in ("nan", "inf"))]
     problems += [f"literal NaN or inf in: {', '.join(sorted(bad)[:10])}"] if bad else []
     if effect is not None and (r := effect.first()) is not None:
         notes.append("the ablation interval is above zero" if (r["ci_low"] or 0) > 0 else "the ablation interval holds zero")
+    else:
+        notes.append("no ablation")
+    if strict and problems:
+        raise NotReady("; ".join(problems))
     return spark.createDataFrame([("FAIL" if problems else "PASS", "; ".join(problems), "; ".join(notes))], "status string, problems string, notes string")
 
 

@@ -1,8 +1,10 @@
 """Rolling scores: the approximate inverse operator A = X'y / y'y over windows.
 
 On data that is z-scored in the window A is the Pearson correlation of a feature with the
-forecast, so rolling scores are window aggregates. They are taken from prefix sums over one
-sort, n additions instead of n times the window."""
+forecast, so rolling scores are window aggregates. A window spans two blocks of its length:
+its sums are a running sum of the block it ends in and one, from the end, of the block
+before, so there are n additions instead of n times the window, nothing is subtracted, and
+no value outside of a window touches its score."""
 
 from __future__ import annotations
 
@@ -21,26 +23,28 @@ TINY = 1e-12  # a variance below this share of the mean square is zero
 
 def rolling_corr(df: DataFrame, x: str, y: str, window: int, order: str, keys: Sequence[str] = KEYS, name: str = "g") -> DataFrame:
     """`df` with the correlation of x and y over the `window` rows up to each row; null unless
-    all are complete and both vary. Both are centred first, so prefix sums keep their digits.
-    Missing rows' values are finite doubles or null."""
+    all are complete and both vary. Both are less their median first, so that sums keep
+    their digits. Missing rows' values are finite doubles or null."""
     whole = Window.partitionBy(*keys)
-    up = whole.orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     at = whole.orderBy(order)
     ok = F.col(x).isNotNull() & F.col(y).isNotNull()
-    # columns of one step go together, so each step is one window operator over one sort
-    d = df.withColumns({"__x": F.when(ok, F.col(x)), "__y": F.when(ok, F.col(y))})
-    d = d.withColumns({c: F.col(c) - F.avg(c).over(whole) for c in ("__x", "__y")})
+    # columns of one step go together, so each step is one window operator
+    d = df.withColumns({"__x": F.when(ok, F.col(x)), "__y": F.when(ok, F.col(y)), "__i": F.row_number().over(at) - 1})
+    d = d.withColumns({c: F.col(c) - F.percentile_approx(c, 0.5).over(whole) for c in ("__x", "__y")})
+    d = d.withColumn("__b", F.floor(F.col("__i") / window))
     parts = {"n": F.col("__x").isNotNull().cast("double"), "x": F.col("__x"), "y": F.col("__y"), "xx": F.col("__x") * F.col("__x"), "yy": F.col("__y") * F.col("__y"), "xy": F.col("__x") * F.col("__y")}
     d = d.withColumns({f"__p{k}": F.coalesce(v, F.lit(0.0)) for k, v in parts.items()})
-    d = d.withColumns({f"__s{k}": F.sum(f"__p{k}").over(up) for k in parts})
-    d = d.withColumns({f"__l{k}": F.lag(f"__s{k}", window, 0.0).over(at) for k in parts})
-    d = d.withColumns({f"__w{k}": F.col(f"__s{k}") - F.col(f"__l{k}") for k in parts})
+    block = Window.partitionBy(*keys, "__b").orderBy("__i")
+    d = d.withColumns({f"__s{k}": F.sum(f"__p{k}").over(block.rowsBetween(Window.unboundedPreceding, 0)) for k in parts} | {f"__e{k}": F.sum(f"__p{k}").over(block.rowsBetween(0, Window.unboundedFollowing)) for k in parts})
+    d = d.withColumns({f"__l{k}": F.lag(f"__e{k}", window - 1, 0.0).over(whole.orderBy("__i")) for k in parts})
+    full = F.col("__i") % window == window - 1  # the window is the block
+    d = d.withColumns({f"__w{k}": F.when(full, F.col(f"__s{k}")).otherwise(F.col(f"__s{k}") + F.col(f"__l{k}")) for k in parts})
     n = F.lit(float(window))
     vx, vy = (F.col(f"__w{a}{a}") - F.col(f"__w{a}") * F.col(f"__w{a}") / n for a in "xy")
     cov = F.col("__wxy") - F.col("__wx") * F.col("__wy") / n
-    varies = (vx > TINY * F.col("__sxx")) & (vy > TINY * F.col("__syy"))
+    varies = (vx > TINY * F.col("__wxx")) & (vy > TINY * F.col("__wyy"))
     r = F.when((F.col("__wn") > window - 0.5) & varies, F.try_divide(cov, F.sqrt(vx * vy)))
-    return d.withColumn(name, r).drop("__x", "__y", *[f"__{a}{k}" for a in "pslw" for k in parts])
+    return d.withColumn(name, r).drop("__x", "__y", "__i", "__b", *[f"__{a}{k}" for a in "pselw" for k in parts])
 
 
 def rolling_moments(df: DataFrame, columns: Sequence[str], window: int, order: str, keys: Sequence[str] = KEYS) -> DataFrame:

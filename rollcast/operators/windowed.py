@@ -102,10 +102,8 @@ def rolling_windows(series: DataFrame, features: Sequence[str], target: str, cfg
             whole = np.isfinite(states).all(1)
             lib = whole & np.isfinite(ahead)
             yhat = np.full(size, np.nan)
-            for r in np.flatnonzero(whole):
-                use = lib.copy()
-                use[r] = False
-                yhat[r] = kernels.smap(states[use], ahead[use], states[r], theta)[0]
+            own = np.where(lib, np.cumsum(lib) - 1, -1)[whole]
+            yhat[whole] = kernels.smap_block(states[lib], ahead[lib], states[whole], own, theta)[0]
             ok = np.flatnonzero(np.isfinite(yhat) & np.isfinite(xs).all(1))
             if not len(ok):
                 continue

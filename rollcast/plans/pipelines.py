@@ -48,9 +48,10 @@ def series_pipeline(spark: SparkSession, series: DataFrame, target: str, feature
     is read several times."""
     model = list(model_features or features)
     n = series.count()
-    metrics, preds, params = forecast.horizons(series, target, model, tps, n, fraction=fraction)
-    theta, tp = params[0]["theta_mv"], tps[0]
-    full = forecast.full_series(series, target, model, n, theta, tp)
+    metrics, preds, params = forecast.horizons(series, target, model, tps, fraction=fraction)
+    tp = tps[0]
+    first = params.where(params["tp"] == tp)
+    full = forecast.full_series(series, target, model, "theta_mv", tp, params=first.drop("tp"))
     aligned = align.by_source_time(series, full, features, tp)
     scores = attribution(spark, aligned, features, window=window, replicates=replicates, period=period, n=n, step=step, seed=seed)
     out = {
@@ -58,6 +59,7 @@ def series_pipeline(spark: SparkSession, series: DataFrame, target: str, feature
         "agreement": forecast.coefficient_agreement(scores, forecast.coefficients(full, [target, *model])),
     }
     if ablate:
+        theta = first.first()["theta_mv"]  # of the one series
         picked = ablation.groups(scores, ablate, n - 1, 60, seed=seed)
         errors = ablation.permuted_errors(series, picked, target, features, ablate, window=window, theta=theta, seed=seed)
         out |= {"ablation": errors, "ablation_summary": ablation.summary(errors), "ablation_effect": ablation.effect(errors)}

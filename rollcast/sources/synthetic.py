@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..functions.kernels import zscore
 
-# The regimes' first rows (as shares of the length) and their coefficients.
-SWITCHES = (0.0, 0.2, 0.4, 0.6, 0.8)
+# The regimes' first rows, whatever the length, and their coefficients.
+SWITCHES = (0, 180, 360, 540, 720)
 ALPHA = (0.10, 1.00, 0.30, -0.90, 0.20)
 BETA = (0.80, -0.70, 0.20, 0.90, -0.80)
 CARRY, CROSS, NOISE, SEASONAL, SEASON_ROWS = 0.35, 0.05, 0.10, 0.05, 90
@@ -21,7 +21,7 @@ def system(n: int = 900, seed: int = 0) -> dict[str, np.ndarray]:
     """The columns as arrays: y[t+1] = alpha x1[t] + beta x2[t] + seasonal + noise, with two
     weakly coupled autoregressive drivers. The recursion is sequential, so it runs here."""
     rng = np.random.default_rng(seed)
-    regime = np.searchsorted(np.round(np.array(SWITCHES) * n), np.arange(n), "right") - 1
+    regime = np.searchsorted(SWITCHES, np.arange(n), "right") - 1
     alpha, beta = np.array(ALPHA)[regime], np.array(BETA)[regime]
     shock = rng.standard_normal((2, n))
     drive = np.zeros((2, n))

@@ -45,9 +45,44 @@ def test_smap_weights():
 
 def test_endpoint_needs_rows_and_predicts_a_line():
     t = np.arange(30.0)
-    obs, pred = kernels.endpoint(np.column_stack([t, np.cos(t)]), 2 * t + 1, 0.5)
-    assert obs == 59 and pred == pytest.approx(59, abs=1e-3)
-    assert np.isnan(kernels.endpoint(np.ones((5, 2)), np.ones(5), 0.5)[0])
+    obs, pred = kernels.endpoint(np.column_stack([t, np.cos(t)])[None], 2 * t + 1, 0.5)
+    assert obs == 59 and pred[0] == pytest.approx(59, abs=1e-3)
+    assert np.isnan(kernels.endpoint(np.ones((1, 5, 2)), np.ones(5), 0.5)[1]).all()
+    # a constant column and a repeated row say nothing, and do not break the system
+    assert kernels.endpoint(np.ones((1, 30, 2)), np.full(30, 7.0), 0.5)[1][0] == pytest.approx(7)
+
+
+def test_endpoint_minimises_its_penalised_squares():
+    """Against the normal equations of the stated sum, variant by variant, with a missing row."""
+    rng = np.random.default_rng(4)
+    x, y, theta = rng.normal(size=(3, 41, 3)), rng.normal(size=41), 0.7
+    x[1, 7, 0] = np.nan
+    obs, got = kernels.endpoint(x, y, theta, ridge=0.01)
+    for v in range(3):
+        past, now = x[v, :-1], x[v, -1]
+        fine = np.isfinite(past).all(1)
+        past, nexts = past[fine], y[:-1][fine]
+        z, here = (past - past.mean(0)) / past.std(0, ddof=1), (now - past.mean(0)) / past.std(0, ddof=1)
+        d = np.linalg.norm(z - here, axis=1)
+        k = np.exp(-theta * d / d.mean())
+        a = np.column_stack([np.ones(len(z)), z])
+        c = 0.01 * max(1, (k[:, None] * a**2).sum() / 4)
+        beta = np.linalg.solve(a.T @ (k[:, None] * a) + c * np.diag([0, 1, 1, 1]), a.T @ (k * nexts))
+        assert obs == y[-1] and got[v] == pytest.approx(beta[0] + here @ beta[1:], abs=1e-9)
+
+
+@pytest.mark.parametrize("weighting", ["w", "sqrt"])
+def test_blocks_of_points_are_points_one_by_one(weighting):
+    rng = np.random.default_rng(6)
+    states, targets = rng.normal(size=(60, 2)), rng.normal(size=60)
+    states[20:23] = states[10]  # distance 0
+    points, own = np.concatenate([states[:30], rng.normal(size=(5, 2))]), np.concatenate([np.arange(30), np.full(5, -1)])
+    s, (p, beta) = kernels.simplex_block(states, targets, points, own, 4), kernels.smap_block(states, targets, points, own, 1.5, weighting)
+    for i, (x, o) in enumerate(zip(points, own)):
+        use = np.arange(60) != o
+        want, b = kernels.smap(states[use], targets[use], x, 1.5, weighting)
+        assert s[i] == pytest.approx(kernels.simplex(states[use], targets[use], x, 4)) and p[i] == pytest.approx(want) and np.allclose(beta[i], b)
+    assert np.isnan(kernels.smap_block(states[:3], targets[:3], states[:3], np.arange(3), 1.0)[0]).all()
 
 
 def test_synthetic_system():

@@ -199,13 +199,14 @@ def test_models_and_searches(spark):
     t = np.arange(160)
     y = np.sin(2 * np.pi * t / 20)
     d = spark.createDataFrame([("a", int(i) + 1, dt.date(2020, 1, 1) + dt.timedelta(int(i)), float(y[i]), float(np.cos(i))) for i in t], "series_id string, t long, date date, y double, x1 double")
-    p = forecast.select_parameters(d, "y", ["x1"], 160, most=3, grid=(0.0, 1.0))
-    assert p["lib"] == (1, 128) and p["pred"] == (129, 160) and p["e_mv"] == 2
-    metrics, preds, params = forecast.horizons(d, "y", ["x1"], (1, 2), 160, most=2, grid=(0.0, 1.0))
+    p = forecast.select_parameters(d, "y", ["x1"], most=3, grid=(0.0, 1.0)).first()
+    assert [p[c] for c in forecast.RANGES] == [1, 128, 129, 160] and p["e_mv"] == 2
+    metrics, preds, params = forecast.horizons(d, "y", ["x1"], (1, 2), most=2, grid=(0.0, 1.0))
+    assert params.count() == 2
     got = {(r["model"], r["tp"]): r for r in metrics.collect()}
     assert len(got) == 12 and got["smap_univariate", 1]["rho"] > 0.99
     assert got["B1_mean", 1]["skill_vs_b1"] == pytest.approx(0) and got["B2_persistence", 2]["skill_vs_b2"] == pytest.approx(0)
-    full = forecast.full_series(d, "y", ["x1"], 160, 0.5, 1)
+    full = forecast.full_series(d, "y", ["x1"], 0.5, 1)
     assert full.count() == 160 and full.where("obs is null").count() == 1
     coefs = forecast.coefficients(full, ["y", "x1"])
     assert coefs.count() == 320
@@ -213,6 +214,32 @@ def test_models_and_searches(spark):
         forecast.run_models(d, [{"model": "other", "tp": 1}], "y", [], (1, 10), (11, 20))
 
 
+def test_every_series_has_its_own_parameters(spark):
+    """Two series searched together get what each gets alone; a model that fails has n = 0."""
+    rng = np.random.default_rng(1)
+    wave, walk = np.sin(2 * np.pi * np.arange(150) / 20), np.cumsum(rng.normal(size=90))
+    rows = [("wave", i + 1, float(v), float(rng.normal())) for i, v in enumerate(wave)] + [("walk", i + 1, float(v), None) for i, v in enumerate(walk)]
+    d = spark.createDataFrame(rows, "series_id string, t long, y double, x1 double")
+    options = {"most": 4, "grid": (0.0, 1.0, 4.0)}
+    both = {r["series_id"]: r for r in forecast.select_parameters(d, "y", ["x1"], **options).collect()}
+    for s in ("wave", "walk"):
+        assert both[s] == forecast.select_parameters(d.where(F.col("series_id") == s), "y", ["x1"], **options).first()
+    assert both["wave"]["lib_last"] == 120 and both["walk"]["lib_last"] == 70 and both["walk"]["theta_mv"] == 0.0
+    metrics = {(r["series_id"], r["model"]): r for r in forecast.horizons(d, "y", ["x1"], (1,), **options)[0].collect()}
+    assert len(metrics) == 12 and metrics["walk", "smap_multivariate"]["n"] == 0 and metrics["walk", "smap_multivariate"]["rmse"] is None
+    assert metrics["walk", "smap_univariate"]["n"] == 19 and metrics["wave", "smap_multivariate"]["n"] == 29
+
+
+def test_rolling_score_after_a_spike(spark):
+    rng = np.random.default_rng(2)
+    x, y = rng.normal(size=400), rng.normal(size=400)
+    x[3] = 1e8
+    d = spark.createDataFrame([("a", "f", i, float(x[i]), float(y[i])) for i in range(400)], "series_id string, feature string, t long, x double, y double")
+    got = {r["t"]: r["g"] for r in rolling.rolling_corr(d, "x", "y", 30, "t").collect()}
+    assert all(got[i] is None for i in range(29))
+    assert all(got[i] == pytest.approx(np.corrcoef(x[i - 29 : i + 1], y[i - 29 : i + 1])[0, 1], abs=1e-9) for i in range(33, 400))
+
+
 def test_cross_map_of_a_driven_pair(spark):
     n = 200
     x, y = np.zeros(n), np.zeros(n)
@@ -234,8 +261,8 @@ def test_ablation_against_loop(spark):
     assert 0 < len(rows) <= 10
     p, r = d.orderBy("t").toPandas(), rows[0]
     s = p.iloc[r["t_src"] - 40 : r["t_src"] + 1]
-    obs, pred = kernels.endpoint(s[["y", "x1", "x2"]].to_numpy()[:40], s["y"].to_numpy()[1:], 0.5)
-    assert r["ae_original"] == pytest.approx(abs(pred - obs))
+    obs, pred = kernels.endpoint(s[["y", "x1", "x2"]].to_numpy()[None, :40], s["y"].to_numpy()[1:], 0.5)
+    assert r["ae_original"] == pytest.approx(abs(pred[0] - obs))
     assert ablation.summary(e).count() == 2
     assert ablation.effect(e, 20).first()["n_high"] == sum(x["grp"] == ablation.HIGH for x in rows)
 
@@ -248,6 +275,17 @@ def test_synthetic_recovery_and_guard(spark):
     bad = report.guard(spark, rec.withColumn("corr_with_truth", F.lit(0.1)), out["scores"], excluded=["x1"], tables={"t": "a & NaN "}).first()
     assert bad["status"] == "FAIL" and bad["problems"].count(";") == 2
     assert report.guard(spark, None).first()["status"] == "FAIL"
+    assert report.guard(spark, rec, attributed=True).first()["problems"] == "no attribution"
+    files = spark.createDataFrame([("/o/pm_significant_intervals_Is/part-0.csv", "part-0.csv"), ("/o/pm_significant_intervals_Iws.csv", "pm_significant_intervals_Iws.csv")], "path string, file string")
+    assert report.guard(spark, rec, out["scores"], excluded=["Ir"], files=files).first()["status"] == "PASS"
+    stale = report.guard(spark, rec, out["scores"], excluded=["Is", "Ir"], files=files).first()
+    assert stale["status"] == "FAIL" and "stale" in stale["problems"]
+    with pytest.raises(report.NotReady):
+        report.guard(spark, None, strict=True)
+    from rollcast.sources.synthetic import ALPHA, system
+
+    short = system(600)["true_alpha"]  # the regimes' rows do not depend on the length
+    assert [short[i] for i in (179, 180, 539, 540)] == [ALPHA[0], ALPHA[1], ALPHA[2], ALPHA[3]]
 
 
 def test_daily_pipeline(spark):
