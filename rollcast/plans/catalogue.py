@@ -22,9 +22,7 @@ from ..sources.synthetic import synthetic
 
 X = ["x1", "x2", "x3"]
 W, R, PERIOD, ALPHA = 90, 20, 7, 0.2
-REPLICATES = 1000  # of the reference, for queries that are not held to SQL
-LIB, PRED = (1, 2000), (2001, 2300)
-SHIFTS = nulls.periodic_shifts(2000, R, PERIOD, 0)
+REPLICATES = 1000  # of the `_whole` queries, which are too many for SQL
 LAGS = {"day": 1, "week": 7, "month": 30, "decade": 3650}
 
 
@@ -51,13 +49,21 @@ def _aligned(spark, sf) -> DataFrame:
     return align.by_source_time(d, forecast.persistence(d, "y", 1, beyond=True), X, 1)
 
 
+def _days(spark, sf) -> int:
+    return _daily(spark, sf).count()
+
+
+def _shifts(spark, sf, replicates: int = R) -> list[int]:
+    return nulls.periodic_shifts(_days(spark, sf), replicates, PERIOD, 0)
+
+
 def _observed(spark, sf, step: int = 1) -> DataFrame:
     return rolling.scores(_aligned(spark, sf), X, W, step)
 
 
 def _significant(spark, sf) -> DataFrame:
     a = _aligned(spark, sf)
-    null = nulls.series_null(spark, a, X, W, SHIFTS)
+    null = nulls.series_null(spark, a, X, W, _shifts(spark, sf))
     return fdr.pointwise(nulls.compare(rolling.scores(a, X, W), null, ["series_id", "feature", "t_src"], R), ALPHA)
 
 
@@ -151,20 +157,21 @@ def persistence(spark, sf):
 
 
 def mean_baseline(spark, sf):
-    d = forecast.mean_state(_daily(spark, sf), "y", 1, LIB[1]).where(F.col("t_pred") > LIB[1])
+    end = forecast.split(_days(spark, sf))[0][1]
+    d = forecast.mean_state(_daily(spark, sf), "y", 1, end).where(F.col("t_pred") > end)
     return rounded(d.select("t_pred", "obs", "pred"), "obs", "pred", digits=2)
 
 
 def _baselines(spark, sf) -> DataFrame:
-    d, out = _daily(spark, sf), None
+    d, out, end = _daily(spark, sf), None, forecast.split(_days(spark, sf))[0][1]
     for tp in (1, 3, 7, 14):
-        for f in (forecast.mean_state(d, "y", tp, LIB[1]), forecast.persistence(d, "y", tp)):
+        for f in (forecast.mean_state(d, "y", tp, end), forecast.persistence(d, "y", tp)):
             out = f if out is None else out.unionByName(f)
-    return forecast.evaluate(out.where(F.col("t_pred") > LIB[1]))
+    return forecast.evaluate(out.where(F.col("t_pred") > end))
 
 
 def forecast_metrics(spark, sf):
-    d = _baselines(spark, sf).where("tp > 1 or model <> 'B1_mean'").withColumn("rho", F.when(F.col("model") == "B1_mean", None).otherwise(F.col("rho")))
+    d = _baselines(spark, sf)
     return rounded(rounded(d.select("model", "tp", "n", "rho", "mae", "rmse", "bias"), "rho"), "mae", "rmse", "bias", digits=2)
 
 
@@ -191,28 +198,22 @@ def multi_series_score(spark, sf):
     return rounded(rolling.scores(a, ["n"], 48).select("series_id", "t_src", "g"), "g", digits=5)
 
 
-def inverse_operator_raw(spark, sf, step=30):
+def inverse_operator_raw(spark, sf):
     d = _aligned(spark, sf).withColumn("pred", F.col("pred") / 1e6)
-    out = rolling.inverse_operator(rolling.windows(d, W, step), X, normalize_y=False)
+    out = rolling.inverse_operator(rolling.windows(d, W), X, normalize_y=False)
     return rounded(out.select("e", "feature", "g", "l"), "g", "l")
 
 
-def equivalence(spark, sf, step=30):
-    d = rolling.equivalence(_aligned(spark, sf), X, W, step)
+def equivalence(spark, sf):
+    d = rolling.equivalence(_aligned(spark, sf), X, W)
     return rounded(d.select("feature", "n_windows", "mean", "sd", "max_difference"), "mean", "sd", "max_difference")
 
 
-def circular_null(spark, sf):
-    d = nulls.series_null(spark, _aligned(spark, sf), X, W, SHIFTS, 30)
+def circular_null(spark, sf, replicates=R):
+    d = nulls.series_null(spark, _aligned(spark, sf), X, W, _shifts(spark, sf, replicates))
     return rounded(d.select("feature", "perm", "t_src", "gr"), "gr")
 
 
-def circular_null_whole(spark, sf):
-    a = _aligned(spark, sf)
-    shifts = nulls.periodic_shifts(_daily(spark, sf).count(), REPLICATES, PERIOD, 0)
-    return rounded(nulls.series_null(spark, a, X, W, shifts).select("feature", "perm", "t_src", "gr"), "gr")
-
-
 def envelope(spark, sf):
     return rounded(_significant(spark, sf).select("feature", "t_src", "lo", "hi"), "lo", "hi")
 
@@ -223,17 +224,7 @@ def pvalues(spark, sf):
 
 def _window_null(cfg: AttributionConfig) -> Callable:
     def run(spark, sf):
-        m = rolling.windows(_aligned(spark, sf), W, 60)
-        obs = rolling.inverse_operator(m, X, normalize_y=True)
-        d = nulls.compare(obs, nulls.window_null(spark, m, X, cfg), ["series_id", "e", "feature"], cfg.replicates)
-        return rounded(d.select("e", "feature", "g", "lo", "hi", "p"), "g", "lo", "hi", "p")
-
-    return run
-
-
-def _window_null_whole(cfg: AttributionConfig) -> Callable:
-    def run(spark, sf):
-        d = windowed.rolling_nulls(_aligned(spark, sf), X, replace(cfg, replicates=REPLICATES))
+        d = windowed.rolling_nulls(_aligned(spark, sf), X, cfg)
         return rounded(d.select("e", "feature", "g", "lo", "hi", "p"), "g", "lo", "hi", "p")
 
     return run
@@ -306,27 +297,27 @@ def lag_embed(spark, sf):
     return rounded(d.select("t", "s0", "s1", "s2"), "s0", "s1", "s2")
 
 
-def simplex(spark, sf, lib=LIB, pred=PRED):
+def simplex(spark, sf, lib, pred):
     d = forecast.lag_embed(_daily(spark, sf), "x2", 2).select("series_id", "t", "x2", "s0", "s1")
     out = forecast.simplex_pairs(d, ["s0", "s1"], "x2", lib, pred, 1, 3)
     return rounded(out.select("t_pred", "obs", "pred"), "obs", "pred", digits=5)
 
 
-def embed_dimension(spark, sf, lib=LIB, pred=PRED, most=3):
+def embed_dimension(spark, sf, lib, pred, most=10):
     return rounded(forecast.embed_dimension(_daily(spark, sf), "x2", lib, pred, most).drop("series_id"), "rho", digits=5)
 
 
-def smap_theta0(spark, sf, lib=LIB, pred=PRED):
+def smap_theta0(spark, sf, lib, pred):
     d = forecast.smap_line(_daily(spark, sf), "x2", "x2", lib, pred, 1, 0.0)
     return rounded(d.select("t_pred", "obs", "pred", "slope"), "obs", "pred", "slope")
 
 
-def smap_1d(spark, sf, lib=LIB, pred=PRED):
+def smap_1d(spark, sf, lib, pred):
     d = forecast.smap_line(_daily(spark, sf), "x2", "x2", lib, pred, 1, 2.0)
     return rounded(d.select("t_pred", "obs", "pred", "slope"), "obs", "pred", "slope", digits=5)
 
 
-def smap(spark, sf, lib=LIB, pred=PRED):
+def smap(spark, sf, lib, pred):
     d = forecast.run_models(_daily(spark, sf), [{"model": "smap", "kind": "univariate", "e": 1, "theta": 2.0, "tp": 1}], "x2", [], lib, pred)
     return rounded(d.select("t_pred", "obs", "pred", F.col("coefficients")[1].alias("slope")), "obs", "pred", "slope", digits=5)
 
@@ -338,12 +329,18 @@ def smap_coefficients(spark, sf, lib, pred):
     return rounded(out, "corr")
 
 
-def theta_sweep(spark, sf, lib=LIB, pred=PRED, grid=(0.0, 2.0)):
+def smap_multivariate(spark, sf, lib, pred):
+    d = forecast.run_models(_daily(spark, sf), [{"model": "smap", "theta": 2.0, "tp": 1}], "x2", ["x1"], lib, pred)
+    c = {n: F.col("coefficients")[i + 1].alias(n) for i, n in enumerate(("slope_x2", "slope_x1"))}
+    return rounded(d.select("t_pred", "obs", "pred", *c.values()), "obs", "pred", "slope_x2", "slope_x1", digits=4)
+
+
+def theta_sweep(spark, sf, lib, pred, grid=THETA_GRID):
     d = forecast.theta_sweep(_daily(spark, sf), "x2", [], lib, pred, kind="univariate", e=1, grid=grid)
     return rounded(d.drop("series_id"), "rho", "mae", "rmse", "bias", digits=5)
 
 
-def param_select(spark, sf, lib=LIB, pred=PRED, most=3):
+def param_select(spark, sf, lib, pred, most=10):
     d = forecast.embed_dimension(_daily(spark, sf), "x2", lib, pred, most)
     return rounded(forecast.best(d, "e").drop("series_id"), "rho", digits=5)
 
@@ -360,7 +357,7 @@ def _held_out(query: Callable, **options) -> Callable:
 
 def horizon_evaluation(spark, sf):
     d = _daily(spark, sf)
-    return forecast.horizons(d, "y", ["x1", "x2"], (1, 7), d.count(), most=3, grid=(0.0, 0.5, 2.0))[0]
+    return forecast.horizons(d, "y", ["x1", "x2"], (1, 7))[0]
 
 
 def windowed_attribution(spark, sf):
@@ -387,7 +384,7 @@ def bootstrap_ci(spark, sf):
 
 def ablation_errors(spark, sf):
     d = _daily(spark, sf)
-    picked = ablation.groups(_observed(spark, sf), "x2", LIB[1], 20)
+    picked = ablation.groups(_observed(spark, sf), "x2", _days(spark, sf) - 1, 20)
     return ablation.permuted_errors(d, picked, "y", ["x2", "x1"], "x2", window=60, theta=0.5, repeats=3).drop("date_src")
 
 
@@ -428,12 +425,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "q_window_null_uniform": _window_null(UNIFORM), "q_window_null_weekly": _window_null(WEEKLY), "q_window_null_block": _window_null(BLOCKS),
     "q_fdr_pointwise": fdr_pointwise, "q_fdr_over_time": fdr_over_time, "q_segments": segment_rows, "q_interval_table": interval_table, "q_significance_by_season": significance_by_season,
     "q_primary_stats": primary_stats, "q_overview": overview, "q_seasonal_stats": seasonal_stats, "q_autocorr": autocorr, "q_crosscorr": crosscorr, "q_design_snr": design_snr,
-    "q_lag_embed": lag_embed, "q_simplex": simplex, "q_embed_dimension": embed_dimension, "q_smap_theta0": smap_theta0, "q_smap_1d": smap_1d, "q_smap": smap,
-    "q_smap_coefficients": _held_out(smap_coefficients), "q_theta_sweep": theta_sweep, "q_param_select": param_select, "q_horizon_evaluation": horizon_evaluation,
+    "q_lag_embed": lag_embed, "q_simplex": _held_out(simplex), "q_embed_dimension": _held_out(embed_dimension), "q_smap_theta0": _held_out(smap_theta0), "q_smap_1d": _held_out(smap_1d), "q_smap": _held_out(smap),
+    "q_smap_multivariate": _held_out(smap_multivariate), "q_smap_coefficients": _held_out(smap_coefficients), "q_theta_sweep": _held_out(theta_sweep), "q_param_select": _held_out(param_select), "q_horizon_evaluation": horizon_evaluation,
     "q_windowed_attribution": windowed_attribution, "q_cliffs_delta": cliffs_delta, "q_bootstrap_ci": bootstrap_ci, "q_ablation": ablation_errors, "q_ablation_effect": ablation_effect,
-    "q_simplex_whole": _held_out(simplex), "q_embed_dimension_whole": _held_out(embed_dimension, most=10), "q_smap_theta0_whole": _held_out(smap_theta0), "q_smap_1d_whole": _held_out(smap_1d),
-    "q_smap_whole": _held_out(smap), "q_theta_sweep_whole": _held_out(theta_sweep, grid=THETA_GRID), "q_param_select_whole": _held_out(param_select, most=10),
-    "q_inverse_operator_raw_whole": partial(inverse_operator_raw, step=1), "q_equivalence_whole": partial(equivalence, step=1), "q_circular_null_whole": circular_null_whole,
-    "q_window_null_uniform_whole": _window_null_whole(UNIFORM), "q_window_null_weekly_whole": _window_null_whole(WEEKLY), "q_window_null_block_whole": _window_null_whole(BLOCKS),
+    "q_circular_null_whole": partial(circular_null, replicates=REPLICATES), "q_window_null_uniform_whole": _window_null(replace(UNIFORM, replicates=REPLICATES)),
+    "q_window_null_weekly_whole": _window_null(replace(WEEKLY, replicates=REPLICATES)), "q_window_null_block_whole": _window_null(replace(BLOCKS, replicates=REPLICATES)),
     "q_ccm": ccm, "q_synthetic_series": synthetic_series, "q_synthetic_recovery": synthetic_recovery, "q_manifest_guard": manifest_guard,
 }

@@ -63,20 +63,20 @@ def test_forecasts_of_all_held_out_rows(spark, small):
     (_, end), (first, last) = forecast.split(DAYS)
     assert last == DAYS
     x = c["x2"]
-    for name in ("q_simplex_whole", "q_smap_theta0_whole", "q_smap_1d_whole", "q_smap_whole"):
+    for name in ("q_simplex", "q_smap_theta0", "q_smap_1d", "q_smap"):
         assert sorted(r["t_pred"] for r in QUERIES[name](spark, d).collect()) == list(range(first + 1, last + 2))
     s = kernels.embed(x, 2)
-    for r in QUERIES["q_simplex_whole"](spark, d).collect():
+    for r in QUERIES["q_simplex"](spark, d).collect():
         i = r["t_pred"] - 2
         assert r["pred"] == pytest.approx(kernels.simplex(s[1:end], x[2 : end + 1], s[i], 3), abs=1e-5)
-    rho = {r["e"]: r["rho"] for r in QUERIES["q_embed_dimension_whole"](spark, d).collect()}
+    rho = {r["e"]: r["rho"] for r in QUERIES["q_embed_dimension"](spark, d).collect()}
     assert sorted(rho) == list(range(1, 11))
     s = kernels.embed(x, 7)
     p = [kernels.simplex(s[6:end], x[7 : end + 1], s[i], 8) for i in range(end, DAYS - 1)]
     assert rho[7] == pytest.approx(np.corrcoef(p, x[end + 1 :])[0, 1], abs=1e-5)
-    best = QUERIES["q_param_select_whole"](spark, d).first()
+    best = QUERIES["q_param_select"](spark, d).first()
     assert best["rho"] == max(rho.values())
-    sweep = QUERIES["q_theta_sweep_whole"](spark, d).collect()
+    sweep = QUERIES["q_theta_sweep"](spark, d).collect()
     assert len(sweep) == 8 and {r["n"] for r in sweep} == {DAYS - 1 - end}
 
 
@@ -99,10 +99,10 @@ def test_rolling_nulls_equal_the_relational_form(spark, small, options):
 
 def test_every_window_end(spark, small):
     ends = list(range(90, DAYS + 1))
-    for name in ("q_window_null_uniform_whole", "q_inverse_operator_raw_whole"):
+    for name in ("q_window_null_uniform_whole", "q_inverse_operator_raw"):
         assert sorted(r["e"] for r in QUERIES[name](spark, small[0]).where("feature = 'x1'").collect()) == ends
     null = QUERIES["q_circular_null_whole"](spark, small[0]).where("feature = 'x2'").groupBy("t_src").count().collect()
     assert sorted(r["t_src"] for r in null) == ends and {r["count"] for r in null} == {1000}
-    assert {r["n_windows"] for r in QUERIES["q_equivalence_whole"](spark, small[0]).collect()} == {len(ends)}
+    assert {r["n_windows"] for r in QUERIES["q_equivalence"](spark, small[0]).collect()} == {len(ends)}
     t = [r["t_pred"] for r in QUERIES["q_windowed_attribution"](spark, small[0]).where("feature = 'x1'").collect()]
     assert len(t) == len(set(t)) == DAYS - 59
