@@ -8,11 +8,14 @@ import tempfile
 import time
 import uuid
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
+LINKS = 500_000  # links that a task contracts together
 _ARROW = {"string": pa.string(), "double": pa.float64(), "long": pa.int64(), "integer": pa.int32(), "boolean": pa.bool_()}
 
 
@@ -132,16 +135,45 @@ def release(but: list[Stash] | tuple = ()) -> None:
         Stash.held.remove(stash)
 
 
+def contract(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links (u, v) that connect what the given ones do, from each end to the smallest that it
+    reaches by them."""
+    ids, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b, label = at[: len(u)], at[len(u) :], np.arange(len(ids))
+    while True:
+        x, y = label[a], label[b]
+        if (x == y).all():
+            some = np.flatnonzero(label != np.arange(len(ids)))
+            return ids[some], ids[label[some]]
+        np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
+        while (label[label] != label).any():
+            label = label[label]
+
+
+def _contracted(frames, links):
+    held, n = [], 0
+    for pdf in frames:
+        held.append(pdf)
+        n += len(pdf)
+        if n >= links:
+            yield pd.DataFrame(dict(zip("uv", contract(*(np.concatenate([x[c].to_numpy() for x in held]) for c in "uv")))))
+            held, n = [], 0
+    if n:
+        yield pd.DataFrame(dict(zip("uv", contract(*(np.concatenate([x[c].to_numpy() for x in held]) for c in "uv")))))
+
+
 def components(spark: SparkSession, edges: DataFrame, stash: Stash | None = None) -> DataFrame:
     """(id, component) for every end of `edges` (u, v): component is the smallest id that
-    links reach. Alternating large-star and small-star rounds, each two aggregations with
+    links reach. Each task contracts the links that it has, LINKS at a time, which shortens
+    paths; then alternating large-star and small-star rounds, each two aggregations with
     map-side combining and two joins. Both sides of a join are tables, so adaptive
     execution sees a hub's rows in the exchange and splits them; no component or
     neighbour list is ever gathered in one task or on the driver. Self-links and repeated
     links are fine; no links give no rows."""
     stash = stash or Stash(spark)
-    e = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct()
-    e = stash.put(e, "edges")
+    links = LINKS
+    e = edges.select("u", "v").where("u <> v").mapInPandas(lambda frames: _contracted(frames, links), "u long, v long")
+    e = stash.put(e.distinct(), "edges")
     before = None
     while True:
         # large star: every larger neighbour goes to the smallest of the neighbourhood

@@ -244,9 +244,10 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_i
     per_doc = stash.put(segments(src, length, gram, collapse), "segments")
     rows = per_doc.select(*doc, F.explode(F.arrays_zip("key", "hash", "start", "n", "anchor")).alias("s")).select(*doc, "s.*")
     keys = per_doc.select(F.explode("key").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("key")
+    keys = stash.put(keys, "keys")  # a table: a minimizer may be in a third of all rows, and the join can split it
     rows = stash.put(rows.join(keys, "key"), "shared")
     local = stash.put(per_doc.where(F.size("from") > 0).select(*doc, "from", "to"), "local")
-    stash.drop(per_doc)
+    stash.drop(per_doc, keys)
 
     # equal segments: all but the first are repeated
     place = F.struct("id", "h", "start", "n", "anchor")
@@ -258,7 +259,7 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_i
     stash.drop(rows)
 
     # different segments of one minimizer
-    several = first.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
+    several = stash.put(first.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1"), "several")
     todo = first.drop("m").join(several, "key").select("key", F.col("m") > HOT, "p.*").toDF("key", "hot", "id", "h", "start", "n", "anchor")
     todo = todo.groupBy(*doc).agg(F.collect_list(F.struct("key", "hot", "start", "n")).alias("s"))
 
@@ -272,7 +273,7 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_i
     pieces = src.join(todo.hint("merge"), doc).mapInPandas(cut, "key long, hot boolean, id long, h long, start int, n int, bytes binary")
     pieces = stash.put(pieces, "pieces")
     found = stash.put(by_suffix_order(pieces.where("not hot").drop("hot"), length).unionByName(by_hash(pieces.where("hot").drop("hot"), length)), "found")
-    stash.drop(pieces, first)
+    stash.drop(pieces, first, several)
 
     spans = later.unionByName(found).groupBy(*doc).agg(F.collect_list("from").alias("from"), F.collect_list("to").alias("to"))
     spans = spans.unionByName(local)

@@ -48,7 +48,21 @@ def union_find(n):
     return p, find
 
 
-def test_components(spark):
+def test_contract():
+    rng = random.Random(4)
+    for _ in range(50):
+        edges = [(rng.randrange(60), rng.randrange(60)) for _ in range(rng.randint(1, 60))] + [(i, i + 1) for i in range(100, 100 + rng.randrange(20))]
+        got = dict(zip(*(x.tolist() for x in common.contract(*np.array(edges).T))))
+        p, find = union_find(200)
+        for a, b in edges:
+            a, b = find(a), find(b)
+            p[max(a, b)] = min(a, b)
+        assert got == {x: find(x) for e in edges for x in e if find(x) != x}
+
+
+@pytest.mark.parametrize("links", [500_000, 3])
+def test_components(spark, monkeypatch, links):
+    monkeypatch.setattr(common, "LINKS", links)
     rng = random.Random(1)
     edges = [(rng.randrange(80), rng.randrange(80)) for _ in range(50)] + [(i, i + 1) for i in range(100, 130)] + [(5, 5)]
     got = {r["id"]: r["component"] for r in common.components(spark, spark.createDataFrame(edges, "u long, v long")).collect()}
