@@ -282,7 +282,7 @@ def similar_paragraphs(rows, k=5):
 
 
 def test_bands_find_similar_paragraphs():
-    rows = near_texts(150)
+    rows = near_texts(200)
     doc, cls, lo, hi, sh, offs = paragraph_dedup.paragraphs([t.encode() for _, t in rows], 5)
     r, n = paragraph_dedup.tune(0.75)
     keys = paragraph_dedup.bands(sh, offs, n, r)
