@@ -82,10 +82,20 @@ def smap(states: np.ndarray, targets: np.ndarray, point: np.ndarray, theta: floa
     if ridge:
         beta = np.linalg.pinv(a.T @ a + ridge * np.diag([0.0] + [1.0] * (p - 1))) @ (a.T @ (targets * w))
     else:
-        beta = np.linalg.lstsq(a, targets * w, rcond=None)[0]
+        size = sizes(states)
+        beta = np.linalg.lstsq(a / size, targets * w, rcond=None)[0] / size
     return float(beta[0] + point @ beta[1:]), beta
 
 
+def sizes(states: np.ndarray) -> np.ndarray:
+    """The largest absolute value of the intercept and each column (1 where all are 0). Columns
+    divided by it are of one size, so none is lost as rounding beside a column of large
+    values, such as sums that grow with the data. Columns that depend on each other have
+    the least-norm coefficients of the divided ones."""
+    most = np.abs(states).max(0)
+    return np.concatenate([[1.0], np.where(most > 0, most, 1.0)])
+
+
 def weights(d: np.ndarray, theta: float, weighting: str = "w") -> np.ndarray:
     """(points, states) from distances; infinite ones weigh nothing and are not in the mean."""
     there = np.isfinite(d)
@@ -121,12 +131,12 @@ def simplex_block(states: np.ndarray, targets: np.ndarray, points: np.ndarray, o
 def smap_block(states: np.ndarray, targets: np.ndarray, points: np.ndarray, own: np.ndarray, theta: float, weighting: str = "w") -> tuple[np.ndarray, np.ndarray]:
     """`smap` of each point, without its own state: one stacked least-squares solution."""
     p = states.shape[1] + 1
-    d = apart(states, points, own)
-    w = weights(d, theta, weighting)
-    rows = np.column_stack([np.ones(len(states)), states])[None] * w[:, :, None]
     if not len(points) or len(states) < p:
         return np.full(len(points), np.nan), np.full((len(points), p), np.nan)
-    beta = (np.linalg.pinv(rows, rcond=np.finfo(float).eps * max(rows.shape[1:])) @ (w * targets)[:, :, None])[:, :, 0]
+    d, size = apart(states, points, own), sizes(states)
+    w = weights(d, theta, weighting)
+    rows = (np.column_stack([np.ones(len(states)), states]) / size)[None] * w[:, :, None]
+    beta = (np.linalg.pinv(rows, rcond=np.finfo(float).eps * max(rows.shape[1:])) @ (w * targets)[:, :, None])[:, :, 0] / size
     beta[np.isfinite(d).sum(1) < p] = np.nan
     return beta[:, 0] + (points * beta[:, 1:]).sum(1), beta
 

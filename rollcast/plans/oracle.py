@@ -137,6 +137,24 @@ f AS (SELECT t + 1 AS t_pred, obs, {solved[0]} / {det(*m)} AS pred, {solved[1]}
 SELECT t_pred, {r('obs', 'obs', digits)}, {r('pred', 'pred', digits)}, {r('bx', 'slope_x2', digits)}, {r('bz', 'slope_x1', digits)} FROM f"""
 
 
+def agreement(theta: float) -> str:
+    """Rolling scores against the local map's coefficients of x1 and x2 beside y. The weighted
+    mean is taken out, which leaves three normal equations, and Cramer's rule solves them.
+    y counts in millions, x1 in hundredths, which scales the correlations' inputs only."""
+    cols, of = ("a", "b", "c"), "PARTITION BY t"
+    det = lambda m: f"({m[0]} * ({m[4]} * {m[8]} - {m[5]} * {m[7]}) - {m[1]} * ({m[3]} * {m[8]} - {m[5]} * {m[6]}) + {m[2]} * ({m[3]} * {m[7]} - {m[4]} * {m[6]}))"
+    m = [f"m{min(i, j)}{max(i, j)}" for i in cols for j in cols]
+    solved = [f"{det([f'm{cols[k // 3]}y' if k % 3 == column else m[k] for k in range(9)])} / {det(m)}" for column in (1, 2)]
+    pairs = ", ".join(f"sum(w * {i} * {j}) AS m{i}{j}" for i, j in ("aa", "ab", "ac", "bb", "bc", "cc", "ay", "by", "cy"))
+    mean = ", ".join(f"{c} - sum(w * {c}) OVER ({of}) / sum(w) OVER ({of}) AS {c}" for c in ("a", "b", "c", "y"))
+    return f"""WITH {DAILY}, {LONG}, {SCORES}, dd AS (SELECT t, y, x1, x2, lead(y) OVER (ORDER BY t) AS nx FROM daily),
+p AS (SELECT b.t, (a.y - b.y) / 1e6 AS a, (a.x1 - b.x1) * 100 AS b, a.x2 - b.x2 AS c, a.nx / 1e6 AS y, sqrt((a.y - b.y) ^ 2 + (a.x1 - b.x1) ^ 2 + (a.x2 - b.x2) ^ 2) AS d FROM dd b JOIN dd a ON a.t <> b.t AND a.t <= {END} AND a.nx IS NOT NULL WHERE b.t > {END}),
+k AS (SELECT *, exp(-2 * {theta} * d / avg(d) OVER ({of})) AS w FROM p), ce AS (SELECT t, w, {mean} FROM k),
+mo AS (SELECT t, {pairs} FROM ce GROUP BY t),
+co AS (SELECT t, 'x1' AS feature, {solved[0]} AS coefficient FROM mo UNION ALL SELECT t, 'x2', {solved[1]} FROM mo)
+SELECT 'all' AS series_id, feature, count(*) AS n, {r('corr(g, coefficient)', 'corr')} FROM sc JOIN co USING (t, feature) GROUP BY feature"""
+
+
 def line_sweep() -> str:
     one = " UNION ALL ".join(f"SELECT {th}::DOUBLE AS theta, obs, pred FROM ({line_map(th, 12)})" for th in THETA_GRID)
     return f"SELECT theta, count(*) AS n, {r('corr(obs, pred)', 'rho', 5)}, {r('avg(abs(pred - obs))', 'mae', 5)}, {r('sqrt(avg((pred - obs) ^ 2))', 'rmse', 5)}, {r('avg(pred - obs)', 'bias', 5)} FROM ({one}) WHERE obs IS NOT NULL GROUP BY theta"
@@ -212,6 +230,7 @@ ORACLES: dict[str, str] = {
     "q_smap_1d": line_map(2.0, 5),
     "q_smap": line_map(2.0, 5),
     "q_smap_multivariate": plane_map(2.0, 4),
+    "q_smap_coefficients": agreement(1.0),
     "q_theta_sweep": line_sweep(),
     "q_interpolate_limited": f"WITH {TYPES}, k AS (SELECT series_id, unnest(generate_series(min(h), max(h))) AS h FROM hourly GROUP BY 1), g AS (SELECT k.series_id, k.h, y, n FROM k LEFT JOIN hourly USING (series_id, h)), f AS (SELECT *, last_value(CASE WHEN y IS NOT NULL THEN h END IGNORE NULLS) OVER b AS pt, last_value(y IGNORE NULLS) OVER b AS pv, first_value(CASE WHEN y IS NOT NULL THEN h END IGNORE NULLS) OVER a AS qt, first_value(y IGNORE NULLS) OVER a AS qv FROM g WINDOW b AS (PARTITION BY series_id ORDER BY h ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), a AS (PARTITION BY series_id ORDER BY h ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) SELECT series_id, h, {r('CASE WHEN y IS NOT NULL THEN y WHEN coalesce(h - pt <= 2, false) OR coalesce(qt - h <= 2, false) THEN coalesce(pv + (qv - pv) * (h - pt) / (qt - pt), pv, qv) END', 'y', 7)}, n IS NULL AS filled_or_missing FROM f",
     "q_regularised_series": f"WITH {TYPES}, k AS (SELECT series_id, unnest(generate_series(min(h), max(h))) AS h FROM hourly GROUP BY 1), g AS (SELECT k.series_id, k.h, y FROM k LEFT JOIN hourly USING (series_id, h)), f AS (SELECT *, last_value(CASE WHEN y IS NOT NULL THEN h END IGNORE NULLS) OVER b AS pt, last_value(y IGNORE NULLS) OVER b AS pv, first_value(CASE WHEN y IS NOT NULL THEN h END IGNORE NULLS) OVER a AS qt, first_value(y IGNORE NULLS) OVER a AS qv FROM g WINDOW b AS (PARTITION BY series_id ORDER BY h ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), a AS (PARTITION BY series_id ORDER BY h ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)), i AS (SELECT series_id, h, CASE WHEN y IS NOT NULL THEN y WHEN coalesce(h - pt <= 1, false) OR coalesce(qt - h <= 1, false) THEN coalesce(pv + (qv - pv) * (h - pt) / (qt - pt), pv, qv) END AS y FROM f) SELECT series_id, row_number() OVER (PARTITION BY series_id ORDER BY h) AS t, h, {r('y', 'y', 7)} FROM i WHERE y IS NOT NULL",

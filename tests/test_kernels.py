@@ -43,6 +43,21 @@ def test_smap_weights():
     assert np.isnan(kernels.smap(x[:1], y[:1], at, 1.0)[0])
 
 
+@pytest.mark.parametrize("scale", [1.0, 1e6, 1e13])
+def test_smap_keeps_small_columns_beside_large_ones(scale):
+    """A column of sums as large as a big table's leaves the coefficients of the others alone."""
+    rng = np.random.default_rng(3)
+    big, small = rng.normal(1, 0.1, 300), rng.normal(0.05, 0.003, 300)
+    x, y = np.column_stack([scale * big, small]), scale * (0.5 * big + 3 * small + 0.2)
+    pred, beta = kernels.smap(x, y, x[0], 1.0)
+    block, betas = kernels.smap_block(x, y, x[:2], np.array([0, 1]), 1.0)
+    assert np.allclose(beta / [scale, 1, scale], [0.2, 0.5, 3], atol=1e-6) and pred == pytest.approx(y[0])
+    assert np.allclose(betas / [scale, 1, scale], [[0.2, 0.5, 3]] * 2, atol=1e-6) and np.allclose(block, y[:2])
+    # a column of zeros and one repeated twice say nothing more, and do not break the map
+    more = np.column_stack([x, x[:, 1], np.zeros(300)])
+    assert kernels.smap(more, y, more[0], 1.0)[0] == pytest.approx(y[0])
+
+
 def test_endpoint_needs_rows_and_predicts_a_line():
     t = np.arange(30.0)
     obs, pred = kernels.endpoint(np.column_stack([t, np.cos(t)])[None], 2 * t + 1, 0.5)
