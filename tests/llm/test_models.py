@@ -3,11 +3,12 @@
 import random
 import zlib
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from rollcast.llm import decontaminate, embedding_dedup, lang_id, mixing, ranks, sharding, token_count, toxicity
+from rollcast.llm import decontaminate, embedding_dedup, lang_id, mixing, queries, ranks, sharding, token_count, toxicity
 
 BIG = 2**60 + 1
 
@@ -377,6 +378,17 @@ def test_sharding_keeps_columns_and_deals_rows_without_a_key(spark):
     assert len(arcs) > 200  # not one place of the ring
 
 
+def test_sharding_equals_sql(spark):
+    """Rows without an id, negative and large ids, repeated rows and null texts; many rows of one
+    id overflow their shard."""
+    rows = [(None, "n" * (i % 9)) for i in range(60)] + [(i * 7919 - 2_000_000, "é" * (i % 5)) for i in range(700)] + [(7, None)] * 300 + [(BIG, "x"), (-BIG, "")]
+    got = sharding.shard_documents(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", rows)
+    assert sorted(map(tuple, got), key=repr) == sorted(con.execute(queries.oracle_sql()["op10_sharding"]).fetchall(), key=repr)
+
+
 def test_sharding_odd_rows(spark):
     r = sharding.shard_documents(spark, odd(spark)).collect()
     assert len(r) == 6 and {x["shard"] for x in r} == set(range(6)) and {x["size"] for x in r if x["doc_id"] == BIG} == {1}
@@ -437,10 +449,6 @@ def test_embeddings_of_repeated_rows_and_extreme_numbers(spark):
 
 def test_embeddings_equal_sql(spark, tmp_path):
     """The SQL of the query, on a table with links."""
-    import duckdb
-
-    from rollcast.llm import queries
-
     _, d = vectors(spark, 4)
     d.write.parquet(str(tmp_path / "embeddings.parquet"))
     con = duckdb.connect()
