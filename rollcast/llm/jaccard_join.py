@@ -267,7 +267,8 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, *, id_col: str = "d
     stash.drop(posts, df)
     # what the short lists connect, and how many shards that takes
     lead = stash.put(lists.groupBy("t").agg(F.min("c").alias("l"), F.max("c").alias("h")).where("l < h").select("t", "l"), "lead")
-    near = lists.join(lead, "t").where(F.col("c") != F.col("l")).select(F.col("l").alias("u"), F.col("c").alias("v"))
+    # near copies meet in nearly all of their lists: each link once, or every task gets its own part of the same ones
+    near = lists.join(lead, "t").where(F.col("c") != F.col("l")).select(F.col("l").alias("u"), F.col("c").alias("v")).distinct()
     groups = stash.put(components(spark, near, stash), "groups")
     stash.drop(lists, lead)
     classes = ids.where("n > 0 and id is not null").groupBy("class", "n").agg(F.min("id").alias("class_id"), F.count_distinct("id").alias("weight"))

@@ -113,6 +113,20 @@ def test_jaccard_join_of_repeated_rows_and_rows_without_an_id(spark):
     assert got == sorted(want, key=str)
 
 
+def test_jaccard_join_links_near_copies_once(spark, monkeypatch):
+    """What a group of near copies gives to the component rounds: each link once, so few a set,
+    whatever the number of lists that they share and the size of the group."""
+    seen, find = [], common.components
+    monkeypatch.setattr(jaccard_join, "components", lambda s, e, *more: seen.append((e.count(), e.distinct().count())) or find(s, e, *more))
+    base = [f"w{i}" for i in range(60)]
+    for m in (40, 80, 160):
+        rows = [(i, " ".join([*base, f"x{i}"])) for i in range(m)]
+        got = jaccard_join.jaccard_components(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+        assert sorted(tuple(r) for r in got) == [(i, 57, 0, i, m - 1) for i in range(m)]
+        (n, different), _ = seen[-2:]
+        assert n == different == m - 1
+
+
 def test_components_split_a_hub(spark):
     """The rows of a node with most of the links are dealt to several tasks."""
     forced = {"spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1k", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "1k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
