@@ -2,8 +2,9 @@
 
 Each stage takes (spark, docs, sf_dir), works on all that the stage before it kept, and
 returns the columns of documents with the values they had, whatever other columns there
-are and whatever their names; the last returns each document's shard and slot. Texts of
-any length are taken whole, and an empty table gives no rows in every stage."""
+are and whatever their names; the last mixes and shards, and returns each document's
+shard and slot. Texts of any length are taken whole, and an empty table gives no rows in
+every stage."""
 
 from __future__ import annotations
 
@@ -52,21 +53,19 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return common.back(found.where(~F.col("contaminated")), docs, ("text",))
 
 
-def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the documents of the mix, which by default are all. Repeated rows, rows without
-    an id and null sources are in the mix like any."""
+def mix_and_shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Shard and slot of every document of the mix, which by default are all that are left. The
+    mix is an order: each shard's slots follow the documents' mix_position, so whoever
+    reads shards by slot meets the sources as the targets say. Repeated rows, rows without
+    an id, null sources and null texts are in the mix like any and have slots of their own."""
     common.tune(spark)
-    found = mixing.mix(spark, common.aside(docs, "doc_id", "source"))
-    return common.back(found.where("in_mix"), docs, ("doc_id", "source"))
+    # rows that share an id, or have none, are told apart by their texts
+    rows = sharding.sizes(docs, "source").withColumn("key", F.struct("doc_id", "size", "text_crc32"))
+    mixed = mixing.mix(spark, rows, id_col="key").where("in_mix").select("doc_id", "size", "text_crc32", "mix_position")
+    return sharding.shard_in_order(spark, common.Stash(spark).put(mixed, "mixed"), "mix_position")
 
 
-def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Shard and slot of every document that is left; repeated rows, rows without an id and
-    null texts have slots of their own."""
-    return sharding.shard_documents(spark, docs.select("doc_id", "text"))
-
-
-STAGES = [("language_id", language_id), ("near_duplicates", near_duplicates), ("decontamination", decontamination), ("mix_sources", mix_sources), ("shard", shard)]
+STAGES = [("language_id", language_id), ("near_duplicates", near_duplicates), ("decontamination", decontamination), ("mix_and_shard", mix_and_shard)]
 
 #: Language ID and the mixing schedule have no SQL form; tests hold run() against brute force.
 ORACLE_SQL = None

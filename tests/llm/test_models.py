@@ -493,3 +493,32 @@ def test_pipeline(spark, sf, tmp_path):
     assert {r["doc_id"] for r in bare.collect()} - {r["doc_id"] for r in C.language_id(spark, bare, str(tmp_path)).collect()} == {90001, 90002}
     out = C.run(spark, str(tmp_path)).collect()
     assert {r["doc_id"] for r in out} == {r["doc_id"] for r in frame.collect()} and len(out) == frame.count()
+
+
+def test_pipeline_serves_its_shards_in_the_order_of_the_mix(spark, tmp_path):
+    import corpus_pipeline as C
+
+    def serve(rows):
+        frame = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+        for name, stage in C.STAGES[3:]:  # what follows decontamination
+            stage(spark, frame, str(tmp_path)).write.mode("overwrite").parquet(str(tmp_path / name))
+            frame = spark.read.parquet(str(tmp_path / name))
+        return frame.collect()
+
+    large, small = 600, 60
+    rows = [(i, f"text {i}", "large" if i < large else "small") for i in range(large + small)]
+    one, got = serve([(i, t, "one") for i, t, _ in rows]), serve(rows)
+    assert {(r["doc_id"], r["shard"]) for r in one} == {(r["doc_id"], r["shard"]) for r in got}
+    assert {(r["doc_id"], r["slot"]) for r in one} != {(r["doc_id"], r["slot"]) for r in got}
+    for s in range(16):
+        at = sorted((r["slot"], r["mix_position"]) for r in got if r["shard"] == s)
+        assert [x for x, _ in at] == list(range(len(at))) and [p for _, p in at] == sorted(p for _, p in at)
+        assert len(at) in (41, 42)
+    parts, period = mixing.integer_weights({"large": large**mixing.TEMPER, "small": small**mixing.TEMPER})
+    order = [r["doc_id"] >= large for r in sorted(got, key=lambda r: r["mix_position"])]
+    for blocks in range(1, 40):  # before the small source runs out
+        assert abs(sum(order[: 8 * blocks]) / 8 - blocks * parts["small"] / period) < 1
+    odd_rows = [(1, "a", None), (1, "a", None), (1, "b", "x"), (None, "a", "x"), (None, "a", "x"), (None, None, None), (2, None, "y")]
+    assert sorted(((r["doc_id"], r["size"]) for r in serve(odd_rows)), key=str) == sorted(((i, len(t or "") + 1) for i, t, _ in odd_rows), key=str)
+    again = lambda x: sorted((r["doc_id"] or -1, r["text_crc32"], r["shard"], r["slot"], r["mix_position"]) for r in x)
+    assert again(serve(odd_rows)) == again(serve(odd_rows[::-1])) and serve([]) == []
