@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, embedding_dedup, jaccard_join, lang_id, mixing, paragraph_dedup, sharding, substring_dedup, token_count, toxicity
+from . import decontaminate, embedding_dedup, importance, jaccard_join, lang_id, mixing, paragraph_dedup, sharding, substring_dedup, token_count, toxicity
 
 
 def queries() -> dict:
@@ -17,6 +17,7 @@ def queries() -> dict:
         "op8_mixing": mixing.query,
         "op9_toxicity": toxicity.query,
         "op10_sharding": sharding.query,
+        "op13_importance": importance.query,
     }
 
 
@@ -95,6 +96,30 @@ def crc32_table() -> list[int]:
     return table
 
 
+def crc32(hex_text: str) -> str:
+    """CRC-32 of bytes given as hex."""
+    b = f"list_transform(regexp_extract_all({hex_text}, '..'), lambda x: CAST('0x' || x AS UINTEGER))"
+    return f"CAST(xor(list_reduce(list_prepend(4294967295::UINTEGER, {b}), lambda c, x: xor(c >> 8, ({crc32_table()}::UINTEGER[])[xor(c, x) % 256 + 1])), 4294967295::UINTEGER) AS BIGINT)"
+
+
+#: Single words, counted by bucket of their CRC-32; gains, weights and the hash's noise.
+IMPORTANCE = rf"""WITH
+a AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w, row_number() OVER () AS r FROM documents),
+b AS (SELECT regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+sw AS (SELECT r, w, count(*) AS c FROM (SELECT r, unnest(w) AS w FROM a) GROUP BY 1, 2),
+tw AS (SELECT w, count(*) AS c FROM (SELECT unnest(w) AS w FROM b) GROUP BY 1),
+v AS (SELECT w, {crc32("hex(encode(w))")} % {importance.BUCKETS} AS bucket FROM (SELECT w FROM sw UNION SELECT w FROM tw)),
+s AS (SELECT bucket, sum(c) AS s FROM sw JOIN v USING (w) GROUP BY 1),
+t AS (SELECT bucket, sum(c) AS t FROM tw JOIN v USING (w) GROUP BY 1),
+n AS (SELECT coalesce((SELECT sum(s) FROM s), 0) + {importance.BUCKETS} AS s, coalesce((SELECT sum(t) FROM t), 0) + {importance.BUCKETS} AS t),
+g AS (SELECT v.w, CAST(floor(1000 * ln(CAST((coalesce(t.t, 0) + 1) * n.s AS DOUBLE) / CAST((coalesce(s.s, 0) + 1) * n.t AS DOUBLE))) AS BIGINT) AS gain FROM v LEFT JOIN s USING (bucket) LEFT JOIN t USING (bucket), n),
+d AS (SELECT r, CAST(sum(c * gain) AS BIGINT) AS weight FROM sw JOIN g USING (w) GROUP BY 1),
+h AS (SELECT a.doc_id, CAST(len(a.w) AS BIGINT) AS n_features, coalesce(d.weight, 0) AS weight, CAST(CAST('0x' || substr(sha256('{importance.SEED}:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS UBIGINT) AS DOUBLE) AS h FROM a LEFT JOIN d USING (r)),
+p AS (SELECT doc_id, n_features, weight, weight + CAST(floor(-1000 * ln(-ln((h + 0.5) / 4294967296.0))) AS BIGINT) AS score FROM h),
+q AS (SELECT *, row_number() OVER (ORDER BY n_features >= {importance.MIN_WORDS} DESC, score DESC, doc_id NULLS FIRST) AS k, count(*) FILTER (n_features >= {importance.MIN_WORDS}) OVER () AS n FROM p)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= {importance.MIN_WORDS} AND k <= {importance.PERCENT} * n // 100 THEN k END AS rank FROM q"""
+
+
 def sharding_sql(shards: int = sharding.SHARDS) -> str:
     """The ring's nodes as rows, each document's place on it by its id's hash, the rows that a
     shard's bound lets its own arcs keep by running counts, and two laps of the ring, node
@@ -104,8 +129,7 @@ def sharding_sql(shards: int = sharding.SHARDS) -> str:
     seed = f"{SEED}::UBIGINT"
     point = f"CASE WHEN doc_id IS NULL THEN {xxh64('crc', xxh64('size', seed))} ELSE {xxh64('coalesce(doc_id, 0)', seed)} END >> 1"
     return f"""WITH RECURSIVE
-b AS (SELECT CAST(doc_id AS BIGINT) AS doc_id, CAST(strlen(coalesce(text, '')) + 1 AS BIGINT) AS size, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: CAST('0x' || x AS UINTEGER)) AS b FROM documents),
-d AS (SELECT doc_id, size, CAST(xor(list_reduce(list_prepend(4294967295::UINTEGER, b), lambda c, x: xor(c >> 8, ({crc32_table()}::UINTEGER[])[xor(c, x) % 256 + 1])), 4294967295::UINTEGER) AS BIGINT) AS crc FROM b),
+d AS (SELECT CAST(doc_id AS BIGINT) AS doc_id, CAST(strlen(coalesce(text, '')) + 1 AS BIGINT) AS size, {crc32("hex(encode(coalesce(text, '')))")} AS crc FROM documents),
 nd(arc, pos, shard) AS (SELECT a::BIGINT, p::UBIGINT, s::INTEGER FROM (VALUES {ring}) v(a, p, s)),
 h AS (SELECT *, {point} AS p FROM d),
 a AS (SELECT h.*, coalesce(nd.arc, 0) AS arc FROM h ASOF LEFT JOIN nd ON h.p <= nd.pos),
@@ -128,4 +152,4 @@ def oracle_sql() -> dict[str, str]:
     """Operators that are not here have no SQL form; tests hold those against brute force, a public
     library or held-out accuracy. The index of embeddings finds a link at the threshold with
     a chance of 0.998, so its rows may differ from SQL's on tables with many links."""
-    return {"op2_substring_dedup": SUBSTRINGS, "op4_jaccard_join": JACCARD, "op6_embedding_dedup": EMBEDDINGS, "op10_sharding": sharding_sql()}
+    return {"op2_substring_dedup": SUBSTRINGS, "op4_jaccard_join": JACCARD, "op6_embedding_dedup": EMBEDDINGS, "op10_sharding": sharding_sql(), "op13_importance": IMPORTANCE}

@@ -36,5 +36,20 @@ def ranked(df: DataFrame, group: list[str], point: Column, order: list, name: st
     return out.drop("__p", "__cell", "__from", "__r", *[f"__k_{g}" for g in [*group, "__cell"]])
 
 
+def by_range(stash, df: DataFrame, order: list[Column], name: str = "rank") -> DataFrame:
+    """`df` with a gapless 0-based rank over all rows, in `order`, which should tell any two rows
+    apart: a range exchange deals and sorts them, and a row's rank is its place in its
+    partition behind the sizes of those before. The ranges are written, so that
+    both passes see the same ones; one row a partition is summed in one task."""
+    dealt = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__m", F.monotonically_increasing_id())
+    dealt = stash.put(dealt, "ranges")
+    part = F.shiftright("__m", 33)
+    sizes = dealt.groupBy(part.alias("__part")).agg(F.count(F.lit(1)).alias("__n"))
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__from"))
+    out = dealt.withColumn("__part", part).join(F.broadcast(sizes), "__part")  # a row a partition
+    return out.withColumn(name, F.col("__from") + F.col("__m").bitwiseAND((1 << 33) - 1)).drop("__part", "__m", "__from")
+
+
 def hash63(*cols) -> Column:
     return F.shiftrightunsigned(F.xxhash64(*cols), 1)
