@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, embedding_dedup, importance, jaccard_join, lang_id, mixing, paragraph_dedup, sharding, substring_dedup, token_count, toxicity
+from . import decontaminate, embedding_dedup, importance, jaccard_join, lang_id, mixing, paragraph_dedup, sharding, substring_dedup, token_count, topk_search, toxicity
 
 
 def queries() -> dict:
@@ -17,6 +17,7 @@ def queries() -> dict:
         "op8_mixing": mixing.query,
         "op9_toxicity": toxicity.query,
         "op10_sharding": sharding.query,
+        "op12_topk_search": topk_search.query,
         "op13_importance": importance.query,
     }
 
@@ -102,6 +103,14 @@ def crc32(hex_text: str) -> str:
     return f"CAST(xor(list_reduce(list_prepend(4294967295::UINTEGER, {b}), lambda c, x: xor(c >> 8, ({crc32_table()}::UINTEGER[])[xor(c, x) % 256 + 1])), 4294967295::UINTEGER) AS BIGINT)"
 
 
+#: Inner products of whole numbers, each query's rows in order.
+TOPK = f"""WITH
+v AS (SELECT DISTINCT vec_id, list_transform(embedding, lambda x: floor({topk_search.SCALE} * CAST(x AS DOUBLE))) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS (SELECT a.vec_id AS query_id, b.vec_id, coalesce(CAST(list_sum(list_transform(list_zip(a.v, b.v), lambda x: x[1] * x[2])) AS BIGINT), 0) AS score FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0)
+SELECT query_id, CAST(row_number() OVER w AS INTEGER) AS rank, vec_id, score FROM p WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id) QUALIFY row_number() OVER w <= {topk_search.K}"""
+
+
 #: Single words, counted by bucket of their CRC-32; gains, weights and the hash's noise.
 IMPORTANCE = rf"""WITH
 a AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w, row_number() OVER () AS r FROM documents),
@@ -152,4 +161,4 @@ def oracle_sql() -> dict[str, str]:
     """Operators that are not here have no SQL form; tests hold those against brute force, a public
     library or held-out accuracy. The index of embeddings finds a link at the threshold with
     a chance of 0.998, so its rows may differ from SQL's on tables with many links."""
-    return {"op2_substring_dedup": SUBSTRINGS, "op4_jaccard_join": JACCARD, "op6_embedding_dedup": EMBEDDINGS, "op10_sharding": sharding_sql(), "op13_importance": IMPORTANCE}
+    return {"op2_substring_dedup": SUBSTRINGS, "op4_jaccard_join": JACCARD, "op6_embedding_dedup": EMBEDDINGS, "op10_sharding": sharding_sql(), "op12_topk_search": TOPK, "op13_importance": IMPORTANCE}
