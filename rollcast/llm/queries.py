@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, embedding_dedup, importance, jaccard_join, lang_id, mixing, paragraph_dedup, sharding, substring_dedup, token_count, topk_search, toxicity
+from . import decontaminate, embedding_dedup, importance, jaccard_join, lang_id, merkle, mixing, paragraph_dedup, sharding, substring_dedup, token_count, topk_search, toxicity
 
 
 def queries() -> dict:
@@ -17,6 +17,7 @@ def queries() -> dict:
         "op8_mixing": mixing.query,
         "op9_toxicity": toxicity.query,
         "op10_sharding": sharding.query,
+        "op11_merkle": merkle.query,
         "op12_topk_search": topk_search.query,
         "op13_importance": importance.query,
     }
@@ -129,6 +130,29 @@ q AS (SELECT *, row_number() OVER (ORDER BY n_features >= {importance.MIN_WORDS}
 SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= {importance.MIN_WORDS} AND k <= {importance.PERCENT} * n // 100 THEN k END AS rank FROM q"""
 
 
+def told(*values: str) -> str:
+    """Digest of values with their lengths, nulls as `-`."""
+    return "sha256(" + " || ".join(f"coalesce(strlen(CAST({v} AS VARCHAR)) || ':' || CAST({v} AS VARCHAR), '-')" for v in values) + ")"
+
+
+LOW = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+#: Nodes level by level, per source and then of the subroots; each leaf's runs on its way up, folded in order.
+MERKLE = f"""WITH RECURSIVE
+d AS (SELECT doc_id, CASE WHEN source IS NULL THEN '' ELSE 's' || source END AS g, {told(*merkle.FIELDS)} AS leaf,
+  CASE WHEN doc_id IS NOT NULL AND {crc32("hex(encode(CAST(doc_id AS VARCHAR)))")} % 5 = 0 THEN {told("doc_id", "source", "lang", "n_chars", LOW)} END AS low FROM documents),
+p AS (SELECT doc_id, g, leaf, coalesce(low, leaf) AS seen, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf, coalesce(low, leaf)) - 1 AS i, count(*) OVER (PARTITION BY g) AS c FROM d),
+n(g, l, i, h, c) AS (SELECT g, 0, i, leaf, c FROM p UNION ALL SELECT g, l + 1, i // {merkle.FANOUT}, sha256(string_agg(h, '' ORDER BY i)), (c + {merkle.FANOUT - 1}) // {merkle.FANOUT} FROM n WHERE c > 1 GROUP BY g, l, i // {merkle.FANOUT}, c),
+s AS (SELECT g, h AS subroot, row_number() OVER (ORDER BY g) - 1 AS i, count(*) OVER () AS c FROM n WHERE c = 1),
+m(l, i, h, c) AS (SELECT 0, i, subroot, c FROM s UNION ALL SELECT l + 1, i // {merkle.FANOUT}, sha256(string_agg(h, '' ORDER BY i)), (c + {merkle.FANOUT - 1}) // {merkle.FANOUT} FROM m WHERE c > 1 GROUP BY l, i // {merkle.FANOUT}, c),
+a AS (SELECT g, l, i // {merkle.FANOUT} AS k, list(h ORDER BY i) AS kids FROM n WHERE c > 1 GROUP BY ALL),
+b AS (SELECT l, i // {merkle.FANOUT} AS k, list(h ORDER BY i) AS kids FROM m WHERE c > 1 GROUP BY ALL),
+w AS (SELECT p.g, p.i, a.l, a.kids, CAST((p.i >> (4 * a.l)) % {merkle.FANOUT} AS BIGINT) AS j FROM p JOIN a ON a.g = p.g AND a.k = p.i >> (4 * (a.l + 1))
+  UNION ALL SELECT p.g, p.i, b.l + 100, b.kids, (s.i >> (4 * b.l)) % {merkle.FANOUT} FROM p JOIN s ON s.g = p.g JOIN b ON b.k = s.i >> (4 * (b.l + 1))),
+t AS (SELECT g, i, list({{'x': array_to_string(kids[1:j], ''), 'y': array_to_string(kids[j + 2:], '')}} ORDER BY l) AS t FROM w GROUP BY 1, 2),
+f AS (SELECT p.*, t.t, list_reduce(list_prepend({{'x': seen, 'y': ''}}, coalesce(t.t, [])), lambda u, v: {{'x': sha256(v.x || u.x || v.y), 'y': ''}}).x AS folded_root FROM p LEFT JOIN t USING (g, i))
+SELECT doc_id, leaf, subroot, m.h AS root, sha256(coalesce(array_to_string(list_transform(t, lambda v: v.x || v.y), ''), '')) AS proof_sha256, folded_root, folded_root = m.h AS verified FROM f JOIN s USING (g) JOIN m ON m.c = 1"""
+
+
 def sharding_sql(shards: int = sharding.SHARDS) -> str:
     """The ring's nodes as rows, each document's place on it by its id's hash, the rows that a
     shard's bound lets its own arcs keep by running counts, and two laps of the ring, node
@@ -161,4 +185,4 @@ def oracle_sql() -> dict[str, str]:
     """Operators that are not here have no SQL form; tests hold those against brute force, a public
     library or held-out accuracy. The index of embeddings finds a link at the threshold with
     a chance of 0.998, so its rows may differ from SQL's on tables with many links."""
-    return {"op2_substring_dedup": SUBSTRINGS, "op4_jaccard_join": JACCARD, "op6_embedding_dedup": EMBEDDINGS, "op10_sharding": sharding_sql(), "op12_topk_search": TOPK, "op13_importance": IMPORTANCE}
+    return {"op2_substring_dedup": SUBSTRINGS, "op4_jaccard_join": JACCARD, "op6_embedding_dedup": EMBEDDINGS, "op10_sharding": sharding_sql(), "op11_merkle": MERKLE, "op12_topk_search": TOPK, "op13_importance": IMPORTANCE}
