@@ -28,7 +28,7 @@ BITS = 24
 
 def _spans(prefix: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
     """Karp-Rabin hashes of the n words behind each position."""
-    return X.span_hash(prefix, at, at + n)
+    return X.span_hash61(prefix, at, at + n)
 
 
 def _free(marked: np.ndarray, n: int) -> np.ndarray:
@@ -37,12 +37,6 @@ def _free(marked: np.ndarray, n: int) -> np.ndarray:
     return np.flatnonzero(marks[n:] == marks[:-n]) if len(marked) >= n else np.zeros(0, np.int64)
 
 
-def _prefix(words: np.ndarray) -> np.ndarray:
-    out = np.zeros(len(words) + 1, np.uint64)
-    np.cumsum(X.mix(words) * X.powers(len(words)), out=out[1:])
-    return out
-
-
 def tile(item: np.ndarray, doc: np.ndarray, k: int) -> int:
     """Words of `item` that greedy tiling against `doc` covers, with runs of k words or more;
     both are word hashes.
@@ -51,7 +45,7 @@ def tile(item: np.ndarray, doc: np.ndarray, k: int) -> int:
     shorter ones); at this length runs are marked from left to right, each with the first
     place in the document that is still free. Lengths descend, each marks at least as
     many words of the item, so there are few, and repeated words cost no more than others."""
-    pi, pd_ = _prefix(item), _prefix(doc)
+    pi, pd_ = X.prefix_hash61(item), X.prefix_hash61(doc)
     # the document's words outside of common runs of k words match nothing
     at = np.arange(max(0, len(doc) - k + 1))
     hit = np.isin(_spans(pd_, at, k), _spans(pi, np.arange(max(0, len(item) - k + 1)), k))
@@ -69,7 +63,7 @@ def tile(item: np.ndarray, doc: np.ndarray, k: int) -> int:
     small = np.zeros(len(used), np.uint64)
     small[place] = doc[near]
     used = used[place[0] :]
-    doc, pd_ = small[place[0] :], _prefix(small[place[0] :])
+    doc, pd_ = small[place[0] :], X.prefix_hash61(small[place[0] :])
     in_item, in_doc, covered = np.zeros(len(item), bool), ~used, 0
     most = min(len(item), len(doc))
     while True:

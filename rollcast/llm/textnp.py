@@ -63,7 +63,8 @@ def lay(texts: list[bytes], sep: bytes = b" ") -> tuple[np.ndarray, np.ndarray]:
 
 
 def prefix_hash(buf: np.ndarray) -> np.ndarray:
-    """P with P[j] - P[i] = base^i * hash(buf[i:j]), modulo 2^64."""
+    """P with P[j] - P[i] = base^i * hash(buf[i:j]), modulo 2^64: for windows of at most a few
+    hundred bytes (of longer ones, some that are built alike have equal hashes)."""
     out = np.zeros(len(buf) + 1, U64)
     np.cumsum((buf.astype(U64) + U64(1)) * powers(len(buf)), out=out[1:])
     return out
@@ -75,6 +76,63 @@ def span_hash(p: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
     return mix((p[stop] - p[start]) * inv[start])
 
 
+def block_hash(buf: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """Hash of buf[start:stop] of any length: the sum of a mixed value of each 8 bytes and
+    their place. Unlike a polynomial modulo 2^64, it has no algebra by which words that are
+    built alike (a Thue-Morse word and its complement) could meet."""
+    n = (stop - start + 7) >> 3
+    first = np.concatenate([[0], np.cumsum(n)])[:-1]
+    j = np.arange(int(n.sum())) - np.repeat(first, n)
+    at = np.repeat(start, n) + 8 * j
+    data = np.concatenate([buf, np.zeros(8, np.uint8)])
+    eight = np.ndarray(len(data) - 7, "<u8", data, strides=(1,))[at]
+    spare = np.maximum(0, at + 8 - np.repeat(stop, n)).astype(U64) * U64(8)  # bits behind the end
+    v = mix((eight & (U64(0xFFFFFFFFFFFFFFFF) >> spare)) ^ mix(j.astype(U64) + U64(_BASE)))
+    total = np.add.reduceat(v, first) if len(v) else np.zeros(0, U64)
+    return mix(total + (stop - start).astype(U64))
+
+
+P61 = (1 << 61) - 1
+_BASE61 = 0x9E3779B97F4A7C15 % P61
+_powers61: dict[int, np.ndarray] = {}
+
+
+def mulmod61(a, b) -> np.ndarray:
+    """a b modulo 2^61 - 1, of numbers below it."""
+    a, b = np.asarray(a, U64), np.asarray(b, U64)
+    m31, m30 = U64((1 << 31) - 1), U64((1 << 30) - 1)
+    ah, al, bh, bl = a >> U64(31), a & m31, b >> U64(31), b & m31
+    mid = ah * bl + al * bh
+    x = ah * bh * U64(2) + (mid >> U64(30)) + ((mid & m30) << U64(31)) + al * bl
+    x = (x & U64(P61)) + (x >> U64(61))
+    return np.where(x >= U64(P61), x - U64(P61), x)
+
+
+def powers61(n: int, base: int = _BASE61) -> np.ndarray:
+    have = _powers61.get(base)
+    if have is None or len(have) < n:
+        have = np.ones(1, U64)
+        while len(have) < max(n, 1 << 10):
+            have = np.concatenate([have, mulmod61(have, U64(pow(base, len(have), P61)))])
+        _powers61[base] = have
+    return have[:n]
+
+
+def prefix_hash61(values: np.ndarray) -> np.ndarray:
+    """P with P[j] - P[i] = base^i * hash(values[i:j]), modulo 2^61 - 1: Karp-Rabin over
+    64-bit values."""
+    term = mulmod61(values % U64(P61), powers61(len(values)))
+    low, high = np.cumsum(term & U64((1 << 31) - 1)), np.cumsum(term >> U64(31))
+    out = np.zeros(len(values) + 1, U64)
+    out[1:] = (mulmod61(high % U64(P61), U64(1 << 31)) + low % U64(P61)) % U64(P61)
+    return out
+
+
+def span_hash61(p: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    inv = powers61(len(p), pow(_BASE61, -1, P61))
+    return mulmod61((p[stop] + U64(P61) - p[start]) % U64(P61), inv[start])
+
+
 def words(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of maximal runs without white space."""
     gap = SPACE[buf]
@@ -89,7 +147,7 @@ def word_hashes(texts: list[bytes], lower: bool = True):
         buf = LOWER[buf]
     start, stop = words(buf)
     doc = np.searchsorted(offs, start, "right") - 1
-    return span_hash(prefix_hash(buf), start, stop), doc, start - offs[doc], stop - offs[doc]
+    return block_hash(buf, start, stop), doc, start - offs[doc], stop - offs[doc]
 
 
 def shingle_hashes(h: np.ndarray, doc: np.ndarray, n_docs: int, k: int = 5):

@@ -58,6 +58,44 @@ def test_span_hash_is_of_the_bytes():
     assert h[0] == h[3] and h[1] == h[4] and len(set(h.tolist())) == 3
 
 
+def thue_morse(n, a, b):
+    w, v = [a], [b]
+    while len(w) < n:
+        w, v = w + v, v + w
+    return w, v
+
+
+def test_words_that_are_built_alike_differ():
+    for n in (64, 1024, 2048, 4096, 65536):
+        pair = [b"".join(x) for x in thue_morse(n, b"a", b"b")]
+        h = X.word_hashes([b" ".join(pair)])[0]
+        assert h[0] != h[1]
+        h = X.word_hashes([b" ".join([*pair, b"x" + pair[0], pair[0]])])[0]
+        assert len(set(h.tolist())) == 3 and h[0] == h[3]
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.binary(min_size=1, max_size=40).map(lambda b: bytes(c | 0x80 for c in b)), min_size=1, max_size=8))
+def test_block_hash_is_of_the_bytes(words_):
+    h = X.word_hashes([b" ".join(words_), b"zz " + b" ".join(words_[::-1])], lower=False)[0].tolist()
+    n = len(words_)
+    assert h[:n] == h[n + 1 :][::-1] and len(set(h[:n])) == len(set(words_))
+
+
+def test_karp_rabin_modulo_a_prime():
+    rng = np.random.default_rng(0)
+    a, b = (rng.integers(0, X.P61, 200, dtype=np.uint64) for _ in range(2))
+    assert X.mulmod61(a, b).tolist() == [int(x) * int(y) % X.P61 for x, y in zip(a, b)]
+    v = rng.integers(0, 2**64, 3000, dtype=np.uint64)
+    p = X.prefix_hash61(np.concatenate([v, v]))
+    at = np.arange(0, 2990, 7)
+    assert (X.span_hash61(p, at, at + 10) == X.span_hash61(p, at + 3000, at + 3010)).all()
+    assert len(set(X.span_hash61(p, at, at + 10).tolist())) == len(at)
+    w, u = (np.array(x, np.uint64) for x in thue_morse(4096, 5, 2**63 + 11))
+    p, q = X.prefix_hash61(w), X.prefix_hash61(u)
+    assert p[-1] != q[-1]
+
+
 def test_batches_cover_all():
     texts = [b"x" * n for n in (0, 5, 100, 3, 0, 7)]
     assert [i for a, b in X.batches(texts, 10) for i in range(a, b)] == list(range(6))
