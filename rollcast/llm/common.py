@@ -47,6 +47,13 @@ def tune(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
 
 
+def told_ids(df: DataFrame, id_col: str) -> list:
+    """Columns id (as text, whatever its type), seed (of it: a whole number stands for itself)
+    and order (a hash) for a sample by id."""
+    whole = df.schema[id_col].dataType.typeName() in ("byte", "short", "integer", "long")
+    return [F.col(id_col).cast("string").alias("id"), (F.col(id_col).cast("long") if whole else F.xxhash64(id_col)).alias("seed"), F.xxhash64(id_col).alias("order")]
+
+
 def with_columns(df: DataFrame, inputs: list[str], new: dict[str, str], make) -> DataFrame:
     """`df` with the columns `new` (name: type), which replace columns of those names. `make`
     starts on each partition and gives a function from the batch's values of `inputs`

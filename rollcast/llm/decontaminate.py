@@ -4,12 +4,16 @@
    as a table. A bitmap of 2^BITS bits, whatever the benchmark's size, tells each task
    which words of its documents can be seeds at all; only those are joined with the
    table, so nothing that grows with the benchmark is broadcast or held by a task.
-2. A document and an item that share a seed are tiled (`tile`): the longest common run of
+   A document is reduced to the words under such seeds, and documents with the same ones are
+   one class, so a phrase in very many documents is looked at once.
+2. A class and an item that share a seed are tiled (`tile`): the longest common run of
    unmarked words is marked in both, again and again, until no run of MIN_MATCH words is
    left. The share of the item that the tiles cover does not depend on their order, so
    passages that were cut up and reordered are found.
 
-Equal texts are tiled once. Common runs come from running Karp-Rabin hashes."""
+A class takes its items by the share of their words that lie under shared seeds, the most that
+tiles can cover, and ends where no item can cover more than the best one or reach the
+threshold. Common runs come from running Karp-Rabin hashes."""
 
 from __future__ import annotations
 
@@ -24,6 +28,8 @@ from .common import Stash, aside, back, tune
 MIN_MATCH = 5
 COVERAGE = 0.5
 BITS = 24
+PARTS = 16  # of a class's items
+GAP = np.uint64(0)
 
 
 def _spans(prefix: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
@@ -133,13 +139,36 @@ def items_of(benchmark: DataFrame, id_col: str, text_col: str, k: int) -> DataFr
                     w = h[edge[i] : edge[i + 1]]
                     if len(w):
                         n = min(k, len(w))
-                        s = np.unique(runs(w, np.zeros(len(w), np.int64), n)[0])
+                        s = runs(w, np.zeros(len(w), np.int64), n)[0]
                         out.append((pdf["item"].iloc[a + i], pdf["ik"].iloc[a + i], n, w.view(np.int64), s.view(np.int64)))
                 yield pd.DataFrame(out, columns=["item", "ik", "n", "words", "seeds"])
 
     return b.mapInPandas(cut, "item long, ik long, n int, words array<long>, seeds array<long>")
 
 
+def reduced(ids: np.ndarray, h: np.ndarray, doc: np.ndarray, near: np.ndarray, at: np.ndarray, seeds: np.ndarray) -> list[tuple]:
+    """(id, class, words, seeds) of every text with hits: its words under seeds, runs that were
+    apart with GAP between them, and its distinct seeds. No item can match anything else of
+    it, so texts with equal words here are one class."""
+    keep = np.flatnonzero(near)
+    if not len(keep):
+        return []
+    new = np.concatenate([[True], (keep[1:] != keep[:-1] + 1) | (doc[keep[1:]] != doc[keep[:-1]])])
+    words, place = np.full(len(keep) + int(new.sum()), GAP), np.arange(len(keep)) + np.cumsum(new)
+    words[place] = h[keep]
+    own = doc[keep]
+    edge = np.searchsorted(own, np.arange(len(ids) + 1))
+    first = np.append(place, len(words) + 1)[edge] - 1  # the gap before each text's first word
+    by = np.argsort(doc[at], kind="stable")
+    cut = np.searchsorted(doc[at][by], np.arange(len(ids) + 1))
+    out = []
+    for i in np.unique(own):
+        w = words[first[i] + 1 : first[i + 1]]
+        c = X.mix(np.bitwise_xor.reduce(X.mix(w + X.mix(np.arange(len(w)).astype(np.uint64)))) + np.uint64(len(w)))
+        out.append((ids[i], c.view(np.int64), w.view(np.int64), np.unique(seeds[by[cut[i] : cut[i + 1]]]).view(np.int64)))
+    return out
+
+
 def bitmap(seeds: DataFrame) -> np.ndarray:
     """A bit of 2^BITS for both probes of each seed. The driver gets 2^BITS / 32 numbers at
     most, made by an aggregation."""
@@ -162,7 +191,8 @@ def decontaminate(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, *,
 
     Words are maximal runs without ASCII white space, A-Z lower-cased. Whole texts are tiled
     (a task holds some 100 bytes for each of the longest text's words). Null, empty and
-    blank documents match nothing, and items without an id or without words are no items;
+    blank documents match nothing; a phrase that many documents and items share costs one class
+    of documents, not each of them, for every item; and items without an id or without words are no items;
     rows of the benchmark that repeat an id and a text are one item. A row's result
     depends on its text alone, so repeated rows and rows without an id get theirs like any.
     Columns of `docs` with the four names are replaced; all others are kept, whatever
@@ -180,38 +210,55 @@ def decontaminate(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, *,
             raw, own = X.encode(pdf["text"]), pdf["h"].to_numpy()
             for a, b in X.batches(raw):
                 h, doc, *_ = X.word_hashes(raw[a:b])
+                cover, seeds_at, seeds_of = np.zeros(len(h) + 1, np.int64), [], []
                 for n in lengths:
                     s, at = runs(h, doc, n)
                     x, y = _probes(s)
                     hit = np.flatnonzero((bits[x >> 5] >> (x & 31).astype(np.uint32)) & (bits[y >> 5] >> (y & 31).astype(np.uint32)) & np.uint32(1))
-                    yield pd.DataFrame({"h": own[a:b][doc[at[hit]]], "s": s[hit].view(np.int64)}).drop_duplicates()
-
-    hits = texts.mapInPandas(probe, "h long, s long").distinct()
-    pairs = stash.put(hits.join(seeds, "s").select("h", "ik").distinct(), "pairs")
-    some = stash.put(pairs.select("h").distinct(), "some")
-    # a text, then the items that share a seed with it, one by one
-    first = texts.join(some, "h").groupBy("h").agg(F.any_value("text").alias("text"))
-    first = first.select("h", F.lit(None).cast("long").alias("ik"), F.lit(None).cast("long").alias("item"), "text", F.lit(None).cast("array<long>").alias("words"))
-    then = pairs.join(items, "ik").select("h", "ik", "item", F.lit(None).cast("string").alias("text"), "words")
-    both = first.unionByName(then).repartition("h").sortWithinPartitions("h", F.col("text").isNull())
+                    np.add.at(cover, at[hit], 1)
+                    np.add.at(cover, at[hit] + n, -1)
+                    seeds_at.append(at[hit])
+                    seeds_of.append(s[hit])
+                yield pd.DataFrame(reduced(own[a:b], h, doc, np.cumsum(cover[:-1]) > 0, np.concatenate([np.zeros(0, np.int64), *seeds_at]), np.concatenate([np.zeros(0, np.uint64), *seeds_of])), columns=["h", "c", "words", "seeds"])
+
+    hits = stash.put(texts.mapInPandas(probe, "h long, c long, words array<long>, seeds array<long>"), "hits")
+    # what is left of many texts may be the same passage: it is one class
+    classes = stash.put(hits.groupBy("c").agg(F.any_value("words").alias("words"), F.any_value("seeds").alias("seeds")), "classes")
+    counted = seeds.groupBy("s", "ik").agg(F.count(F.lit(1)).alias("m"))  # an item may hold a seed several times
+    pairs = classes.select("c", F.explode("seeds").alias("s")).join(counted, "s").groupBy("c", "ik").agg(F.sum("m").alias("m"))
+    then = pairs.join(items, "ik").select("c", "item", "words", F.least(F.lit(1.0), F.col("m") * F.least(F.lit(k), F.size("words")) / F.size("words")).alias("most"))
+    # a class that meets many items is cut into parts, each with its words
+    then = stash.put(then.withColumn("part", F.pmod(F.xxhash64("item", "words"), F.lit(PARTS))), "pairs")
+    parts = then.select("c", "part").distinct()
+    first = parts.join(classes.select("c", F.col("words").alias("text")), "c").select("c", "part", F.lit(None).cast("long").alias("item"), F.col("text").alias("words"), F.lit(2.0).alias("most"))
+    both = first.unionByName(then).repartition("c", "part").sortWithinPartitions("c", "part", F.desc("most"), "item")
 
     def run(frames):
-        words = None
+        text, key, top, n = None, None, None, 0
+
+        def told():
+            return [] if key is None or top is None else [(key[0], -top[0], top[1], n)]
+
         for pdf in frames:
             out = []
-            for h, item, text, w in zip(pdf["h"], pdf["item"], pdf["text"], pdf["words"]):
-                if w is None:
-                    words = X.word_hashes(X.encode([text]))[0]
-                else:
-                    w = np.asarray(w, np.int64).view(np.uint64)
-                    out.append((h, int(item), tile(w, words, min(k, len(w))) / len(w)))
-            yield pd.DataFrame(out, columns=["h", "item", "c"])
+            for c, part, item, w, most in zip(pdf["c"], pdf["part"], pdf["item"], pdf["words"], pdf["most"]):
+                w = np.asarray(w, np.int64).view(np.uint64)
+                if most > 1.5:  # the class itself comes first
+                    out += told()
+                    text, key, top, n = w, (c, part), None, 0
+                elif top is None or most >= min(-top[0], coverage):  # else no item from here on can be better or count
+                    share = tile(w, text, min(k, len(w))) / len(w)
+                    top = min(top or (1.0, 0), (-share, int(item)))
+                    n += share >= coverage
+            yield pd.DataFrame(out, columns=["c", "share", "item", "n"])
+        yield pd.DataFrame(told(), columns=["c", "share", "item", "n"])
 
     # ids pass as text: beside a null, pandas would make them floats
-    both = both.withColumn("item", F.col("item").cast("string")).drop("ik")
-    found = both.mapInPandas(run, "h long, item long, c double")
-    best = F.min(F.struct((-F.col("c")).alias("c"), F.col("item")))
-    found = found.groupBy("h").agg(best.alias("best"), F.count_if(F.col("c") >= coverage).alias("n"))
+    both = both.withColumn("item", F.col("item").cast("string"))
+    found = both.mapInPandas(run, "c long, share double, item long, n long")
+    best = F.min(F.struct((-F.col("share")).alias("c"), F.col("item")))
+    found = stash.put(found.groupBy("c").agg(best.alias("best"), F.sum("n").alias("n")), "best")
+    found = hits.select("h", "c").distinct().join(found, "c")
     found = stash.put(found.select(F.col("h").alias("__h"), (-F.col("best.c")).alias("coverage"), F.col("best.item").alias("item_id"), F.col("n").alias("n_items")), "found")
     out = d.join(found, "__h", "left")  # a table: copies of one text may be a third of all rows
     out = out.withColumn("coverage", F.coalesce("coverage", F.lit(0.0))).withColumn("n_items", F.coalesce("n_items", F.lit(0).cast("long")))

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textnp as X
-from .common import tune, with_columns
+from .common import told_ids, tune, with_columns
 
 WINDOW = 256  # bytes
 WIDTHS = (2, 4, 6)
@@ -137,23 +137,25 @@ def windows(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def train(spark: SparkSession, docs: DataFrame, use, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> ByteCNN | None:
     """The network, fitted on TRAIN_WINDOWS windows of each of TRAIN_DOCS documents at most:
     those with a language for which the condition `use` holds, of the smallest id
-    hashes. Rows without an id or a text are not learned from; rows that repeat an id are.
+    hashes. Ids are of any type. Rows without an id or a text are not learned from; rows that
+    repeat an id are.
     None if there is nothing to learn from."""
-    known = docs.where(use & F.col(lang_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"))
-    ids = known.orderBy(F.xxhash64("id"), "id").limit(TRAIN_DOCS).select("id").toPandas()["id"].tolist()
+    use = use & F.col(lang_col).isNotNull() & F.col(id_col).isNotNull()
+    known = docs.where(use).select(*told_ids(docs, id_col))
+    ids = known.orderBy("order", "seed").limit(TRAIN_DOCS).select("id").toPandas()["id"].tolist()
     if not ids:
         return None
-    picked = spark.createDataFrame([(int(i),) for i in set(ids)], "id long")
-    rows = docs.where(use & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).join(F.broadcast(picked), "id")
+    picked = spark.createDataFrame([(i,) for i in sorted(set(ids))], "id string")
+    rows = docs.where(use & F.col(text_col).isNotNull()).select(*told_ids(docs, id_col), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).join(F.broadcast(picked), "id")
 
     def cut(frames):
         for pdf in frames:
-            for i, lang, text in zip(pdf["id"], pdf["lang"], X.encode(pdf["text"])):
+            for i, lang, text in zip(pdf["seed"], pdf["lang"], X.encode(pdf["text"])):
                 n = -(-len(text) // WINDOW)
                 for j in np.random.default_rng(int(i) & (2**63 - 1)).permutation(n)[:TRAIN_WINDOWS]:
                     yield pd.DataFrame({"id": [i], "lang": [lang], "w": [text[j * WINDOW : (j + 1) * WINDOW]]})
 
-    got = rows.mapInPandas(cut, "id long, lang string, w binary").toPandas().sort_values(["id", "w"])
+    got = rows.drop("order").mapInPandas(cut, "id long, lang string, w binary").toPandas().sort_values(["id", "w"])
     if got.empty:
         return None
     classes = sorted(set(got["lang"]))

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textnp as X
-from .common import Stash, tune, with_columns
+from .common import Stash, told_ids, tune, with_columns
 from .lang_id import held_out
 
 BITS = 20
@@ -94,14 +94,16 @@ class FactorizationMachine:
 
 def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, use, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> FactorizationMachine | None:
     """The machine, fitted on TRAIN_DOCS documents at most: those with a label of 0 or 1 for
-    which the condition `use` holds, of the smallest id hashes. None without both classes.
+    which the condition `use` holds, of the smallest id hashes. Ids are of any type; rows
+    without one are not learned from. None without both classes.
     The driver gets class counts by bucket (8 MB a part of the sample) and the features."""
-    known = labels.where(use & F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y"))
-    ids = known.groupBy("id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("id"), "id").limit(TRAIN_DOCS).toPandas()
+    known = labels.where(use & F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).select(*told_ids(labels, id_col), F.col(label_col).cast("int").alias("y"))
+    ids = known.groupBy("id", "seed", "order").agg(F.max("y").alias("y")).orderBy("order", "seed").limit(TRAIN_DOCS).toPandas()
     if ids["y"].nunique() < 2:
         return None
-    picked = spark.createDataFrame(list(zip(ids["id"].astype(int).tolist(), ids["y"].astype(int).tolist())), "id long, y int")
-    sample = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(picked), "id")
+    picked = spark.createDataFrame(list(zip(ids["id"].tolist(), ids["seed"].astype(int).tolist(), ids["y"].astype(int).tolist())), "id string, seed long, y int")
+    sample = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(picked), "id")
+    sample = sample.select(F.col("seed").alias("id"), "text", "y")
     sample = Stash(spark).put(sample.repartition(6), "sample")
 
     def count(frames):
