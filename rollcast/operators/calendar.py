@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .ranges import known, numbered
+
 KEYS = ("series_id",)
 
 
@@ -26,22 +28,20 @@ def interpolate(df: DataFrame, variables: Sequence[str], limit: int | None, orde
     """Linear interpolation along `order`, a whole number of steps on a complete grid. A null
     is filled if a value stands at most `limit` steps away on either side; ends take the
     nearest value; the middle of longer gaps stays null. No limit: all is filled."""
-    before = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    after = Window.partitionBy(*keys).orderBy(order).rowsBetween(0, Window.unboundedFollowing)
-    at = F.col(order)
+    at, columns = F.col(order), df.columns
+    df = known(df, keys, order, {f"__{v}": F.when(F.col(v).isNotNull(), F.struct(at.alias("t"), F.col(v).cast("double").alias("v"))) for v in variables})
     for v in variables:
-        known = F.when(F.col(v).isNotNull(), F.struct(at.alias("t"), F.col(v).cast("double").alias("v")))
-        df = df.withColumn("__p", F.last(known, True).over(before)).withColumn("__q", F.first(known, True).over(after))
+        df = df.withColumns({"__p": F.col(f"__{v}_before"), "__q": F.col(f"__{v}_after")})
         near = F.lit(True) if limit is None else F.coalesce(at - F.col("__p.t") <= limit, F.lit(False)) | F.coalesce(F.col("__q.t") - at <= limit, F.lit(False))
         line = F.col("__p.v") + (F.col("__q.v") - F.col("__p.v")) * (at - F.col("__p.t")) / (F.col("__q.t") - F.col("__p.t"))
         filled = F.coalesce(F.when(F.col("__p").isNotNull() & F.col("__q").isNotNull() & (F.col("__p.t") < F.col("__q.t")), line), F.col("__p.v"), F.col("__q.v"))
         df = df.withColumn(v, F.when(F.col(v).isNotNull(), F.col(v).cast("double")).when(near, filled)).drop("__p", "__q")
-    return df
+    return df.select(*columns)
 
 
 def drop_incomplete(df: DataFrame, variables: Sequence[str], order: str, keys: Sequence[str] = KEYS) -> DataFrame:
     """Rows with all variables, with t numbered anew: long gaps vanish."""
-    return df.dropna(subset=list(variables)).withColumn("t", F.row_number().over(Window.partitionBy(*keys).orderBy(order)).cast("long"))
+    return numbered(df.dropna(subset=list(variables)).drop("t"), keys, order, "t")
 
 
 def first_years(df: DataFrame, years: int | None, date: str = "date", keys: Sequence[str] = KEYS) -> DataFrame:

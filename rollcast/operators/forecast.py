@@ -16,24 +16,23 @@ from pyspark.sql.window import Window
 
 from ..config import THETA_GRID, holdout
 from ..functions import kernels
+from ..functions.scalar import finite
 from ..functions.stats import metrics, safe_corr
 from ..functions.tables import settle
+from . import tiles
+from .ranges import numbered, spread
 
 KEYS = ("series_id",)
-POINTS = 100  # prediction points of one task
-CELLS = 2_000_000  # numbers of one stacked solution
 NEAR = 400  # prediction points of one task of cross mapping
-SALT = 32  # parts of a series' prediction points in a join of all pairs
 LIBRARIES = 1000  # random libraries of one task
 
 
 def lag_embed(series: DataFrame, column: str, e: int, keys: Sequence[str] = KEYS) -> DataFrame:
     """`series` with states s0..s(e-1) = x(t), x(t-1), ...; the first e - 1 rows go."""
-    w = Window.partitionBy(*keys).orderBy("t")
-    d = series.withColumn("__i", F.row_number().over(w))
-    for j in range(e):
-        d = d.withColumn(f"s{j}", F.col(column) if j == 0 else F.lag(column, j).over(w))
-    return d.where(F.col("__i") >= e).drop("__i")
+    w = Window.partitionBy(*keys, "block").orderBy("__i")
+    d = spread(numbered(series, keys, "t", "__i"), e - 1, 0, order="__i")
+    d = d.withColumns({f"s{j}": F.col(column) if j == 0 else F.lag(column, j).over(w) for j in range(e)})
+    return d.where("inside").where(F.col("__i") >= e).drop("__i", "block", "inside")
 
 
 def persistence(series: DataFrame, target: str, tp: int, keys: Sequence[str] = KEYS, beyond: bool = False) -> DataFrame:
@@ -64,41 +63,19 @@ def skill(table: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     return table
 
 
-def paired(points: DataFrame, library: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Every point with every library row of its series. Points are dealt to SALT parts, each of
-    which gets the library, so a long series is no single task."""
-    a = library.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
-    b = points.withColumn("__salt", F.pmod(F.xxhash64("t"), F.lit(SALT)).cast("int"))
-    return b.join(a, [*keys, "__salt"]).drop("__salt")
-
-
 def simplex_pairs(states: DataFrame, columns: Sequence[str], target: str, lib: tuple[int, int], pred: tuple[int, int], tp: int, k: int, keys: Sequence[str] = KEYS) -> DataFrame:
-    """Simplex in relational form, for short series: pairs of a prediction point with all library
-    rows of its series, of which the k nearest are kept (ties: the earlier row)."""
-    d = states.withColumn("__y", F.lead(target, tp).over(Window.partitionBy(*keys).orderBy("t")))
-    a = d.where(F.col("t").between(*lib) & F.col("__y").isNotNull()).select(*keys, F.col("t").alias("t_lib"), F.col("__y").alias("y_lib"), *[F.col(c).alias(f"l_{c}") for c in columns])
-    b = d.where(F.col("t").between(*pred)).select(*keys, "t", F.col("__y").alias("obs"), *columns)
-    p = paired(b, a, keys).where("t <> t_lib")
-    p = p.withColumn("d", F.sqrt(sum(((F.col(c) - F.col(f"l_{c}")) * (F.col(c) - F.col(f"l_{c}")) for c in columns), F.lit(0.0))))
-    w = Window.partitionBy(*keys, "t")
-    p = p.withColumn("r", F.row_number().over(w.orderBy("d", "t_lib"))).where(F.col("r") <= k).withColumn("d0", F.min("d").over(w))
-    weight = F.when(F.col("d0") > 0, F.greatest(F.exp(-F.col("d") / F.nullif(F.col("d0"), F.lit(0.0))), F.lit(1e-6))).otherwise(F.when(F.col("d") == 0, 1.0).otherwise(1e-6))
-    p = p.withColumn("w", weight)
-    return p.groupBy(*keys, "t").agg(F.first("obs").alias("obs"), (F.sum(F.col("w") * F.col("y_lib")) / F.sum("w")).alias("pred")).select(*keys, (F.col("t") + tp).alias("t_pred"), "obs", "pred")
+    """(keys, t_pred, obs, pred): the simplex of rows `pred` with the states in `columns`, of
+    which the k nearest of the rows `lib` are kept (ties: the earlier row)."""
+    d = tiles.states(states, target, tp, columns=columns, keys=keys).withColumn("y", finite(F.col("y")))
+    a = d.where(F.col("t").between(*lib) & F.col("y").isNotNull())
+    out = tiles.simplex(d.where(F.col("t").between(*pred)), a, [(len(columns), k)], keys)
+    return out.select(*keys, (F.col("t") + tp).alias("t_pred"), "obs", "pred")
 
 
 def smap_line(series: DataFrame, column: str, target: str, lib: tuple[int, int], pred: tuple[int, int], tp: int, theta: float, keys: Sequence[str] = KEYS) -> DataFrame:
-    """The local linear map of one state variable in closed form: weighted moments over pairs.
-    Rows are multiplied by the weight, so moments weigh by its square."""
-    d = series.withColumn("__y", F.lead(target, tp).over(Window.partitionBy(*keys).orderBy("t")))
-    a = d.where(F.col("t").between(*lib) & F.col("__y").isNotNull()).select(*keys, F.col("t").alias("t_lib"), F.col("__y").alias("y"), F.col(column).alias("x"))
-    b = d.where(F.col("t").between(*pred)).select(*keys, "t", F.col("__y").alias("obs"), F.col(column).alias("x0"))
-    p = paired(b, a, keys).where("t <> t_lib").withColumn("d", F.abs(F.col("x") - F.col("x0")))
-    mean = F.avg("d").over(Window.partitionBy(*keys, "t"))
-    p = p.withColumn("w", F.exp(-2 * theta * F.coalesce(F.try_divide(F.col("d"), mean), F.lit(0.0)))).withColumn("u", F.col("x") - F.col("x0"))
-    m = p.groupBy(*keys, "t").agg(F.first("obs").alias("obs"), *[F.sum(F.col("w") * e).alias(n) for n, e in (("s", F.lit(1.0)), ("su", F.col("u")), ("sy", F.col("y")), ("suu", F.col("u") * F.col("u")), ("suy", F.col("u") * F.col("y")))])
-    slope = F.try_divide(F.col("s") * F.col("suy") - F.col("su") * F.col("sy"), F.col("s") * F.col("suu") - F.col("su") * F.col("su"))
-    return m.withColumn("slope", slope).select(*keys, (F.col("t") + tp).alias("t_pred"), "obs", ((F.col("sy") - F.col("slope") * F.col("su")) / F.col("s")).alias("pred"), "slope")
+    """(keys, t_pred, obs, pred, slope) of the local linear map of one state variable."""
+    d = run_models(series, [{"model": "smap", "columns": [column], "theta": theta, "tp": tp}], target, [], lib, pred, keys)
+    return d.select(*keys, "t_pred", "obs", "pred", F.col("coefficients")[1].alias("slope"))
 
 
 RANGES = ("lib_first", "lib_last", "pred_first", "pred_last")
@@ -111,60 +88,43 @@ def run_models(series: DataFrame, specs: Sequence[Mapping], target: str, feature
     (columns, by default target and features, as they are); e, theta, tp; optional weighting
     (`w` or `sqrt`), columns and name. e and theta may name columns of `params` (a row a
     series, as from `select_parameters`), so that each series has its own; without lib and
-    pred the ranges are its RANGES columns. A task has POINTS prediction points of a series
-    and the series, for all specs: the library is shipped once, and the specs' dense solves,
-    which SQL cannot express, are stacked. A spec that cannot be fitted gives forecasts that
-    are null."""
-    rows = []
+    pred the ranges are its RANGES columns. Specs with the same states share them, and all
+    maps of one weighting share their distances. No task gets a whole series (`tiles`). A
+    spec that cannot be fitted gives forecasts that are null."""
+    groups: dict[tuple, list[dict]] = {}
     for s in specs:
-        if s["model"] not in ("simplex", "smap") or s.get("kind", "multivariate") not in ("univariate", "multivariate"):
+        kind = s.get("kind", "multivariate")
+        if s["model"] not in ("simplex", "smap") or kind not in ("univariate", "multivariate"):
             raise ValueError(f"no such model: {s['model']} {s.get('kind')}")
-        rows.append(dict(s, kind=s.get("kind", "multivariate"), name=s.get("name") or f"{s['model']}_{s.get('kind', 'multivariate')}"))
-    need = list(dict.fromkeys([target, *features, *(c for s in rows for c in s.get("columns", ()))]))
-    d = series.select(*keys, "t", *[F.col(c).cast("double").alias(f"v_{c}") for c in need])
-    if params is not None:
-        d = d.join(params.select(*keys, *[F.col(c).alias(f"p_{c}") for c in params.columns if c not in keys]), list(keys))
+        s = dict(s, name=s.get("name") or f"{s['model']}_{kind}", theta=s.get("theta", 0.0), weighting=s.get("weighting", "w"), tp=int(s["tp"]))
+        of = s["e"] if kind == "univariate" else tuple(s.get("columns") or [target, *features])
+        groups.setdefault((kind, of, s["tp"], s["model"], s["weighting"] if s["model"] == "smap" else ""), []).append(s)
+    own = [] if params is None else [c for c in params.columns if c not in keys]
+    d = series if params is None else series.join(params.select(*keys, *[F.col(c).alias(f"p_{c}") for c in own]), list(keys))
     if lib is not None:
         d = d.withColumns({f"p_{c}": F.lit(int(x)).cast("long") for c, x in zip(RANGES, (*lib, *pred))})
-    d = d.withColumn("block", F.explode(F.sequence(F.lit(0), F.floor((F.col("p_pred_last") - F.col("p_pred_first")) / POINTS).cast("int"))))
-    types = dict(series.dtypes)
-    names = [*keys, "model", "tp", "e", "theta", "t_pred", "obs", "pred", "coefficients"]
-    schema = ", ".join([*(f"{k} {types[k]}" for k in keys), "model string, tp int, e int, theta double, t_pred long, obs double, pred double, coefficients array<double>"])
-
-    def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("t")
-        t, own = pdf["t"].to_numpy(), pdf.iloc[0]
-        y = pdf[f"v_{target}"].to_numpy(float)
-        lib_first, lib_last, pred_first, pred_last = (int(own[f"p_{c}"]) for c in RANGES)
-        first, out = pred_first + key[-1] * POINTS, []
-        for s in rows:
-            given = {c: own[f"p_{v}"] if isinstance(v, str) else v for c, v in s.items() if c in ("e", "theta")}
-            tp, theta = int(s["tp"]), float(given.get("theta", 0.0))
-            if s["kind"] == "univariate":
-                e = int(given["e"])
-                x = kernels.embed(y, e)
-            else:
-                cols = list(s.get("columns") or [target, *features])
-                e, x = len(cols), pdf[[f"v_{c}" for c in cols]].to_numpy(float)
-            ahead = np.full(len(y), np.nan)
-            if tp >= 0:
-                ahead[: len(y) - tp] = y[tp:]
-            whole = np.isfinite(x).all(1)
-            use = whole & np.isfinite(ahead) & (t >= lib_first) & (t <= lib_last)
-            place = np.where(use, np.cumsum(use) - 1, -1)
-            states, nexts = x[use], ahead[use]
-            points = np.flatnonzero((t >= first) & (t < first + POINTS) & (t <= pred_last) & whole)
-            step = max(1, CELLS // max(1, states.size))
-            for at in (points[i : i + step] for i in range(0, len(points), step)):
-                if s["model"] == "simplex":
-                    p, c = kernels.simplex_block(states, nexts, x[at], place[at], e + 1), None
-                else:
-                    p, c = kernels.smap_block(states, nexts, x[at], place[at], theta, s.get("weighting", "w"))
-                for j, i in enumerate(at):
-                    out.append((*key[:-1], s["name"], tp, e, theta, int(t[i]) + tp, ahead[i] if np.isfinite(ahead[i]) else None, p[j] if np.isfinite(p[j]) else None, None if c is None else c[j].tolist()))
-        return pd.DataFrame(out, columns=names)
-
-    return d.groupBy(*keys, "block").applyInPandas(one, schema)
+    kept, out = [c for c in d.columns if c.startswith("p_")], None
+    given = lambda v: F.col(f"p_{v}").cast("double") if isinstance(v, str) else F.lit(float(v))
+    for (kind, of, tp, model, weighting), mine in groups.items():
+        if kind == "multivariate":
+            width, found = len(of), tiles.states(d, target, tp, columns=of, keys=keys, keep=kept)
+        else:
+            width = params.agg(F.max(of)).first()[0] or 1 if isinstance(of, str) else int(of)
+            found = tiles.states(d, target, tp, lags=f"p_{of}" if isinstance(of, str) else width, most=width, keys=keys, keep=kept)
+        found = found.withColumn("y", finite(F.col("y"))).withColumn("x", F.transform("x", finite)).where(~F.exists("x", lambda v: v.isNull()))
+        found = found.withColumn("thetas", F.array(*[given(s["theta"]) for s in mine]))
+        library = found.where(F.col("t").between(F.col("p_lib_first"), F.col("p_lib_last")) & F.col("y").isNotNull()).select(*keys, "t", "x", "y")
+        points = found.where(F.col("t").between(F.col("p_pred_first"), F.col("p_pred_last"))).select(*keys, "t", "x", "y", "thetas")
+        if model == "smap":
+            made = tiles.local_maps(points, library, width, keys, power=2.0 if weighting == "w" else 1.0)
+        else:  # one forecast, whatever theta a spec names
+            made = tiles.simplex(points.drop("thetas"), library, None, keys).select(*keys, "t", "pred", F.explode(F.sequence(F.lit(0), F.lit(len(mine) - 1))).alias("which"), F.lit(None).cast("array<double>").alias("coefficients"))
+        every = points.select(*keys, "t", F.col("y").alias("obs"), F.size("x").alias("e"), F.posexplode("thetas").alias("which", "theta"))
+        made = every.join(made.select(*keys, "t", "which", "pred", "coefficients"), [*keys, "t", "which"], "left")
+        name = F.element_at(F.array(*[F.lit(s["name"]) for s in mine]), F.col("which") + 1)
+        made = made.select(*keys, name.alias("model"), F.lit(tp).alias("tp"), "e", "theta", (F.col("t") + tp).alias("t_pred"), "obs", "pred", "coefficients")
+        out = made if out is None else out.unionByName(made)
+    return out
 
 
 def split(n: int, fraction: float = 0.2) -> tuple[tuple[int, int], tuple[int, int]]:
@@ -182,9 +142,16 @@ def splits(series: DataFrame, fraction: float = 0.2, keys: Sequence[str] = KEYS)
 
 
 def embed_dimension(series: DataFrame, target: str, lib=None, pred=None, most: int = 10, tp: int = 1, keys: Sequence[str] = KEYS, params: DataFrame | None = None) -> DataFrame:
-    """(keys, e, rho): skill of univariate simplex forecasts for e = 1..most."""
-    specs = [{"model": "simplex", "kind": "univariate", "e": e, "tp": tp} for e in range(1, most + 1)]
-    return run_models(series, specs, target, [], lib, pred, keys, params).groupBy(*keys, "e").agg(safe_corr(F.col("obs"), F.col("pred")).alias("rho"))
+    """(keys, e, rho): skill of univariate simplex forecasts for e = 1..most, in one search: the
+    distances of e + 1 lags are those of e and one more lag's square."""
+    d = tiles.states(series, target, tp, lags=most, keys=keys)
+    d = d.withColumn("y", finite(F.col("y"))).withColumn("x", F.transform("x", finite))
+    if lib is None:
+        d = d.join(params.select(*keys, *RANGES), list(keys))
+        lib, pred = ((F.col(a), F.col(b)) for a, b in (RANGES[:2], RANGES[2:]))
+    points, library = d.where(F.col("t").between(*pred)), d.where(F.col("t").between(*lib) & F.col("y").isNotNull())
+    found = tiles.simplex(points.select(*keys, "t", "x", "y"), library.select(*keys, "t", "x", "y"), [(e, e + 1) for e in range(1, most + 1)], keys)
+    return found.groupBy(*keys, "e").agg(safe_corr(F.col("obs"), F.col("pred")).alias("rho"))
 
 
 def theta_sweep(series: DataFrame, target: str, features: Sequence[str], lib=None, pred=None, *, kind: str = "multivariate", e: int | str = 1, grid: Sequence[float] = THETA_GRID, tp: int = 1, keys: Sequence[str] = KEYS, params: DataFrame | None = None) -> DataFrame:

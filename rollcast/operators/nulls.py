@@ -14,7 +14,9 @@ from pyspark.sql.window import Window
 
 from ..config import AttributionConfig
 from ..functions.scalar import block_label, finite
+from ..functions.tables import settle
 from .align import long
+from .ranges import numbered
 from .rolling import endpoints, rolling_corr, standardised
 
 DIGITS = 9  # scores are compared with their null after rounding to so many digits
@@ -55,13 +57,15 @@ def series_null(spark: SparkSession, aligned: DataFrame, features: Sequence[str]
     """(keys, feature, perm, t_src, gr): the rolling scores of the forecast rolled over the whole
     series. Scored by (series, feature, perm), so replicates run in parallel; rows that
     are no window ends go before anything is gathered."""
-    i = F.row_number().over(Window.partitionBy(*keys).orderBy("t_src")) - 1
-    a = aligned.withColumn("i", i.cast("long")).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy(*keys)))
+    a = settle(numbered(aligned, keys, "t_src").withColumn("i", F.col("i") - 1))  # read for x, y and n
+    n = a.groupBy(*[F.col(k).alias(f"__{k}") for k in keys]).agg(F.count(F.lit(1)).alias("n"))
+    a = a.join(n, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]).drop(*[f"__{k}" for k in keys])
     y = a.select(*keys, F.col("i").alias("from"), "n", finite(F.col("pred")).alias("pred"))
     y = y.join(shift_table(spark, shifts)).select(*keys, "perm", F.pmod(F.col("from") + F.col("shift"), F.col("n")).alias("i"), "pred")
     x = long(a, features, [*keys, "i", "t_src"]).withColumn("x", finite(F.col("x")))
-    d = rolling_corr(x.join(y, [*keys, "i"]), "x", "pred", window, "i", [*keys, "feature", "perm"], "gr")
-    return endpoints(d.withColumn("i", F.col("i") + 1), window, step).select(*keys, "feature", "perm", "t_src", "gr")
+    d = x.join(y, [*keys, "i"]).withColumn("i", F.col("i") + 1)
+    d = rolling_corr(d, "x", "pred", window, "i", [*keys, "feature", "perm"], "gr", "i")
+    return endpoints(d, window, step).select(*keys, "feature", "perm", "t_src", "gr")
 
 
 def at_least(gr: Column, g: Column, digits: int | None = DIGITS) -> Column:

@@ -16,20 +16,30 @@ from pyspark.sql.window import Window
 
 from ..functions.scalar import finite, z
 from .align import long
+from .ranges import SIZE, numbered, spread
 
 KEYS = ("series_id", "feature")
 TINY = 1e-12  # a variance below this share of the mean square is zero
 
 
-def rolling_corr(df: DataFrame, x: str, y: str, window: int, order: str, keys: Sequence[str] = KEYS, name: str = "g") -> DataFrame:
+def ranged(df: DataFrame, window: int, order: str, keys: Sequence[str], index: str | None = None) -> DataFrame:
+    """`df` with __i, row numbers from 0, in ranges (__range) of whole windows; a range also has
+    the window - 1 rows before it, with `inside` false, so windows by (keys, __range) see every
+    window's rows, and one series is many tasks. `index` is a column of row numbers from 1."""
+    d = numbered(df, keys, order, "__i") if index is None else df.withColumn("__i", F.col(index).cast("long"))
+    return spread(d.withColumn("__i", F.col("__i") - 1), window - 1, 0, -(-SIZE // window) * window, "__i", "__range")
+
+
+def rolling_corr(df: DataFrame, x: str, y: str, window: int, order: str, keys: Sequence[str] = KEYS, name: str = "g", index: str | None = None) -> DataFrame:
     """`df` with the correlation of x and y over the `window` rows up to each row; null unless
-    all are complete and both vary. Both are less their median first, so that sums keep
-    their digits. Missing rows' values are finite doubles or null."""
+    all are complete and both vary. Both are less their median in a range first, so that sums
+    keep their digits. Missing rows' values are finite doubles or null. `index`: a column of
+    row numbers from 1, if there is one."""
+    keys = [*keys, "__range"]
     whole = Window.partitionBy(*keys)
-    at = whole.orderBy(order)
     ok = F.col(x).isNotNull() & F.col(y).isNotNull()
     # columns of one step go together, so each step is one window operator
-    d = df.withColumns({"__x": F.when(ok, F.col(x)), "__y": F.when(ok, F.col(y)), "__i": F.row_number().over(at) - 1})
+    d = ranged(df, window, order, keys[:-1], index).withColumns({"__x": F.when(ok, F.col(x)), "__y": F.when(ok, F.col(y))})
     d = d.withColumns({c: F.col(c) - F.percentile_approx(c, 0.5).over(whole) for c in ("__x", "__y")})
     d = d.withColumn("__b", F.floor(F.col("__i") / window))
     parts = {"n": F.col("__x").isNotNull().cast("double"), "x": F.col("__x"), "y": F.col("__y"), "xx": F.col("__x") * F.col("__x"), "yy": F.col("__y") * F.col("__y"), "xy": F.col("__x") * F.col("__y")}
@@ -44,30 +54,30 @@ def rolling_corr(df: DataFrame, x: str, y: str, window: int, order: str, keys: S
     cov = F.col("__wxy") - F.col("__wx") * F.col("__wy") / n
     varies = (vx > TINY * F.col("__wxx")) & (vy > TINY * F.col("__wyy"))
     r = F.when((F.col("__wn") > window - 0.5) & varies, F.try_divide(cov, F.sqrt(vx * vy)))
-    return d.withColumn(name, r).drop("__x", "__y", "__i", "__b", *[f"__{a}{k}" for a in "pselw" for k in parts])
+    return d.where("inside").withColumn(name, r).drop("__x", "__y", "__i", "__b", "__range", "inside", *[f"__{a}{k}" for a in "pselw" for k in parts])
 
 
-def rolling_moments(df: DataFrame, columns: Sequence[str], window: int, order: str, keys: Sequence[str] = KEYS) -> DataFrame:
+def rolling_moments(df: DataFrame, columns: Sequence[str], window: int, order: str, keys: Sequence[str] = KEYS, index: str | None = None) -> DataFrame:
     """`df` with <column>_mean and <column>_sd (population) of the last `window` rows; null
     before that many complete rows, and the deviation null where it is 0."""
-    w = Window.partitionBy(*keys).orderBy(order).rowsBetween(-(window - 1), 0)
-    d = df.withColumns({f"__{k}{c}": f(c).over(w) for c in columns for k, f in (("n", F.count), ("m", F.avg), ("s", F.stddev_pop))})
+    w = Window.partitionBy(*keys, "__range").orderBy("__i").rowsBetween(-(window - 1), 0)
+    d = ranged(df, window, order, keys, index).withColumns({f"__{k}{c}": f(c).over(w) for c in columns for k, f in (("n", F.count), ("m", F.avg), ("s", F.stddev_pop))})
     full = {c: F.col(f"__n{c}") == window for c in columns}
     d = d.withColumns({f"{c}_mean": F.when(full[c], F.col(f"__m{c}")) for c in columns} | {f"{c}_sd": F.when(full[c], F.nullif(F.col(f"__s{c}"), F.lit(0.0))) for c in columns})
-    return d.drop(*[f"__{k}{c}" for c in columns for k in "nms"])
+    return d.where("inside").drop("__i", "__range", "inside", *[f"__{k}{c}" for c in columns for k in "nms"])
 
 
 def scores(aligned: DataFrame, features: Sequence[str], window: int, step: int = 1, keys: Sequence[str] = ("series_id",)) -> DataFrame:
     """(keys, feature, t_src, date_src, g, l) at every `step`-th window end: the global score,
     and the local one, z(y) g z(x) of the window's last row."""
     by = [*keys, "feature"]
-    d = long(aligned.withColumn("pred", finite(F.col("pred"))), features, [*keys, "t_src", "date_src", "pred"]).withColumn("x", finite(F.col("x")))
-    d = rolling_corr(d, "x", "pred", window, "t_src", by)
-    d = rolling_moments(d, ["x", "pred"], window, "t_src", by)
+    d = numbered(aligned.withColumn("pred", finite(F.col("pred"))), keys, "t_src")  # of every feature alike
+    d = long(d, features, [*keys, "t_src", "date_src", "pred", "i"]).withColumn("x", finite(F.col("x")))
+    d = rolling_corr(d, "x", "pred", window, "t_src", by, index="i")
+    d = rolling_moments(d, ["x", "pred"], window, "t_src", by, "i")
     zy = F.try_divide(F.col("pred") - F.col("pred_mean"), F.col("pred_sd"))
     zx = F.try_divide(F.col("x") - F.col("x_mean"), F.col("x_sd"))
-    d = d.withColumn("l", zy * F.col("g") * zx).withColumn("i", F.row_number().over(Window.partitionBy(*by).orderBy("t_src")))
-    return endpoints(d, window, step).select(*by, "t_src", "date_src", "g", "l")
+    return endpoints(d.withColumn("l", zy * F.col("g") * zx), window, step).select(*by, "t_src", "date_src", "g", "l")
 
 
 def endpoints(df: DataFrame, window: int, step: int = 1, index: str = "i") -> DataFrame:
@@ -79,7 +89,9 @@ def windows(aligned: DataFrame, window: int, step: int = 1, keys: Sequence[str]
     """One row a window and member: `aligned` with e (the window's last row number), j (0-based
     place in the window). A row is sent to the windows that hold it, so windows are
     independent groups."""
-    d = aligned.withColumn("__i", F.row_number().over(Window.partitionBy(*keys).orderBy(order))).withColumn("__n", F.count(F.lit(1)).over(Window.partitionBy(*keys)))
+    d = numbered(aligned, keys, order, "__i")
+    n = d.groupBy(*[F.col(k).alias(f"__{k}") for k in keys]).agg(F.count(F.lit(1)).alias("__n"))
+    d = d.join(n, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]).drop(*[f"__{k}" for k in keys])
     # ends are window + k * step; those in [i, i + window - 1] and up to n hold row i
     first = F.greatest(F.lit(0), F.ceil((F.col("__i") - window) / step)).cast("long")
     last = F.floor((F.least(F.col("__i") + window - 1, F.col("__n")) - window) / step).cast("long")
@@ -112,7 +124,7 @@ def equivalence(aligned: DataFrame, features: Sequence[str], window: int, step:
     """(keys, feature, n_windows, mean, sd, max_difference): the rolling correlation against the
     inverse operator on z-scored windows, which are equal."""
     a = inverse_operator(windows(aligned, window, step, keys), features, normalize_y=True, keys=keys)
-    i = F.row_number().over(Window.partitionBy(*keys, "feature").orderBy("t_src")).cast("long")
-    b = scores(aligned, features, window, step, keys).withColumn("e", (i - 1) * step + window).select(*keys, "feature", "e", F.col("g").alias("r"))
+    b = numbered(scores(aligned, features, window, step, keys), [*keys, "feature"], "t_src")
+    b = b.withColumn("e", (F.col("i") - 1) * step + window).select(*keys, "feature", "e", F.col("g").alias("r"))
     d = a.join(b, [*keys, "feature", "e"])
     return d.groupBy(*keys, "feature").agg(F.count("r").alias("n_windows"), F.avg("r").alias("mean"), F.stddev_samp("r").alias("sd"), F.max(F.abs(F.col("g") - F.col("r"))).alias("max_difference"))

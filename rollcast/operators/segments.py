@@ -6,9 +6,10 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions.scalar import finite, season
+from ..functions.tables import settle
+from .ranges import running
 
 BY = ("series_id", "feature")
 
@@ -16,10 +17,10 @@ BY = ("series_id", "feature")
 def islands(scores: DataFrame, by: Sequence[str] = BY, flag: str = "sig", date: str = "date_src") -> DataFrame:
     """Rows of maximal runs of true flags, with the run's number `island`. Runs are of adjacent
     rows, not of adjacent dates; rows without a date are passed over, null flags are false."""
-    w = Window.partitionBy(*by).orderBy(date)
-    d = scores.dropna(subset=[date]).withColumn("__f", F.coalesce(flag, F.lit(False)))
-    d = d.withColumn("__rn", F.row_number().over(w)).withColumn("__in", F.row_number().over(Window.partitionBy(*by, "__f").orderBy(date)))
-    return d.where("__f").withColumn("island", (F.col("__rn") - F.col("__in")).cast("long")).drop("__f", "__rn", "__in")
+    d = settle(scores.dropna(subset=[date]).withColumn("__f", F.coalesce(flag, F.lit(False))))  # read twice
+    # a run's number: how many rows before it are not flagged
+    d = running(d, by, date, {"island": F.when(F.col("__f"), 0).otherwise(1).cast("long")})
+    return d.where("__f").drop("__f")
 
 
 def intervals(scores: DataFrame, by: Sequence[str] = BY, flag: str = "sig", date: str = "date_src", value: str = "g") -> DataFrame:
