@@ -8,6 +8,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -16,9 +17,11 @@ from ..config import AttributionConfig
 from ..functions.scalar import block_label, finite
 from ..functions.tables import settle
 from .align import long
-from .ranges import numbered
-from .rolling import endpoints, rolling_corr, standardised
+from .ranges import numbered, spread
+from .rolling import TINY, endpoints, rolling_corr, standardised
 
+ENDS = 1 << 14  # window ends of one task of `series_envelope`
+CELLS = 1 << 21  # scores that it holds at once
 DIGITS = 9  # scores are compared with their null after rounding to so many digits
 
 
@@ -68,6 +71,85 @@ def series_null(spark: SparkSession, aligned: DataFrame, features: Sequence[str]
     return endpoints(d, window, step).select(*keys, "feature", "perm", "t_src", "gr")
 
 
+def shifted_scores(x: np.ndarray, y: np.ndarray, start: int, shifts: np.ndarray, window: int) -> np.ndarray:
+    """(shifts, ends): the correlation over each `window` values of x with y rolled by each shift
+    along its whole ring. x[0] is at row `start` of the series, and missing values are NaN.
+    Sums are differences of running sums over the values of one block, which are less their
+    mean and in units of their deviation."""
+    n, rows = len(y), start + np.arange(len(x))
+
+    def unit(v):
+        ok = np.isfinite(v)
+        mean, sd = (v[ok].mean(), v[ok].std()) if ok.any() else (0.0, 1.0)
+        return np.where(ok, (v - mean) / (sd if sd > 0 else 1.0), 0.0), ok
+
+    def sums(v):
+        total = np.concatenate([np.zeros((*v.shape[:-1], 1)), np.cumsum(v, axis=-1)], axis=-1)
+        return total[..., window:] - total[..., :-window]
+
+    if len(x) < window:
+        return np.zeros((len(shifts), 0))
+    (xs, x_ok), (ys, y_ok) = unit(x), unit(y)
+    rolled, there = ys[(rows[None] - shifts[:, None]) % n], y_ok[(rows[None] - shifts[:, None]) % n] & x_ok[None]
+    a, b = np.where(there, xs[None], 0), np.where(there, rolled, 0)
+    sx, sy, sxx, syy, sxy = sums(a), sums(b), sums(a * a), sums(b * b), sums(a * b)
+    vx, vy = sxx - sx * sx / window, syy - sy * sy / window
+    varies = (vx > TINY * np.maximum(sxx, window * TINY)) & (vy > TINY * np.maximum(syy, window * TINY)) & (sums(there.astype(float)) > window - 0.5)
+    with np.errstate(all="ignore"):
+        return np.where(varies, (sxy - sx * sy / window) / np.sqrt(vx * vy), np.nan)
+
+
+def series_envelope(spark: SparkSession, aligned: DataFrame, observed: DataFrame, features: Sequence[str], window: int, shifts: Sequence[int], digits: int | None = DIGITS, keys: Sequence[str] = ("series_id",)) -> DataFrame:
+    """What `compare` of `series_null` gives: `observed` (keys, feature, t_src, g) with lo, hi and
+    p, for any number of replicates. A task has ENDS rows of a feature, with the window - 1
+    rows before them and their observed scores, and the ring of the forecast (8 bytes a row of
+    the series); it works out all replicates at once and returns a row a window end, so
+    neither the shuffle nor any table grows with the replicates."""
+    by = [*keys, "feature"]
+    a = settle(numbered(aligned.withColumn("pred", finite(F.col("pred"))), keys, "t_src"))
+    types = dict(observed.dtypes)
+    draw = np.array(list(shifts), np.int64)
+
+    def pack_ring(key, pdf):
+        y = pdf.sort_values("i")["pred"].to_numpy(float)
+        return pd.DataFrame([(*key, y.tobytes())], columns=[*keys, "ring"])
+
+    ring = settle(a.select(*keys, "i", "pred").groupBy(*keys).applyInPandas(pack_ring, ", ".join(f"{k} {types[k]}" for k in keys) + ", ring binary"))
+    x = long(a, features, [*keys, "i", "t_src"]).withColumn("x", finite(F.col("x")))
+    x = x.join(observed.select(*by, "t_src", "g"), [*by, "t_src"], "left")
+    x = spread(x.withColumn("i", F.col("i") - 1), window - 1, 0, ENDS, "i").drop("t_src", "inside")
+
+    def pack(key, pdf):
+        pdf = pdf.sort_values("i")
+        return pd.DataFrame([(*key, int(pdf["i"].iloc[0]), pdf["x"].to_numpy(float).tobytes(), pdf["g"].to_numpy(float).tobytes())], columns=[*by, "block", "start", "x", "g"])
+
+    kt = ", ".join(f"{k} {types[k]}" for k in by)
+    blocks = x.groupBy(*by, "block").applyInPandas(pack, f"{kt}, block long, start long, x binary, g binary")
+
+    def run(frames):
+        for pdf in frames:
+            for r in pdf.to_dict("records"):
+                x, g, y = (np.frombuffer(r[c], float) for c in ("x", "g", "ring"))
+                start, g = r["start"], g[window - 1 :]
+                step = max(1, CELLS // max(1, len(draw)))
+                for at in range(0, len(g), step):  # so many ends with all replicates
+                    own = g[at : at + step]
+                    gr = np.concatenate([shifted_scores(x[at : at + len(own) + window - 1], y, start + at, draw[i : i + 256], window) for i in range(0, len(draw), 256)]) if len(draw) else np.zeros((0, len(own)))
+                    some = np.isfinite(gr).any(0)
+                    q = np.full((2, len(own)), np.nan)
+                    if some.any():
+                        q[:, some] = np.nanquantile(gr[:, some], (0.025, 0.975), axis=0)
+                    seen, mine = (gr, own) if digits is None else (np.round(gr, digits), np.round(own, digits))
+                    c = (np.abs(seen) >= np.abs(mine)[None]).sum(0)
+                    yield pd.DataFrame({**{k: r[k] for k in by}, "i": start + at + window + np.arange(len(own)), "lo": q[0], "hi": q[1], "c": c})
+
+    found = blocks.join(ring, list(keys)).mapInPandas(run, f"{kt}, i long, lo double, hi double, c long")
+    found = found.join(a.select(*keys, "i", "t_src"), [*keys, "i"]).drop("i")
+    out = observed.join(found, [*by, "t_src"], "left")
+    p = F.when(F.col("g").isNotNull(), (F.coalesce("c", F.lit(0)) + 1) / F.lit(len(draw) + 1.0))
+    return out.withColumns({c: F.nanvl(c, F.lit(None)) for c in ("lo", "hi")}).withColumn("p", p).drop("c")
+
+
 def at_least(gr: Column, g: Column, digits: int | None = DIGITS) -> Column:
     """|gr| >= |g| up to rounding; digits=None compares exactly. Null if either is."""
     if digits is None:

@@ -67,6 +67,11 @@ def _significant(spark, sf) -> DataFrame:
     return fdr.pointwise(nulls.compare(rolling.scores(a, X, W), null, ["series_id", "feature", "t_src"], R), ALPHA)
 
 
+def _significant_whole(spark, sf) -> DataFrame:
+    a = _aligned(spark, sf)
+    return fdr.pointwise(nulls.series_envelope(spark, a, rolling.scores(a, X, W), X, W, _shifts(spark, sf, REPLICATES)), 0.05)
+
+
 def daily_series(spark, sf):
     return rounded(rounded(_daily(spark, sf).select("t", text("date").alias("d"), "y", *X), *X), "y", digits=2)
 
@@ -214,12 +219,12 @@ def circular_null(spark, sf, replicates=R):
     return rounded(d.select("feature", "perm", "t_src", "gr"), "gr")
 
 
-def envelope(spark, sf):
-    return rounded(_significant(spark, sf).select("feature", "t_src", "lo", "hi"), "lo", "hi")
+def envelope(spark, sf, scores=_significant):
+    return rounded(scores(spark, sf).select("feature", "t_src", "lo", "hi"), "lo", "hi")
 
 
-def pvalues(spark, sf):
-    return rounded(_significant(spark, sf).select("feature", "t_src", "p"), "p")
+def pvalues(spark, sf, scores=_significant):
+    return rounded(scores(spark, sf).select("feature", "t_src", "p"), "p")
 
 
 def _window_null(cfg: AttributionConfig) -> Callable:
@@ -235,8 +240,8 @@ WEEKLY = AttributionConfig(window=W, replicates=R, seed=2, preserve_weekly=True)
 BLOCKS = AttributionConfig(window=W, replicates=R, seed=3, block_null="month", date_column="date_src")
 
 
-def fdr_pointwise(spark, sf):
-    return _significant(spark, sf).select("feature", "t_src", "sig")
+def fdr_pointwise(spark, sf, scores=_significant):
+    return scores(spark, sf).select("feature", "t_src", "sig")
 
 
 def fdr_over_time(spark, sf):
@@ -248,13 +253,13 @@ def segment_rows(spark, sf):
     return segments.islands(_significant(spark, sf)).select("feature", "t_src", "island")
 
 
-def interval_table(spark, sf):
-    d = segments.intervals(_significant(spark, sf))
+def interval_table(spark, sf, scores=_significant):
+    d = segments.intervals(scores(spark, sf))
     return rounded(d.select("feature", text("start_date").alias("start_date"), text("end_date").alias("end_date"), "n", "mean", "median", "min", "max"), "mean", "median", "min", "max")
 
 
-def significance_by_season(spark, sf):
-    d = segments.by_season(_significant(spark, sf)).drop("series_id")
+def significance_by_season(spark, sf, scores=_significant):
+    d = segments.by_season(scores(spark, sf)).drop("series_id")
     return rounded(d, "prop_significant", "median_sign_all", "mean_contribution_all", "mean_contribution_significant")
 
 
@@ -430,5 +435,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "q_windowed_attribution": windowed_attribution, "q_cliffs_delta": cliffs_delta, "q_bootstrap_ci": bootstrap_ci, "q_ablation": ablation_errors, "q_ablation_effect": ablation_effect,
     "q_circular_null_whole": partial(circular_null, replicates=REPLICATES), "q_window_null_uniform_whole": _window_null(replace(UNIFORM, replicates=REPLICATES)),
     "q_window_null_weekly_whole": _window_null(replace(WEEKLY, replicates=REPLICATES)), "q_window_null_block_whole": _window_null(replace(BLOCKS, replicates=REPLICATES)),
+    **{f"{name}_whole": partial(q, scores=_significant_whole) for name, q in (("q_envelope", envelope), ("q_pvalues", pvalues), ("q_fdr_pointwise", fdr_pointwise), ("q_interval_table", interval_table), ("q_significance_by_season", significance_by_season))},
     "q_ccm": ccm, "q_synthetic_series": synthetic_series, "q_synthetic_recovery": synthetic_recovery, "q_manifest_guard": manifest_guard,
 }

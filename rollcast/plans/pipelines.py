@@ -18,8 +18,7 @@ def attribution(spark: SparkSession, aligned: DataFrame, features: Sequence[str]
     shifts = nulls.periodic_shifts(n, replicates, period, seed) if replicates else []
     if not shifts:
         return observed.withColumns({c: F.lit(None).cast("double") for c in ("lo", "hi", "p")}).withColumn("sig", F.lit(False))
-    null = nulls.series_null(spark, aligned, features, window, shifts, step)
-    return fdr.pointwise(nulls.compare(observed, null, ["series_id", "feature", "t_src"], len(shifts)), alpha)
+    return fdr.pointwise(nulls.series_envelope(spark, aligned, observed, features, window, shifts), alpha)
 
 
 def tables(series: DataFrame, variables: Sequence[str], lags, raw: DataFrame | None = None) -> dict[str, DataFrame]:

@@ -155,3 +155,26 @@ def test_fdr_of_a_large_family(spark):
         cut = s[np.flatnonzero(ok)[-1]]
         assert len(got) == len(rows) and all(got["a", "f", i] == (v <= cut) for i, v in enumerate(p))
         assert not got["a", "f", 900] and got["a", None, 1] and not got["b", "f", 1]
+
+
+def test_envelope_of_all_replicates_at_once(spark, monkeypatch):
+    """Equal to the relational null, replicate by replicate, with missing and constant values."""
+    from rollcast.operators import align, nulls
+
+    monkeypatch.setattr(nulls, "ENDS", 32)
+    monkeypatch.setattr(nulls, "CELLS", 200)
+    x, y = walk(90, 2), walk(90, 3)
+    y[20:40] = 1.25
+    rows = [(s, i + 1, None if i == 60 else float(u), float(v) * 1e6, None if s == "b" and i == 5 else float(v)) for s in ("a", "b") for i, (u, v) in enumerate(zip(x, y))]
+    d = spark.createDataFrame(rows, "series_id string, t long, x1 double, x2 double, y double").withColumn("date", F.col("t")).repartition(3)
+    a = align.by_source_time(d, forecast.persistence(d, "y", 1, beyond=True), ["x1", "x2"], 1).cache()
+    shifts, on = nulls.periodic_shifts(90, 60, 7), ["series_id", "feature", "t_src"]
+    observed = rolling.scores(a, ["x1", "x2"], 12).cache()
+    want = nulls.compare(observed, nulls.series_null(spark, a, ["x1", "x2"], 12, shifts), on, 60)
+    key = lambda r: (r["series_id"], r["feature"], r["t_src"])
+    want = {key(r): r for r in want.collect()}
+    got = {key(r): r for r in nulls.series_envelope(spark, a, observed, ["x1", "x2"], 12, shifts).collect()}
+    assert set(got) == set(want) and len(got) == 2 * 79 + 2 * 78
+    for k, r in want.items():
+        for c in ("lo", "hi", "p"):
+            assert got[k][c] == (None if r[c] is None else pytest.approx(r[c], abs=1e-8)), (k, c)
