@@ -20,6 +20,9 @@ from .ranges import spread
 
 KEYS = ("series_id",)
 TILE = 2048  # states of a tile, about
+#: Tiles that are all compared grow with their series, up to MOST rows, so that up to SPLIT of
+#: them each is shipped a fixed number of times.
+MOST, SPLIT = 1 << 14, 64
 SAMPLE = 1 << 13  # states of a series that its tree is built from, about
 PAIRS = 1 << 20  # distances that are held at once
 
@@ -80,7 +83,7 @@ def trees(library: DataFrame, keys: Sequence[str] = KEYS, tile: int = TILE) -> D
 
 def pack(rows: DataFrame, keys: Sequence[str] = KEYS, tree: DataFrame | None = None, tile: int = TILE, more: Sequence[str] = ()) -> DataFrame:
     """(keys, tile, n, width, lo, hi, valid, t, x, y, more) of rows (keys, t, x, y, more): tiles of
-    about `tile` rows, by the leaves of `tree` or dealt evenly. lo and hi bound the
+    about `tile` rows by the leaves of `tree`, or dealt evenly, larger ones for long series. lo and hi bound the
     coordinates, valid[i] counts rows whose first i + 1 are finite. A leaf with more than two
     tiles' rows, such as one of equal states, is dealt to several. `more` is the same in all
     rows of a series."""
@@ -90,7 +93,9 @@ def pack(rows: DataFrame, keys: Sequence[str] = KEYS, tree: DataFrame | None = N
         right = lambda i: F.coalesce(~(F.get("x", F.get("dims", i)) <= F.get("cuts", i)), F.lit(True)).cast("int")
         leaf = F.aggregate(F.sequence(F.lit(1), F.greatest("depth", F.lit(1))), F.lit(0), lambda i, k: F.when(k <= F.col("depth"), 2 * i + 1 + right(i)).otherwise(i))
         d = rows.join(tree, list(keys)).withColumn("leaf", leaf.cast("long")).drop("depth", "dims", "cuts")
-    parts = d.groupBy(*keys, "leaf").agg(F.ceil(F.count(F.lit(1)) / (tile if tree is None else 2 * tile)).alias("parts"))
+    n = F.count(F.lit(1))
+    size = F.least(F.lit(MOST), F.greatest(F.lit(tile), n / SPLIT)) if tree is None else F.lit(2 * tile)
+    parts = d.groupBy(*keys, "leaf").agg(F.ceil(n / size).alias("parts"))
     d = d.join(parts, [*keys, "leaf"]).withColumn("part", F.pmod(F.xxhash64("t"), F.col("parts")))
 
     def one(key, pdf):
