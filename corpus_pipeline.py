@@ -67,7 +67,7 @@ def mix_and_shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 STAGES = [("language_id", language_id), ("near_duplicates", near_duplicates), ("decontamination", decontamination), ("mix_and_shard", mix_and_shard)]
 
-#: Language ID and the mixing schedule have no SQL form; tests hold run() against brute force.
+#: Language ID and the mixing schedule have no SQL form; tests hold stages and the order of the mix.
 ORACLE_SQL = None
 
 
