@@ -13,6 +13,7 @@ from pyspark.sql.window import Window
 
 from ..functions import kernels
 from ..functions.scalar import finite
+from ..functions.tables import settle
 from . import effects
 
 HIGH, LOW = "high_abs_contribution", "low_abs_contribution"
@@ -21,7 +22,8 @@ HIGH, LOW = "high_abs_contribution", "low_abs_contribution"
 def groups(scores: DataFrame, feature: str, last_t: int, k: int, *, high_q: float = 0.75, low_q: float = 0.25, seed: int = 0) -> DataFrame:
     """(series_id, grp, t_src, date_src, abs_g): up to k source times of each group, as many in
     both, by a seeded order among those whose |score| is in the top or bottom quantile."""
-    d = scores.where(F.col("feature") == feature).withColumn("abs_g", F.abs(finite(F.col("g")))).where((F.col("abs_g").isNotNull()) & (F.col("t_src") <= last_t))
+    d = settle(scores.where(F.col("feature") == feature))  # read several times
+    d = d.withColumn("abs_g", F.abs(finite(F.col("g")))).where((F.col("abs_g").isNotNull()) & (F.col("t_src") <= last_t))
     q = d.groupBy("series_id").agg(F.percentile("abs_g", F.array(F.lit(high_q), F.lit(low_q))).alias("q"))
     d = d.join(q, "series_id")
     d = d.where(F.col("abs_g") >= F.col("q")[0]).withColumn("grp", F.lit(HIGH)).unionByName(d.where(F.col("abs_g") <= F.col("q")[1]).withColumn("grp", F.lit(LOW)))
@@ -79,7 +81,8 @@ def summary(errors: DataFrame) -> DataFrame:
 def effect(errors: DataFrame, b: int = 3000, seed: int = 1) -> DataFrame:
     """Difference of mean increases, high less low, its bootstrap interval, and Cliff's delta."""
     v = errors.select(F.when(F.col("grp") == HIGH, 1).otherwise(0).alias("grp"), "t_src", F.col("delta_ae").alias("v"))
-    v = v.withColumn("idx", (F.row_number().over(Window.partitionBy("grp").orderBy("t_src")) - 1).cast("long")).cache()  # a row a picked time
+    v = v.withColumn("idx", (F.row_number().over(Window.partitionBy("grp").orderBy("t_src")) - 1).cast("long"))
+    v = settle(v)  # a row a picked time
     sizes = v.groupBy("grp").agg(F.count(F.lit(1)).alias("n"))
     ci = effects.bootstrap_difference(v.select("grp", "idx", "v"), effects.counter_indices(errors.sparkSession, sizes, b, seed))
     return ci.join(effects.cliffs_delta(v, "v", F.col("grp") == 1, F.col("grp") == 0))

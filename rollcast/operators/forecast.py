@@ -7,6 +7,8 @@ whose target lies beyond the data are dropped. Distances are Euclidean on the ra
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -25,6 +27,7 @@ from .ranges import numbered, spread
 KEYS = ("series_id",)
 NEAR = 400  # prediction points of one task of cross mapping
 LIBRARIES = 1000  # random libraries of one task
+SIDE_BY_SIDE = 8  # groups of models that are worked on at once
 
 
 def lag_embed(series: DataFrame, column: str, e: int, keys: Sequence[str] = KEYS) -> DataFrame:
@@ -103,9 +106,11 @@ def run_models(series: DataFrame, specs: Sequence[Mapping], target: str, feature
     d = series if params is None else series.join(params.select(*keys, *[F.col(c).alias(f"p_{c}") for c in own]), list(keys))
     if lib is not None:
         d = d.withColumns({f"p_{c}": F.lit(int(x)).cast("long") for c, x in zip(RANGES, (*lib, *pred))})
-    kept, out = [c for c in d.columns if c.startswith("p_")], None
+    kept = [c for c in d.columns if c.startswith("p_")]
     given = lambda v: F.col(f"p_{v}").cast("double") if isinstance(v, str) else F.lit(float(v))
-    for (kind, of, tp, model, weighting), mine in groups.items():
+
+    def made_by(group: tuple) -> DataFrame:
+        (kind, of, tp, model, weighting), mine = group
         if kind == "multivariate":
             width, found = len(of), tiles.states(d, target, tp, columns=of, keys=keys, keep=kept)
         else:
@@ -122,9 +127,11 @@ def run_models(series: DataFrame, specs: Sequence[Mapping], target: str, feature
         every = points.select(*keys, "t", F.col("y").alias("obs"), F.size("x").alias("e"), F.posexplode("thetas").alias("which", "theta"))
         made = every.join(made.select(*keys, "t", "which", "pred", "coefficients"), [*keys, "t", "which"], "left")
         name = F.element_at(F.array(*[F.lit(s["name"]) for s in mine]), F.col("which") + 1)
-        made = made.select(*keys, name.alias("model"), F.lit(tp).alias("tp"), "e", "theta", (F.col("t") + tp).alias("t_pred"), "obs", "pred", "coefficients")
-        out = made if out is None else out.unionByName(made)
-    return out
+        return made.select(*keys, name.alias("model"), F.lit(tp).alias("tp"), "e", "theta", (F.col("t") + tp).alias("t_pred"), "obs", "pred", "coefficients")
+
+    # groups do not depend on each other: what they write on the way runs side by side
+    with ThreadPoolExecutor(SIDE_BY_SIDE) as pool:
+        return reduce(DataFrame.unionByName, pool.map(made_by, groups.items()))
 
 
 def split(n: int, fraction: float = 0.2) -> tuple[tuple[int, int], tuple[int, int]]:
@@ -188,7 +195,7 @@ def horizons(series: DataFrame, target: str, features: Sequence[str], tps: Seque
     baselines, for every series with parameters of its own. Parameters are those of the first
     horizon unless per_horizon. Baselines forecast the times that the models forecast and
     that are in the series. A model that fails on a series has metrics with n = 0."""
-    found, frames, all_params, expected = None, [], None, []
+    found, frames, all_params, expected, every = None, [], None, [], []
     cols = [*keys, "model", "tp", "t_pred", "obs", "pred"]
     for tp in tps:
         if found is None or per_horizon:
@@ -200,7 +207,9 @@ def horizons(series: DataFrame, target: str, features: Sequence[str], tps: Seque
             specs.append({"model": model, "kind": "univariate", "e": "e_uv", "theta": "theta_uv", "tp": tp})
             specs.append({"model": model, "kind": "multivariate", "theta": "theta_mv", "tp": tp})
         expected += [(f"{s['model']}_{s['kind']}", tp) for s in specs] + [("B1_mean", tp), ("B2_persistence", tp)]
-        frames.append(run_models(series, specs, target, features, keys=keys, params=found).select(*cols))
+        if per_horizon:
+            frames.append(run_models(series, specs, target, features, keys=keys, params=found).select(*cols))
+        every += specs
         ranged = series.join(found.select(*keys, *RANGES), list(keys))
         mean = F.avg(F.when(F.col("t") <= F.col("lib_last"), F.col(target))).over(Window.partitionBy(*keys))
         inside = F.col("t").between(F.col("pred_first") + tp, F.col("pred_last") + tp)
@@ -208,9 +217,9 @@ def horizons(series: DataFrame, target: str, features: Sequence[str], tps: Seque
         b2 = persistence(series, target, tp, keys).join(found.select(*keys, *RANGES), list(keys))
         b2 = b2.where(F.col("t_pred").between(F.col("pred_first") + tp, F.col("pred_last") + tp)).select(*cols)
         frames += [b1.select(*cols), b2]
-    preds = frames[0]
-    for f in frames[1:]:
-        preds = preds.unionByName(f)
+    if not per_horizon:  # parameters are the same: one call for all horizons
+        frames.append(run_models(series, every, target, features, keys=keys, params=found).select(*cols))
+    preds = reduce(DataFrame.unionByName, frames)
     wanted = F.array(*[F.struct(F.lit(m).alias("model"), F.lit(tp).alias("tp")) for m, tp in expected])
     table = series.select(*keys).distinct().withColumn("__w", F.explode(wanted)).select(*keys, "__w.*")
     table = table.join(evaluate(preds, [*keys, "model", "tp"]), [*keys, "model", "tp"], "left").withColumn("n", F.coalesce("n", F.lit(0).cast("long")))

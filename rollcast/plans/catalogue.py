@@ -362,11 +362,11 @@ def _held_out(query: Callable, **options) -> Callable:
 
 def horizon_evaluation(spark, sf):
     d = _daily(spark, sf)
-    return forecast.horizons(d, "y", ["x1", "x2"], (1, 7))[0]
+    return forecast.horizons(d, "y", ["x1", "x2"], (1, 3, 7, 14))[0]
 
 
 def windowed_attribution(spark, sf):
-    cfg = AttributionConfig(window=60, replicates=REPLICATES, seed=0)
+    cfg = AttributionConfig(window=W, replicates=REPLICATES, seed=0)
     return windowed.rolling_windows(_daily(spark, sf), ["x1", "x2"], "y", cfg, theta=1.0)
 
 
@@ -389,12 +389,12 @@ def bootstrap_ci(spark, sf):
 
 def ablation_errors(spark, sf):
     d = _daily(spark, sf)
-    picked = ablation.groups(_observed(spark, sf), "x2", _days(spark, sf) - 1, 20)
-    return ablation.permuted_errors(d, picked, "y", ["x2", "x1"], "x2", window=60, theta=0.5, repeats=3).drop("date_src")
+    picked = ablation.groups(_observed(spark, sf), "x2", _days(spark, sf) - 1, 60)
+    return ablation.permuted_errors(d, picked, "y", ["x2", "x1"], "x2", window=W, theta=0.5, repeats=5).drop("date_src")
 
 
 def ablation_effect(spark, sf):
-    return ablation.effect(ablation_errors(spark, sf).withColumn("date_src", F.lit(None).cast("date")), 200)
+    return ablation.effect(ablation_errors(spark, sf).withColumn("date_src", F.lit(None).cast("date")))
 
 
 def ccm(spark, sf):
